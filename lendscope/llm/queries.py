@@ -2,25 +2,53 @@
 
 from __future__ import annotations
 
+from lendscope.llm import bpe_words, embedding_links, jaccard_join, katz, packing
 from lendscope.llm import exact_dedup as chunked
 from lendscope.llm import secret_scan as secrets
 from lendscope.llm.shared import load
 
 
+def op3_packing(spark, sf_dir):
+    return packing.pack_documents(load(spark, sf_dir, "documents"))
+
+
+def op4_embedding_links(spark, sf_dir):
+    return embedding_links.embedding_links(load(spark, sf_dir, "embeddings"))
+
+
+def op5_katz(spark, sf_dir):
+    return katz.score_documents(load(spark, sf_dir, "documents"))
+
+
+def op7_bpe(spark, sf_dir):
+    return bpe_words.encode_documents(load(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark, sf_dir):
     return secrets.report(secrets.secret_scan(load(spark, sf_dir, "documents")))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_documents(load(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return chunked.exact_dedup(load(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_packing": op3_packing,
+    "op4_embedding_links": op4_embedding_links,
+    "op5_katz": op5_katz,
+    "op7_bpe": op7_bpe,
     "op8_secret_scan": op8_secret_scan,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_embedding_links": embedding_links.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
     "op8_secret_scan": secrets.ORACLE,
     "op10_exact_dedup": chunked.ORACLE,
 }
