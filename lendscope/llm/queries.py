@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from lendscope.llm import bpe_words, embedding_links, jaccard_join, katz, packing
+from lendscope.llm import bpe_words, embedding_links, jaccard_join, katz, language_mix, packing, quality_rank, toxicity
 from lendscope.llm import exact_dedup as chunked
 from lendscope.llm import secret_scan as secrets
 from lendscope.llm.shared import load
 
 
+def op1_language_mix(spark, sf_dir):
+    return language_mix.language_mix(load(spark, sf_dir, "documents"))
+
+
+def op2_quality_rank(spark, sf_dir):
+    return quality_rank.quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark, sf_dir):
     return packing.pack_documents(load(spark, sf_dir, "documents"))
 
@@ -20,6 +28,10 @@ def op5_katz(spark, sf_dir):
     return katz.score_documents(load(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark, sf_dir):
     return bpe_words.encode_documents(load(spark, sf_dir, "documents"))
 
@@ -37,9 +49,12 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_language_mix": op1_language_mix,
+    "op2_quality_rank": op2_quality_rank,
     "op3_packing": op3_packing,
     "op4_embedding_links": op4_embedding_links,
     "op5_katz": op5_katz,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_jaccard_join": op9_jaccard_join,
