@@ -1,4 +1,56 @@
-STAGES = []
+"""A corpus pipeline: language, exact copies, near copies, secrets, packing.
+
+STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns the
+documents that it keeps, with the columns of documents, or, as the last one, the pieces of
+packed windows. run() applies them to documents and writes what each stage keeps before the
+next one reads it.
+"""
+
+from __future__ import annotations
+
+from lendscope.llm import exact_dedup, jaccard_join, language_mix, packing, secret_scan
+from lendscope.llm.shared import load, shared_dir, stored
+
+
+def language(spark, docs, sf_dir):
+    """Documents without a letter, or without a leading language, go."""
+    return language_mix.accepted(docs)
+
+
+def exact_copies(spark, docs, sf_dir):
+    """Of texts that are equal but for white space the longest stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_copies(spark, docs, sf_dir):
+    """Of documents linked by a shingle similarity of 0.8 or more the first stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def secrets(spark, docs, sf_dir):
+    """Every secret is replaced by a mark; all documents stay."""
+    return secret_scan.redact(docs)
+
+
+def pack(spark, docs, sf_dir):
+    """Windows of 1024 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("secrets", secrets),
+    ("packing", pack),
+]
+
+#: Languages, near copies and tokens can't be told in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
 def run(spark, sf_dir):
-    return None
+    docs, place = load(spark, sf_dir, "documents"), shared_dir(spark)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"{place}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
