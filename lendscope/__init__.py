@@ -1,0 +1 @@
+"""Portfolio credit-risk analytics on Spark DataFrames."""
