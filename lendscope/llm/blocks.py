@@ -75,13 +75,13 @@ def from_bytes(data: bytes):
     return pa.ipc.open_stream(expand(data)).read_all()
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
     """One row a block: its number and its packed rows."""
 
     def pack(batches):
         import pyarrow as pa
 
-        for number, table in numbered(batches):
+        for number, table in numbered(batches, most=most):
             yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "payload": pa.array([to_bytes(table)], pa.binary())})
 
     return docs.mapInArrow(pack, BLOCK_SCHEMA)

@@ -35,8 +35,8 @@ from lendscope.llm.shared import MIX1, held_out, mix64, shared_dir, stored, text
 END, BEGIN = np.uint64(0xE5D0E5D0E5D0E5D1), np.uint64(0xB361B361B361B363)
 #: Counts above this keep their full weight.
 LAST_DISCOUNTED = 5
-#: Bytes of text that are hashed at once.
-SLICE = 2_000_000
+#: Bytes of text in a block, and how many are hashed at once.
+BLOCK_BYTES, SLICE = 9_000_000, 1_000_000
 #: Parts of each table per shuffle partition.
 SPREAD = 2
 
@@ -350,7 +350,8 @@ def score_documents(docs: DataFrame, mod: int = 10, remainder: int = 0) -> DataF
             F.col("doc_id").cast("long").alias("doc_id"),
             F.coalesce("text", F.lit("")).alias("text"),
             held_out(F.col("doc_id"), mod, remainder).alias("held_out"),
-        )
+        ),
+        BLOCK_BYTES,
     )
     n_stats = LAST_DISCOUNTED + 4
     words = packed.mapInArrow(ask_words(parts), ASKED).groupBy("part").applyInArrow(answer_words, ANSWERED)
