@@ -88,3 +88,135 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     n = degree.count()  # one number
     return degree.select("node", "degree", half_up(F.col("degree") / float(max(n - 1, 1)), 6).alias("centrality"))
+
+
+#: Words of falling and rising ratings.
+DOWNGRADE = ["downgrade", "lower", "negative outlook", "watch negative", "default", "withdrawn", "suspend", "junk", "speculative grade", "below investment grade", "credit watch", "review for downgrade", "npa"]
+UPGRADE = ["upgrade", "improve", "positive outlook", "watch positive", "affirm", "raise", "investment grade", "outlook stable", "outlook positive", "removed from watch", "reaffirm"]
+RATING = r"\b(?:(?:IND|CRISIL|ICRA|CARE) [A-D][+-]?|AAA|AA[+-]?|BBB[+-]?|BB[+-]?|CCC|CC)\b"
+#: Words of the macro categories.
+HAWKISH = ["hike", "tighten", "restrictive", "inflation", "elevated", "caution", "withdraw", "liquidity absorption"]
+DOVISH = ["cut", "ease", "accommodative", "pause", "stable", "lower", "reduce", "support", "surplus liquidity"]
+RISING = ["growth", "recovery", "expansion", "strong", "acceleration", "surplus", "gdp beat", "record", "buoyant"]
+FALLING = ["slowdown", "contraction", "recession", "downside", "weak", "stress", "crisis", "decline", "stagflation", "pressure"]
+BANK_STRESS = ["npa rise", "stress", "defaults climb"]
+GLOBAL_RISK = ["recession", "war", "sanction", "slowdown"]
+#: Words against and for a sector.
+HEADWIND = ["risk", "challenge", "decline", "slowdown", "pressure", "penalty", "ban", "crisis"]
+TAILWIND = ["growth", "demand", "expansion", "boost", "positive", "recovery", "export"]
+#: Sector, base risk, keywords; further sectors come as a parameter.
+SECTORS = {
+    "steel": (0.55, ["steel", "iron", "rolling mill", "blast furnace", "hot rolled", "cold rolled", "tmt bar", "wire rod"]),
+    "textile": (0.50, ["textile", "garment", "yarn", "fabric", "spinning", "weaving", "apparel", "hosiery", "knitting", "dyeing", "cotton", "polyester"]),
+    "real_estate": (0.65, ["real estate", "developer", "housing", "construction", "builder", "realty", "township", "residential project", "commercial property", "warehouse", "reit"]),
+    "it": (0.30, ["information technology", "software", "it services", "saas", "bpo", "ites", "data center", "cloud", "cybersecurity", "fintech", "digital", "platform", "erp"]),
+    "pharma": (0.35, ["pharma", "drug", "active pharmaceutical", "medicine", "hospital", "healthcare", "biotech", "formulation", "clinical", "medical device"]),
+    "nbfc": (0.60, ["nbfc", "microfinance", "lending", "financial services", "mfi", "asset finance", "gold loan", "housing finance", "vehicle finance"]),
+    "infrastructure": (0.55, ["infrastructure", "road", "highway", "port", "airport", "power", "shipyard", "maritime", "shipping", "bridge", "metro", "tunnel", "substation", "dam"]),
+    "agri": (0.45, ["agri", "farm", "crop", "fertilizer", "seeds", "pesticide", "irrigation", "dairy", "poultry", "food processing", "sugar mill", "rice mill", "cold chain"]),
+    "auto": (0.50, ["auto", "vehicle", "truck", "two-wheeler", "three-wheeler", "tyre", "ancillary", "forging", "casting", "transmission"]),
+    "cement": (0.45, ["cement", "concrete", "rmc", "ready mix", "clinker", "fly ash", "lime", "gypsum", "asbestos"]),
+}
+DEFAULT_SECTOR_RISK = 0.50
+
+
+def _seen(words: list[str]) -> Column:
+    """How many of the words occur anywhere in a group's texts (column low), without joining the texts."""
+    return sum((F.max(F.col("low").contains(w).cast("int")) for w in words), F.lit(0))
+
+
+def _trend(down: Column, up: Column) -> Column:
+    return F.when(down > up, "DETERIORATING").when(up > down, "IMPROVING").otherwise("STABLE")
+
+
+def rating_trend(texts: DataFrame, scope: str) -> DataFrame:
+    """texts: the scope's column, text. Falling words against rising words over all texts of the scope."""
+    return texts.select(scope, F.lower("text").alias("low")).groupBy(scope).agg(_trend(_seen(DOWNGRADE), _seen(UPGRADE)).alias("trend"))
+
+
+def rating_mentions(texts: DataFrame, k: int = 5) -> DataFrame:
+    """texts: company_id, doc_id, text. The first k distinct rating symbols of a company, as written."""
+    found = texts.select("company_id", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(RATING), F.lit(0))).alias("place", "rating"))
+    once = found.groupBy("company_id", "rating").agg(F.min(F.struct("doc_id", "place")).alias("seen"))
+    order = Window.partitionBy("company_id").orderBy("seen")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("company_id", "rating", "rank")
+
+
+def macro_score(items: DataFrame, scope: str) -> DataFrame:
+    """items: the scope's column, category (rates, growth, banking, global), text."""
+    low = items.select(scope, "category", F.lower("text").alias("t"))
+    own = lambda c, words: sum((F.max(((F.col("category") == c) & F.col("t").contains(w)).cast("int")) for w in words), F.lit(0))
+    seen = low.groupBy(scope).agg(
+        own("rates", HAWKISH).alias("hawkish"), own("rates", DOVISH).alias("dovish"), own("growth", RISING).alias("rising"), own("growth", FALLING).alias("falling"),
+        own("banking", BANK_STRESS).alias("stress"), own("global", GLOBAL_RISK).alias("world"),
+    )
+    side = lambda a, b: F.when(F.col(a) > F.col(b), 0.10).when(F.col(b) > F.col(a), -0.05).otherwise(0.0)
+    risk = 0.45 + side("hawkish", "dovish") + side("falling", "rising") + F.when(F.col("stress") > 0, 0.08).otherwise(0.0) + F.when(F.col("world") > 0, 0.07).otherwise(0.0)
+    name = lambda a, b, x, y, z: F.when(F.col(a) > F.col(b), x).when(F.col(b) > F.col(a), y).otherwise(z)
+    return seen.select(
+        scope, name("hawkish", "dovish", "HAWKISH", "DOVISH", "NEUTRAL").alias("rate_environment"), name("rising", "falling", "ACCELERATING", "DECELERATING", "STEADY").alias("growth_signal"),
+        half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), risk)), 4).alias("macro_risk"),
+    )
+
+
+def sector_detect(docs: DataFrame, sectors: dict | None = None) -> DataFrame:
+    """The sector with most keywords over a company's texts, the first declared on a tie; default without any."""
+    table = sectors or SECTORS
+    low = docs.select("company_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    seen = low.groupBy("company_id").agg(*[_seen(words).alias(name) for name, (_, words) in table.items()])
+    best = F.array_max(F.array(*[F.struct(F.col(n).alias("hits"), F.lit(-i).alias("o"), F.lit(n).alias("sector")) for i, n in enumerate(table)]))
+    return seen.select("company_id", best.alias("b")).select("company_id", F.when(F.col("b.hits") > 0, F.col("b.sector")).otherwise("default").alias("sector"), F.col("b.hits").cast("long").alias("hits"))
+
+
+def sector_risk(detected: DataFrame, kept: DataFrame, regulatory: DataFrame, sectors: dict | None = None) -> DataFrame:
+    """Base risk, moved by the balance of kept news and by regulatory mentions (company_id, mentions)."""
+    base = F.lit(DEFAULT_SECTOR_RISK)
+    for name, (risk, _) in (sectors or SECTORS).items():
+        base = F.when(F.col("sector") == name, risk).otherwise(base)
+    bad, good = F.count_if(F.col("sentiment") == "NEGATIVE"), F.count_if(F.col("sentiment") == "POSITIVE")
+    news = kept.groupBy("company_id").agg(((bad - good) / F.count(F.lit(1)) * 0.10).alias("move"))
+    joined = detected.join(news, "company_id", "left").join(regulatory, "company_id", "left")
+    risk = half_up(F.least(F.greatest(base + F.coalesce("move", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), 4)
+    out = joined.select("company_id", "sector", risk.alias("risk"), F.least(0.05 * F.coalesce("mentions", F.lit(0)), F.lit(0.15)).alias("extra"))
+    outlook = F.when(F.col("risk") > 0.60, "NEGATIVE").when(F.col("risk") < 0.40, "POSITIVE").otherwise("NEUTRAL")
+    return out.select("company_id", "sector", outlook.alias("outlook"), half_up(F.least(F.col("risk") + F.col("extra"), F.lit(1.0)), 4).alias("sector_risk"))
+
+
+def head_tailwinds(articles: DataFrame, k: int = 5) -> DataFrame:
+    """The first k distinct titles of a company whose body tells of a headwind, and of a tailwind."""
+    low = F.lower("snippet")
+    sides = F.filter(F.array(F.when(_hits(low, HEADWIND) > 0, F.lit("headwind")), F.when(_hits(low, TAILWIND) > 0, F.lit("tailwind"))), lambda x: x.isNotNull())
+    once = articles.where("title <> ''").select("company_id", "ordinal", "title", F.explode(sides).alias("side")).groupBy("company_id", "side", "title").agg(F.min("ordinal").alias("ordinal"))
+    order = Window.partitionBy("company_id", "side").orderBy("ordinal")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def shared_address(addresses: DataFrame, least: int = 2) -> DataFrame:
+    """addresses: company_id, address. Addresses, in upper case with single blanks, of that many companies or more."""
+    norm = F.trim(F.regexp_replace(F.upper("address"), "[^A-Z0-9]+", " "))
+    return addresses.select("company_id", norm.alias("address")).where("address <> ''").groupBy("address").agg(F.countDistinct("company_id").alias("companies")).where(F.col("companies") >= least)
+
+
+def promoter_graph(promoters: DataFrame, directors: DataFrame, cases: DataFrame, lenders: DataFrame, most_cases: int = 40) -> DataFrame:
+    """Edges from a company's promoters (bounded, see promoters) to its directors, first cases and lenders."""
+    order = Window.partitionBy("company_id").orderBy("case_id")
+    few = cases.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_cases)
+    ends = (
+        directors.select("company_id", F.col("director").alias("target"), F.lit("is_director").alias("relation"))
+        .unionByName(few.select("company_id", F.concat(F.lit("case:"), F.col("case_id")).alias("target"), F.lit("involved_in").alias("relation")))
+        .unionByName(lenders.select("company_id", F.col("lender").alias("target"), F.lit("borrowed_from").alias("relation")))
+    )
+    return promoters.select("company_id", F.col("name").alias("promoter")).join(ends, "company_id").distinct()
+
+
+def promoter_risk(f: DataFrame) -> DataFrame:
+    """f: company_id, severity_score, high, disqualified, nodes, shell_network_score."""
+    score = F.least(0.5 * F.col("severity_score"), F.lit(0.40)) + F.least(0.10 * F.col("high"), F.lit(0.30)) + F.when(F.col("disqualified"), 0.30).otherwise(0.0) + F.when(F.col("nodes") > 20, 0.10).otherwise(0.0)
+    risk = half_up(F.least(F.least(score, F.lit(1.0)) + 0.30 * F.col("shell_network_score"), F.lit(1.0)), 4)
+    return f.select("company_id", risk.alias("promoter_risk")).withColumn("flagged", F.col("promoter_risk") > 0.7)
+
+
+def research_risk(f: DataFrame) -> DataFrame:
+    """f: company_id, news_risk, litigation_risk, sector_risk, macro_risk, rating_trend."""
+    score = 0.25 * F.col("news_risk") + 0.35 * F.col("litigation_risk") + 0.20 * F.col("sector_risk") + 0.10 * F.col("macro_risk") + 0.10 * F.when(F.col("rating_trend") == "DETERIORATING", 0.10).otherwise(0.0)
+    return f.select("company_id", half_up(score, 4).alias("research_risk"))

@@ -1,6 +1,6 @@
 import pytest
 
-from lendscope.plans.queries import ORACLE_SQL, QUERIES
+from lendscope.plans.registry import ORACLE_SQL, QUERIES
 from tests.oracle import same
 
 
