@@ -250,3 +250,13 @@ def feature_ranks(f: DataFrame, features: list[str], k: int = 10) -> DataFrame:
     rows = f.select("company_id", F.explode(F.array(*each)).alias("x")).select("company_id", "x.*")
     order = Window.partitionBy("company_id").orderBy(F.desc(F.abs("z")), "feature")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def days(fin: DataFrame, receivables: str = "receivables", inventories: str = "inventories", cogs: str = "cogs", current_assets: str = "current_assets", current_liabilities: str = "current_liabilities") -> DataFrame:
+    """Debtor, inventory (of costs, else of revenue) and working-capital days; without figures 0, 0 and 90."""
+    over = lambda a, b: F.when((F.col(a) > 0) & (b > 0), half_up(F.col(a) / b * 365, 1)).otherwise(0.0)
+    net = half_up((F.col(current_assets) - F.col(current_liabilities)) / F.col("revenue") * 365, 1)
+    return fin.select(
+        "company_id", over(receivables, F.col("revenue")).alias("debtor_days"), over(inventories, F.coalesce(F.nullif(F.col(cogs), F.lit(0.0)), F.col("revenue"))).alias("inventory_days"),
+        F.when(F.col("revenue") > 0, net).otherwise(90.0).alias("working_capital_days"),
+    )

@@ -85,6 +85,24 @@ SELECT o_custkey AS company_id, CASE l_linenumber % 7 WHEN 0 THEN 'revenue' WHEN
          WHEN 4 THEN 'cfo' WHEN 5 THEN 'long_term_debt' ELSE 'equity' END AS metric,
        year(o_orderdate) AS period, CAST(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS DOUBLE) AS value
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY 1, 2, 3""",
+    "raw_lines": """
+SELECT o_orderkey AS table_id, o_custkey AS company_id, 0 AS row_no, CASE o_orderkey % 4 WHEN 0 THEN 'Particulars (Rs in crore);;FY2023;FY2022'
+  WHEN 1 THEN 'Particulars; ;FY2023;FY2022' WHEN 2 THEN 'Particulars in lakhs;Note;FY2023;FY2022' ELSE 'Date;Narration;Debit;Credit;Balance' END AS line FROM {orders}
+UNION ALL
+SELECT l_orderkey, o_custkey, l_linenumber, CASE WHEN l_linenumber = 5 THEN ' ; ; ; '
+  WHEN l_orderkey % 4 = 3 THEN concat('01/02/2023; NEFT CR-HDFC0001234-', upper(s_name), '-REF;', CASE WHEN l_returnflag = 'R' THEN '-' ELSE n END, ';', CASE WHEN l_returnflag = 'R' THEN n ELSE '' END, ';1,000.00')
+  ELSE concat(CASE l_partkey % 10 WHEN 0 THEN 'Revenue from operations' WHEN 1 THEN 'EBITDA' WHEN 2 THEN 'Finance cost' WHEN 3 THEN ' Profit after tax ' WHEN 4 THEN 'Trade receivables'
+    WHEN 5 THEN '(a) Inventories' WHEN 6 THEN 'Long term borrowings' WHEN 7 THEN 'EBITDA margin' WHEN 8 THEN 'Aggregate turnover' ELSE 'Miscellany' END, ';', l_linenumber, ';',
+    CASE l_partkey % 3 WHEN 0 THEN concat('(', n, ')') WHEN 1 THEN n ELSE concat(n, ' Cr') END, ';', CASE WHEN l_suppkey % 4 = 0 THEN '-' ELSE n END) END
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS STRING) AS n FROM {lineitem}) l
+  JOIN {orders} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey""",
+    "raw_tables": "SELECT table_id, company_id, row_no, split(line, ';') AS cells FROM {raw_lines}",
+    "statement_texts": """
+SELECT o_custkey AS company_id, o_orderkey AS doc_id, CASE o_orderkey % 3
+  WHEN 0 THEN concat('01-Apr-2023 NEFT TO ', upper(c_name), ' ', n, ' Cr', chr(10), '02-Apr-2023  CHQ NO 12 ACME INDUSTRIES 1,200.50 Dr', chr(10), '02-Apr-2023  CHQ NO 12 ACME INDUSTRIES 1,300.50 Dr')
+  WHEN 1 THEN concat('05/06/2023 BY TRANSFER TO ', upper(c_name), ' ', n, ' 9,000.00', chr(10), '7/6/23 cash at branch ', n, ' 100.00')
+  ELSE concat('Aggregate turnover of the year: Rs. ', n, ' lakhs in all') END AS text
+FROM (SELECT o_custkey, o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING) AS n FROM {orders}) o JOIN {customer} ON o_custkey = c_custkey""",
     "promoters": "SELECT DISTINCT doc_id % 23 AS company_id, CASE doc_id % 5 WHEN 0 THEN 'Award Singh' WHEN 1 THEN 'Pledge Rao' WHEN 2 THEN 'Insolvency Das' WHEN 3 THEN 'Cheque Mehta' ELSE 'Steel Iyer' END AS name FROM {documents}",
     "addresses": "SELECT c_custkey AS company_id, concat('Plot ', c_custkey % 411, ',  Road no. ', c_nationkey % 3) AS address FROM {customer}",
     "lenders": "SELECT DISTINCT doc_id % 23 AS company_id, concat('Bank ', doc_id % 7) AS lender FROM {documents}",
