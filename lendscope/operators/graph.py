@@ -180,3 +180,23 @@ def fraud_composite(scores: DataFrame) -> DataFrame:
     return scores.select(
         "company_id", half_up(boosted * 100, 1).alias("fraud_score"), ((F.col("circular") > 0.8) | (boosted > 0.85)).alias("hard_reject")
     )
+
+
+def node_marks(edges: DataFrame, cycles: DataFrame, shells: DataFrame) -> DataFrame:
+    """company_id, node, txns, in_cycle, is_shell, suspicious for each node. shells: company_id, entity."""
+    nodes = edges.select("company_id", F.explode(F.array("src", "dst")).alias("node"), "txn_count").groupBy("company_id", "node").agg(F.sum("txn_count").alias("txns"))
+    ring = cycles.select("company_id", F.explode(F.split("path", ">")).alias("node")).distinct().withColumn("in_cycle", F.lit(True))
+    shell = shells.select("company_id", F.col("entity").alias("node")).distinct().withColumn("is_shell", F.lit(True))
+    out = nodes.join(ring, ["company_id", "node"], "left").join(shell, ["company_id", "node"], "left").fillna(False, ["in_cycle", "is_shell"])
+    return out.withColumn("suspicious", F.col("in_cycle") | F.col("is_shell"))
+
+
+def edge_marks(edges: DataFrame, cycles: DataFrame) -> DataFrame:
+    """company_id, src, dst, mark: cycle before layered (the reverse edge exists) before plain."""
+    nodes = F.split("path", ">")
+    steps = F.transform(nodes, lambda x, i: F.struct(x.alias("src"), F.get(nodes, (i + 1) % F.size(nodes)).alias("dst")))
+    ring = cycles.select("company_id", F.explode(steps).alias("e")).select("company_id", "e.src", "e.dst").distinct().withColumn("c", F.lit(True))
+    back = edges.select("company_id", F.col("dst").alias("src"), F.col("src").alias("dst")).withColumn("b", F.lit(True))
+    keys = ["company_id", "src", "dst"]
+    out = edges.select(keys).join(ring, keys, "left").join(back, keys, "left")
+    return out.select(*keys, F.when(F.col("c"), "cycle").when(F.col("b"), "layered").otherwise("plain").alias("mark"))

@@ -103,6 +103,13 @@ SELECT o_custkey AS company_id, o_orderkey AS doc_id, CASE o_orderkey % 3
   WHEN 1 THEN concat('05/06/2023 BY TRANSFER TO ', upper(c_name), ' ', n, ' 9,000.00', chr(10), '7/6/23 cash at branch ', n, ' 100.00')
   ELSE concat('Aggregate turnover of the year: Rs. ', n, ' lakhs in all') END AS text
 FROM (SELECT o_custkey, o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING) AS n FROM {orders}) o JOIN {customer} ON o_custkey = c_custkey""",
+    "filings": f"""
+SELECT doc_id, doc_id % 97 AS company_id, CASE doc_id % 4 WHEN 0 THEN 'annual_report' WHEN 1 THEN 'gst' WHEN 2 THEN 'bank_statement' ELSE 'itr' END AS doc_type, 5.0e0 + doc_id % 50 AS debt_crore,
+       concat('ANNUAL REPORT ', 2000 + doc_id % 24, chr(10), 'Corporate overview of ACME', doc_id % 31, ' STEEL PVT LTD, Industrial Estate Road Pune - 411001', chr(10), chr(10), chr(10), text, chr(10),
+         '1.1 Balance Sheet', chr(10), chr(10), 'Revenue from operations: Rs. ', n_chars, ' Cr and EBITDA: 1', doc_id % 9, '.5 %', chr(10), 'Aggregate turnover Rs. ', n_chars, ',000 lakhs; opening balance: ', n_chars, ' total income ', n_chars, chr(10),
+         'Managing Director: Mr. Ravi Kumar', CASE doc_id % 3 WHEN 0 THEN 'an' ELSE '' END, ' DIN: 0000', 1000 + doc_id % 700, chr(10), 'Notes Forming Part', chr(10), {_pick}, chr(10), chr(10), chr(10),
+         CASE doc_id % 6 WHEN 0 THEN 'Charge of Rs. 45,000 in favour of State Bank.' WHEN 1 THEN 'Collateral of 25.5 Cr; capacity use 65 % and top 5 customers give 45 %.' WHEN 2 THEN 'plant idle, struck off; cheque return, ecs return'
+           WHEN 3 THEN 'full capacity, active; end of day balance 0.00' ELSE 'CIN U27100MH2001PLC123456; D/E ratio: 2.4 times' END) AS text FROM {{documents}}""",
     "promoters": "SELECT DISTINCT doc_id % 23 AS company_id, CASE doc_id % 5 WHEN 0 THEN 'Award Singh' WHEN 1 THEN 'Pledge Rao' WHEN 2 THEN 'Insolvency Das' WHEN 3 THEN 'Cheque Mehta' ELSE 'Steel Iyer' END AS name FROM {documents}",
     "addresses": "SELECT c_custkey AS company_id, concat('Plot ', c_custkey % 411, ',  Road no. ', c_nationkey % 3) AS address FROM {customer}",
     "lenders": "SELECT DISTINCT doc_id % 23 AS company_id, concat('Bank ', doc_id % 7) AS lender FROM {documents}",
