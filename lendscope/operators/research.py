@@ -183,8 +183,8 @@ def sector_risk(detected: DataFrame, kept: DataFrame, regulatory: DataFrame, sec
 
 
 def head_tailwinds(articles: DataFrame, k: int = 5) -> DataFrame:
-    """The first k distinct titles of a company whose body tells of a headwind, and of a tailwind."""
-    low = F.lower("snippet")
+    """The first k distinct titles of a company whose title or body tells of a headwind, and of a tailwind."""
+    low = F.lower(F.concat_ws(" ", "title", "snippet"))
     sides = F.filter(F.array(F.when(_hits(low, HEADWIND) > 0, F.lit("headwind")), F.when(_hits(low, TAILWIND) > 0, F.lit("tailwind"))), lambda x: x.isNotNull())
     once = articles.where("title <> ''").select("company_id", "ordinal", "title", F.explode(sides).alias("side")).groupBy("company_id", "side", "title").agg(F.min("ordinal").alias("ordinal"))
     order = Window.partitionBy("company_id", "side").orderBy("ordinal")

@@ -65,7 +65,7 @@ def sector_risk(spark, d):
     return research.sector_risk(sector_detect(spark, d), QUERIES["news_dedup_topk"](spark, d), mentions)
 
 
-_side = lambda k, words: f"SELECT company_id, '{k}' AS side, title, min(ordinal) AS ordinal FROM ({s('articles')}) WHERE title <> '' AND {HITS('lower(snippet)', words)} > 0 GROUP BY 1, 2, 3"
+_side = lambda k, words: f"SELECT company_id, '{k}' AS side, title, min(ordinal) AS ordinal FROM ({s('articles')}) WHERE title <> '' AND {HITS("lower(title || ' ' || snippet)", words)} > 0 GROUP BY 1, 2, 3"
 
 
 @query(f"SELECT company_id, side, title, ordinal, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY company_id, side ORDER BY ordinal) AS rank FROM ({_side('headwind', research.HEADWIND)} UNION ALL {_side('tailwind', research.TAILWIND)})) WHERE rank <= 5")
