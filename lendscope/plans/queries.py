@@ -76,7 +76,7 @@ RULES = f"""(SELECT f.company_id, coalesce(h, 0) > 0 AS hard_reject, g.reason, c
   count(*) FILTER (kind = 'POLICY') AS p, CAST(sum(points) AS BIGINT) AS points, min_by(feature, ordinal) FILTER (kind = 'HARD') AS reason FROM {FIRED} GROUP BY 1) g USING (company_id))"""
 SPREAD = f"""{r("(high - low) / high", 4)} AS delta, {r("least((high - low) / high / 0.5, 1.0)", 3)} AS score,
   CASE WHEN (high - low) / high > 0.35 THEN 'HIGH' WHEN (high - low) / high > 0.2 THEN 'MEDIUM' ELSE 'NONE' END AS severity"""
-CONTAINS = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+CONTAINS = lambda c, words: "(" + " OR ".join("contains({}, '{}')".format(c, w.replace("'", "''")) for w in words) + ")"
 HITS = lambda c, words: "(" + " + ".join(f"CAST(contains({c}, '{w}') AS INT)" for w in words) + ")"
 ARTICLES = f"""(SELECT company_id, ordinal, url, title, snippet, CASE WHEN bad > good THEN 'NEGATIVE' WHEN good > bad THEN 'POSITIVE' ELSE 'NEUTRAL' END AS sentiment
   FROM (SELECT *, {HITS("low", research.NEGATIVE)} AS bad, {HITS("low", research.POSITIVE)} AS good FROM (SELECT *, lower(title || ' ' || snippet) AS low FROM ({s("articles")}))))"""
@@ -473,10 +473,10 @@ def fin_years(spark, d):
     return documents.fin_years(frame(spark, d, "reports"))
 
 
-_FLAGS = ", ".join(f"CASE WHEN regexp_matches(low, '(?s){p}') THEN '{k}' END" for k, p in documents.RED_FLAGS.items())
+_FLAGS = ", ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN '{k}' END" for k, p in documents.RED_FLAGS.items())
 
 
-@query(f"""SELECT doc_id, flags, CASE WHEN regexp_matches(flags, 'Insolvency|Fraud|NPA|Going concern') THEN 'HIGH' WHEN regexp_matches(flags, '(^|,)(LEGAL|CREDIT|AUDIT)') THEN 'MEDIUM' ELSE 'LOW' END AS severity
+@query(f"""SELECT doc_id, flags, CASE WHEN regexp_matches(flags, 'Wilful|Insolvency|Fraud|NPA|Going concern') THEN 'HIGH' WHEN regexp_matches(flags, '(^|,)(LEGAL|CREDIT|AUDIT)') THEN 'MEDIUM' ELSE 'LOW' END AS severity
 FROM (SELECT doc_id, concat_ws(',', {_FLAGS}) AS flags FROM (SELECT doc_id, lower(text) AS low FROM ({s("reports")})))""")
 def red_flags(spark, d):
     return documents.red_flags(frame(spark, d, "reports"))
@@ -545,6 +545,11 @@ def cases_union(spark, d):
 _weight = "CASE severity " + " ".join(f"WHEN '{k}' THEN {w}" for k, (_, w) in research.SEVERITY.items()) + " END"
 
 
+@query(f"SELECT doc_id, {SEVERITY.replace('summary', 'text')} AS severity FROM ({s('reports')})")
+def case_severity(spark, d):
+    return frame(spark, d, "reports").select("doc_id", research.case_severity(F.col("text")).alias("severity"))
+
+
 @query(f"SELECT company_id, cases, high, {r('least(w / 5, 1e0)', 4)} AS severity_score, {r('least(cases / 20e0, 1e0)', 4)} AS risk FROM (SELECT company_id, CAST(sum(CAST({_weight} AS DECIMAL(10, 2))) AS DOUBLE) AS w, count(*) AS cases, count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) AS high FROM {CASES} GROUP BY 1)")
 def litigation_score(spark, d):
     return research.litigation_score(_cases(spark, d))

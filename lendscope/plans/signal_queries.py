@@ -109,7 +109,7 @@ def research_risk(spark, d):
 PROMOTER_NEWS = f"""(SELECT company_id, count(*) AS promoter_news FROM {KEPT} k WHERE sentiment = 'NEGATIVE' AND EXISTS (
   SELECT 1 FROM ({s("promoters")}) p WHERE p.company_id = k.company_id AND contains(lower(k.title), lower(split_part(p.name, ' ', 1)))) GROUP BY 1)"""
 EXTERNAL = f"(SELECT company_id, count(*) AS cases FROM {CASES} WHERE feed = 1 GROUP BY 1)"
-_legal = "|".join(f"(?s){p}" for k, p in documents.RED_FLAGS.items() if k.startswith("LEGAL"))
+_legal = "|".join(p for k, p in documents.RED_FLAGS.items() if k.startswith("LEGAL"))
 DISCLOSED = f"(SELECT DISTINCT company_id FROM ({s('reports')}) WHERE doc_id % 4 = 0 AND regexp_matches(lower(text), '{_legal}'))"
 
 
