@@ -270,7 +270,19 @@ def feature_weights(toxic: dict[str, int], clean: dict[str, int], n_toxic: int,
         low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
         if low > 0.5:
             out[feature] = float(np.log(low / (1 - low)))
-    return out
+    return telling(out)
+
+
+def telling(weights: dict[str, float]) -> dict[str, float]:
+    """weights less each first few letters that tell less than some longer feature does: they
+    owe their weight to that one, and begin clean words as well."""
+    best: dict[str, float] = {}
+    for feature, weight in weights.items():
+        word = feature[1:] if feature[0] == "=" else feature[:-1]
+        for n in PREFIXES:
+            if n < len(word) or n == len(word) and feature[0] == "=":
+                best[word[:n]] = max(best.get(word[:n], 0.0), weight)
+    return {f: w for f, w in weights.items() if f[0] == "=" or w >= best.get(f[:-1], 0.0)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, remainder: int = 2) -> Model | None:

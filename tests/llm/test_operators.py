@@ -232,6 +232,11 @@ def test_deobfuscation():
     assert "idiot" in toxicity.words_of("you i d i o t there")
 
 
+def test_weak_beginnings_go():
+    kept = toxicity.telling({"=loser": 2.7, "loser*": 2.7, "lose*": 2.3, "los*": 0.9, "idi*": 2.8, "=idiot": 2.8, "=old": 0.5, "old*": 0.4})
+    assert set(kept) == {"=loser", "loser*", "idi*", "=idiot", "=old"}
+
+
 def test_letter_counts_equal_brute_force(spark):
     texts = ["Ab c", "é a", "", None, "xyz", "a-b"]
     d = spark.createDataFrame([(t,) for t in texts], "text string")
