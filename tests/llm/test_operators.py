@@ -220,6 +220,13 @@ def test_languages_of_odd_texts(docs):
     assert rows[1]["lang_pred"] == "en" and rows[1]["score"] == 1.0
 
 
+def test_texts_without_letters_are_rejected(spark):
+    rows = [(i, prose(40, i), "en") for i in range(20)] + [(50, "— “12” € …", "en"), (51, "12 345", None), (52, None, "en"), (53, "", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in language_mix.accepted(d).collect()} == set(range(20))
+    assert {r["doc_id"] for r in language_mix.language_mix(d).where("lang_pred = 'und'").collect()} == {50, 51, 52, 53}
+
+
 def test_deobfuscation():
     costs = np.full((28, 28, 28), 6.0)
     for word in ("idiot", "trash", "moron", "stupid"):
