@@ -11,6 +11,8 @@ from lendscope.functions.numbers import first_digit
 from lendscope.functions.rounding import half_up
 
 PLACEHOLDERS = ("SELF", "UNKNOWN")
+#: Parts of the fraud score.
+FRAUD_WEIGHTS = {"circular": 0.30, "benford": 0.18, "gst": 0.17, "gstr": 0.12, "bank": 0.08, "audit": 0.10, "layered": 0.03, "shell": 0.02}
 
 
 def txn_edges(txns: DataFrame) -> DataFrame:
@@ -171,14 +173,18 @@ def shell_entities(entities: DataFrame, names: DataFrame) -> DataFrame:
     return shared.where("n >= 2").groupBy("company_id", "entity").agg(F.min("name").alias("matched"))
 
 
+def shell_score(shells: DataFrame) -> DataFrame:
+    """min(0.15 n, 1) for each company with n shell-like counterparties."""
+    return shells.groupBy("company_id").agg(half_up(F.least(0.15 * F.count(F.lit(1)), F.lit(1.0)), 4).alias("shell_score"))
+
+
 def fraud_composite(scores: DataFrame) -> DataFrame:
     """Weighted fraud score in percent; scores holds the eight parts and the ITC to turnover ratio."""
-    weights = {"circular": 0.30, "benford": 0.18, "gst": 0.17, "gstr": 0.12, "bank": 0.08, "audit": 0.10, "layered": 0.03, "shell": 0.02}
-    base = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
+    base = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in FRAUD_WEIGHTS.items()), F.lit(0.0))
     base = F.least(base, F.lit(1.0))
     boosted = F.when(F.col("itc_ratio") > 0.25, F.least(base + 0.3, F.lit(1.0))).otherwise(base)
     return scores.select(
-        "company_id", half_up(boosted * 100, 1).alias("fraud_score"), ((F.col("circular") > 0.8) | (boosted > 0.85)).alias("hard_reject")
+        "company_id", half_up(boosted * 100, 1).alias("fraud_score"), ((F.coalesce("circular", F.lit(0.0)) > 0.8) | (boosted > 0.85)).alias("hard_reject")
     )
 
 

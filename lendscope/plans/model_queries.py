@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lendscope.functions.rounding import half_up_sql as r
-from lendscope.operators import decision, filings, model, vectors
+from lendscope.operators import decision, filings, graph, model, vectors
 from lendscope.plans.filing_queries import BLOCKS, FILINGS, _sections
 from lendscope.plans.inputs import FEATURES, frame
 from lendscope.plans.inputs import sql as s
-from lendscope.plans.queries import F_SQL, FIN, FIRED, ORACLE_SQL, QUERIES, VERDICT, query
+from lendscope.plans.queries import F_SQL, FIN, FIRED, ORACLE_SQL, QUERIES, SHELL_SCORE, VERDICT, query
 from lendscope.sources import feeds
 
 NAMES = list(FEATURES)
@@ -43,6 +43,35 @@ def display_ratios(spark, d):
     return vectors.display_ratios(decision.fin_agg(frame(spark, d, "fin_lines")))
 
 
+# ---- fraud score ------------------------------------------------------------------------
+
+#: Query, then its columns and the parts of the fraud score that they are; without a row a part is 0.
+FRAUD_PARTS = {
+    "circular_composite": {"circular_score": "circular"}, "benford": {"benford_score": "benford"}, "gst_bank_mismatch": {"score": "gst"},
+    "itc_check": {"score": "gstr", "itc_to_turnover": "itc_ratio"}, "bank_anomaly": {"bank_anomaly": "bank"}, "audit_remark_score": {"audit_score": "audit"},
+    "layered_score": {"layered_score": "layered"},
+}
+_joined = " ".join(f"LEFT JOIN (SELECT company_id, {', '.join(f'{a} AS {b}' for a, b in columns.items())} FROM ({ORACLE_SQL[q]})) USING (company_id)" for q, columns in FRAUD_PARTS.items())
+_weighed = " + ".join(f"coalesce({c}, 0e0) * {w}e0" for c, w in graph.FRAUD_WEIGHTS.items())
+FRAUD = f"""(SELECT company_id, {r("boosted * 100", 1)} AS fraud_score, coalesce(circular, 0e0) > 0.8 OR boosted > 0.85 AS hard_reject
+FROM (SELECT *, CASE WHEN itc_ratio > 0.25 THEN least(b + 0.3e0, 1e0) ELSE b END AS boosted FROM (SELECT *, least({_weighed}, 1e0) AS b
+  FROM (SELECT c_custkey AS company_id FROM customer) {_joined} LEFT JOIN (SELECT company_id, shell_score AS shell FROM {SHELL_SCORE}) USING (company_id))))"""
+
+
+@query(f"SELECT * FROM {FRAUD}")
+def fraud_composite(spark, d):
+    out = frame(spark, d, "customer").select(F.col("c_custkey").alias("company_id"))
+    for q, columns in FRAUD_PARTS.items():
+        out = out.join(QUERIES[q](spark, d).select("company_id", *[F.col(a).alias(b) for a, b in columns.items()]), "company_id", "left")
+    shell = graph.shell_score(QUERIES["shell_entities"](spark, d)).withColumnRenamed("shell_score", "shell")
+    return graph.fraud_composite(out.join(shell, "company_id", "left"))
+
+
+@query(f"SELECT company_id, fraud_score, CASE WHEN fraud_score <= 20 THEN 'LOW' WHEN fraud_score <= 40 THEN 'MODERATE' WHEN fraud_score <= 70 THEN 'HIGH' ELSE 'SEVERE' END AS band, {r('100 - fraud_score', 1)} AS integrity_score FROM {FRAUD}")
+def fraud_bands(spark, d):
+    return decision.fraud_bands(fraud_composite(spark, d))
+
+
 # ---- model: no SQL, held-out metrics are tested ------------------------------------------
 
 TREES = 20  # the registered queries' trees; train() takes 300 by default

@@ -48,6 +48,10 @@ CYCLES = f"""(WITH e AS (SELECT company_id AS g, src AS s, dst AS d, total_amoun
   UNION ALL
   SELECT a.g, 4, a.s || '>' || b.s || '>' || c.s || '>' || d.s, {r("a.t + b.t + c.t + d.t", 2)} FROM e a JOIN e b ON a.g = b.g AND a.d = b.s JOIN e c ON b.g = c.g AND b.d = c.s
     JOIN e d ON c.g = d.g AND c.d = d.s AND d.d = a.s WHERE a.s < b.s AND a.s < c.s AND a.s < d.s AND b.s <> c.s AND b.s <> d.s AND c.s <> d.s)"""
+_cycle_score = lambda edges, cycles: f"""SELECT t.company_id, coalesce(n, 0) AS cycles, {r("least(0.7e0 * least(coalesce(a, 0e0) / CASE WHEN total > 0 THEN total ELSE 1e0 END, 1e0) + 0.3e0 * least(coalesce(n, 0) * 10 / 100e0, 1e0), 1e0)", 4)} AS cycle_score
+FROM (SELECT company_id, CAST(sum(CAST(total_amount AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM {edges} GROUP BY 1) t
+LEFT JOIN (SELECT company_id, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS a FROM {cycles} GROUP BY 1) c USING (company_id)"""
+OWN_CYCLES = f"""(SELECT a.company_id, {r("a.total_amount + b.total_amount", 2)} AS amount FROM {EDGES} a JOIN {EDGES} b ON a.company_id = b.company_id AND a.dst = b.src AND b.dst = a.src WHERE a.src < b.src)"""
 BENFORD_DIGITS = f"(SELECT company_id, CAST(left(CAST(CAST(floor(amount) AS BIGINT) AS VARCHAR), 1) AS INT) AS digit, count(*) AS c FROM ({s('txns')}) WHERE amount > 1000 GROUP BY 1, 2)"
 CHI = " + ".join(f"pow(coalesce(max(c) FILTER (digit = {d}), 0) - sum(c) * {math.log10(1 + 1 / d)!r}e0, 2) / (sum(c) * {math.log10(1 + 1 / d)!r}e0)" for d in range(1, 10))
 BENFORD = f"""(SELECT *, {r("least(chi_square / 31.0, 1.0)", 4)} AS benford_score,
@@ -142,9 +146,7 @@ def cycles(spark, d):
     return graph.cycles(edges(spark, d, "graph_txns"))
 
 
-@query(f"""SELECT t.company_id, coalesce(n, 0) AS cycles, {r("least(0.7e0 * least(coalesce(a, 0e0) / CASE WHEN total > 0 THEN total ELSE 1e0 END, 1e0) + 0.3e0 * least(coalesce(n, 0) * 10 / 100e0, 1e0), 1e0)", 4)} AS cycle_score
-FROM (SELECT company_id, CAST(sum(CAST(total_amount AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM {MANY} GROUP BY 1) t
-LEFT JOIN (SELECT company_id, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS a FROM {CYCLES} GROUP BY 1) c USING (company_id)""")
+@query(_cycle_score(MANY, CYCLES))
 def cycle_score(spark, d):
     e = edges(spark, d, "graph_txns")
     return graph.cycle_score(e, graph.cycles(e))
@@ -162,49 +164,36 @@ def benford(spark, d):
     return graph.benford(frame(spark, d, "txns"))
 
 
-@query(f"""SELECT company_id, circular_score, circular_score > 0.25 AS suspicious, circular_score > 0.8 AS hard_reject FROM (
-SELECT l.company_id, {r("least(0.25e0 * layered_score + 0.1e0 * concentration, 1e0)", 4)} AS circular_score FROM {LAYERED} l JOIN {CONCENTRATION} c USING (company_id))""")
-def circular_composite(spark, d):
-    e = edges(spark, d)
-    layered = graph.layered_score(e, graph.layered_pairs(e)).select("company_id", "layered_score")
-    concentration = graph.counterparty_concentration(graph.counterparty_freq(frame(spark, d, "txns"))).select("company_id", "concentration")
-    none = spark.createDataFrame([], "company_id long, cycle_score double")
-    return graph.circular_composite(layered.select("company_id"), none, layered, none.withColumnRenamed("cycle_score", "shell_score"), concentration)
-
-
-@query(f"""WITH e AS (SELECT DISTINCT c_nationkey AS company_id, upper(c_name) || ' PVT LTD' AS entity FROM customer),
+SHELLS = """WITH e AS (SELECT DISTINCT c_nationkey AS company_id, upper(c_name) || ' PVT LTD' AS entity FROM customer),
 n AS (SELECT DISTINCT s_nationkey AS company_id, replace(s_name, 'Supplier', 'Customer') || ' traders' AS name FROM supplier),
 t AS (SELECT company_id, x AS e, unnest(list_distinct(string_split(trim(regexp_replace(regexp_replace(upper(x), '\\b(PVT|PRIVATE|LTD|LIMITED|LLP|INC|CORP)\\b\\.?', ' ', 'g'), '[^A-Z0-9]+', ' ', 'g')), ' '))) AS k
       FROM (SELECT company_id, entity AS x FROM e)),
 u AS (SELECT company_id, x AS n, unnest(list_distinct(string_split(trim(regexp_replace(regexp_replace(upper(x), '\\b(PVT|PRIVATE|LTD|LIMITED|LLP|INC|CORP)\\b\\.?', ' ', 'g'), '[^A-Z0-9]+', ' ', 'g')), ' '))) AS k
       FROM (SELECT company_id, name AS x FROM n))
 SELECT company_id, entity, min(name) AS matched FROM (SELECT t.company_id, t.e AS entity, u.n AS name FROM t JOIN u ON t.company_id = u.company_id AND t.k = u.k
-  WHERE t.k <> '' AND upper(t.e) <> upper(u.n) GROUP BY 1, 2, 3 HAVING count(*) >= 2) GROUP BY 1, 2""")
+  WHERE t.k <> '' AND upper(t.e) <> upper(u.n) GROUP BY 1, 2, 3 HAVING count(*) >= 2) GROUP BY 1, 2"""
+
+
+@query(SHELLS)
 def shell_entities(spark, d):
     own = frame(spark, d, "customer").selectExpr("c_nationkey AS company_id", "upper(c_name) || ' PVT LTD' AS entity")
     names = frame(spark, d, "supplier").selectExpr("s_nationkey AS company_id", "replace(s_name, 'Supplier', 'Customer') || ' traders' AS name")
     return graph.shell_entities(own, names)
 
 
-FRAUD = f"""(SELECT company_id, {r("CASE WHEN itc_ratio > 0.25 THEN least(b + 0.3e0, 1e0) ELSE b END * 100", 1)} AS fraud_score, circular > 0.8 OR CASE WHEN itc_ratio > 0.25 THEN least(b + 0.3e0, 1e0) ELSE b END > 0.85 AS hard_reject
-FROM (SELECT company_id, circular_trading_score AS circular, customer_concentration AS itc_ratio, least(circular_trading_score * 0.3e0 + benford_deviation_score * 0.18e0
-  + gst_bank_mismatch_score * 0.17e0 + gstr2a_3b_mismatch_score * 0.12e0 + news_sentiment_score * 0.08e0 + litigation_severity_score * 0.1e0, 1e0) AS b FROM ({F_SQL})))"""
+SHELL_SCORE = f"(SELECT company_id, {r('least(0.15e0 * count(*), 1e0)', 4)} AS shell_score FROM ({SHELLS}) GROUP BY 1)"
 
 
-def _fraud(spark, d):
-    parts = {"circular": "circular_trading_score", "benford": "benford_deviation_score", "gst": "gst_bank_mismatch_score", "gstr": "gstr2a_3b_mismatch_score", "bank": "news_sentiment_score", "audit": "litigation_severity_score", "itc_ratio": "customer_concentration"}
-    f = frame(spark, d, "features").select("company_id", *[F.col(c).alias(k) for k, c in parts.items()], F.lit(0.0).alias("layered"), F.lit(0.0).alias("shell"))
-    return graph.fraud_composite(f)
-
-
-@query(f"SELECT * FROM {FRAUD}")
-def fraud_composite(spark, d):
-    return _fraud(spark, d)
-
-
-@query(f"SELECT company_id, fraud_score, CASE WHEN fraud_score <= 20 THEN 'LOW' WHEN fraud_score <= 40 THEN 'MODERATE' WHEN fraud_score <= 70 THEN 'HIGH' ELSE 'SEVERE' END AS band, {r('100 - fraud_score', 1)} AS integrity_score FROM {FRAUD}")
-def fraud_bands(spark, d):
-    return decision.fraud_bands(_fraud(spark, d))
+@query(f"""SELECT company_id, circular_score, circular_score > 0.25 AS suspicious, circular_score > 0.8 AS hard_reject FROM (
+SELECT company_id, {r("least(0.5e0 * coalesce(cycle_score, 0e0) + 0.25e0 * layered_score + 0.15e0 * coalesce(shell_score, 0e0) + 0.1e0 * coalesce(concentration, 0e0), 1e0)", 4)} AS circular_score
+FROM {LAYERED} LEFT JOIN ({_cycle_score(EDGES, OWN_CYCLES)}) USING (company_id) LEFT JOIN {SHELL_SCORE} USING (company_id) LEFT JOIN {CONCENTRATION} USING (company_id))""")
+def circular_composite(spark, d):
+    """A company's own payments form a star about it, so its cycles have two nodes."""
+    e = edges(spark, d)
+    layered = graph.layered_score(e, graph.layered_pairs(e)).select("company_id", "layered_score")
+    own = graph.cycle_score(e, graph.cycles(e, longest=2)).select("company_id", "cycle_score")
+    concentration = graph.counterparty_concentration(graph.counterparty_freq(frame(spark, d, "txns"))).select("company_id", "concentration")
+    return graph.circular_composite(layered.select("company_id"), own, layered, graph.shell_score(shell_entities(spark, d)), concentration)
 
 
 # ---- numbers and narrations -------------------------------------------------------------
