@@ -51,8 +51,8 @@ SWOT = [
 
 
 def _rows(f: DataFrame, each: list) -> DataFrame:
-    """A row for each of the structs that is not null; they are dropped after the explode, for a filter inside it
-    would have the optimizer evaluate all tests once more, in code too long to compile."""
+    """A row for each of the structs that is not null; they are dropped after the explode, so
+    that the optimizer can test the array itself without evaluating it twice."""
     return f.select("company_id", F.explode(F.array(*each)).alias("x")).where("x IS NOT NULL").select("company_id", "x.*")
 
 
