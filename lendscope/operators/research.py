@@ -52,14 +52,18 @@ def case_severity(text: Column) -> Column:
 
 
 def cases_union(*feeds: DataFrame) -> DataFrame:
-    """feeds: company_id, ordinal, summary; in order of preference. First of each 60-character summary."""
+    """feeds: company_id, ordinal, summary; in order of preference. First of each 60-character summary.
+
+    A feed may also have text, the whole text that severity is told from in place of the summary, and
+    document, a name: cases of different documents stay apart."""
     rows = None
     for i, feed in enumerate(feeds):
-        own = feed.select("company_id", F.lit(i).alias("feed"), "ordinal", "summary")
+        text = F.coalesce("text", "summary") if "text" in feed.columns else F.col("summary")
+        document = F.col("document").cast("string") if "document" in feed.columns else F.lit(None).cast("string")
+        own = feed.select("company_id", F.lit(i).alias("feed"), "ordinal", "summary", case_severity(text).alias("severity"), document.alias("document"))
         rows = own if rows is None else rows.unionByName(own)
-    order = Window.partitionBy("company_id", F.substring("summary", 1, 60)).orderBy("feed", "ordinal")
-    kept = rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
-    return kept.withColumn("severity", case_severity(F.col("summary")))
+    order = Window.partitionBy("company_id", F.substring("summary", 1, 60), "document").orderBy("feed", "ordinal")
+    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n", "document")
 
 
 def litigation_score(cases: DataFrame) -> DataFrame:

@@ -83,3 +83,13 @@ def test_documents_and_news(spark):
     a = spark.createDataFrame([(1, 1, "u", "fraud", "x"), (2, 1, "u", "fraud", "longer"), (3, 1, "", "award", "y")], "ordinal long, company_id long, url string, title string, snippet string")
     kept = research.news_dedup_topk(research.sentiment(a)).collect()
     assert [(r["ordinal"], r["sentiment"]) for r in kept] == [(1, "NEGATIVE")]
+
+
+def test_cases_read_whole_texts_and_keep_documents_apart(spark):
+    end = "and so the matter was put on file at the registry of the court, where it waits to be heard."
+    rows = [(1, 1, end, "Insolvency of the debtor " + end, "a.pdf"), (1, 2, end, "A civil suit " + end, "b.pdf"), (1, 3, end, "A civil suit " + end, "b.pdf"), (1, 4, end, None, None)]
+    reports = spark.createDataFrame(rows, "company_id long, ordinal long, summary string, text string, document string")
+    news = reports.select("company_id", "ordinal", "summary")
+    found = research.cases_union(reports, news).orderBy("ordinal").collect()
+    assert [(r["feed"], r["ordinal"], r["severity"]) for r in found] == [(0, 1, "CRITICAL"), (0, 2, "MEDIUM"), (0, 4, "LOW")]
+    assert [(r["ordinal"], r["severity"]) for r in research.cases_union(news).collect()] == [(1, "LOW")]
