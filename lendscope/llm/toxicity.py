@@ -1,11 +1,11 @@
 """Toxicity of documents after noisy-channel deobfuscation.
 
-A word with digits or marks among its letters, a letter repeated three times or more, or
-letters spaced one by one is read as the output of a noisy channel. Its characters span a
-lattice: a look-alike stands for the letters of LOOKS, a mark may be noise or part words, a run
-of a letter may stand for one or two. Viterbi decoding under a character model of the corpus
-(letter triples of plain words) restores the likeliest letters. Other words have one path only
-and stay as they are.
+A word with digits or marks among its letters, a letter repeated, or letters spaced one by one
+is read as the output of a noisy channel. Its characters span a lattice: a look-alike stands for
+the letters of LOOKS, a mark may be noise or part words, a run of a letter may stand for one or
+two, a gap between spaced letters is nothing or parts words. Viterbi decoding under a character
+model of the corpus (letter triples of plain words) restores the likeliest letters. Other words
+have one path only and stay as they are.
 
 The score reads restored words: each word weighs as its strongest feature (the word itself or
 its first three to six letters), by a lower confidence bound of the feature's odds in toxic
@@ -45,14 +45,17 @@ LOOKS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
 #: Costs (negative log probabilities) of the channel.
-SWAP, NOISE, DIGIT_NOISE, PART, DOUBLE = 0.5, 2.0, 6.0, 5.0, 1.0
+SWAP, NOISE, DIGIT_NOISE, PART, DOUBLE, BREAK = 0.5, 2.0, 6.0, 5.0, 1.0, 2.0
+#: Cost at most of a lone letter as a word, such as a, I or u; letters of a spaced word at most; and how much more than the likeliest reading of a spaced run another may cost.
+LONE, LONGEST, NEAR = 6.0, 32, 12.0
 
 #: Letters of the character model: 0 a word's edge, 1 to 26, 27 any other letter.
 LETTERS = 28
 EDGE = ".,;:!?\"'()[]{}<>"
 DRESSED = re.compile(r"([^\w\s])\1{2,}")
-RUN = re.compile(r"([^\W\d_])\1{2,}")
-SPACED = re.compile(r"(?<!\S)(?:[^\W_][\s.\-_*]{1,2}){3,}[^\W_](?!\S)")
+RUN = re.compile(r"([^\W\d_])\1")
+SPACED = re.compile(r"(?<!\S)(?:[^\W_][\s.\-_*]{1,2}){2,}[^\W_](?!\S)")
+GAP = re.compile(r"[\s.\-_*]+")
 
 
 def kind(c: str) -> int:
@@ -134,25 +137,59 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return steps
 
 
+def follow(ways: dict, options: list[tuple[str, float]], costs: np.ndarray) -> dict:
+    """The cheapest way to each pair of last letters, one step on; ways hold a cost and a text."""
+    after: dict[tuple[int, int], tuple[float, str]] = {}
+    for (a, b), (cost, text) in ways.items():
+        for string, price in options:
+            x, y, total = a, b, cost + price
+            for c in string:
+                k = 0 if c == " " else kind(c)
+                if k == 0 and y == 0:
+                    continue
+                total += costs[x, y, k]
+                x, y = (0, 0) if k == 0 else (y, k)
+            if (x, y) not in after or total < after[x, y][0]:
+                after[x, y] = (total, text + string)
+    return after
+
+
+def ending(ways: dict, costs: np.ndarray) -> tuple[float, str]:
+    return min((cost + (costs[a, b, 0] if b else 0.0), text) for (a, b), (cost, text) in ways.items())
+
+
 def restore(word: str, costs: np.ndarray) -> str:
     """The likeliest reading of a word."""
-    ways: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    ways = {(0, 0): (0.0, "")}
     for options in lattice(word):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in ways.items():
-            for string, price in options:
-                x, y, total = a, b, cost + price
-                for c in string:
-                    k = 0 if c == " " else kind(c)
-                    if k == 0 and y == 0:
-                        continue
-                    total += costs[x, y, k]
-                    x, y = (0, 0) if k == 0 else (y, k)
-                if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, text + string)
-        ways = after
-    ended = [(cost + (costs[a, b, 0] if b else 0.0), text) for (a, b), (cost, text) in ways.items()]
-    return min(ended)[1]
+        ways = follow(ways, options, costs)
+    return ending(ways, costs)[1]
+
+
+def spaced_words(run: str, costs: np.ndarray) -> list[tuple[float, str]]:
+    """Words of the readings of a run of spaced letters, and by how much the reading exceeds the
+    likeliest one, up to NEAR. A blank between letters is nothing or parts words, two rather part
+    them. Words meet at edges only, so each of up to LONGEST letters is decoded once."""
+    letters = [lattice(c) for c in run if c != " "]
+    gaps = [len(g) for g in re.findall(" +", run)]
+    part = [0.0, *(BREAK if g == 1 else 0.0 for g in gaps)]
+    join = [0.0, *(0.0 if g == 1 else 2 * BREAK for g in gaps)]
+    n = len(letters)
+    words = []  # start, end, cost, text
+    for i in range(n):
+        ways, price = {(0, 0): (0.0, "")}, part[i]
+        for j in range(i, min(n, i + LONGEST)):
+            price += join[j] if j > i else 0.0
+            ways = follow(ways, letters[j][0], costs)
+            cost, text = ending(ways, costs)
+            words.append((i, j + 1, min(cost, LONE if i == j else cost) + price, text))
+    before, after = [0.0] + [np.inf] * n, [np.inf] * n + [0.0]
+    for i, j, cost, _ in words:
+        before[j] = min(before[j], before[i] + cost)
+    for i, j, cost, _ in reversed(words):
+        after[i] = min(after[i], cost + after[j])
+    ranked = [(before[i] + cost + after[j] - before[n], text) for i, j, cost, text in words]
+    return [(more, w) for more, text in ranked if more <= NEAR for w in text.split()]
 
 
 def readings(word: str, costs: np.ndarray) -> list[str]:
@@ -167,16 +204,27 @@ def readings(word: str, costs: np.ndarray) -> list[str]:
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct words of a text, lowered, with letters that stand one by one put together."""
+    """Distinct words of a text, lowered, with letters that stand one by one put together, and also
+    with a blank at each gap, two at a gap of two."""
     low = text.lower()
     found = set(low.split())
-    if sum(len(w.strip(EDGE)) == 1 for w in found) >= 2 or any(len(w) > 6 and not w.isalpha() for w in found):
-        found.update("".join(c for c in m.group() if c.isalnum()) for m in SPACED.finditer(low))
+    if any(len(w) > 2 and not w.isalpha() for w in found) or sum(len(w.strip(EDGE)) == 1 for w in found) >= 2:
+        for m in SPACED.finditer(low):
+            found.add("".join(c for c in m[0] if c.isalnum()))
+            found.add(GAP.sub(lambda g: " " * min(len(g[0]), 2), m[0]))
     return found
 
 
-def word_features(word: str) -> list[str]:
-    return [f"{word[:n]}*" for n in PREFIXES if len(word) >= n] + [f"={word}"]
+def word_features(word: str, prefixes: tuple[int, ...] = PREFIXES) -> list[str]:
+    return [f"{word[:n]}*" for n in prefixes if len(word) >= n] + [f"={word}"]
+
+
+def features_of(word: str, costs: np.ndarray) -> list[str]:
+    """Features of all readings of a word of words_of. In spaced letters a less likely reading has none
+    of the short beginnings, which other words have inside."""
+    if " " in word:
+        return [f for more, w in spaced_words(word, costs) for f in word_features(w, PREFIXES if more < 1e-6 else PREFIXES[2:])]
+    return [f for w in readings(word, costs) for f in word_features(w)]
 
 
 class Weights:
@@ -191,7 +239,7 @@ class Weights:
         if got is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            got = max((self.weights.get(f, 0.0) for w in readings(word, self.costs) for f in word_features(w)), default=0.0)
+            got = max((self.weights.get(f, 0.0) for f in features_of(word, self.costs)), default=0.0)
             self.known[word] = got
         return got
 
@@ -218,7 +266,7 @@ def feature_documents(docs: DataFrame, costs: np.ndarray, only: set[str] | None)
                     if got is None:
                         if len(known) >= REMEMBERED:
                             known.clear()
-                        got = [f for w in readings(word, costs) for f in word_features(w) if only is None or f in only]
+                        got = [f for f in features_of(word, costs) if only is None or f in only]
                         known[word] = got
                     own.update(got)
                 for f in own:

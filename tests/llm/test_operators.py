@@ -254,3 +254,17 @@ def test_letter_counts_equal_brute_force(spark):
             line = [0, 0, *map(toxicity.kind, w), 0]
             want.update((a * 28 + b) * 28 + c for a, b, c in zip(line, line[1:], line[2:], strict=False))
     assert got == dict(want)
+
+
+def test_toxic_words_after_other_spaced_letters_and_with_a_letter_doubled():
+    costs = np.full((28, 28, 28), 6.0)
+    for word in ("idiot", "moron", "stupid", "class", "you"):
+        line = [0, 0, *map(toxicity.kind, word), 0]
+        for a, b, c in zip(line, line[1:], line[2:], strict=False):
+            costs[a, b, c] = 0.5
+    found = lambda text: {f for w in toxicity.words_of(text) for f in toxicity.features_of(w, costs)}
+    shown = {"you are a s t u p i d person": "stupid", "I s t u p i d": "stupid", "u s t u p i d": "stupid", "what a m o r o n": "moron", "y o u  i d i o t": "idiot", "y o u i d i o t": "idiot",
+             "an a s s here": "ass", "a stuupid one": "stupid", "s t u p i d": "stupid"}
+    for text, meant in shown.items():
+        assert f"={meant}" in found(text), text
+    assert "ass*" not in found("c l a s s")
