@@ -114,9 +114,9 @@ SELECT doc_id, doc_id % 97 AS company_id, CASE doc_id % 4 WHEN 0 THEN 'annual_re
     "addresses": "SELECT c_custkey AS company_id, concat('Plot ', c_custkey % 411, ',  Road no. ', c_nationkey % 3) AS address FROM {customer}",
     "lenders": "SELECT DISTINCT doc_id % 23 AS company_id, concat('Bank ', doc_id % 7) AS lender FROM {documents}",
     "ratings": "SELECT doc_id, doc_id % 23 AS company_id, doc_id % 5 AS sector, concat(text, ' now ', CASE doc_id % 6 WHEN 0 THEN 'CRISIL A+ (AA- before)' WHEN 1 THEN 'BBB, outlook stable' WHEN 2 THEN 'ICRA B' WHEN 3 THEN 'AAA; reaffirm' ELSE 'not rated' END) AS text FROM {documents}",
-    "macro_items": "SELECT doc_id % 5 AS sector, CASE doc_id % 4 WHEN 0 THEN 'rates' WHEN 1 THEN 'growth' WHEN 2 THEN 'banking' ELSE 'global' END AS category, concat(text, ' ', CASE doc_id % 11 WHEN 0 THEN 'a rate hike on inflation' WHEN 1 THEN 'strong growth, a record' WHEN 2 THEN 'stress of banks' WHEN 3 THEN 'war and slowdown' ELSE '' END) AS text FROM {documents} WHERE doc_id % 3 > 0",
+    "macro_items": "SELECT doc_id % 5 AS sector, CASE doc_id % 4 WHEN 0 THEN 'rates' WHEN 1 THEN 'growth' WHEN 2 THEN 'banking' ELSE 'global' END AS category, concat(text, ' ', CASE doc_id % 11 WHEN 0 THEN 'a rate hike on inflation' WHEN 1 THEN 'strong growth, a record' WHEN 2 THEN 'stress of banks' WHEN 3 THEN 'war and slowdown' ELSE '' END) AS text FROM {documents}",
     "risk_parts": "SELECT company_id, litigation_severity_score AS severity_score, CAST(floor(litigation_count / 4) AS BIGINT) AS high, company_id % 9 = 0 AS disqualified, company_id % 40 AS nodes, circular_trading_score AS shell_network_score, news_sentiment_score AS news_risk, litigation_severity_score AS litigation_risk, sector_risk_score AS sector_risk, benford_deviation_score AS macro_risk, CASE company_id % 3 WHEN 0 THEN 'DETERIORATING' ELSE 'STABLE' END AS rating_trend FROM {features}",
-    "directors": "SELECT DISTINCT concat('D', l_suppkey) AS director, l_partkey % 500 AS company_id FROM {lineitem} WHERE l_quantity > 45",
+    "directors": "SELECT DISTINCT concat('D', l_suppkey) AS director, l_partkey % 500 AS company_id FROM {lineitem}",
     "reports": f"SELECT doc_id, doc_id % 97 AS company_id, concat(text, ' ', {_pick}) AS text FROM {{documents}}",
     "articles": f"SELECT doc_id AS ordinal, doc_id % 23 AS company_id, concat('u', doc_id % 700) AS url, {_pick} AS title, text AS snippet FROM {{documents}}",
 }

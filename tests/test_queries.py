@@ -1,5 +1,6 @@
 import pytest
 
+from lendscope.plans.inputs import frame
 from lendscope.plans.registry import ORACLE_SQL, QUERIES
 from tests.oracle import same
 
@@ -26,3 +27,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["company_id", "layered_score", "pairs", "severity"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_macro_items_and_directors_come_from_all_rows(spark):
+    place = "/root/testdata/sf0.001"
+    assert frame(spark, place, "macro_items").count() == frame(spark, place, "documents").count()
+    links = frame(spark, place, "lineitem").selectExpr("l_suppkey", "l_partkey % 500").distinct().count()
+    assert frame(spark, place, "directors").count() == links
