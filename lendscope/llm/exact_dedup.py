@@ -15,7 +15,7 @@ An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendscope.llm.shared import discard, shared_dir, stored
@@ -93,9 +93,12 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256").distinct()
     kept = stored(kept, f"{shared_dir(spark)}/kept")
-    tagged = docs.withColumn("kept_sha", F.sha2(normalised(F.col("text")), 256))
+    points = F.length(F.coalesce(F.col("text"), F.lit("")))
+    tagged = docs.withColumns({"kept_sha": F.sha2(normalised(F.col("text")), 256), "kept_points": points})
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("kept_sha") == F.col("text_sha256"))
-    return tagged.join(kept, same, "left_semi").select(*docs.columns)
+    stays = tagged.join(kept, same, "left_semi")
+    longest = F.row_number().over(Window.partitionBy("doc_id", "kept_sha").orderBy(F.desc("kept_points"), "text"))
+    return stays.withColumn("kept_rank", longest).where("kept_rank = 1").select(*docs.columns)
 
 
 ORACLE = r"""

@@ -268,3 +268,10 @@ def test_toxic_words_after_other_spaced_letters_and_with_a_letter_doubled():
     for text, meant in shown.items():
         assert f"={meant}" in found(text), text
     assert "ass*" not in found("c l a s s")
+
+
+def test_exact_stage_keeps_one_of_repeated_rows(spark, docs):
+    assert exact_dedup.drop_copies(docs).where("doc_id = 7").count() == 1
+    rows = [(1, "a  b"), (1, "a b"), (1, "c"), (1, "c"), (2, "c"), (None, "d"), (None, "d")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in exact_dedup.drop_copies(d).collect()) == [(0, "d"), (1, "a  b"), (1, "c")]
