@@ -1,184 +1,387 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Documents are split into the tokenizer's words. Each block of documents asks once for each of
-its distinct words; words meet by key, each distinct word of the corpus is encoded once, its
-ids are joined to the pieces of the vocabulary, which decodes it, and the answers are joined
-back by position. The vocabulary (some 50,000 pieces) has a fixed size and is read from the
-tokenizer's file in each task.
+Texts are split into the tokenizer's words, once. A block of documents is stored as its distinct
+words and the number of each word of its texts; it asks once for each distinct word. Words meet
+by key, each distinct word of the corpus is encoded once, and its ids are joined back to the
+block's word numbers, by position. Decoding joins the distinct ids of a block with the pieces of
+the vocabulary, which is of fixed size (some 50,000 pieces) and so can be broadcast, and puts the
+pieces of each text's ids together.
 
 Defined cases: null text is empty; an empty text has no ids and decodes to the empty text.
-Repeated rows and null ids give a row each. Special tokens in a text are encoded as such. An
-empty table gives no rows; other columns are ignored.
+Repeated rows and null ids give a row each. Special tokens in a text are encoded as such. An id
+that the vocabulary lacks decodes to nothing. An empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import zlib
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.llm.blocks import blocks, from_bytes, to_bytes
-from lendscope.llm.shared import TOKENIZER, tokenizer_path
+from lendscope.llm.blocks import counts_in, counts_out, numbered, planes, unplanes
+from lendscope.llm.shared import TOKENIZER, encoder, expand, shared_dir, squeeze, stored, text_bytes, tokenizer_path
 
-#: Parts of the word table per shuffle partition.
+#: Bytes of text in a block, and of packed words that one part of the word table is asked for.
+BLOCK_BYTES, PART_BYTES = 10_000_000, 4_000_000
+#: Parts of the word table per shuffle partition, at least.
 SPREAD = 2
+#: Ids in a block of decode().
+BLOCK_IDS = 2_000_000
+
+BLANK, LETTER, NUMBER, OTHER = range(4)
+
+
+@functools.cache
+def kinds() -> np.ndarray:
+    """BLANK, LETTER, NUMBER or OTHER for each code point."""
+    import regex
+
+    codes = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000)))
+    every = codes.astype("<u4").tobytes().decode("utf-32-le")
+    table = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((BLANK, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for found in regex.finditer(pattern, every):
+            table[codes[found.start() : found.end()]] = kind
+    return table
+
+
+def byte_kinds(raw: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 the kind of its character."""
+    table = kinds()
+    out = table[raw]
+    for low, high, more in ((0xC0, 0xE0, 1), (0xE0, 0xF0, 2), (0xF0, 0x100, 3)):
+        lead = np.flatnonzero((raw >= low) & (raw < high))
+        code = raw[lead].astype(np.int64) & (0x3F >> more)
+        for i in range(1, more + 1):
+            code = code << 6 | raw[lead + i] & 0x3F
+        for i in range(more + 1):
+            out[lead + i] = table[code]
+    return out
+
+
+def word_starts(raw: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Where words begin (one flag a byte) in texts that begin at the flags of edge, which has
+    one more at the end of all.
+
+    A word is a run of letters, of numbers, or of signs, with the blank (32) before it; of a run
+    of blanks before a word the last one is apart; and an apostrophe that begins a word goes with
+    the endings s, t, m, d, re, ve and ll.
+    """
+    n = len(raw)
+    kind = byte_kinds(raw)
+    run = edge[:n].copy()
+    run[1:] |= kind[1:] != kind[:-1]
+    starts = np.flatnonzero(run)
+    ends = np.append(starts[1:], n)
+    of_run = kind[starts]
+    begins = np.zeros(n + 1, bool)
+    inner = starts > 0
+    inner[inner] = ~edge[starts[inner]]
+    spaced = inner.copy()
+    spaced[inner] = raw[starts[inner] - 1] == 32
+    begins[starts[(of_run == BLANK) | ~spaced]] = True
+    last = ends[(of_run == BLANK) & ~edge[ends]] - 1
+    for _ in range(3):
+        last -= (raw[last] & 0xC0) == 0x80
+    begins[last] = True
+    at = np.flatnonzero((of_run == LETTER) & inner)
+    at = at[(ends[at - 1] - starts[at - 1] == 1) & (raw[starts[at] - 1] == 39) & ~spaced[at - 1]]
+    first, end = starts[at], ends[at]
+    one, two = raw[first], np.where(end - first > 1, raw[np.minimum(first + 1, n - 1)], 0)
+    size = np.isin(one, [*b"stmd"]) + 2 * (np.isin(one, [*b"rv"]) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+    first, size, end = first[size > 0], size[size > 0], end[size > 0]
+    begins[first] = False
+    begins[(first + size)[first + size < end]] = True
+    return begins[:n]
+
+
+def split(raw: np.ndarray, off: np.ndarray, marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin in texts (bytes and offsets), and how many words each text has; marks
+    are special tokens."""
+    import re
+
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[off] = True
+    edge[-1] = True
+    inside = []
+    if marks:
+        for found in re.finditer(b"|".join(map(re.escape, marks)), raw.tobytes()):
+            a, b = found.span()
+            if not edge[a + 1 : b].any():
+                inside.append((a, b))
+    for a, b in inside:
+        edge[[a, b]] = True
+    begins = word_starts(raw, edge)
+    for a, b in inside:
+        begins[a], begins[a + 1 : b] = True, False
+    starts = np.flatnonzero(begins)
+    return starts, np.diff(np.searchsorted(starts, off))
+
+
+def packed_words(words) -> list[bytes]:
+    """A binary array as packed lengths and bytes."""
+    raw, off = text_bytes(words)
+    return [counts_in(np.diff(off)), squeeze(raw.tobytes())]
+
+
+def unpacked_words(payload: list[bytes]):
+    import pyarrow as pa
 
+    off = np.zeros(1, np.int64)
+    off = np.append(off, np.cumsum(counts_out(payload[0])))
+    return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(expand(payload[1]))])
 
-class Words:
-    """Splits texts into words, encodes words and decodes ids, all as the tokenizer does."""
 
-    def __init__(self, name: str):
-        import os
+def keys_of(words) -> np.ndarray:
+    """The key of each word of a binary array, from 0 to 2**32 - 1."""
+    return np.fromiter((zlib.crc32(w) for w in words.to_pylist()), np.int64, len(words))
+
+
+def special_tokens(name: str) -> list[bytes]:
+    return sorted((t.encode() for t in encoder(name).special_tokens_set), key=len, reverse=True)
+
+
+BLOCK = "block long, word_bytes long, words array<binary>, times binary, numbers binary, sizes binary, doc_id array<long>"
+
+
+def word_blocks(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Blocks of docs (doc_id, text): distinct words in the order of their keys, how often each
+    occurs, the number of each word (by falling frequency), and how many words a text has."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        marks = special_tokens(tokenizer)
+        for number, table in numbered(batches, most=BLOCK_BYTES):
+            raw, off = text_bytes(table["text"])
+            starts, sizes = split(raw, off, marks)
+            ends = np.append(starts, len(raw))
+            words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
+            known, number_of = words.dictionary, words.indices.to_numpy()
+            by_key = np.argsort(keys_of(known), kind="stable")
+            times = np.bincount(number_of, minlength=len(known))
+            place = np.empty(len(known), np.int64)  # of each word by falling frequency, then key
+            place[by_key[np.argsort(-times[by_key], kind="stable")]] = np.arange(len(known))
+            words = packed_words(known.take(pa.array(by_key)))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([number], pa.int64()),
+                    "word_bytes": pa.array([sum(map(len, words))], pa.int64()),
+                    "words": pa.array([words], pa.list_(pa.binary())),
+                    "times": pa.array([counts_in(times[by_key])], pa.binary()),
+                    "numbers": pa.array([planes(place[number_of].astype(np.uint32))], pa.binary()),
+                    "sizes": pa.array([counts_in(sizes)], pa.binary()),
+                    "doc_id": pa.array([table["doc_id"].to_pylist()], pa.list_(pa.int64())),
+                }
+            )
+
+    return docs.mapInArrow(run, BLOCK)
+
+
+ASKED, ANSWERED = "part int, block long, words array<binary>", "block long, part int, ids array<binary>, used array<int>"
+
+
+def ask(parts: int):
+    """The words of each block by part; parts follow the order of keys."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = unpacked_words(row["words"])
+                part = keys_of(words) * parts >> 32
+                cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "part": pa.array([int(part[a])], pa.int32()),
+                            "block": pa.array([row["block"]], pa.int64()),
+                            "words": pa.array([packed_words(words.slice(a, b - a))], pa.list_(pa.binary())),
+                        }
+                    )
+
+    return run
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
-        self.marks = special
-        self.words = regex.compile(public_tokenizers.PATTERN)
-
-    def split(self, text: str) -> list[str]:
-        if not any(mark in text for mark in self.marks):
-            return self.words.findall(text)
-        parts = self.special.split(text)
-        return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.words.findall(part))]
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def pieces(self):
-        """Bytes of each id's piece, by id."""
+def encode_words(words: list[bytes], name: str) -> list[list[int]]:
+    """The ids of each word."""
+    tool = encoder(name)
+    special = {t.encode(): tool.encode_single_token(t) for t in tool.special_tokens_set}
+    return [[special[w]] if w in special else tool.encode_ordinary(w.decode()) for w in words]
+
+
+def gathered_ids(size: np.ndarray, ids: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and ids of words picked by number, out of all words' sizes and ids."""
+    start = np.cumsum(size) - size
+    own = size[which]
+    inner = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+    return own, ids[np.repeat(start[which], own) + inner]
+
+
+def answer(tokenizer: str):
+    """Encodes the distinct words of a part, and gives each block the ids of its own."""
+
+    def run(group):
         import pyarrow as pa
 
+        asked = [unpacked_words(p) for p in group["words"].to_pylist()]
+        every = pa.concat_arrays(asked).dictionary_encode()
+        found = encode_words(every.dictionary.to_pylist(), tokenizer)
+        size = np.array([len(x) for x in found], np.int64)
+        ids = np.array([i for x in found for i in x], np.uint32)
+        which, at, packed, used = every.indices.to_numpy(), 0, [], []
+        for words in asked:
+            own, some = gathered_ids(size, ids, which[at : at + len(words)])
+            packed.append([counts_in(own), planes(some)])
+            used.append(np.unique(some).astype(np.int32))
+            at += len(words)
+        return pa.table({"block": group["block"], "part": group["part"], "ids": pa.array(packed, pa.list_(pa.binary())), "used": pa.array(used, pa.list_(pa.int32()))})
+
+    return run
+
+
+def piece_table(spark: SparkSession, tokenizer: str = TOKENIZER) -> DataFrame:
+    """id, piece (bytes) of the vocabulary, read from its file by one task."""
+
+    def run(batches):
+        import pyarrow as pa
+        from tokenizers import Tokenizer
+
+        tool = Tokenizer.from_file(tokenizer_path(tokenizer))
+        marks = {t.content for t in tool.get_added_tokens_decoder().values()}
         # Printable Latin-1 characters stand for their own byte, the others count up from 256.
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         rest = [b for b in range(256) if b not in set(own)]
         byte_of = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        shown = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        return pa.array([s.encode() if s in self.marks else bytes(byte_of[c] for c in s) for s in shown], pa.binary())
+        shown = [tool.id_to_token(i) or "" for i in range(tool.get_vocab_size(with_added_tokens=True))]
+        pieces = [s.encode() if s in marks else bytes(byte_of[c] for c in s) for s in shown]
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"id": pa.array(range(len(pieces)), pa.int32()), "piece": pa.array(pieces, pa.binary())})
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, "id int, piece binary")
+
 
+def pieces_of(used: DataFrame, tokenizer: str) -> DataFrame:
+    """block, pieces (id and bytes of each of its distinct ids), of used (block, used): ids joined
+    with the piece table."""
+    ids = used.select(F.col("block").alias("block"), "used").groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("used"))).alias("ids"))
+    joined = ids.select("block", F.explode("ids").alias("id")).join(F.broadcast(piece_table(used.sparkSession, tokenizer)), "id", "left")
+    return joined.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
+
+
+def texts_from(ids: np.ndarray, ends: np.ndarray, pieces):
+    """The texts that runs of ids, which end where ends (0 first) says, decode to; pieces: an Arrow
+    array of id and piece."""
+    import pyarrow as pa
 
-@functools.lru_cache(maxsize=2)
-def tool_for(name: str) -> tuple[Words, object]:
-    """The tokenizer and its pieces, read once in each worker process."""
-    tool = Words(name)
-    return tool, tool.pieces()
+    known = pieces.field(0).to_numpy()
+    place = np.zeros(int(known.max(initial=-1)) + 1, np.int64)
+    place[known] = np.arange(len(known))
+    raw, off = text_bytes(pieces.field(1).take(pa.array(place[ids])))
+    data, bounds = raw.tobytes(), off[ends]
+    try:
+        data.decode()
+        return pa.array([data[a:b].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.large_string())
+    except UnicodeDecodeError:  # ids that are no whole characters
+        return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.large_string())
 
 
-def _asked(words: set[str], parts: int) -> dict[int, list[str]]:
-    """Distinct words by part, sorted."""
-    by_part: dict[int, list[str]] = {}
-    for w in words:
-        by_part.setdefault(zlib.crc32(w.encode()) % parts, []).append(w)
-    return {part: sorted(found) for part, found in by_part.items()}
+CODED = "row long, doc_id long, ids array<int>, text string"
 
 
-def encode_words(words: list[str], tool: Words, pieces) -> tuple[list[str], list[bytes | None]]:
-    """For each word its ids as text, and the bytes they decode to where these aren't the word's."""
-    import numpy as np
+def _coded(block: int, doc_ids: list, ids: np.ndarray, ends: np.ndarray, pieces):
     import pyarrow as pa
 
-    ids = tool.encode(words)
-    flat = np.fromiter((i for x in ids for i in x), np.int32)
-    joined = pieces.take(pa.array(flat)).to_pylist()
-    shown, decoded, at = [], [], 0
-    for word, own in zip(words, ids, strict=True):
-        back = b"".join(joined[at : at + len(own)])
-        at += len(own)
-        shown.append(",".join(map(str, own)))
-        decoded.append(None if back == word.encode() else back)
-    return shown, decoded
+    return pa.table(
+        {
+            "row": pa.array((block << 24) + np.arange(len(ends) - 1)),
+            "doc_id": pa.array(doc_ids, pa.int64()),
+            "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))),
+            "text": texts_from(ids, ends, pieces).cast(pa.string()),
+        }
+    )
 
 
-def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+def restore(rows, answers):
+    """Ids and decoded texts of a block, from its word numbers, the ids of its words and their pieces."""
+    import pyarrow as pa
 
-    def ask(batches):
+    of_part = sorted((p, x) for p, x in zip(answers["part"].to_pylist(), answers["ids"].to_pylist(), strict=True) if x is not None)
+    pieces = [x.values for x in answers["pieces"] if x.is_valid]
+    row = rows.to_pylist()[0]
+    times, sizes = counts_out(row["times"]), counts_out(row["sizes"])
+    size = np.concatenate([np.zeros(0, np.int64), *(counts_out(x[0]) for _, x in of_part)])
+    ids = np.concatenate([np.zeros(0, np.uint32), *(unplanes(x[1], np.uint32) for _, x in of_part)])
+    by_times = np.argsort(-times, kind="stable")
+    own, found = gathered_ids(size, ids, by_times[unplanes(row["numbers"], np.uint32)])
+    ends = np.append(0, np.cumsum(own))[np.append(0, np.cumsum(sizes))]
+    none = pa.array([], pa.struct([("id", pa.int32()), ("piece", pa.binary())]))
+    return _coded(row["block"], row["doc_id"], found, ends, pieces[0] if pieces else none)
+
+
+def code_documents(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """CODED of each row of docs (doc_id, text): a number of its own, its ids, and the text that
+    they decode to."""
+    spark = docs.sparkSession
+    place = shared_dir(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    blocks = stored(word_blocks(texts, tokenizer), f"{place}/blocks")
+    size = blocks.agg(F.sum("word_bytes")).first()[0] or 0
+    parts = max(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    asked = blocks.select("block", "words").mapInArrow(ask(parts), ASKED)
+    answers = stored(asked.groupBy("part").applyInArrow(answer(tokenizer), ANSWERED), f"{place}/answers")
+    sides = answers.select("block", "part", "ids").unionByName(pieces_of(answers.select("block", "used"), tokenizer), allowMissingColumns=True)
+    rows = blocks.select("block", "times", "numbers", "sizes", "doc_id")
+    return rows.groupBy("block").cogroup(sides.groupBy("block")).applyInArrow(restore, CODED)
+
+
+def decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """CODED of each row of encoded (doc_id, ids)."""
+
+    def pack(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        tool, _ = tool_for(tokenizer)
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for row in batch.to_pylist():
-                found: set[str] = set()
-                for text in from_bytes(row["payload"])["text"]:
-                    found.update(tool.split(text.as_py()))
-                for part, words in _asked(found, parts).items():
-                    data = to_bytes(pa.table({"word": pa.array(words, pa.large_string())}))
-                    yield pa.RecordBatch.from_pydict(
-                        {"part": pa.array([part], pa.int32()), "block": pa.array([row["block"]], pa.int64()), "payload": pa.array([data], pa.binary())}
-                    )
-
-    def answer(group):
+            start = 0
+            sizes = np.array([len(x or ()) for x in batch.column(1).to_pylist()], np.int64)
+            while start < len(sizes):
+                stop = max(start + 1, int(np.searchsorted(np.cumsum(sizes[start:]), BLOCK_IDS)) + start)
+                ids = batch.column(1).slice(start, stop - start).flatten().to_numpy()
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "block": pa.array([block], pa.int64()),
+                        "doc_id": pa.array([batch.column(0).slice(start, stop - start).to_pylist()], pa.list_(pa.int64())),
+                        "sizes": pa.array([counts_in(sizes[start:stop])], pa.binary()),
+                        "ids": pa.array([planes(ids.astype(np.uint32))], pa.binary()),
+                        "used": pa.array([np.unique(ids)], pa.list_(pa.int32())),
+                    }
+                )
+                block, start = block + 1, stop
+
+    def unpack(rows, pieces):
         import pyarrow as pa
 
-        tool, pieces = tool_for(tokenizer)
-        asked = [(b, from_bytes(p)["word"].to_pylist()) for b, p in zip(group["block"].to_pylist(), group["payload"].to_pylist(), strict=True)]
-        distinct = sorted({w for _, words in asked for w in words})
-        known = {}
-        for i in range(0, len(distinct), 20_000):
-            some = distinct[i : i + 20_000]
-            known.update(zip(some, zip(*encode_words(some, tool, pieces), strict=True), strict=True))
-        part = group["part"][0].as_py()
-        out = {"block": [], "part": [], "payload": []}
-        for block, words in asked:
-            shown, decoded = zip(*(known[w] for w in words), strict=True)
-            mark = zlib.crc32("\0".join(words).encode())
-            table = pa.table({"ids": pa.array(shown, pa.large_string()), "decoded": pa.array(decoded, pa.large_binary())})
-            out["block"].append(block)
-            out["part"].append(part)
-            out["payload"].append(mark.to_bytes(4, "little") + to_bytes(table))
-        return pa.table({"block": pa.array(out["block"], pa.int64()), "part": pa.array(out["part"], pa.int32()), "payload": pa.array(out["payload"], pa.binary())})
-
-    def restore(rows, answers):
-        import pyarrow as pa
+        row = rows.to_pylist()[0]
+        none = pa.array([], pa.struct([("id", pa.int32()), ("piece", pa.binary())]))
+        got = pieces["pieces"][0].values if len(pieces) else none
+        return _coded(row["block"], row["doc_id"], unplanes(row["ids"], np.uint32), np.append(0, np.cumsum(counts_out(row["sizes"]))), got)
+
+    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
+    blocks = stored(rows.mapInArrow(pack, "block long, doc_id array<long>, sizes binary, ids binary, used array<int>"), f"{shared_dir(encoded.sparkSession)}/ids")
+    return blocks.drop("used").groupBy("block").cogroup(pieces_of(blocks.select("block", "used"), tokenizer).groupBy("block")).applyInArrow(unpack, CODED)
+
 
-        tool, _ = tool_for(tokenizer)
-        got = dict(zip(answers["part"].to_pylist(), answers["payload"].to_pylist(), strict=True))
-        columns = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for payload in rows["payload"].to_pylist():
-            table = from_bytes(payload)
-            found: set[str] = set()
-            for text in table["text"]:
-                found.update(tool.split(text.as_py()))
-            ids: dict[str, str] = {}
-            odd: dict[str, bytes] = {}
-            for part, words in _asked(found, parts).items():
-                data = got.get(part, b"")
-                if data[:4] != zlib.crc32("\0".join(words).encode()).to_bytes(4, "little"):
-                    raise ValueError("a block differs from the one whose words were encoded: the input is not repeatable")
-                answered = from_bytes(data[4:])
-                ids.update(zip(words, answered["ids"].to_pylist(), strict=True))
-                if answered["decoded"].null_count < len(words):
-                    odd.update((w, d) for w, d in zip(words, answered["decoded"].to_pylist(), strict=True) if d is not None)
-            for doc, text in zip(table["doc_id"].to_pylist(), table["text"], strict=True):
-                words = tool.split(text.as_py())
-                line = ",".join(map(ids.__getitem__, words))
-                if odd:
-                    back = b"".join(odd.get(w) or w.encode() for w in words).decode("utf-8", "replace")
-                else:
-                    back = "".join(words)
-                columns["doc_id"].append(doc)
-                columns["n_tokens"].append(line.count(",") + 1 if line else 0)
-                columns["ids_sha256"].append(hashlib.sha256(line.encode()).hexdigest())
-                columns["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(columns.items(), kinds, strict=True)})
-
-    asked = packed.mapInArrow(ask, "part int, block long, payload binary")
-    answers = asked.groupBy("part").applyInArrow(answer, "block long, part int, payload binary")
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        restore, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+def digests(decoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of CODED rows."""
+    line = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(line, 256).alias("ids_sha256"), F.sha2(F.col("text"), 256).alias("decoded_sha256")
     )

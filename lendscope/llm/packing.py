@@ -14,7 +14,6 @@ differ between partitions and blocks, and are the same when a task is repeated.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections import deque
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.llm.blocks import numbered
-from lendscope.llm.shared import TOKENIZER, tokenizer_path
+from lendscope.llm.shared import TOKENIZER, encoder
 
 WINDOW = 1024
 #: Penalties of cuts inside a document, in tokens of padding.
@@ -37,23 +36,6 @@ END_ID = 0
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(name: str):
-    """The tokenizer's merges as tiktoken ranks: the same ids, several times faster."""
-    import base64
-    import os
-
-    import public_tokenizers
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    place = tokenizer_path(name)
-    added = Tokenizer.from_file(place).get_added_tokens_decoder()
-    with open(os.path.splitext(place)[0] + ".tiktoken", "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t.content: i for i, t in added.items()})
-
-
 def sentence_ends(tool) -> np.ndarray:
     """For each id, whether its piece ends a sentence."""
     ends = np.zeros(tool.n_vocab, bool)

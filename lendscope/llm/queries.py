@@ -33,7 +33,7 @@ def op6_toxicity(spark, sf_dir):
 
 
 def op7_bpe(spark, sf_dir):
-    return bpe_words.encode_documents(load(spark, sf_dir, "documents"))
+    return bpe_words.digests(bpe_words.code_documents(load(spark, sf_dir, "documents")))
 
 
 def op8_secret_scan(spark, sf_dir):

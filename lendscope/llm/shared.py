@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -19,6 +20,23 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(name: str):
+    """The tokenizer's merges as tiktoken ranks: the same ids, several times faster."""
+    import base64
+    import os
+
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    place = tokenizer_path(name)
+    added = Tokenizer.from_file(place).get_added_tokens_decoder()
+    with open(os.path.splitext(place)[0] + ".tiktoken", "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t.content: i for i, t in added.items()})
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -64,12 +82,13 @@ LOWER[65:91] += 32
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts of an Arrow string column, and the n+1 offsets; null is empty."""
+    """Bytes of all texts of an Arrow string or binary column, and the n+1 offsets; null is empty."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    wide = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
+    column = pc.fill_null(column.cast(wide), b"" if wide == pa.large_binary() else "")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()

@@ -43,7 +43,7 @@ def labels(spark):
 def all_operators(docs, labels):
     return {
         "mix": language_mix.language_mix(docs), "quality": quality_rank.quality(docs, labels), "packing": packing.pack_documents(docs), "katz": katz.score_documents(docs),
-        "toxicity": toxicity.toxicity(docs, labels), "bpe": bpe_words.encode_documents(docs), "secrets": secret_scan.report(secret_scan.secret_scan(docs)),
+        "toxicity": toxicity.toxicity(docs, labels), "bpe": bpe_words.digests(bpe_words.code_documents(docs)), "secrets": secret_scan.report(secret_scan.secret_scan(docs)),
         "near": jaccard_join.near_documents(docs), "exact": exact_dedup.exact_dedup(docs),
     }
 
@@ -99,7 +99,9 @@ def test_bpe_and_packing_round_trip(docs):
 
     tool = Tokenizer.from_file(shared.tokenizer_path())
     ids = {i: tool.encode(t or "", add_special_tokens=False).ids for i, t in TEXTS}
-    for r in bpe_words.encode_documents(docs).collect():
+    decoded = bpe_words.code_documents(docs)
+    assert all(r["ids"] == ids[r["doc_id"]] and r["text"] == (dict(TEXTS)[r["doc_id"]] or "") for r in decoded.collect())
+    for r in bpe_words.digests(decoded).collect():
         own = ids[r["doc_id"]]
         assert r["n_tokens"] == len(own)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, own)).encode()).hexdigest()
@@ -275,3 +277,41 @@ def test_exact_stage_keeps_one_of_repeated_rows(spark, docs):
     rows = [(1, "a  b"), (1, "a b"), (1, "c"), (1, "c"), (2, "c"), (None, "d"), (None, "d")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in exact_dedup.drop_copies(d).collect()) == [(0, "d"), (1, "a  b"), (1, "c")]
+
+
+def test_word_splitter_equals_the_pattern():
+    import public_tokenizers
+    import pyarrow as pa
+    import regex
+
+    parts = ["'", "s", "t", "re", "ve", "m", "ll", "d", " ", "  ", "\n", "\t", "a", "B", "é", "1", "٣", "²", "!", "…", "\u3000", "漢", "😀", "\x1c", "\x85", " '", "'s"]
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 15)))) for _ in range(20_000)]
+    raw, off = shared.text_bytes(pa.array(texts))
+    starts, sizes = bpe_words.split(raw, off, [])
+    ends, data, at = np.append(starts, len(raw)).tolist(), raw.tobytes(), 0
+    for text, n in zip(texts, sizes.tolist(), strict=True):
+        words = [data[a:b].decode() for a, b in zip(ends[at : at + n], ends[at + 1 : at + n + 1], strict=True)]
+        assert words == regex.findall(public_tokenizers.PATTERN, text)
+        at += n
+
+
+def test_bpe_across_blocks(spark, monkeypatch):
+    """Blocks of 10 kB, parts of few words, a text longer than a block."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe_words, "BLOCK_BYTES", 10_000)
+    monkeypatch.setattr(bpe_words, "PART_BYTES", 2_000)
+    monkeypatch.setattr(bpe_words, "BLOCK_IDS", 5_000)
+    tool = Tokenizer.from_file(shared.tokenizer_path())
+    rows = [(i, prose(300 * (i % 7), i) + " wörd%d" % i) for i in range(60)] + [(60, prose(20_000, 60)), (60, ""), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    coded = bpe_words.code_documents(d)
+    found = coded.collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in bpe_words.decode(coded.select("doc_id", "ids")).collect()) == sorted((r["doc_id"] or -1, r["text"]) for r in found)
+    ids = lambda t: tool.encode(t or "", add_special_tokens=False).ids
+    key = lambda i, t, x: (i or -1, t or "", x)
+    assert sorted(key(r["doc_id"], r["text"], r["ids"]) for r in found) == sorted(key(i, t, ids(t)) for i, t in rows)
+    assert len({r["row"] for r in found}) == len(rows)
+    odd = spark.createDataFrame([(1, [50_000_000, 72, 105]), (2, []), (3, None), (4, tool.encode("é").ids[:1])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in bpe_words.decode(odd).collect()} == {1: tool.decode([72, 105]), 2: "", 3: "", 4: "é" if len(tool.encode("é").ids) == 1 else "\ufffd"}
