@@ -18,35 +18,38 @@ from lendscope.llm.shared import expand, squeeze
 
 #: Bytes of text after which a block ends; a longer document is a block of its own.
 BLOCK_BYTES = 12_000_000
+#: Rows after which it ends, however short they are.
+BLOCK_ROWS = 50_000
 
 BLOCK_SCHEMA = "block long, payload binary"
 
 
-def _pieces(batch, column: str, most: int):
-    """Slices of a record batch, each with at most that many bytes of text or one row."""
+def _pieces(batch, column: str, most: int, rows: int):
+    """Slices of a record batch, each with at most that many bytes of text and rows, or one row."""
     from lendscope.llm.shared import text_bytes
 
     _, off = text_bytes(batch.column(batch.schema.get_field_index(column)))
     start = 0
     while start < batch.num_rows:
         stop = int(np.searchsorted(off, off[start] + most, side="right")) - 1
-        stop = min(max(stop, start + 1), batch.num_rows)
+        stop = min(max(stop, start + 1), start + rows, batch.num_rows)
         yield batch.slice(start, stop - start), int(off[stop] - off[start])
         start = stop
 
 
-def gathered(batches: Iterator, column: str = "text", most: int = BLOCK_BYTES) -> Iterator:
-    """Arrow tables of neighbouring rows, each of bounded size."""
+def gathered(batches: Iterator, column: str = "text", most: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator:
+    """Arrow tables of neighbouring rows, each of bounded bytes of text and rows."""
     import pyarrow as pa
 
-    waiting, size = [], 0
+    waiting, size, held = [], 0, 0
     for batch in batches:
-        for piece, n in _pieces(batch, column, most):
-            if waiting and size + n > most:
+        for piece, n in _pieces(batch, column, most, rows):
+            if waiting and (size + n > most or held + piece.num_rows > rows):
                 yield pa.Table.from_batches(waiting)
-                waiting, size = [], 0
+                waiting, size, held = [], 0, 0
             waiting.append(piece)
             size += n
+            held += piece.num_rows
     if waiting:
         yield pa.Table.from_batches(waiting)
 

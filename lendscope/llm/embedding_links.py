@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.linkage import candidate_edges, components, exact_links, sized
+from lendscope.llm.linkage import candidate_edges, components, exact_links, sized, tiles_for
 from lendscope.llm.shared import mix64, shared_dir, stored
 
 SEED = 20231
@@ -110,9 +110,10 @@ def embedding_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     tagged = stored(hashed(good.select("id", "label", "vector"), bits, tables), f"{place}/hashed")
     keyed = tagged.select("id", F.explode("buckets").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keyed.join(shared, "bucket").join(tagged.select("id", "sketch"), "id")
+    members = keyed.join(shared, "bucket").withColumn("tiles", tiles_for(F.col("n"))).join(tagged.select("id", "sketch"), "id")
     found = components(candidate_edges(members, near_signs(most)), f"{place}/candidates")
-    joined = sized(found).join(good.select("id", "vector"), "id").withColumn("weight", F.lit(1).cast("long"))
+    vectors = good.select("id", "vector", (8 * F.size("vector")).alias("bytes"))
+    joined = sized(found.join(vectors, "id"), "bytes").withColumn("weight", F.lit(1).cast("long"))
     links = stored(exact_links(joined, near_cosine(least)), f"{place}/links")
     real = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), f"{place}/components")
     named = real.join(rows.select("id", "vec_id"), "id")

@@ -15,14 +15,15 @@ An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.shared import discard, shared_dir, stored
+from lendscope.llm.shared import kept_rows, shared_dir, stored
 
 BLANKS = r"[\x20\x09-\x0D]+"
-#: A chunk ends after a vowel, a dental and a rarer consonant, once it has 128 characters.
-CHUNK = r"(?s).{128,4096}?[aeiou][nrst][bdfghklmpvwz]|(?s).{1,4096}"
+#: Once it has 128 characters, a chunk ends after a vowel, a dental and a rarer consonant, or, for other
+#: scripts, after a character beyond ASCII and a punctuation mark, or two combining marks apart.
+CHUNK = r"(?s).{128,4096}?(?:[aeiou][nrst][bdfghklmpvwz]|[^\x00-\x7F]\p{P}|\p{M}\P{M}\p{M})|(?s).{1,4096}"
 
 #: Identifiers of growing width; the first that verification accepts is used.
 IDENTIFIERS = {
@@ -56,49 +57,46 @@ def verified_identifier(docs: DataFrame) -> str:
 
 
 def recipes(docs: DataFrame, identifier: str) -> DataFrame:
-    """doc_id, points (code points of the original text), text_sha256, recipe."""
+    """doc_id, points (code points of the original text), raw_sha256, text_sha256, recipe."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("points"),
+        F.length(text).cast("long").alias("points"),
+        F.sha2(text, 256).alias("raw_sha256"),
         normalised(F.col("text")).alias("plain"),
     )
     to_id = (lambda c: F.xxhash64(c)) if identifier == "xxhash64" else IDENTIFIERS[identifier]
     return plain.select(
-        "doc_id", "points", F.sha2("plain", 256).alias("text_sha256"), F.transform(chunks(F.col("plain")), to_id).alias("recipe")
+        "doc_id", "points", "raw_sha256", F.sha2("plain", 256).alias("text_sha256"), F.transform(chunks(F.col("plain")), to_id).alias("recipe")
     )
 
 
-def exact_dedup(docs: DataFrame, name: str | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
+def grouped(docs: DataFrame, name: str | None = None) -> DataFrame:
+    """recipes()'s columns for each row of docs (doc_id, text), with best (of its group the row that
+    stays) and group_size."""
     docs = docs.select("doc_id", "text")
-    place = shared_dir(spark)
+    place = shared_dir(docs.sparkSession)
     rows = stored(recipes(docs, name or verified_identifier(docs)), f"{place}/recipes")
-    groups = rows.groupBy("recipe").agg(
-        F.max(F.struct("points", (-F.col("doc_id")).alias("behind"))).alias("best"), F.count(F.lit(1)).alias("group_size")
-    )
-    groups = stored(groups, f"{place}/groups")
-    best_id = -F.col("best.behind")
-    return rows.join(groups, "recipe").select(
+    first = F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw_sha256")
+    groups = rows.groupBy("recipe").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return rows.join(stored(groups, f"{place}/groups"), "recipe")
+
+
+def exact_dedup(docs: DataFrame, name: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs (doc_id, text)."""
+    return grouped(docs, name).select(
         "doc_id",
-        best_id.alias("keep_id"),
+        F.col("best.doc_id").alias("keep_id"),
         "group_size",
-        (F.col("doc_id").eqNullSafe(best_id) & (F.col("points") == F.col("best.points"))).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (-F.col("points") == F.col("best.less"))).alias("kept"),
         "text_sha256",
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their own columns; of repeated rows of one document one."""
-    spark = docs.sparkSession
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256").distinct()
-    kept = stored(kept, f"{shared_dir(spark)}/kept")
-    points = F.length(F.coalesce(F.col("text"), F.lit("")))
-    tagged = docs.withColumns({"kept_sha": F.sha2(normalised(F.col("text")), 256), "kept_points": points})
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("kept_sha") == F.col("text_sha256"))
-    stays = tagged.join(kept, same, "left_semi")
-    longest = F.row_number().over(Window.partitionBy("doc_id", "kept_sha").orderBy(F.desc("kept_points"), "text"))
-    return stays.withColumn("kept_rank", longest).where("kept_rank = 1").select(*docs.columns)
+    """The rows of docs that stay, with their own columns; of equal rows of one document one."""
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("raw_sha256") == F.col("best.raw_sha256"))
+    return kept_rows(docs, grouped(docs).select("doc_id", "raw_sha256", stays.alias("stays"), F.lit(True).alias("once")))
 
 
 ORACLE = r"""

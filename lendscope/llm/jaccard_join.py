@@ -7,7 +7,7 @@ so two sets of similarity 0.8 share one path a level on average. Nodes that shar
 bucket; buckets of up to BRUTE nodes are compared by brute force, larger ones are split again,
 DEPTH levels at most, and what is still large is compared in tiles. Runs are repeated until a
 pair at the threshold is found with RECALL even at the last level. Pairs are checked exactly on
-whole shingle sets (64-bit shingle hashes).
+whole shingle sets (64-bit shingle hashes); a second hash verifies the ids of sets.
 
 Result: for each document its class (the least doc_id it is connected with by links of
 similarity 0.8 or more) and how many other documents are linked with it.
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.llm.blocks import gathered
-from lendscope.llm.linkage import candidate_edges, components, exact_links, sized
-from lendscope.llm.shared import MIX2, MULT, mix64, shared_dir, stored, text_bytes, word_hashes
+from lendscope.llm.linkage import candidate_edges, components, exact_links, sized, tiles_for
+from lendscope.llm.shared import MIX1, MIX2, MULT, kept_rows, mix64, shared_dir, stored, text_bytes, word_hashes
 
 WORDS, LEAST = 5, 0.8
 COORDINATES = 64
@@ -93,10 +93,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return mix64(out)
 
 
-def set_ids(sets: list[np.ndarray]) -> np.ndarray:
-    """64-bit identifiers of sets."""
+def set_ids(sets: list[np.ndarray], salt: int = 0) -> np.ndarray:
+    """64-bit identifiers of sets; another salt gives independent ones."""
     with np.errstate(over="ignore"):
-        sums = np.array([mix64(s).sum(dtype=np.uint64) if len(s) else np.uint64(0) for s in sets], np.uint64)
+        add = np.uint64(salt) * MIX1
+        sums = np.array([mix64(s + add).sum(dtype=np.uint64) if len(s) else np.uint64(0) for s in sets], np.uint64)
         return mix64(sums + np.array([len(s) for s in sets], np.uint64) * MIX2).view(np.int64)
 
 
@@ -106,8 +107,9 @@ def _tables(batches):
         yield table, *text_bytes(table["text"])
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, id (of its set), size (0: no words), paths of the first level, sketch."""
+def described(docs: DataFrame, salt: int = 0) -> DataFrame:
+    """doc_id, raw_sha256, id (of its set), check (another id of it), size (0: no words), paths of the
+    first level, sketch."""
     paths = root_paths()
 
     def run(batches):
@@ -129,14 +131,16 @@ def described(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": table["doc_id"].combine_chunks().cast(pa.int64()),
-                    "id": pa.array(set_ids(sets)),
+                    "raw_sha256": table["raw_sha256"].combine_chunks(),
+                    "id": pa.array(set_ids(sets, salt)),
+                    "check": pa.array(set_ids(sets, salt + 1)),
                     "size": pa.array([len(s) for s in sets], pa.int64()),
                     "paths": pa.array([k.tolist() for k in keys], pa.list_(pa.int64())),
                     "sketch": pa.array(sketch, pa.binary()),
                 }
             )
 
-    return docs.mapInArrow(run, "doc_id long, id long, size long, paths array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, raw_sha256 string, id long, check long, size long, paths array<long>, sketch binary")
 
 
 def longer(members: DataFrame) -> DataFrame:
@@ -193,7 +197,7 @@ def alike(least: float):
     return similar
 
 
-def with_shingles(docs: DataFrame) -> DataFrame:
+def with_shingles(docs: DataFrame, salt: int = 0) -> DataFrame:
     """id, shingles (sorted 64-bit hashes) of docs."""
 
     def run(batches):
@@ -201,13 +205,13 @@ def with_shingles(docs: DataFrame) -> DataFrame:
 
         for table, raw, off in _tables(batches):
             sets = shingles(raw, off)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(set_ids(sets)), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": pa.array(set_ids(sets, salt)), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return docs.mapInArrow(run, "id long, shingles binary")
 
 
 def buckets(nodes: DataFrame, place: str) -> DataFrame:
-    """id, bucket, n: buckets to compare, of nodes (id, paths, sketch)."""
+    """id, bucket, n (its nodes): buckets to compare, of nodes (id, paths, sketch)."""
     level = nodes.select("id", F.explode("paths").alias("bucket"))
     out = None
     for depth in range(1, DEPTH + 1):
@@ -223,40 +227,68 @@ def buckets(nodes: DataFrame, place: str) -> DataFrame:
     return out
 
 
-def near_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, class_id, n_links, kept of each row of docs (doc_id, text)."""
+def described_nodes(texts: DataFrame, place: str) -> tuple[DataFrame, DataFrame, int]:
+    """described() rows, the nodes (one for each set: id, doc_id, weight, size, paths, sketch), and the
+    salt of the ids, under which no two sets have one id: a second identifier tells."""
+    salt = 0
+    while True:
+        rows = stored(described(texts, salt), f"{place}/rows{salt}")
+        first = [F.first(c).alias(c) for c in ("size", "paths", "sketch")]
+        nodes = rows.where("size > 0").groupBy("id").agg(
+            F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("weight"), F.min("check").alias("low"), F.max("check").alias("high"), *first
+        )
+        nodes = stored(nodes, f"{place}/nodes{salt}")
+        if nodes.where("low < high").isEmpty():
+            return rows, nodes.drop("low", "high"), salt
+        salt += 2
+
+
+def classified(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, raw_sha256, id (of its set; null without words), class (an id of its class), class_id,
+    n_links of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     place = shared_dir(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = stored(described(texts), f"{place}/rows")
-    sets = rows.where("size > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("weight"))
-    sets = stored(sets, f"{place}/sets")
-    nodes = stored(rows.where("size > 0").select("id", "doc_id", "paths", "sketch").join(sets, ["id", "doc_id"], "left_semi").dropDuplicates(["id"]), f"{place}/nodes")
-    compared = buckets(nodes, place)
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("raw_sha256"))
+    rows, nodes, salt = described_nodes(texts, place)
+    compared = buckets(nodes, place).withColumn("tiles", tiles_for(F.col("n")))
     edges = candidate_edges(compared.join(nodes.select("id", "sketch"), "id"), agreeing)
-    found = stored(sized(components(edges, f"{place}/candidates")).join(sets, "id"), f"{place}/members")
-    wanted = texts.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    joined = with_shingles(wanted).join(found.select("id", "component", "n", "weight"), "id")
+    found = components(edges, f"{place}/candidates").join(nodes.select("id", "doc_id", "weight", (8 * F.col("size")).alias("bytes")), "id")
+    found = stored(sized(found, "bytes"), f"{place}/members")
+    # Only documents of nodes that have candidates are shingled again.
+    of_id = found.select(F.col("doc_id").alias("of_id")).distinct()
+    wanted = texts.join(of_id, texts["doc_id"].eqNullSafe(of_id["of_id"]), "left_semi").select("text")
+    joined = with_shingles(wanted, salt).join(found.select("id", "component", "tiles", "weight"), "id")
     links = stored(exact_links(joined, alike(least)), f"{place}/links")
     real = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), f"{place}/components")
-    least_id = stored(real.join(sets, "id").groupBy("component").agg(F.min("doc_id").alias("class_id")), f"{place}/named")
-    classes = real.join(least_id, "component").select("id", "class_id")
+    ids = nodes.select("id", "doc_id", "weight")
+    least_id = stored(real.join(ids, "id").groupBy("component").agg(F.min("doc_id").alias("class_id")), f"{place}/named")
+    classes = real.join(least_id, "component").select("id", F.col("component").alias("class"), "class_id")
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
-    known = sets.join(classes, "id", "left").join(counts, "id", "left")
-    known = stored(
-        known.select("id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n")), f"{place}/classes"
+    known = ids.join(classes, "id", "left").join(counts, "id", "left")
+    known = known.select(
+        "id", F.coalesce("class", "id").alias("class"), F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n")
     )
-    class_id = F.coalesce("class_id", "doc_id")
-    return rows.select("doc_id", F.when(F.col("size") > 0, F.col("id")).alias("id")).join(known, "id", "left").select(
-        "doc_id", class_id.alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept")
+    known = stored(known, f"{place}/classes")
+    own = rows.select("doc_id", "raw_sha256", F.when(F.col("size") > 0, F.col("id")).alias("id"))
+    return own.join(known, "id", "left").select(
+        "doc_id", "raw_sha256", "id", "class", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links")
     )
 
 
+def near_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, class_id, n_links, kept of each row of docs (doc_id, text)."""
+    return classified(docs, least).select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is that of their class."""
-    dropped = near_documents(docs).where("NOT kept").select("doc_id").distinct()
-    dropped = stored(dropped, f"{shared_dir(docs.sparkSession)}/dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of docs, with its own columns: that of the least doc_id (null last), of
+    those the one whose text hash is least. Rows without words all stay."""
+    rows = stored(classified(docs).select("doc_id", "raw_sha256", "class"), f"{shared_dir(docs.sparkSession)}/classified")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw_sha256")
+    first = stored(rows.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("first")), f"{shared_dir(docs.sparkSession)}/first")
+    stays = F.col("class").isNull() | F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("raw_sha256") == F.col("first.raw_sha256"))
+    return kept_rows(docs, rows.join(first, "class", "left").select("doc_id", "raw_sha256", stays.alias("stays"), F.col("class").isNotNull().alias("once")))
 
 
 ORACLE = r"""

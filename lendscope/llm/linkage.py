@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from lendscope.llm.shared import discard, stored
 
-#: Rows of a tile.
-TILE = 1024
+#: Rows of a tile, and bytes of payload.
+TILE, TILE_BYTES = 1024, 24_000_000
 
 
 def spanning(linked: np.ndarray) -> np.ndarray:
@@ -39,10 +39,16 @@ def spanning(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def tiled(members: DataFrame, group: str, size: str) -> DataFrame:
-    """members with tile, a key for each pair of tiles of its group, and side: 0 and 1 for the
+def tiles_for(rows, size=None):
+    """How many tiles a group of that many rows (and bytes) is cut into."""
+    n = F.ceil(rows / F.lit(TILE))
+    return F.greatest(n if size is None else F.greatest(n, F.ceil(size / F.lit(TILE_BYTES))), F.lit(1)).cast("long")
+
+
+def tiled(members: DataFrame, group: str, tiles: str) -> DataFrame:
+    """members with tile, a key for each pair of the tiles of its group, and side: 0 and 1 for the
     two tiles, 2 for a tile against itself. A group of one tile has one key."""
-    n = F.ceil(F.col(size) / TILE).cast("long")
+    n = F.col(tiles)
     own = F.pmod(F.xxhash64("id", F.lit(7)), n)
     others = F.sequence(F.lit(0).cast("long"), n - 1)
     pairs = F.transform(
@@ -113,7 +119,7 @@ def links_of(table, similar: Callable) -> tuple[np.ndarray, np.ndarray]:
 def candidate_edges(members: DataFrame, similar: Callable) -> DataFrame:
     """Edges (a, b) that connect rows of one bucket whose sketches are similar.
 
-    members: id, bucket, n (its rows), sketch. Each bucket gives fewer edges than rows.
+    members: id, bucket, tiles (of the bucket), sketch. Each bucket gives fewer edges than rows.
     """
 
     def work(table):
@@ -124,14 +130,14 @@ def candidate_edges(members: DataFrame, similar: Callable) -> DataFrame:
         own = root != np.arange(len(ids))
         return {"a": ids[own], "b": ids[root[own]]} if own.any() else None
 
-    return in_tiles(tiled(members, "bucket", "n"), work, "a long, b long").distinct()
+    return in_tiles(tiled(members, "bucket", "tiles"), work, "a long, b long").distinct()
 
 
 def exact_links(members: DataFrame, similar: Callable) -> DataFrame:
     """For each row and tile pair that has links: id, n (sum of the weights of the rows it is
     linked with), root (a row it is connected with).
 
-    members: id, component, n (its rows), weight, payload columns.
+    members: id, component, tiles (of the component), weight, payload columns.
     """
 
     def work(table):
@@ -145,7 +151,7 @@ def exact_links(members: DataFrame, similar: Callable) -> DataFrame:
         some = linked.any(axis=1)
         return {"id": ids[some], "n": (linked @ weight.astype(np.int64))[some], "root": ids[spanning(linked)][some]}
 
-    return in_tiles(tiled(members, "component", "n"), work, "id long, n long, root long")
+    return in_tiles(tiled(members, "component", "tiles"), work, "id long, n long, root long")
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -181,7 +187,7 @@ def components(edges: DataFrame, place: str) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def sized(of_ids: DataFrame) -> DataFrame:
-    """id, component, n: with the number of rows of its component."""
-    sizes = of_ids.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+def sized(of_ids: DataFrame, size: str | None = None) -> DataFrame:
+    """of_ids (id, component, and size, the bytes of its payload) with tiles: of its component."""
+    sizes = of_ids.groupBy("component").agg(tiles_for(F.count(F.lit(1)), F.sum(size) if size else None).alias("tiles"))
     return of_ids.join(sizes, "component")

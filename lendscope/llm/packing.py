@@ -14,7 +14,6 @@ differ between partitions and blocks, and are the same when a task is repeated.
 
 from __future__ import annotations
 
-import zlib
 from collections import deque
 
 import numpy as np
@@ -33,7 +32,8 @@ SHORTEST = 128
 STREAM_BYTES = 4_000_000
 END_ID = 0
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: tokens: the piece's ids, little-endian, four bytes each.
+SCHEMA = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
 
 
 def sentence_ends(tool) -> np.ndarray:
@@ -120,7 +120,7 @@ def pack_block(doc_ids: list, ids: list[np.ndarray], is_end: np.ndarray, window:
         "doc_id": [doc_ids[d] for d in doc.tolist()],
         "start": (begins - (ends - sizes)[doc]).tolist(),
         "length": (edges - begins).tolist(),
-        "ids_crc32": [zlib.crc32(raw[four * a : four * b]) for a, b in zip(begins.tolist(), edges.tolist(), strict=True)],
+        "tokens": [raw[four * a : four * b] for a, b in zip(begins.tolist(), edges.tolist(), strict=True)],
         "doc_tokens": sizes[doc].tolist(),
         "sequence_id": (first_sequence + sequence).tolist(),
         "offset": (begins - starts[sequence]).tolist(),
@@ -143,6 +143,11 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKEN
             first = (number >> 32 << 33) + used
             found = pack_block(table["doc_id"].to_pylist(), ids, is_end, window, first)
             used = found["sequence_id"][-1] - (number >> 32 << 33) + 1
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in found.items()})
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "tokens" else pa.int64()) for k, v in found.items()})
 
     return rows.mapInArrow(pack, SCHEMA)
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """The pieces with a checksum in place of their tokens."""
+    return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -17,7 +17,7 @@ def op2_quality_rank(spark, sf_dir):
 
 
 def op3_packing(spark, sf_dir):
-    return packing.pack_documents(load(spark, sf_dir, "documents"))
+    return packing.digests(packing.pack_documents(load(spark, sf_dir, "documents")))
 
 
 def op4_embedding_links(spark, sf_dir):

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.shared import shared_dir, stored
+from lendscope.llm.shared import fresh, shared_dir, stored
 
 #: Kind, pattern, group whose length counts, least length, most length.
 KINDS = [
@@ -30,6 +30,36 @@ KINDS = [
 ]
 BASE = ("assign", "access", "hex")
 SCOPE = 200
+#: Matches of a text that are put in place at once.
+RUN = 256
+
+
+def placed(rows: Column, at: Column) -> Column:
+    """start, end and part of each match of rows (gap before it, its size, its part), from at on."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint,part:int>>")
+
+    def step(so_far, x):
+        start = so_far["at"] + x["gap"]
+        end = start + x["size"]
+        here = F.struct(start.alias("start"), end.alias("end"), x["part"].alias("part"))
+        more = F.when(x["size"].isNotNull(), F.array_append(so_far["spans"], here)).otherwise(so_far["spans"])
+        return F.struct(F.coalesce(end, start).alias("at"), more.alias("spans"))
+
+    return F.aggregate(rows, F.struct(at.alias("at"), none.alias("spans")), step, lambda x: x["spans"])
+
+
+def placed_in_runs(rows: Column) -> Column:
+    """placed() of many matches: runs of RUN matches, each from the sum of what is before it, so that
+    no long array is copied for each match."""
+    zero = F.lit(0).cast("long")
+    numbers = F.sequence(F.lit(0), ((F.size(rows) - 1) / RUN).cast("int"))
+    run = lambda i: F.slice(rows, i * RUN + 1, F.lit(RUN))
+    width = lambda x: x["gap"] + F.coalesce(x["size"], zero)
+    sums = F.transform(numbers, lambda i: F.aggregate(run(i), zero, lambda so_far, x: so_far + width(x)))
+    starts = F.aggregate(
+        sums, F.array(zero), lambda so_far, x: F.array_append(so_far, F.element_at(so_far, -1) + x)
+    )
+    return F.flatten(F.zip_with(numbers, F.slice(starts, 1, F.size(numbers)), lambda i, at: placed(run(i), at)))
 
 
 def spans(text: Column, pattern: str, group: int, least: int, most: int | None) -> Column:
@@ -46,16 +76,7 @@ def spans(text: Column, pattern: str, group: int, least: int, most: int | None)
             F.length(x["gap"]).cast("long").alias("gap"), F.length(x["found"]).cast("long").alias("size"), F.length(x["part"]).alias("part")
         ),
     )
-    none = F.array().cast("array<struct<start:bigint,end:bigint,part:int>>")
-
-    def step(so_far, x):
-        start = so_far["at"] + x["gap"]
-        end = start + x["size"]
-        here = F.struct(start.alias("start"), end.alias("end"), x["part"].alias("part"))
-        more = F.when(x["size"].isNotNull(), F.array_append(so_far["spans"], here)).otherwise(so_far["spans"])
-        return F.struct(F.coalesce(end, start).alias("at"), more.alias("spans"))
-
-    every = F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda x: x["spans"])
+    every = F.when(F.size(rows) <= RUN, placed(rows, F.lit(0).cast("long"))).otherwise(placed_in_runs(rows))
     fits = F.filter(every, lambda x: (x["part"] >= least) & (F.lit(most is None) | (x["part"] <= (most or 0))))
     plain = F.transform(fits, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     return F.when(text.rlike(pattern), plain).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
@@ -126,12 +147,17 @@ def report(scanned: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every reported span replaced by a mark that names its kind; n_chars follows."""
-    scanned = secret_scan(docs).groupBy("doc_id", "key").agg(*[F.first(k).alias(k) for k, *_ in KINDS])
-    hits = scanned.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.array_sort(F.concat(*[tagged(k, F.col(k)) for k, *_ in KINDS])).alias("hits")).where("size(hits) > 0")
-    hits = stored(hits, f"{shared_dir(docs.sparkSession)}/hits")
-    with_key = docs.withColumn("hit_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = with_key.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hit_key") == F.col("k")), "left")
+    """docs with every reported span replaced by a mark that names its kind; n_chars follows.
+
+    All rows stay, repeated ones each, with their other columns; null text stays null.
+    """
+    d, k, hits, key = fresh(docs.columns, "d", "k", "hits", "key")
+    scanned = secret_scan(docs).groupBy("doc_id", "key").agg(*[F.first(kind).alias(kind) for kind, *_ in KINDS])
+    every = F.array_sort(F.concat(*[tagged(kind, F.col(kind)) for kind, *_ in KINDS]))
+    found = scanned.select(F.col("doc_id").alias(d), F.col("key").alias(k), every.alias(hits)).where(F.size(hits) > 0)
+    found = stored(found, f"{shared_dir(docs.sparkSession)}/hits")
+    with_key = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = with_key.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(key) == F.col(k)), "left")
 
     def step(so_far, x):
         free = x["start"] >= so_far["at"]
@@ -144,12 +170,12 @@ def redact(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate(
-        F.col("hits"), start, step, lambda x: F.concat(F.array_join(x["out"], ""), F.substring(F.col("text"), (x["at"] + 1).cast("int"), 2147483647))
+        F.col(hits), start, step, lambda x: F.concat(F.array_join(x["out"], ""), F.substring(F.col("text"), (x["at"] + 1).cast("int"), 2147483647))
     )
-    text = F.when(F.col("hits").isNull(), F.col("text")).otherwise(clean)
+    text = F.when(F.col(hits).isNull(), F.col("text")).otherwise(clean)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("hits").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(hits).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Name of the tokenizer file; its place is looked up on each machine that needs it.
@@ -44,14 +45,28 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (local tests) a temporary folder takes its place,
-    and the session keeps it.
+    Where that setting is missing a session whose executors are the driver's own process gets a
+    temporary folder, and keeps it; any other session is an error, as its executors would not
+    see such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-lendscope-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lendscope-{uuid.uuid4().hex}"
+    PLACES.append(f"{base.rstrip('/')}/lendscope-{uuid.uuid4().hex}")
+    return PLACES[-1]
+
+
+#: Folders that this process has asked for.
+PLACES: list[str] = []
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables in folders asked for since then; call it once what reads them is written."""
+    while len(PLACES) > since:
+        discard(spark, PLACES.pop())
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -67,6 +82,48 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(hadoop).delete(place, True)
 
 
+#: Bytes of a table that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """table (stored, so that counting it is cheap) with a broadcast hint, where its rows fit."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """names, marked until no column of taken has them, whatever its case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def kept_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with their own columns.
+
+    decided has for each row of docs (doc_id, text) doc_id, raw_sha256 (of its text, null as empty),
+    stays, and once (of equal rows one stays). Only keys that go, or that several rows have, are
+    joined with docs: broadcast where they are few, which leaves the texts in place.
+    """
+    keys = decided.groupBy("doc_id", "raw_sha256").agg(F.max("stays").alias("stays"), F.count(F.when(F.col("once"), 1)).alias("rows"))
+    odd = stored(keys.where("NOT stays OR rows > 1"), f"{shared_dir(docs.sparkSession)}/odd")
+    sha, of_id, of_sha, stay, rows, rank = fresh(docs.columns, "sha", "of_id", "of_sha", "stay", "rows", "rank")
+    odd = odd.select(F.col("doc_id").alias(of_id), F.col("raw_sha256").alias(of_sha), F.col("stays").alias(stay), F.col("rows").alias(rows))
+    tagged = docs.withColumn(sha, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (F.col(sha) == F.col(of_sha))
+    plain = tagged.join(broadcast_if_small(odd, 120), same, "left_anti").select(*docs.columns)
+    again = odd.where(F.col(stay))
+    if again.isEmpty():
+        return plain
+    first = Window.partitionBy(of_id, sha).orderBy(*[F.col(c).cast("string") for c in docs.columns])
+    repeated = tagged.join(broadcast_if_small(again, 120), same).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
+    return plain.unionByName(repeated.select(*docs.columns))
+
+
 def held_out(doc_id: Column, parts: int, which: int) -> Column:
     """Whether crc32(doc_id as text) mod parts is which; a null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == which, F.lit(True))

@@ -106,7 +106,7 @@ def test_bpe_and_packing_round_trip(docs):
         assert r["n_tokens"] == len(own)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, own)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(tool.decode(own, skip_special_tokens=False).encode()).hexdigest()
-    pieces = packing.pack_documents(docs).collect()
+    pieces = packing.digests(packing.pack_documents(docs)).collect()
     for p in pieces:
         own = [*ids[p["doc_id"]], 0]
         assert p["doc_tokens"] == len(own)
