@@ -1,9 +1,11 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Texts are split into the tokenizer's words, once. A block of documents is stored as its distinct
-words and the number of each word of its texts; it asks once for each distinct word. Words meet
-by key, each distinct word of the corpus is encoded once, and its ids are joined back to the
-block's word numbers, by position. Decoding joins the distinct ids of a block with the pieces of
+Texts are split into the tokenizer's words. A block of documents has distinct words, and a number
+for each word of its texts; it asks once for each distinct word. Words meet by key, each distinct
+word of the corpus is encoded once, and its ids are joined back to the block's word numbers, by
+position. What is asked and what is numbered comes from two passes over docs, which must give the
+same blocks (a scan of files or a stored table does); a difference is told by the words' keys and
+raises. One stored pass would take 1.8 times the input's disk. Decoding joins the distinct ids of a block with the pieces of
 the vocabulary, which is of fixed size (some 50,000 pieces) and so can be broadcast, and puts the
 pieces of each text's ids together.
 
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from lendscope.llm.blocks import counts_in, counts_out, numbered, planes, unplanes
 from lendscope.llm.shared import TOKENIZER, encoder, expand, shared_dir, squeeze, stored, text_bytes, tokenizer_path
 
-#: Bytes of text in a block, and of packed words that one part of the word table is asked for.
-BLOCK_BYTES, PART_BYTES = 10_000_000, 4_000_000
+#: Bytes of text in a block, and those whose words one part of the word table is asked for.
+BLOCK_BYTES, PART_BYTES = 10_000_000, 40_000_000
 #: Parts of the word table per shuffle partition, at least.
 SPREAD = 2
 #: Ids in a block of decode().
@@ -145,65 +147,74 @@ def special_tokens(name: str) -> list[bytes]:
     return sorted((t.encode() for t in encoder(name).special_tokens_set), key=len, reverse=True)
 
 
-BLOCK = "block long, word_bytes long, words array<binary>, times binary, numbers binary, sizes binary, doc_id array<long>"
+class Block:
+    """Distinct words of a block in the order of their keys, their keys, how often each occurs, the
+    number of each word (by falling frequency, then key), and how many words each text has."""
 
+    def __init__(self, number: int, table, marks: list[bytes]):
+        import pyarrow as pa
+
+        raw, off = text_bytes(table["text"])
+        starts, self.sizes = split(raw, off, marks)
+        ends = np.append(starts, len(raw))
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
+        known, number_of = words.dictionary, words.indices.to_numpy()
+        keys, times = keys_of(known), np.bincount(number_of, minlength=len(known))
+        by_key = np.argsort(keys, kind="stable")
+        place = np.empty(len(known), np.uint32)
+        place[by_key[np.argsort(-times[by_key], kind="stable")]] = np.arange(len(known), dtype=np.uint32)
+        self.block, self.doc_id = number, table["doc_id"]
+        self.words, self.keys, self.times, self.numbers = known.take(pa.array(by_key)), keys[by_key], times[by_key], place[number_of]
+
+
+ASKED, ANSWERED = "part int, block long, words array<binary>", "block long, part int, mark long, ids array<binary>, used array<int>"
 
-def word_blocks(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Blocks of docs (doc_id, text): distinct words in the order of their keys, how often each
-    occurs, the number of each word (by falling frequency), and how many words a text has."""
+
+def ask(parts: int, tokenizer: str):
+    """The words of each block by part; parts follow the order of keys."""
 
     def run(batches):
         import pyarrow as pa
 
         marks = special_tokens(tokenizer)
         for number, table in numbered(batches, most=BLOCK_BYTES):
-            raw, off = text_bytes(table["text"])
-            starts, sizes = split(raw, off, marks)
-            ends = np.append(starts, len(raw))
-            words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
-            known, number_of = words.dictionary, words.indices.to_numpy()
-            by_key = np.argsort(keys_of(known), kind="stable")
-            times = np.bincount(number_of, minlength=len(known))
-            place = np.empty(len(known), np.int64)  # of each word by falling frequency, then key
-            place[by_key[np.argsort(-times[by_key], kind="stable")]] = np.arange(len(known))
-            words = packed_words(known.take(pa.array(by_key)))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array([number], pa.int64()),
-                    "word_bytes": pa.array([sum(map(len, words))], pa.int64()),
-                    "words": pa.array([words], pa.list_(pa.binary())),
-                    "times": pa.array([counts_in(times[by_key])], pa.binary()),
-                    "numbers": pa.array([planes(place[number_of].astype(np.uint32))], pa.binary()),
-                    "sizes": pa.array([counts_in(sizes)], pa.binary()),
-                    "doc_id": pa.array([table["doc_id"].to_pylist()], pa.list_(pa.int64())),
-                }
-            )
+            own = Block(number, table, marks)
+            part = own.keys * parts >> 32
+            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "part": pa.array([int(part[a])], pa.int32()),
+                        "block": pa.array([number], pa.int64()),
+                        "words": pa.array([packed_words(own.words.slice(a, b - a))], pa.list_(pa.binary())),
+                    }
+                )
 
-    return docs.mapInArrow(run, BLOCK)
+    return run
 
 
-ASKED, ANSWERED = "part int, block long, words array<binary>", "block long, part int, ids array<binary>, used array<int>"
+NUMBERED = "block long, mark long, times binary, numbers binary, sizes binary, doc_id array<long>"
 
 
-def ask(parts: int):
-    """The words of each block by part; parts follow the order of keys."""
+def number_words(tokenizer: str):
+    """The word numbers of each block; mark: the sum of its words' keys."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                words = unpacked_words(row["words"])
-                part = keys_of(words) * parts >> 32
-                cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "part": pa.array([int(part[a])], pa.int32()),
-                            "block": pa.array([row["block"]], pa.int64()),
-                            "words": pa.array([packed_words(words.slice(a, b - a))], pa.list_(pa.binary())),
-                        }
-                    )
+        marks = special_tokens(tokenizer)
+        for number, table in numbered(batches, most=BLOCK_BYTES):
+            own = Block(number, table, marks)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([number], pa.int64()),
+                    "mark": pa.array([int(own.keys.sum())], pa.int64()),
+                    "times": pa.array([counts_in(own.times)], pa.binary()),
+                    "numbers": pa.array([planes(own.numbers)], pa.binary()),
+                    "sizes": pa.array([counts_in(own.sizes)], pa.binary()),
+                    "doc_id": pa.array([own.doc_id.to_pylist()], pa.list_(pa.int64())),
+                }
+            )
 
     return run
 
@@ -234,13 +245,15 @@ def answer(tokenizer: str):
         found = encode_words(every.dictionary.to_pylist(), tokenizer)
         size = np.array([len(x) for x in found], np.int64)
         ids = np.array([i for x in found for i in x], np.uint32)
-        which, at, packed, used = every.indices.to_numpy(), 0, [], []
+        which, at, packed, used, mark = every.indices.to_numpy(), 0, [], [], []
+        keys = keys_of(every.dictionary)
         for words in asked:
             own, some = gathered_ids(size, ids, which[at : at + len(words)])
             packed.append([counts_in(own), planes(some)])
             used.append(np.unique(some).astype(np.int32))
+            mark.append(int(keys[which[at : at + len(words)]].sum()))
             at += len(words)
-        return pa.table({"block": group["block"], "part": group["part"], "ids": pa.array(packed, pa.list_(pa.binary())), "used": pa.array(used, pa.list_(pa.int32()))})
+        return pa.table({"block": group["block"], "part": group["part"], "mark": pa.array(mark, pa.int64()), "ids": pa.array(packed, pa.list_(pa.binary())), "used": pa.array(used, pa.list_(pa.int32()))})
 
     return run
 
@@ -315,6 +328,8 @@ def restore(rows, answers):
     of_part = sorted((p, x) for p, x in zip(answers["part"].to_pylist(), answers["ids"].to_pylist(), strict=True) if x is not None)
     pieces = [x.values for x in answers["pieces"] if x.is_valid]
     row = rows.to_pylist()[0]
+    if sum(x for x in answers["mark"].to_pylist() if x is not None) != row["mark"]:
+        raise ValueError("a block differs from the one whose words were encoded: docs must be repeatable, so store them first")
     times, sizes = counts_out(row["times"]), counts_out(row["sizes"])
     size = np.concatenate([np.zeros(0, np.int64), *(counts_out(x[0]) for _, x in of_part)])
     ids = np.concatenate([np.zeros(0, np.uint32), *(unplanes(x[1], np.uint32) for _, x in of_part)])
@@ -331,13 +346,12 @@ def code_documents(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     spark = docs.sparkSession
     place = shared_dir(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = stored(word_blocks(texts, tokenizer), f"{place}/blocks")
-    size = blocks.agg(F.sum("word_bytes")).first()[0] or 0
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
-    asked = blocks.select("block", "words").mapInArrow(ask(parts), ASKED)
+    asked = texts.select("doc_id", "text").mapInArrow(ask(parts, tokenizer), ASKED)
     answers = stored(asked.groupBy("part").applyInArrow(answer(tokenizer), ANSWERED), f"{place}/answers")
-    sides = answers.select("block", "part", "ids").unionByName(pieces_of(answers.select("block", "used"), tokenizer), allowMissingColumns=True)
-    rows = blocks.select("block", "times", "numbers", "sizes", "doc_id")
+    sides = answers.drop("used").unionByName(pieces_of(answers.select("block", "used"), tokenizer), allowMissingColumns=True)
+    rows = texts.mapInArrow(number_words(tokenizer), NUMBERED)
     return rows.groupBy("block").cogroup(sides.groupBy("block")).applyInArrow(restore, CODED)
 
 

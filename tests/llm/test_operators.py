@@ -301,7 +301,7 @@ def test_bpe_across_blocks(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(bpe_words, "BLOCK_BYTES", 10_000)
-    monkeypatch.setattr(bpe_words, "PART_BYTES", 2_000)
+    monkeypatch.setattr(bpe_words, "PART_BYTES", 20_000)
     monkeypatch.setattr(bpe_words, "BLOCK_IDS", 5_000)
     tool = Tokenizer.from_file(shared.tokenizer_path())
     rows = [(i, prose(300 * (i % 7), i) + " wörd%d" % i) for i in range(60)] + [(60, prose(20_000, 60)), (60, ""), (None, None)]
