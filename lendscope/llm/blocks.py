@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lendscope.llm.shared import expand, squeeze
+from lendscope.llm.shared import expand, give_back, squeeze
 
 #: Bytes of text after which a block ends; a longer document is a block of its own.
 BLOCK_BYTES = 12_000_000
@@ -52,6 +52,8 @@ def gathered(batches: Iterator, column: str = "text", most: int = BLOCK_BYTES, r
             held += piece.num_rows
     if waiting:
         yield pa.Table.from_batches(waiting)
+    del waiting
+    give_back()
 
 
 def numbered(batches: Iterator, column: str = "text", most: int = BLOCK_BYTES) -> Iterator:

@@ -3,8 +3,9 @@ cosines, connected components.
 
 A table's key is the row's label, its dimension and BITS signs; the number of signs follows
 the size of the largest label and the number of tables the wanted recall for a pair just at
-the threshold. All signs together are the row's sketch, which tells real candidates in a
-bucket. Cosines are computed in double precision within the candidates' components.
+the threshold. All signs together are the row's sketch, which tells candidates in a bucket; each
+candidate pair's cosine is computed in double precision in the first bucket that both rows have.
+Equal vectors of a label are one node.
 
 Defined cases: a vector that is null, empty or zero, or that holds null or non-finite
 components, and a row whose label is null, links with nothing and is its own component.
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.linkage import candidate_edges, components, exact_links, sized, tiles_for
+from lendscope.llm.linkage import bucket_lists, candidates, components, verified_links
 from lendscope.llm.shared import mix64, shared_dir, stored
 
 SEED = 20231
@@ -82,11 +83,11 @@ def near_signs(most: int):
 
 
 def near_cosine(least: float):
-    def similar(table) -> np.ndarray:
+    def similar(table, some: np.ndarray) -> np.ndarray:
         x = np.array(table["vector"].to_pylist(), np.float64)
         x /= np.abs(x).max(axis=1, keepdims=True)
         norm = np.sqrt((x * x).sum(axis=1))
-        return (x @ x.T) / (norm[:, None] * norm[None, :]) >= least
+        return (x[some] @ x.T) / (norm[some][:, None] * norm[None, :]) >= least
 
     return similar
 
@@ -97,7 +98,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     place = shared_dir(spark)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.select(
-        F.monotonically_increasing_id().alias("id"),
+        F.monotonically_increasing_id().alias("row"),
         F.col("vec_id").cast("long").alias("vec_id"),
         F.col("label").cast("long").alias("label"),
         F.col("embedding").cast("array<double>").alias("vector"),
@@ -105,24 +106,29 @@ def embedding_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     rows = stored(rows, f"{place}/rows")
     usable = F.col("label").isNotNull() & F.forall("vector", finite) & F.exists("vector", lambda x: x != 0)
     good = rows.where(usable)
-    largest = good.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    nodes = good.groupBy("label", "vector").agg(F.min("row").alias("id"), F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"))
+    nodes = stored(nodes, f"{place}/nodes")
+    node_of = good.select("row", "label", "vector").join(nodes.select("label", "vector", "id"), ["label", "vector"]).select("row", "id")
+    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables, most = plan(largest, least)
-    tagged = stored(hashed(good.select("id", "label", "vector"), bits, tables), f"{place}/hashed")
+    tagged = stored(hashed(nodes.select("id", "label", "vector"), bits, tables), f"{place}/hashed")
     keyed = tagged.select("id", F.explode("buckets").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keyed.join(shared, "bucket").withColumn("tiles", tiles_for(F.col("n"))).join(tagged.select("id", "sketch"), "id")
-    found = components(candidate_edges(members, near_signs(most)), f"{place}/candidates")
-    vectors = good.select("id", "vector", (8 * F.size("vector")).alias("bytes"))
-    joined = sized(found.join(vectors, "id"), "bytes").withColumn("weight", F.lit(1).cast("long"))
-    links = stored(exact_links(joined, near_cosine(least)), f"{place}/links")
+    compared = stored(keyed.join(shared, "bucket"), f"{place}/compared")
+    lists = stored(bucket_lists(compared).join(tagged.select("id", "sketch"), "id"), f"{place}/lists")
+    found = stored(candidates(compared, lists, near_signs(most)), f"{place}/candidates")
+    payload = nodes.select("id", "vector", "weight").join(lists.select("id", "buckets"), "id")
+    links = verified_links(found, nodes.select("id", (8 * F.size("vector")).alias("bytes")), payload, near_cosine(least))
+    links = stored(links, f"{place}/links")
     real = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), f"{place}/components")
-    named = real.join(rows.select("id", "vec_id"), "id")
+    named = real.join(nodes.select("id", "vec_id"), "id")
     least_id = stored(named.groupBy("component").agg(F.min("vec_id").alias("component_id")), f"{place}/named")
-    classes = stored(real.join(least_id, "component").select("id", "component_id"), f"{place}/classes")
-    counts = links.groupBy("id").agg(F.sum("n").alias("n_links"))
-    out = rows.select("id", "vec_id").join(classes, "id", "left").join(counts, "id", "left")
+    counts = links.groupBy("id").agg(F.sum("n").alias("n"))
+    known = nodes.select("id", "vec_id", "weight").join(real.join(least_id, "component").select("id", "component_id"), "id", "left").join(counts, "id", "left")
+    known = known.select("id", F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    known = stored(node_of.join(known, "id").drop("id"), f"{place}/classes")
     component = F.coalesce("component_id", "vec_id")
-    return out.select(
+    return rows.select("row", "vec_id").join(known, "row", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")
     )
 

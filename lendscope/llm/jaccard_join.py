@@ -5,7 +5,8 @@ of its set: a token is a coordinate of its min-wise signature with that coordina
 a path goes on along each coordinate that the path's own hash picks, 1/0.8 of them on average,
 so two sets of similarity 0.8 share one path a level on average. Nodes that share a path are a
 bucket; buckets of up to BRUTE nodes are compared by brute force, larger ones are split again,
-DEPTH levels at most, and what is still large is compared in tiles. Runs are repeated until a
+DEPTH levels at most, and what is still large is compared in tiles. A pair is compared in the first
+bucket that both have. Runs are repeated until a
 pair at the threshold is found with RECALL even at the last level. Pairs are checked exactly on
 whole shingle sets (64-bit shingle hashes); a second hash verifies the ids of sets.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.llm.blocks import gathered
-from lendscope.llm.linkage import candidate_edges, components, exact_links, sized, tiles_for
+from lendscope.llm.linkage import bucket_lists, candidates, components, verified_links
 from lendscope.llm.shared import MIX1, MIX2, MULT, kept_rows, mix64, shared_dir, stored, text_bytes, word_hashes
 
 WORDS, LEAST = 5, 0.8
@@ -172,9 +173,9 @@ def agreeing(table) -> np.ndarray:
 
 
 def alike(least: float):
-    def similar(table) -> np.ndarray:
-        """Exact Jaccard similarity of whole sets: shared shingles by products of slabs of the
-        incidence matrix, over shingles that two rows have."""
+    def similar(table, some: np.ndarray) -> np.ndarray:
+        """Exact Jaccard similarity of some whole sets with all: shared shingles by products of slabs of
+        the incidence matrix, over shingles that two rows have."""
         sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
         sizes = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
@@ -185,14 +186,14 @@ def alike(least: float):
         row, column = row[keep], number[column[keep]]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        shared = np.zeros((len(sets), len(sets)), np.float32)
+        shared = np.zeros((len(some), len(sets)), np.float32)
         width = int(min(max(4_000_000 // len(sets), 1), column[-1] + 1 if len(column) else 1))
         for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             a, b = np.searchsorted(column, [low, low + width])
             slab = np.zeros((len(sets), width), np.float32)
             slab[row[a:b], column[a:b] - low] = 1
-            shared += slab @ slab.T
-        return shared >= least * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
+            shared += slab[some] @ slab.T
+        return shared >= least * (sizes[some][:, None] + sizes[None, :] - shared) - 1e-6
 
     return similar
 
@@ -251,15 +252,16 @@ def classified(docs: DataFrame, least: float = LEAST) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("raw_sha256"))
     rows, nodes, salt = described_nodes(texts, place)
-    compared = buckets(nodes, place).withColumn("tiles", tiles_for(F.col("n")))
-    edges = candidate_edges(compared.join(nodes.select("id", "sketch"), "id"), agreeing)
-    found = components(edges, f"{place}/candidates").join(nodes.select("id", "doc_id", "weight", (8 * F.col("size")).alias("bytes")), "id")
-    found = stored(sized(found, "bytes"), f"{place}/members")
+    compared = stored(buckets(nodes, place), f"{place}/compared")
+    lists = stored(bucket_lists(compared).join(nodes.select("id", "sketch"), "id"), f"{place}/lists")
+    found = stored(candidates(compared, lists, agreeing), f"{place}/candidates")
     # Only documents of nodes that have candidates are shingled again.
-    of_id = found.select(F.col("doc_id").alias("of_id")).distinct()
+    known = nodes.select("id", "doc_id", "weight").join(found.select("id").distinct(), "id").join(lists.select("id", "buckets"), "id")
+    known = stored(known, f"{place}/members")
+    of_id = known.select(F.col("doc_id").alias("of_id")).distinct()
     wanted = texts.join(of_id, texts["doc_id"].eqNullSafe(of_id["of_id"]), "left_semi").select("text")
-    joined = with_shingles(wanted, salt).join(found.select("id", "component", "tiles", "weight"), "id")
-    links = stored(exact_links(joined, alike(least)), f"{place}/links")
+    payload = with_shingles(wanted, salt).join(known.select("id", "buckets", "weight"), "id")
+    links = stored(verified_links(found, nodes.select("id", (8 * F.col("size")).alias("bytes")), payload, alike(least)), f"{place}/links")
     real = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), f"{place}/components")
     ids = nodes.select("id", "doc_id", "weight")
     least_id = stored(real.join(ids, "id").groupBy("component").agg(F.min("doc_id").alias("class_id")), f"{place}/named")

@@ -16,7 +16,9 @@ n1/(n1+2 n2) takes its place. Where nothing would be left, one is added to the d
 Counts cover all training rows. They are kept in tables partitioned by key: words by hash,
 pairs by the hash of their first word, and a first word's followers over several parts in
 proportion to its count, so that none grows with the corpus. Blocks of documents ask for what
-they need and score their own texts.
+they need and score their own texts. Blocks are made three times and must be the same each time
+(a scan of files or a stored table gives them so): answers carry the sum of the keys that were
+asked for, and a difference raises. Storing the blocks would pass the disk that is allowed.
 
 Defined cases: null text is empty, an empty text is the end mark alone. A null id counts as
 held out. With no training rows every token is unknown, with probability one. Repeated rows
@@ -37,8 +39,8 @@ END, BEGIN = np.uint64(0xE5D0E5D0E5D0E5D1), np.uint64(0xB361B361B361B363)
 LAST_DISCOUNTED = 5
 #: Bytes of text in a block, and how many are hashed at once.
 BLOCK_BYTES, SLICE = 9_000_000, 1_000_000
-#: Parts of each table per shuffle partition.
-SPREAD = 2
+#: Parts of each table per shuffle partition at least, and bytes of text that a part is asked about at most.
+SPREAD, PART_BYTES = 2, 40_000_000
 
 ASKED = "part int, block long, payload array<binary>"
 ANSWERED = "kind string, block long, part int, payload array<binary>, stats array<long>"
@@ -125,6 +127,14 @@ class Tokens:
         return distinct // n, distinct % n, pair, np.bincount(pair[self.train], minlength=len(distinct))
 
 
+DIFFERS = "a block differs from the one whose words were counted: docs must be repeatable, so store them first"
+
+
+def mark(keys: np.ndarray) -> bytes:
+    """Tells whether keys are those that were asked for."""
+    return np.array([len(keys), mix64(keys).sum(dtype=np.uint64)], np.uint64).tobytes()
+
+
 def _of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, LAST_DISCOUNTED + 2), minlength=LAST_DISCOUNTED + 3)[: LAST_DISCOUNTED + 2].tolist()
 
@@ -160,7 +170,7 @@ def answer_words(group):
     out = [_row(pa, kind="stats", block=-1, part=part, payload=[], stats=stats)]
     at = 0
     for block, own, _ in asked:
-        out.append(_row(pa, kind="words", block=block, part=part, payload=[counts_in(totals[place[at : at + len(own)]])], stats=[]))
+        out.append(_row(pa, kind="words", block=block, part=part, payload=[counts_in(totals[place[at : at + len(own)]]), mark(own)], stats=[]))
         at += len(own)
     return pa.Table.from_batches(out)
 
@@ -169,7 +179,10 @@ def known_counts(tokens: Tokens, parts: int, answers: dict) -> np.ndarray:
     """Training count of each of the block's distinct words."""
     found = np.zeros(len(tokens.distinct), np.int64)
     for part, some in tokens.sections(parts):
-        found[some] = counts_out(answers["words", part][0])
+        got = answers.get(("words", part), (b"", b""))
+        if got[1] != mark(tokens.distinct[some]):
+            raise ValueError(DIFFERS)
+        found[some] = counts_out(got[0])
     return found
 
 
@@ -265,10 +278,10 @@ def answer_pairs(unigrams: Unigrams):
         part = group["part"][0].as_py()
         out = [_row(pa, kind="stats", block=-1, part=part, payload=[], stats=[int(r.sum()), len(r), *_of_counts(r)])]
         at_pair = at_entry = 0
-        for block, entries, followers, *_ in asked:
+        for block, entries, followers, words, *_ in asked:
             n = int(followers.sum())
             own = of_entry[at_entry : at_entry + len(entries)]
-            payload = [counts_in(totals[place[at_pair : at_pair + n]]), *(counts_in(x[own]) for x in (*few, many)), planes(backed[own])]
+            payload = [counts_in(totals[place[at_pair : at_pair + n]]), *(counts_in(x[own]) for x in (*few, many)), planes(backed[own]), mark(entries), mark(words)]
             out.append(_row(pa, kind="pairs", block=block, part=part, payload=payload, stats=[]))
             at_pair += n
             at_entry += len(entries)
@@ -283,7 +296,9 @@ def score_block(tokens: Tokens, counts: np.ndarray, own: Contexts, unigrams: Uni
     many, backed = np.zeros(len(own.hashes)), np.zeros(len(own.hashes))
     totals = np.zeros(len(own.v), np.int64)
     for part, contexts, some in own.sections():
-        got = answers["pairs", part]
+        got = answers.get(("pairs", part), [b"", b""])
+        if got[-2] != mark(own.hashes[own.context[contexts]]) or got[-1] != mark(own.hashes[own.w[some]]):
+            raise ValueError(DIFFERS)
         totals[some] = counts_out(got[0])
         for i in range(LAST_DISCOUNTED):
             np.add.at(few[i], own.context[contexts], counts_out(got[1 + i]))
@@ -344,7 +359,8 @@ def score_documents(docs: DataFrame, mod: int = 10, remainder: int = 0) -> DataF
     """SCORES of each row of docs (doc_id, text), learnt from rows whose remainder differs."""
     spark = docs.sparkSession
     place = shared_dir(spark)
-    parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     packed = blocks(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),

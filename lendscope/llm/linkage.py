@@ -1,11 +1,12 @@
 """Links between similar rows: candidates that share a bucket, exact checks, components.
 
-Rows that share a bucket are compared by short sketches, and each bucket gives at most one
-edge a row: enough to tell which rows may belong together. Connected components of these
-edges hold all candidates, so the exact comparison runs once inside each component, over
-whole payloads, and counts links without writing one row a pair. Groups larger than a tile
-are cut into tiles, and each pair of tiles is one piece of work, so a group that holds a
-third of all rows is spread over many tasks and none holds more than two tiles.
+A row has a list of buckets, and a pair of rows belongs to the least bucket that both have: there it
+is compared and counted, once, whatever else the two share. In each bucket short sketches tell which
+rows have a candidate of their own; only their payloads move to that bucket, where similarity is
+computed exactly. Links are counted per row without writing one row a pair, and the spanning forest
+of each bucket's verified links gives connected components. Buckets larger than a tile are cut into
+tiles, and each pair of tiles is one piece of work, so a bucket that holds a third of all rows is
+spread over many tasks and none holds more than two tiles.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.shared import discard, stored
+from lendscope.llm.shared import discard, give_back, stored
 
 #: Rows of a tile, and bytes of payload.
-TILE, TILE_BYTES = 1024, 24_000_000
+TILE, TILE_BYTES = 512, 16_000_000
 
 
 def spanning(linked: np.ndarray) -> np.ndarray:
@@ -99,59 +100,103 @@ def in_tiles(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
                     kept = {c: [] for c in names}
         if kept[names[0]]:
             yield pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(v)) for c, v in kept.items()})
+        give_back()
 
     return rows.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(run, schema)
 
 
-def links_of(table, similar: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """ids, and the link matrix of a tile pair: only pairs that this piece of work owns."""
-    ids = table["id"].to_numpy()
-    side = table["side"].to_numpy()
-    _, first = np.unique(ids, return_index=True)
-    ids, side, table = ids[first], side[first], table.take(first)
-    linked = similar(table)
-    np.fill_diagonal(linked, False)
-    if side[0] != 2:
-        linked &= side[:, None] != side[None, :]
-    return ids, linked
-
+def unique_rows(table):
+    """table with each id once, in the order of ids."""
+    _, first = np.unique(table["id"].to_numpy(), return_index=True)
+    return table.take(first)
 
-def candidate_edges(members: DataFrame, similar: Callable) -> DataFrame:
-    """Edges (a, b) that connect rows of one bucket whose sketches are similar.
 
-    members: id, bucket, tiles (of the bucket), sketch. Each bucket gives fewer edges than rows.
+def keep_own(mask: np.ndarray, table) -> None:
+    """Clear pairs that another piece of work owns: rows of one side of a tile pair, and rows that share a
+    bucket before this one."""
+    side, bucket = table["side"].to_numpy(), table["bucket"][0].as_py()
+    np.fill_diagonal(mask, False)
+    if side[0] != 2:
+        mask &= side[:, None] != side[None, :]
+    rows = np.flatnonzero(mask.any(axis=1))
+    lists = table["buckets"].combine_chunks().take(rows)
+    keys, of = lists.flatten().to_numpy(), np.repeat(rows, np.diff(lists.offsets.to_numpy()))
+    keys, of = keys[keys < bucket], of[keys < bucket]
+    order = np.argsort(keys, kind="stable")
+    keys, of = keys[order], of[order]
+    cuts = np.flatnonzero(np.diff(keys, prepend=np.nan, append=np.nan) != 0) if len(keys) else np.zeros(1, int)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if b - a > 1:
+            mask[np.ix_(of[a:b], of[a:b])] = False
+
+
+def covering(mask: np.ndarray) -> np.ndarray:
+    """Rows that every pair of mask has one of, few where few rows have all pairs."""
+    left, degree, chosen = mask.copy(), mask.sum(axis=1), []
+    while len(chosen) < len(mask) // 4:
+        row = int(degree.argmax())
+        if degree[row] == 0:
+            return np.array(chosen, int)
+        chosen.append(row)
+        degree -= left[:, row]
+        degree[row] = 0
+        left[row] = left[:, row] = False
+    return np.flatnonzero(mask.any(axis=1))
+
+
+def bucket_lists(compared: DataFrame) -> DataFrame:
+    """id, buckets (rising) of compared (id, bucket)."""
+    return compared.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
+
+
+def candidates(compared: DataFrame, rows: DataFrame, similar: Callable) -> DataFrame:
+    """id, bucket: rows with a candidate in a bucket that the pair belongs to.
+
+    compared: id, bucket, n (rows of the bucket); rows: id, buckets, sketch; similar: of a table, a matrix.
     """
 
     def work(table):
+        table = unique_rows(table)
         if table.num_rows < 2:
             return None
-        ids, linked = links_of(table, similar)
-        root = spanning(linked)
-        own = root != np.arange(len(ids))
-        return {"a": ids[own], "b": ids[root[own]]} if own.any() else None
+        linked = similar(table)
+        keep_own(linked, table)
+        some = linked.any(axis=1)
+        return {"id": table["id"].to_numpy()[some], "bucket": table["bucket"].to_numpy()[some]} if some.any() else None
 
-    return in_tiles(tiled(members, "bucket", "tiles"), work, "a long, b long").distinct()
+    members = compared.withColumn("tiles", tiles_for(F.col("n"))).join(rows, "id")
+    return in_tiles(tiled(members, "bucket", "tiles"), work, "id long, bucket long").distinct()
 
 
-def exact_links(members: DataFrame, similar: Callable) -> DataFrame:
-    """For each row and tile pair that has links: id, n (sum of the weights of the rows it is
-    linked with), root (a row it is connected with).
+def verified_links(found: DataFrame, sizes: DataFrame, rows: DataFrame, similar: Callable) -> DataFrame:
+    """For each row and tile pair that has links: id, n (sum of the weights of the rows it is linked
+    with), root (a row it is connected with).
 
-    members: id, component, tiles (of the component), weight, payload columns.
+    found: of candidates(); sizes: id, bytes (of the payload); rows: id, buckets, weight, payload columns;
+    similar: of a table and some of its rows, a matrix of these against all.
     """
 
     def work(table):
+        table = unique_rows(table)
         if table.num_rows < 2:
             return None
-        ids, linked = links_of(table, similar)
-        if not linked.any():
+        mask = np.ones((table.num_rows, table.num_rows), bool)
+        keep_own(mask, table)
+        few = covering(mask)
+        if len(few) == 0:
             return None
-        _, first = np.unique(table["id"].to_numpy(), return_index=True)
-        weight = table["weight"].to_numpy()[first]
+        linked = np.zeros_like(mask)
+        linked[few] = similar(table, few)
+        linked |= linked.T
+        linked &= mask
         some = linked.any(axis=1)
-        return {"id": ids[some], "n": (linked @ weight.astype(np.int64))[some], "root": ids[spanning(linked)][some]}
+        if not some.any():
+            return None
+        ids, weight = table["id"].to_numpy(), table["weight"].to_numpy().astype(np.int64)
+        return {"id": ids[some], "n": (linked @ weight)[some], "root": ids[spanning(linked)][some]}
 
-    return in_tiles(tiled(members, "component", "tiles"), work, "id long, n long, root long")
+    tiles = found.join(sizes, "id").groupBy("bucket").agg(tiles_for(F.count(F.lit(1)), F.sum("bytes")).alias("tiles"))
+    return in_tiles(tiled(found.join(tiles, "bucket").join(rows, "id"), "bucket", "tiles"), work, "id long, n long, root long")
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -185,9 +230,3 @@ def components(edges: DataFrame, place: str) -> DataFrame:
         if mark == before:
             break
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-
-
-def sized(of_ids: DataFrame, size: str | None = None) -> DataFrame:
-    """of_ids (id, component, and size, the bytes of its payload) with tiles: of its component."""
-    sizes = of_ids.groupBy("component").agg(tiles_for(F.count(F.lit(1)), F.sum(size) if size else None).alias("tiles"))
-    return of_ids.join(sizes, "component")
