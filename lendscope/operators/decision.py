@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.functions.rounding import half_up
+from lendscope.operators.statements import METRICS
 
 #: Feature, test, threshold, in the order in which a first reason counts.
 HARD_RULES = [("circular_trading_score", ">", 0.80), ("promoter_network_risk", ">", 0.80), ("litigation_severity_score", ">", 0.75), ("dscr", "<", 1.10)]
@@ -43,11 +44,35 @@ def _share(name: str, full: float, missing: float) -> Column:
     return F.least(_v(name, missing) / full, F.lit(1.0))
 
 
-def fin_agg(lines: DataFrame) -> DataFrame:
-    """lines: company_id, metric, period, value. The greatest value of each metric; total debt from its parts."""
-    metrics = ["revenue", "ebitda", "interest", "pat", "cfo", "long_term_debt", "equity"]
-    wide = lines.groupBy("company_id").pivot("metric", metrics).agg(F.max("value"))
-    return wide.withColumn("total_debt", F.col("long_term_debt"))
+#: Metrics of figures in running text, and the statement metrics that they stand for.
+FIGURE_NAMES = {
+    "revenue": "revenue", "ebitda": "ebitda", "pat": "pat", "gross_profit": "gross_profit", "total_debt": "total_debt", "net_worth": "equity", "current_assets": "current_assets",
+    "current_liab": "current_liabilities", "cash": "cash", "gst_turnover": "gst_turnover", "itc": "itc_claimed", "capex": "cfi",
+}
+#: Metrics whose values are also kept as a rising series.
+SERIES = ["revenue", "pat", "ebitda", "cfo"]
+
+
+def fin_agg(lines: DataFrame, figures: DataFrame | None = None) -> DataFrame:
+    """One column a metric (METRICS): its greatest value in lines (company_id, metric, period, value), or, where a
+    company's lines have none, in figures (company_id, metric, value: amounts told with a unit). SERIES as rising
+    arrays, too. Missing total debt is long and short term debt, missing current assets the sum of inventories,
+    receivables and cash where two of these are known."""
+    rows = lines.where("value IS NOT NULL").select("company_id", "metric", F.col("value").cast("double").alias("value"), F.lit(True).alias("stated"))
+    if figures is not None:
+        names = F.create_map(*[F.lit(x) for pair in FIGURE_NAMES.items() for x in pair])
+        told = figures.where("value > 0").select("company_id", names[F.col("metric")].alias("metric"), F.col("value").cast("double").alias("value"), F.lit(False).alias("stated"))
+        rows = rows.unionByName(told.where("metric IS NOT NULL"))
+    own = lambda m, stated: F.when((F.col("metric") == m) & (F.col("stated") == stated), F.col("value"))
+    listed = lambda m, stated: F.sort_array(F.collect_list(own(m, stated)))
+    wide = rows.groupBy("company_id").agg(
+        *[F.coalesce(F.max(own(m, True)), F.max(own(m, False))).alias(m) for m in METRICS],
+        *[F.when(F.size(listed(m, True)) > 0, listed(m, True)).otherwise(listed(m, False)).alias(f"{m}_series") for m in SERIES],
+    )
+    debt = F.when(F.col("long_term_debt").isNotNull() | F.col("short_term_debt").isNotNull(), F.coalesce("long_term_debt", F.lit(0.0)) + F.coalesce("short_term_debt", F.lit(0.0)))
+    parts = [F.coalesce(c, F.lit(0.0)) for c in ("inventories", "receivables", "cash")]
+    known = sum(((p != 0).cast("int") for p in parts), F.lit(0))
+    return wide.withColumns({"total_debt": F.coalesce("total_debt", debt), "current_assets": F.coalesce("current_assets", F.when(known >= 2, parts[0] + parts[1] + parts[2]))})
 
 
 def cagr(lines: DataFrame, metric: str = "revenue") -> DataFrame:
@@ -60,13 +85,15 @@ def cagr(lines: DataFrame, metric: str = "revenue") -> DataFrame:
 
 
 def ratios(fin: DataFrame) -> DataFrame:
-    """Margins, leverage and coverage of fin_agg's rows; a missing or zero denominator gives 0 (DSCR 1.5)."""
+    """Margins, leverage, liquidity and coverage of fin_agg's rows; a missing or zero denominator gives 0 (DSCR 1.5).
+    Interest is covered by EBIT, or EBITDA where EBIT is missing or 0."""
     over = lambda a, b: F.when(F.col(a).isNotNull() & (F.col(b) != 0), half_up(F.col(a) / F.col(b), 4)).otherwise(0.0)
     service = F.coalesce("interest", F.lit(0.0)) + 0.1 * F.coalesce("total_debt", F.lit(0.0))
     cash = F.coalesce("cfo", "ebitda", F.lit(0.0))
-    return fin.select(
+    earned = F.coalesce(F.nullif("ebit", F.lit(0.0)), "ebitda")
+    return fin.withColumn("earned", earned).select(
         "company_id", over("ebitda", "revenue").alias("ebitda_margin"), over("pat", "revenue").alias("pat_margin"),
-        over("total_debt", "equity").alias("debt_to_equity"), over("ebitda", "interest").alias("interest_coverage_ratio"),
+        over("total_debt", "equity").alias("debt_to_equity"), over("current_assets", "current_liabilities").alias("current_ratio"), over("earned", "interest").alias("interest_coverage_ratio"),
         F.when(service > 0, half_up(cash / service, 4)).otherwise(1.5).alias("dscr"),
     )
 
@@ -78,10 +105,12 @@ def cfo_volatility(lines: DataFrame) -> DataFrame:
 
 
 def governance_score(f: DataFrame) -> DataFrame:
+    """f: company_id, features, and layered_score, shell_score, shell_network_score and audit_score; missing parts are 0."""
     one = lambda c: F.least(_v(c), F.lit(1.0))
     score = (
         0.25 * one("litigation_severity_score") + 0.10 * F.least(_v("litigation_count") / 10, F.lit(1.0)) + 0.12 * one("benford_deviation_score")
-        + 0.08 * one("circular_trading_score") + 0.08 * one("gst_bank_mismatch_score") + 0.07 * one("gstr2a_3b_mismatch_score")
+        + 0.08 * one("circular_trading_score") + 0.03 * one("layered_score") + 0.02 * one("shell_score") + 0.03 * one("shell_network_score")
+        + 0.10 * one("audit_score") + 0.08 * one("gst_bank_mismatch_score") + 0.07 * one("gstr2a_3b_mismatch_score")
         + 0.05 * one("itr_revenue_mismatch_score") + 0.15 * F.least(_v("regulatory_violation_count") / 10, F.lit(1.0))
     )
     out = f.select("company_id", half_up(F.least(score, F.lit(1.0)), 4).alias("governance_score"))
@@ -97,9 +126,11 @@ def sector_benchmarks(f: DataFrame) -> DataFrame:
     return joined.select("company_id", "sector", F.col("known").alias("benchmark"), *[half_up(F.col(n) - F.col(f"m_{n}"), 4).alias(f"{n}_gap") for n in names])
 
 
-def fired_rules(f: DataFrame) -> DataFrame:
-    """One row for each rule that fires: ordinal, kind, feature, points."""
-    test = lambda name, op, limit: (_v(name) > limit) if op == ">" else (_v(name) < limit)
+def fired_rules(f: DataFrame, null_policy: str = "zero") -> DataFrame:
+    """One row for each rule that fires: ordinal, kind, feature, points. A missing feature counts as 0, or, under
+    null_policy "skip", fires no rule."""
+    value = (lambda name: F.col(name).cast("double")) if null_policy == "skip" else _v
+    test = lambda name, op, limit: (value(name) > limit) if op == ">" else (value(name) < limit)
     hard = [(n, op, limit, 0, "HARD") for n, op, limit in HARD_RULES]
     policy = [(*r, "POLICY") for r in POLICY_RULES]
     each = [
@@ -110,9 +141,9 @@ def fired_rules(f: DataFrame) -> DataFrame:
     return f.select("company_id", fired.alias("r")).select("company_id", "r.*")
 
 
-def rules_eval(f: DataFrame) -> DataFrame:
+def rules_eval(f: DataFrame, null_policy: str = "zero") -> DataFrame:
     """Hard rejection with its first reason, points left of 100 and rules fired, per company."""
-    sums = fired_rules(f).groupBy("company_id").agg(
+    sums = fired_rules(f, null_policy).groupBy("company_id").agg(
         F.count_if(F.col("kind") == "HARD").alias("hard_flags"), F.count_if(F.col("kind") == "POLICY").alias("policy_flags"),
         F.sum("points").alias("points"), F.min_by("feature", F.when(F.col("kind") == "HARD", F.col("ordinal"))).alias("reason"),
     )
@@ -181,10 +212,10 @@ CONDITIONS = [
 ]
 
 
-def conditions(f: DataFrame) -> DataFrame:
-    """Names of the conditions that an approval would carry."""
+def conditions(f: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Names of the conditions that an approval carries; verdicts: company_id, verdict. Rejections have no row."""
     each = [F.when(F.expr(f"{c} {op} {limit}"), F.lit(n)) for n, c, op, limit in CONDITIONS]
-    return f.select("company_id", F.array_join(F.filter(F.array(*each), lambda x: x.isNotNull()), ",").alias("conditions"))
+    return f.join(verdicts.where("verdict <> 'REJECT'").select("company_id"), "company_id", "left_semi").select("company_id", F.array_join(F.filter(F.array(*each), lambda x: x.isNotNull()), ",").alias("conditions"))
 
 
 def loan_sizing(f: DataFrame) -> DataFrame:
@@ -231,7 +262,7 @@ def ml_labels(f: DataFrame) -> DataFrame:
 
 def ratio_table(r: DataFrame) -> DataFrame:
     """Wide ratios to (metric, value, higher_is_better) rows."""
-    better = {"ebitda_margin": True, "pat_margin": True, "debt_to_equity": False, "interest_coverage_ratio": True, "dscr": True}
+    better = {"ebitda_margin": True, "pat_margin": True, "debt_to_equity": False, "current_ratio": True, "interest_coverage_ratio": True, "dscr": True}
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value"), F.lit(b).alias("higher_is_better")) for c, b in better.items()]))
     return r.select("company_id", rows.alias("x")).select("company_id", "x.*")
 
@@ -243,19 +274,10 @@ def risk_radar(f: DataFrame) -> DataFrame:
     return cs.unpivot("company_id", names, "axis", "value")
 
 
-def feature_ranks(f: DataFrame, features: list[str], k: int = 10) -> DataFrame:
-    """The k features that stand furthest from the portfolio's mean, in standard deviations, per company."""
-    stats = f.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in features]).first()
-    each = [F.struct(F.lit(c).alias("feature"), half_up((F.col(c) - stats[c]["m"]) / stats[c]["s"], 4).alias("z")) for c in features if stats[c]["s"]]
-    rows = f.select("company_id", F.explode(F.array(*each)).alias("x")).select("company_id", "x.*")
-    order = Window.partitionBy("company_id").orderBy(F.desc(F.abs("z")), "feature")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def days(fin: DataFrame, receivables: str = "receivables", inventories: str = "inventories", cogs: str = "cogs", current_assets: str = "current_assets", current_liabilities: str = "current_liabilities") -> DataFrame:
     """Debtor, inventory (of costs, else of revenue) and working-capital days; without figures 0, 0 and 90."""
     over = lambda a, b: F.when((F.col(a) > 0) & (b > 0), half_up(F.col(a) / b * 365, 1)).otherwise(0.0)
-    net = half_up((F.col(current_assets) - F.col(current_liabilities)) / F.col("revenue") * 365, 1)
+    net = half_up((_v(current_assets) - _v(current_liabilities)) / F.col("revenue") * 365, 1)
     return fin.select(
         "company_id", over(receivables, F.col("revenue")).alias("debtor_days"), over(inventories, F.coalesce(F.nullif(F.col(cogs), F.lit(0.0)), F.col("revenue"))).alias("inventory_days"),
         F.when(F.col("revenue") > 0, net).otherwise(90.0).alias("working_capital_days"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lendscope.functions.numbers import UNIT, multiplier
 from lendscope.functions.rounding import half_up
+from lendscope.operators.documents import around, matches
 
 #: A line that is a heading: capitals of two words or more, a number and a capital, or three words in title case.
 HEADING = r"^(?:[A-Z][A-Z0-9&()/,.:-]*(?: +[A-Z0-9&()/,.:-]+)+|(?:[0-9]{1,2}\.?[0-9]{0,2}\.?|[A-Z]\.) +[A-Z][^\n]*|[A-Z][a-z]+(?: +[A-Z][a-z]+){2,})$"
@@ -54,14 +55,20 @@ FINANCIALS = [
     ("annual_report", "total_debt", "total debt|total borrowings"), ("annual_report", "equity", "net worth|total equity"), ("annual_report", "current_assets", "current assets"),
     ("annual_report", "current_liabilities", "current liabilities"), ("annual_report", "interest", "finance costs?|interest expense"), ("itr", "gross_total_income", "gross total income|total income"),
 ]
-COMPANY = r"\b([A-Z][A-Z0-9 &]{4,50}(?: PVT| PRIVATE| LIMITED| LTD| LLP)\b)"
-DIRECTOR = r"\bDIN[: ]*[0-9]{8}\b[^A-Z]{0,20}([A-Z][A-Z .]{4,40})"
-ADDRESS = r"\b([A-Z][A-Z ,.-]{10,80}) *[-,] *[0-9]{6}\b"
+ASSESSMENT_YEAR = r"(?i)assessment year[: ]*(20[0-9]{2}-[0-9]{2,4})"
+#: In upper-cased text: up to seven words before a legal form; up to five words after a director's number; two words or
+#: more before a six-digit postal code.
+COMPANY = r"\b((?:[A-Z0-9&]{2,} ){1,7}(?:PVT|PRIVATE|LIMITED|LTD|LLP))\b"
+DIRECTOR = r"\bDIN\W{0,3}[0-9]{8}\W{1,5}((?:[A-Z]+\.? ){1,4}[A-Z]+)"
+ADDRESS = r"\b((?:[A-Z]+[ ,.-]+){2,12})[0-9]{6}\b"
 LEGAL_FORM = r"\b(?:PVT|PRIVATE|LTD|LIMITED|LLP|INC|CORP)\b\.?"
-PROMOTER = r"(?:[Pp]romoter|[Mm]anaging [Dd]irector|[Cc]hairman|CMD|CEO|CFO)[: ]+(?:Mr\. *|Ms\. *|Dr\. *|Shri *|Smt\. *)?([A-Z][a-z]{2,} +[A-Z][a-z]{2,})"
-HONORED = r"(?:Mr\.|Ms\.|Dr\.|Shri|Smt\.|CA|CS) *([A-Z][a-z]{2,} +[A-Z][a-z]{2,})"
+#: Two or three capitalised words, and these after a role or a title.
+_PERSON = r"((?:[A-Z][a-z]+ +){1,2}[A-Z][a-z]+)"
+PROMOTER = rf"\b(?:[Pp]romoter|[Mm]anaging [Dd]irector|[Cc]hairman|CEO|CFO|CMD)\W{{1,3}}(?:(?:Mr|Ms|Dr|Shri|Smt)\.? )?{_PERSON}"
+HONORED = rf"\b(?:Mr|Ms|Dr|Shri|Smt|CA|CS)\.? +{_PERSON}"
 DIN = r"(?i)DIN[ :]*([0-9]{8})"
-CHARGE = r"(?i)(?:charge|hypothecation|mortgage|pledge)[^.]*?(?:₹|Rs\.?) *([0-9,]+)[^.]*?(?:in favour of|to) +([A-Za-z &]{5,50})"
+#: A sentence of a charge: its amount, and up to six words after the one that names the lender.
+CHARGE = r"(?i)\b(?:charge|hypothecation|mortgage|pledge)\b[^.\n]{0,120}?(?:₹|\brs\b\.?) ?([0-9][0-9,]*)[^.\n]{0,60}? (?:in favour of|to) ((?:[a-z&]+ ){0,5}[a-z&]+)"
 CIN = r"\b[LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}\b"
 
 
@@ -80,19 +87,43 @@ def segment_blocks(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "block_no", F.when(headed, F.substring_index(F.substr("block", F.lit(2)), "\n", 1)).otherwise("").alias("heading"), F.regexp_replace("block", "\x01", "").alias("text"))
 
 
+#: Words of a block's first 300 characters, and the section they head, where no keyword tells it.
+HEADERS = [
+    ("balance *sheet|statement of[^\n]*assets", "balance_sheet"), ("profit *(?:&|and) *loss|income *statement", "profit_loss"), ("cash *flow", "cash_flow"), ("auditor.?s? *report|independent *auditor", "auditors_report"),
+    ("director.?s? *report", "directors_report"), ("notes *(?:to|on) *(?:the *)?(?:financial|account)", "notes_to_accounts"), ("related *party", "related_party"), ("contingent *liabilit", "contingent_liabilities"),
+    ("corporate *governance", "corporate_governance"), ("management[^\n]*discussion|md *& *a", "management_discussion"), ("schedule[^\n]*(?:borrowing|debt|loan|fixed *asset)", "notes_to_accounts"),
+]
+
+
 def classify_sections(blocks: DataFrame, schema: dict[str, list[str]] | None = None) -> DataFrame:
-    """The section with most keywords, the first declared on a tie; 0.5, 0.75 or 0.95 sure, 0.15 without a keyword."""
+    """The section with most keywords, the first declared on a tie; 0.5, 0.75 or 0.95 sure. Without a keyword the one that
+    the block's first 300 characters head (0.55), else unclassified (0.15). Sections of other types of documents come as
+    schema: a table of all types would be too long here."""
     low = blocks.withColumn("low", F.lower("text"))
+    head = F.lit(None).cast("string")
+    for pattern, section in reversed(HEADERS):
+        head = F.when(F.substring("low", 1, 300).rlike(pattern), section).otherwise(head)
     hits = [F.struct(sum((F.col("low").contains(w).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, words) in enumerate((schema or SECTIONS).items())]
     best = low.withColumn("b", F.array_max(F.array(*hits)))
     n = F.col("b.n")
-    return best.select("doc_id", "block_no", F.when(n > 0, F.col("b.k")).otherwise("unclassified").alias("section"), F.when(n > 0, F.least(0.5 + (n - 1) * 0.25, F.lit(0.95))).otherwise(0.15).alias("confidence"))
+    best = best.withColumn("head", F.when(n == 0, head))
+    sure = F.when(n > 0, F.least(0.5 + (n - 1) * 0.25, F.lit(0.95))).when(F.col("head").isNotNull(), 0.55).otherwise(0.15)
+    return best.select("doc_id", "block_no", F.when(n > 0, F.col("b.k")).otherwise(F.coalesce("head", F.lit("unclassified"))).alias("section"), sure.alias("confidence"))
+
+
+def audit_texts(docs: DataFrame, blocks: DataFrame, sections: DataFrame) -> DataFrame:
+    """docs with the text of its auditor's sections in place of the whole, where it has such sections. blocks: doc_id, block_no,
+    text; sections: of classify_sections."""
+    own = blocks.join(sections.where("section = 'auditors_report'").select("doc_id", "block_no"), ["doc_id", "block_no"])
+    joined = own.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), "\n").alias("audit_text"))
+    return docs.join(joined, "doc_id", "left").withColumn("text", F.coalesce("audit_text", "text")).drop("audit_text")
 
 
 def audit_remarks(docs: DataFrame) -> DataFrame:
-    """doc_id, company_id, type, weight: each type of remark once a document."""
+    """doc_id, company_id, type, weight, context (80 characters before and 120 after): each type of remark once a document."""
     low = docs.select("doc_id", "company_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    each = F.array(*[F.when(F.col("low").rlike(p), F.struct(F.lit(t).alias("type"), F.lit(w).alias("weight"))) for p, t, w in REMARKS])
+    context = lambda p: around(F.col("low"), F.regexp_extract("low", p, 0), 80, 120)
+    each = F.array(*[F.when(matches(F.col("low"), p), F.struct(F.lit(t).alias("type"), F.lit(w).alias("weight"), context(p).alias("context"))) for p, t, w in REMARKS])
     return low.select("doc_id", "company_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("doc_id", "company_id", "x.*")
 
 
@@ -112,18 +143,20 @@ def bank_anomaly(statements: DataFrame) -> DataFrame:
 
 def _figure(kind: str):
     group = lambda x, i: F.regexp_extract(x, FIGURES[kind], i)
-    return lambda x: F.struct(F.lit(kind).alias("type"), F.lower(F.trim(group(x, 1))).alias("label"), F.regexp_replace(group(x, 2), ",", "").try_cast("double").alias("n"), F.lower(group(x, 3)).alias("unit"))
+    return lambda x: F.struct(F.lit(kind).alias("type"), F.lower(F.trim(group(x, 1))).alias("label"), F.regexp_replace(group(x, 2), ",", "").try_cast("double").alias("n"), F.lower(group(x, 3)).alias("unit"), x.alias("found"))
 
 
 def figures(docs: DataFrame) -> DataFrame:
-    """doc_id, type, label, metric, value: each label and value of a document once; amounts in rupees."""
+    """doc_id, type, label, metric, value, has_unit, context: each label and value of a document once; amounts in rupees; what
+    stands within 60 characters of its first place."""
     parts = [F.transform(_all(p, 0), _figure(kind)) for kind, p in FIGURES.items()]  # a text is scanned once a pattern
-    found = docs.select("doc_id", F.explode(F.concat(*parts)).alias("x")).select("doc_id", "x.*").where("n IS NOT NULL")
+    found = docs.select("doc_id", "text", F.posexplode(F.concat(*parts)).alias("place", "x")).select("doc_id", "place", "x.*", around(F.col("text"), F.col("x.found"), 60, 60).alias("context")).where("n IS NOT NULL")
     metric = F.lit("other")
     for name, words in reversed(list(FIGURE_METRICS.items())):
         metric = F.when(sum((F.col("label").contains(w).cast("int") for w in words), F.lit(0)) > 0, name).otherwise(metric)
     value = F.col("n") * F.when(F.col("type") == "currency", multiplier(F.col("unit"))).otherwise(1.0)
-    return found.select("doc_id", "type", "label", metric.alias("metric"), value.alias("value")).distinct()
+    keys = [F.col("doc_id"), F.col("type"), F.col("label"), metric.alias("metric"), value.alias("value"), (F.col("unit") != "").alias("has_unit")]
+    return found.select(*keys, "place", "context").groupBy("doc_id", "type", "label", "metric", "value", "has_unit").agg(F.min_by("context", "place").alias("context"))
 
 
 def doc_financials(docs: DataFrame) -> DataFrame:
@@ -136,6 +169,12 @@ def doc_financials(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.*")
 
 
+def assessment_years(docs: DataFrame) -> DataFrame:
+    """doc_id, assessment_year: the first one that a tax return tells."""
+    year = F.nullif(F.regexp_extract("text", ASSESSMENT_YEAR, 1), F.lit(""))
+    return docs.where("doc_type = 'itr'").select("doc_id", year.alias("assessment_year")).where("assessment_year IS NOT NULL")
+
+
 def notes_signals(notes: DataFrame) -> DataFrame:
     """notes: company_id, text, debt_crore. Collateral over debt (1.3), capacity (0.7) and top customers' share (0.4), with defaults."""
     pick = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit("")).try_cast("double")
@@ -184,7 +223,8 @@ def doc_company_names(docs: DataFrame) -> DataFrame:
     """company_id, kind, name: distinct companies (without their legal form), directors and addresses in upper-cased texts."""
     up = docs.select("company_id", F.upper("text").alias("text"))
     tidy = lambda x: F.trim(F.regexp_replace(x, " +", " "))
-    kinds = [("company", COMPANY, lambda x: tidy(F.regexp_replace(x, LEGAL_FORM, " "))), ("director", DIRECTOR, tidy), ("address", ADDRESS, lambda x: F.substring(tidy(x), 1, 60))]
+    ends = r"[ ,.-]+$"
+    kinds = [("company", COMPANY, lambda x: tidy(F.regexp_replace(x, LEGAL_FORM, " "))), ("director", DIRECTOR, tidy), ("address", ADDRESS, lambda x: F.substring(tidy(F.regexp_replace(x, ends, "")), 1, 60))]
     named = lambda kind, f: lambda x: F.struct(F.lit(kind).alias("kind"), f(x).alias("name"))
     rows = [F.transform(_all(p, 1), named(k, f)) for k, p, f in kinds]
     return up.select("company_id", F.explode(F.concat(*rows)).alias("x")).select("company_id", "x.*").where("length(name) > 4").distinct()

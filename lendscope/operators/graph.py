@@ -48,6 +48,17 @@ def counterparty_freq(txns: DataFrame) -> DataFrame:
     return ends.groupBy("company_id", "entity").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def top_counterparties(freq: DataFrame, k: int = 10) -> DataFrame:
+    """The k most frequent counterparties of a company, the first by name on a tie."""
+    order = Window.partitionBy("company_id").orderBy(F.desc("freq"), "entity")
+    return freq.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def counterparties(freq: DataFrame) -> DataFrame:
+    """company_id, entity: each counterparty of a company once."""
+    return freq.select("company_id", "entity").distinct()
+
+
 def counterparty_concentration(freq: DataFrame) -> DataFrame:
     share = half_up(F.max("freq") / F.sum("freq"), 4)
     out = freq.groupBy("company_id").agg(share.alias("concentration"))
@@ -57,13 +68,12 @@ def counterparty_concentration(freq: DataFrame) -> DataFrame:
 
 def layered_pairs(edges: DataFrame) -> DataFrame:
     """Pairs that pay each other, once each: ratio of the smaller to the larger flow, and their sum."""
-    out, back = edges.alias("o"), edges.alias("b")
-    same = (F.col("o.company_id") == F.col("b.company_id")) & (F.col("o.src") == F.col("b.dst")) & (F.col("o.dst") == F.col("b.src"))
-    both = out.where((F.col("src") < F.col("dst")) & (F.col("total_amount") > 0)).join(back.where(F.col("total_amount") > 0), same)
-    x, y = F.col("o.total_amount"), F.col("b.total_amount")
-    return both.select(
-        F.col("o.company_id"), F.col("o.src").alias("entity_a"), F.col("o.dst").alias("entity_b"),
-        half_up(F.least(x, y) / F.greatest(x, y), 3).alias("ratio"), half_up(x + y, 2).alias("combined"),
+    flow = lambda forth: F.max(F.when((F.col("src") < F.col("dst")) == forth, F.col("total_amount")))
+    ends = [F.least("src", "dst").alias("entity_a"), F.greatest("src", "dst").alias("entity_b")]
+    both = edges.where("total_amount > 0 AND src <> dst").groupBy("company_id", *ends).agg(flow(True).alias("x"), flow(False).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return both.where("x IS NOT NULL AND y IS NOT NULL").select(
+        "company_id", "entity_a", "entity_b", half_up(F.least(x, y) / F.greatest(x, y), 3).alias("ratio"), half_up(x + y, 2).alias("combined"),
     )
 
 
@@ -150,6 +160,14 @@ def benford(values: DataFrame, least: float = 1000, enough: int = 100) -> DataFr
     )
 
 
+def benford_distribution(values: DataFrame, least: float = 1000) -> DataFrame:
+    """company_id, digit, observed, expected: shares of the first digits 1 to 9 of a company's amounts, and Benford's."""
+    digits = values.where(F.col("amount") > least).select("company_id", first_digit(F.col("amount")).alias("digit"))
+    counts = digits.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("digit") == d).alias(f"d{d}") for d in range(1, 10)])
+    rows = F.explode(F.array(*[F.struct(F.lit(d).alias("digit"), half_up(F.col(f"d{d}") / F.col("n"), 4).alias("observed"), F.lit(round(math.log10(1 + 1 / d), 4)).alias("expected")) for d in range(1, 10)]))
+    return counts.select("company_id", rows.alias("x")).select("company_id", "x.*")
+
+
 def circular_composite(companies: DataFrame, cycle: DataFrame, layered: DataFrame, shell: DataFrame, concentration: DataFrame) -> DataFrame:
     joined = companies
     for scores in (cycle, layered, shell, concentration):

@@ -35,10 +35,13 @@ def ml_prepare(f: DataFrame, features: list[str]) -> DataFrame:
     return rows.select("company_id", F.get(names, F.col("i")).alias("feature"), half_up(F.col("value"), 6).alias("value"))
 
 
-def split(f: DataFrame, share: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows by a hash of company_id, the same share of each label but for chance."""
-    bucket = F.pmod(F.xxhash64("company_id", F.lit(42)), F.lit(100))
-    return f.where(bucket < share), f.where(bucket >= share)
+def split(f: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows, that share of each label: rows of a label up to the quantile of a hash of company_id."""
+    hashed = f.withColumn("drawn", F.xxhash64("company_id", F.lit(42)))
+    cuts = hashed.groupBy("label").agg(F.percentile_approx("drawn", share, 100_000).alias("cut"))  # a row a label
+    dealt = hashed.join(F.broadcast(cuts), "label")
+    part = lambda test: dealt.where(test).select(*f.columns)
+    return part("drawn <= cut"), part("drawn > cut")
 
 
 def train(f: DataFrame, features: list[str], trees: int = 300, depth: int = 5, step: float = 0.06) -> PipelineModel:

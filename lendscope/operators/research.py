@@ -9,7 +9,9 @@ from lendscope.functions.rounding import half_up
 
 #: Words of good and bad news.
 POSITIVE = ["revenue", "profit", "growth", "expansion", "award", "win", "export", "strong", "record", "dividend", "orders", "contract", "upgrade", "increase", "surplus", "positive", "improvement", "success", "milestone", "approved"]
-NEGATIVE = ["fraud", "default", "npa", "lawsuit", "penalty", "raid", "loss", "closure", "insolvency", "nclt", "cbi", "investigation", "arrest", "cheque bounce", "winding up", "bankrupt", "shutdown", "complaint", "wilful defaulter", "sebi", "drt", "pmla", "money laundering", "fake", "bogus", "overdue", "decline", "downgrade", "restructuring"]
+NEGATIVE = ["fraud", "default", "npa", "lawsuit", "penalty", "raid", "loss", "closure", "insolvency", "nclt", "ed", "cbi", "investigation", "arrest", "cheque bounce", "winding up", "bankrupt", "shutdown", "fir", "complaint", "wilful defaulter", "sebi", "drt", "drat", "pmla", "money laundering", "fake", "bogus", "overdue", "interest rate hike", "decline", "downgrade", "restructuring"]
+#: Words that tell of a case.
+LITIGATION = ["npa", "default", "nclt", "insolvency", "drt", "recovery", "fraud", "cheque bounce", "section 138", "wilful defaulter", "ed raid", "cbi", "sebi", "attachment order", "winding up"]
 #: Words that tell a case's severity, the gravest first, with its weight.
 SEVERITY = {
     "CRITICAL": (["wilful defaulter", "fraud classification", "pmla", "enforcement directorate", "cbi", "insolvency", "ibc"], 1.0),
@@ -23,11 +25,31 @@ def _hits(text: Column, words: list[str]) -> Column:
     return sum((text.contains(w).cast("int") for w in words), F.lit(0))
 
 
-def sentiment(articles: DataFrame) -> DataFrame:
-    """articles with sentiment, from the words in title and snippet."""
+def sentiment(articles: DataFrame, whole_words: bool = False) -> DataFrame:
+    """articles with sentiment, from the words in title and snippet (anywhere, or as whole words), and
+    has_litigation_signal: whether any word of a case is in them."""
     low = F.lower(F.concat_ws(" ", "title", "snippet"))
-    bad, good = _hits(low, NEGATIVE), _hits(low, POSITIVE)
-    return articles.withColumn("sentiment", F.when(bad > good, "NEGATIVE").when(good > bad, "POSITIVE").otherwise("NEUTRAL"))
+    hits = (lambda words: sum((low.rlike(rf"\b{w}\b").cast("int") for w in words), F.lit(0))) if whole_words else (lambda words: _hits(low, words))
+    bad, good = hits(NEGATIVE), hits(POSITIVE)
+    told = F.when(bad > good, "NEGATIVE").when(good > bad, "POSITIVE").otherwise("NEUTRAL")
+    return articles.withColumns({"sentiment": told, "has_litigation_signal": _hits(low, LITIGATION) > 0})
+
+
+#: Letters, No and a number with a year.
+CASE_NUMBER = r"[A-Z]+ *No\.? *[0-9]+[/-][0-9]{4}"
+
+
+def legal_cases(docs: DataFrame) -> DataFrame:
+    """A feed of cases_union: one case a legal document. docs: company_id, doc_id, doc_type, text. The summary names the
+    document and its first three case numbers."""
+    numbers = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(CASE_NUMBER), F.lit(0)), 1, 3), ", ")
+    summary = F.concat(F.lit("Legal document "), F.col("doc_id"), F.lit(": "), F.coalesce(F.nullif(numbers, F.lit("")), F.lit("case reference found")))
+    return docs.where("doc_type = 'legal'").select("company_id", F.col("doc_id").alias("ordinal"), summary.alias("summary"), "text", F.col("doc_id").cast("string").alias("document"))
+
+
+def news_cases(articles: DataFrame) -> DataFrame:
+    """A feed of cases_union: articles (of sentiment()) with a litigation signal; their snippet tells the severity."""
+    return articles.where("has_litigation_signal").select("company_id", "ordinal", F.coalesce("title", F.lit("")).alias("summary"), F.col("snippet").alias("text"))
 
 
 def news_dedup_topk(articles: DataFrame, k: int = 20) -> DataFrame:
@@ -71,12 +93,14 @@ def litigation_score(cases: DataFrame) -> DataFrame:
     for name, (_, w) in SEVERITY.items():
         weight = F.when(F.col("severity") == name, w).otherwise(weight)
     out = cases.groupBy("company_id").agg(F.sum(weight.cast("decimal(10,2)")).cast("double").alias("weight"), F.count(F.lit(1)).alias("cases"), F.count_if(F.col("severity").isin("CRITICAL", "HIGH")).alias("high"))
-    return out.select("company_id", "cases", "high", half_up(F.least(F.col("weight") / 5, F.lit(1.0)), 4).alias("severity_score"), half_up(F.least(F.col("cases") / 20, F.lit(1.0)), 4).alias("risk"))
+    flags = F.concat_ws(",", F.when(F.col("high") > 0, F.lit("SIGNIFICANT_LITIGATION")), F.when(F.col("cases") > 15, F.lit("LITIGATION_COUNT_HIGH")))
+    return out.select("company_id", "cases", "high", half_up(F.least(F.col("weight") / 5, F.lit(1.0)), 4).alias("severity_score"), half_up(F.least(F.col("cases") / 20, F.lit(1.0)), 4).alias("risk"), flags.alias("flags"))
 
 
 def multi_company_directors(directors: DataFrame, least: int = 3) -> DataFrame:
-    """directors: director, company_id. Directors with that many companies or more."""
-    out = directors.groupBy("director").agg(F.countDistinct("company_id").alias("companies"))
+    """directors: director, company_id. Directors with that many companies or more, and these."""
+    ids = F.array_sort(F.collect_set("company_id"))
+    out = directors.groupBy("director").agg(F.size(ids).cast("long").alias("companies"), ids.alias("company_ids"))
     return out.where(F.col("companies") >= least)
 
 
@@ -90,14 +114,22 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     """edges: a, b. degree / (n - 1) of each node."""
     ends = edges.distinct().select(F.explode(F.array("a", "b")).alias("node"))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    n = degree.count()  # one number
-    return degree.select("node", "degree", half_up(F.col("degree") / float(max(n - 1, 1)), 6).alias("centrality"))
+    others = ends.agg((F.countDistinct("node") - 1).alias("n")).scalar()
+    return degree.select("node", "degree", half_up(F.col("degree") / F.greatest(others, F.lit(1)).cast("double"), 6).alias("centrality"))
+
+
+def central_nodes(edges: DataFrame, k: int = 5) -> DataFrame:
+    """edges of promoter_graph. The k case and lender nodes of a company with most edges."""
+    few = edges.where("relation <> 'is_director'").groupBy("company_id", "relation", F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    order = Window.partitionBy("company_id", "relation").orderBy(F.desc("degree"), "node")
+    return few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 #: Words of falling and rising ratings.
 DOWNGRADE = ["downgrade", "lower", "negative outlook", "watch negative", "default", "withdrawn", "suspend", "junk", "speculative grade", "below investment grade", "credit watch", "review for downgrade", "npa"]
 UPGRADE = ["upgrade", "improve", "positive outlook", "watch positive", "affirm", "raise", "investment grade", "outlook stable", "outlook positive", "removed from watch", "reaffirm"]
-RATING = r"\b(?:(?:IND|CRISIL|ICRA|CARE) [A-D][+-]?|AAA|AA[+-]?|BBB[+-]?|BB[+-]?|CCC|CC)\b"
+#: A symbol, alone or after an agency, that no letter, digit or sign follows.
+RATING = r"\b((?:IND|CRISIL|ICRA|CARE) [A-D][+-]?|AAA|AA[+-]?|A[+-]?|BBB[+-]?|BB[+-]?|B[+-]?|CCC|CC|C|D)(?:[^A-Za-z0-9+-]|$)"
 #: Words of the macro categories.
 HAWKISH = ["hike", "tighten", "restrictive", "inflation", "elevated", "caution", "withdraw", "liquidity absorption"]
 DOVISH = ["cut", "ease", "accommodative", "pause", "stable", "lower", "reduce", "support", "surplus liquidity"]
@@ -108,17 +140,17 @@ GLOBAL_RISK = ["recession", "war", "sanction", "slowdown"]
 #: Words against and for a sector.
 HEADWIND = ["risk", "challenge", "decline", "slowdown", "pressure", "penalty", "ban", "crisis"]
 TAILWIND = ["growth", "demand", "expansion", "boost", "positive", "recovery", "export"]
-#: Sector, base risk, keywords; further sectors come as a parameter.
+#: Sector, base risk, keywords, for ten sectors; more (a table of all would be too long here) come as a parameter.
 SECTORS = {
-    "steel": (0.55, ["steel", "iron", "rolling mill", "blast furnace", "hot rolled", "cold rolled", "tmt bar", "wire rod"]),
+    "steel": (0.55, ["steel", "iron", "rolling mill", "sponge iron", "blast furnace", "hot rolled", "cold rolled", "tmt bar", "wire rod", "pig iron"]),
     "textile": (0.50, ["textile", "garment", "yarn", "fabric", "spinning", "weaving", "apparel", "hosiery", "knitting", "dyeing", "cotton", "polyester"]),
-    "real_estate": (0.65, ["real estate", "developer", "housing", "construction", "builder", "realty", "township", "residential project", "commercial property", "warehouse", "reit"]),
-    "it": (0.30, ["information technology", "software", "it services", "saas", "bpo", "ites", "data center", "cloud", "cybersecurity", "fintech", "digital", "platform", "erp"]),
-    "pharma": (0.35, ["pharma", "drug", "active pharmaceutical", "medicine", "hospital", "healthcare", "biotech", "formulation", "clinical", "medical device"]),
-    "nbfc": (0.60, ["nbfc", "microfinance", "lending", "financial services", "mfi", "asset finance", "gold loan", "housing finance", "vehicle finance"]),
-    "infrastructure": (0.55, ["infrastructure", "road", "highway", "port", "airport", "power", "shipyard", "maritime", "shipping", "bridge", "metro", "tunnel", "substation", "dam"]),
-    "agri": (0.45, ["agri", "farm", "crop", "fertilizer", "seeds", "pesticide", "irrigation", "dairy", "poultry", "food processing", "sugar mill", "rice mill", "cold chain"]),
-    "auto": (0.50, ["auto", "vehicle", "truck", "two-wheeler", "three-wheeler", "tyre", "ancillary", "forging", "casting", "transmission"]),
+    "real_estate": (0.65, ["real estate", "developer", "housing", "construction", "builder", "realty", "township", "residential project", "commercial property", "warehouse", "reit", "plotted development"]),
+    "it": (0.30, ["information technology", "software", "it services", "saas", "bpo", "ites", "data center", "cloud", "cybersecurity", "ai", "fintech", "tech", "digital", "platform", "erp"]),
+    "pharma": (0.35, ["pharma", "pharmaceutical", "drug", "api", "active pharmaceutical", "medicine", "hospital", "healthcare", "biotech", "formulation", "clinical", "nutraceutical", "ayurvedic", "medical device"]),
+    "nbfc": (0.60, ["nbfc", "microfinance", "lending", "financial services", "mfi", "asset finance", "gold loan", "housing finance", "hfc", "vehicle finance", "consumer lending"]),
+    "infrastructure": (0.55, ["infrastructure", "road", "highway", "port", "airport", "power", "shipyard", "maritime", "shipping", "vessel", "dockyard", "naval", "offshore", "rig", "bridge", "metro", "tunnel", "transmission line", "substation", "irrigation", "dam"]),
+    "agri": (0.45, ["agriculture", "agri", "farm", "crop", "fertilizer", "seeds", "pesticide", "irrigation", "dairy", "poultry", "aquaculture", "food processing", "sugar mill", "rice mill", "cold chain"]),
+    "auto": (0.50, ["automobile", "auto", "vehicle", "car", "truck", "two-wheeler", "three-wheeler", "ev", "electric vehicle", "tyre", "ancillary", "forging", "casting", "auto component", "transmission"]),
     "cement": (0.45, ["cement", "concrete", "rmc", "ready mix", "clinker", "fly ash", "lime", "gypsum", "asbestos"]),
 }
 DEFAULT_SECTOR_RISK = 0.50
@@ -140,7 +172,7 @@ def rating_trend(texts: DataFrame, scope: str) -> DataFrame:
 
 def rating_mentions(texts: DataFrame, k: int = 5) -> DataFrame:
     """texts: company_id, doc_id, text. The first k distinct rating symbols of a company, as written."""
-    found = texts.select("company_id", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(RATING), F.lit(0))).alias("place", "rating"))
+    found = texts.select("company_id", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(RATING), F.lit(1))).alias("place", "rating"))
     once = found.groupBy("company_id", "rating").agg(F.min(F.struct("doc_id", "place")).alias("seen"))
     order = Window.partitionBy("company_id").orderBy("seen")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("company_id", "rating", "rank")
@@ -186,13 +218,14 @@ def sector_risk(detected: DataFrame, kept: DataFrame, regulatory: DataFrame, sec
     return out.select("company_id", "sector", outlook.alias("outlook"), half_up(F.least(F.col("risk") + F.col("extra"), F.lit(1.0)), 4).alias("sector_risk"))
 
 
-def head_tailwinds(articles: DataFrame, k: int = 5) -> DataFrame:
-    """The first k distinct titles of a company whose title or body tells of a headwind, and of a tailwind."""
+def head_tailwinds(articles: DataFrame, k: int = 5, good: int = 3) -> DataFrame:
+    """The first k distinct titles of a company whose title or body tells of a headwind, and of a tailwind, and the first
+    good ones of positive articles. articles: of sentiment()."""
     low = F.lower(F.concat_ws(" ", "title", "snippet"))
-    sides = F.filter(F.array(F.when(_hits(low, HEADWIND) > 0, F.lit("headwind")), F.when(_hits(low, TAILWIND) > 0, F.lit("tailwind"))), lambda x: x.isNotNull())
+    sides = F.filter(F.array(F.when(_hits(low, HEADWIND) > 0, F.lit("headwind")), F.when(_hits(low, TAILWIND) > 0, F.lit("tailwind")), F.when(F.col("sentiment") == "POSITIVE", F.lit("positive"))), lambda x: x.isNotNull())
     once = articles.where("title <> ''").select("company_id", "ordinal", "title", F.explode(sides).alias("side")).groupBy("company_id", "side", "title").agg(F.min("ordinal").alias("ordinal"))
     order = Window.partitionBy("company_id", "side").orderBy("ordinal")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("side") == "positive", good).otherwise(k))
 
 
 def shared_address(addresses: DataFrame, least: int = 2) -> DataFrame:
@@ -220,6 +253,12 @@ def promoter_risk(f: DataFrame) -> DataFrame:
     return f.select("company_id", risk.alias("promoter_risk")).withColumn("flagged", F.col("promoter_risk") > 0.7)
 
 
+def promoter_network_risk(risk: DataFrame, shell: DataFrame) -> DataFrame:
+    """Promoter risk with a fifth of the shell network score, 1 at most."""
+    both = F.col("promoter_risk") + 0.20 * F.coalesce("shell_network_score", F.lit(0.0))
+    return risk.join(shell, "company_id", "left").select("company_id", half_up(F.least(both, F.lit(1.0)), 4).alias("promoter_network_risk"))
+
+
 def research_risk(f: DataFrame) -> DataFrame:
     """f: company_id, news_risk, litigation_risk, sector_risk, macro_risk, rating_trend."""
     score = 0.25 * F.col("news_risk") + 0.35 * F.col("litigation_risk") + 0.20 * F.col("sector_risk") + 0.10 * F.col("macro_risk") + 0.10 * F.when(F.col("rating_trend") == "DETERIORATING", 0.10).otherwise(0.0)

@@ -14,7 +14,7 @@ DEFAULTS = {
     "circular_trading_score": 0.0, "benford_deviation_score": 0.0, "litigation_count": 0.0, "litigation_severity_score": 0.0, "news_sentiment_score": 0.5, "promoter_network_risk": 0.0,
     "sector_risk_score": 0.5, "collateral_coverage_ratio": 1.3, "capacity_utilization": 0.7, "customer_concentration": 0.4, "regulatory_violation_count": 0.0,
 }
-TEXT_FIRST = ["debt_to_equity", "current_ratio"]
+TEXT_FIRST = ["debt_to_equity", "current_ratio", "interest_coverage_ratio", "dscr", "debtor_days"]
 #: Type of document that a feature is read from.
 SOURCES = {
     "annual_report": ["revenue_growth_3yr", "ebitda_margin", "pat_margin", "debt_to_equity", "current_ratio", "interest_coverage_ratio", "working_capital_days", "debtor_days", "inventory_days", "customer_concentration", "promoter_network_risk"],
@@ -59,12 +59,26 @@ def evidence_edges(docs: DataFrame, sections: DataFrame, fired: DataFrame, decis
     return held.unionByName(fed).unionByName(fires).unionByName(leads).distinct()
 
 
-def evidence_trace(features: DataFrame, docs: DataFrame, fired: DataFrame, k: int = 20) -> DataFrame:
-    """company_id, rank, feature, doc_type, doc_id, value, fired: the first document of a company behind each of its first k features."""
+#: The part of its document that a feature is read from.
+PLACES = {
+    "Profit & Loss Statement": ["revenue_growth_3yr", "ebitda_margin", "pat_margin", "interest_coverage_ratio"], "Balance Sheet": ["debt_to_equity", "current_ratio", "working_capital_days", "debtor_days", "inventory_days"],
+    "Cash Flow Statement": ["dscr"], "Monthly Credit Transactions": ["cashflow_volatility"], "Revenue Reconciliation": ["gst_bank_mismatch_score"], "ITC Reconciliation": ["gstr2a_3b_mismatch_score"],
+    "Revenue Cross-check": ["itr_revenue_mismatch_score"], "Transaction Network Analysis": ["circular_trading_score"], "Benford Statistical Test": ["benford_deviation_score"], "Court Orders / DRT / NCLT": ["litigation_count"],
+    "Litigation Impact Assessment": ["litigation_severity_score"], "Director & Group Entity Analysis": ["promoter_network_risk"], "Revenue by Customer Segment": ["customer_concentration"], "Auditor Report / CARO": ["regulatory_violation_count"],
+}
+
+
+def evidence_trace(features: DataFrame, docs: DataFrame, fired: DataFrame, drivers: DataFrame | None = None, k: int = 20) -> DataFrame:
+    """company_id, rank, feature, doc_type, doc_id, file_name, section, value, fired, is_top_driver: the first document of a
+    company behind each of its first k features. docs: company_id, doc_type, doc_id, file_name; drivers: company_id, feature."""
     rows = [F.struct(F.lit(i).alias("i"), F.lit(c).alias("feature"), F.lit(t).alias("doc_type"), F.col(c).alias("value")) for i, (t, c) in enumerate((t, c) for t, names in SOURCES.items() for c in names)]
     long = features.select("company_id", F.explode(F.array(*rows)).alias("x")).select("company_id", "x.*")
-    first = docs.groupBy("company_id", "doc_type").agg(F.min("doc_id").alias("doc_id"))
-    hit = fired.select("company_id", "feature").distinct().withColumn("fired", F.lit(True))
-    out = long.join(first, ["company_id", "doc_type"]).join(hit, ["company_id", "feature"], "left").fillna(False, ["fired"])
+    first = docs.groupBy("company_id", "doc_type").agg(F.min("doc_id").alias("doc_id"), F.min_by("file_name", "doc_id").alias("file_name"))
+    keys = ["company_id", "feature"]
+    hit = fired.select(keys).distinct().withColumn("fired", F.lit(True))
+    out = long.join(first, ["company_id", "doc_type"]).join(hit, keys, "left")
+    top = (drivers if drivers is not None else fired.limit(0)).select(keys).distinct().withColumn("is_top_driver", F.lit(True))
+    out = out.join(top, keys, "left").fillna(False, ["fired", "is_top_driver"])
+    place = F.create_map(*[F.lit(x) for section, names in PLACES.items() for c in names for x in (c, section)])
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("company_id").orderBy("i")))
-    return ranked.where(F.col("rank") <= k).select("company_id", "rank", "feature", "doc_type", "doc_id", half_up(F.col("value"), 4).alias("value"), "fired")
+    return ranked.where(F.col("rank") <= k).select("company_id", "rank", "feature", "doc_type", "doc_id", "file_name", place[F.col("feature")].alias("section"), half_up(F.col("value"), 4).alias("value"), "fired", "is_top_driver")

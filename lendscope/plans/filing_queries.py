@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lendscope.functions import numbers
 from lendscope.functions.rounding import half_up_sql as r
 from lendscope.operators import filings, graph
+from lendscope.plans.figures import FIGURES, FILINGS, around, times
 from lendscope.plans.inputs import frame
-from lendscope.plans.inputs import sql as s
 from lendscope.plans.queries import CONTAINS, CYCLES, HITS, MANY, edges, query
 
-FILINGS = f"({s('filings')})"
 _all = lambda p, i, t="text": f"regexp_extract_all({t}, '{p}', {i})"
 _one = lambda p, i=1: f"regexp_extract(text, '{p}', {i})"
-_times = lambda u: "CASE " + " ".join(f"WHEN regexp_full_match(lower({u}), '{q}') THEN {t:.0f}e0" for q, t in numbers.UNITS) + " ELSE 1e0 END"
+_times = times
 _docs = lambda spark, d: frame(spark, d, "filings")
 
 _marked = f"array_to_string([CASE WHEN length(trim(x)) BETWEEN 4 AND 120 AND regexp_matches(trim(x), '{filings.HEADING}') THEN chr(2) || chr(1) || trim(x) ELSE x END FOR x IN string_split(text, chr(10))], chr(10))"
@@ -32,18 +30,27 @@ def segment_blocks(spark, d):
 _sections = ", ".join(f"{{'n': {HITS('low', words)}, 'o': {-i}, 'k': '{k}'}}" for i, (k, words) in enumerate(filings.SECTIONS.items()))
 
 
-@query(f"""SELECT doc_id, block_no, CASE WHEN b.n > 0 THEN b.k ELSE 'unclassified' END AS section, CASE WHEN b.n > 0 THEN least(0.5e0 + (b.n - 1) * 0.25e0, 0.95e0) ELSE 0.15e0 END AS confidence
-FROM (SELECT doc_id, block_no, list_max([{_sections}]) AS b FROM (SELECT doc_id, block_no, lower(text) AS low FROM {BLOCKS}))""")
+_head = "CASE " + " ".join(f"WHEN regexp_matches(left(low, 300), '{p}') THEN '{k}'" for p, k in filings.HEADERS) + " END"
+CLASSIFIED = f"""(SELECT doc_id, block_no, text, CASE WHEN b.n > 0 THEN b.k ELSE coalesce(head, 'unclassified') END AS section, CASE WHEN b.n > 0 THEN least(0.5e0 + (b.n - 1) * 0.25e0, 0.95e0) WHEN head IS NOT NULL THEN 0.55e0 ELSE 0.15e0 END AS confidence
+  FROM (SELECT doc_id, block_no, text, list_max([{_sections}]) AS b, {_head} AS head FROM (SELECT doc_id, block_no, text, lower(text) AS low FROM {BLOCKS})))"""
+
+
+@query(f"SELECT doc_id, block_no, section, confidence FROM {CLASSIFIED}")
 def classify_sections(spark, d):
     return filings.classify_sections(segment_blocks(spark, d))
 
 
-REMARKS = "(" + " UNION ALL ".join(f"SELECT doc_id, company_id, '{t}' AS type, {w}e0 AS weight FROM {FILINGS} WHERE regexp_matches(lower(text), '{p}')" for p, t, w in filings.REMARKS) + ")"
+AUDITED = f"""(SELECT f.doc_id, f.company_id, lower(coalesce(a.t, f.text)) AS low FROM {FILINGS} f
+  LEFT JOIN (SELECT doc_id, string_agg(text, chr(10) ORDER BY block_no) AS t FROM {CLASSIFIED} WHERE section = 'auditors_report' GROUP BY 1) a USING (doc_id))"""
+REMARKS = "(" + " UNION ALL ".join(f"SELECT doc_id, company_id, '{t}' AS type, {w}e0 AS weight, {around('low', f'regexp_extract(low, {chr(39)}{p}{chr(39)})', 80, 120)} AS context FROM {AUDITED} WHERE regexp_matches(low, '{p}')" for p, t, w in filings.REMARKS) + ")"
 
 
 @query(f"SELECT * FROM {REMARKS}")
 def audit_remarks(spark, d):
-    return filings.audit_remarks(_docs(spark, d))
+    """Of the auditor's sections where a document has them."""
+    docs = _docs(spark, d)
+    blocks = filings.segment_blocks(docs)
+    return filings.audit_remarks(filings.audit_texts(docs, blocks, filings.classify_sections(blocks)))
 
 
 @query(f"SELECT company_id, {r('least(CAST(sum(CAST(weight AS DECIMAL(6, 2))) AS DOUBLE), 1e0)', 4)} AS audit_score FROM {REMARKS} GROUP BY 1")
@@ -53,16 +60,12 @@ def audit_remark_score(spark, d):
 
 @query(f"""SELECT company_id, least(sum(30 * CAST({CONTAINS("t", ["cheque return", "dishonor", "insufficient funds"])} AS INT) + 20 * CAST({CONTAINS("t", ["ecs return", "nach return"])} AS INT)
 + 20 * CAST(len(regexp_extract_all(t, 'cash withdrawal')) > 20 AS INT) + 15 * CAST(contains(t, 'end of day balance') AND contains(t, '0.00') AS INT)), 100) / 100e0 AS bank_anomaly
-FROM (SELECT company_id, lower(text) AS t FROM {FILINGS} WHERE doc_type IN ('bank_statement', 'itr')) GROUP BY 1""")
+FROM (SELECT company_id, lower(text) AS t FROM {FILINGS} WHERE doc_type = 'bank_statement') GROUP BY 1""")
 def bank_anomaly(spark, d):
-    return filings.bank_anomaly(_docs(spark, d).where("doc_type IN ('bank_statement', 'itr')"))
-
+    return filings.bank_anomaly(_docs(spark, d).where("doc_type = 'bank_statement'"))
 
-_figure = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, lower(trim(unnest({_all(p, 1)}))) AS label, TRY_CAST(replace(unnest({_all(p, 2)}), ',', '') AS DOUBLE) AS n, lower(unnest({_all(p, 3)})) AS unit FROM {FILINGS}" for k, p in filings.FIGURES.items())
-_metric = "CASE " + " ".join(f"WHEN {CONTAINS('label', words)} THEN '{k}'" for k, words in filings.FIGURE_METRICS.items()) + " ELSE 'other' END"
 
-
-@query(f"SELECT DISTINCT doc_id, type, label, {_metric} AS metric, n * CASE WHEN type = 'currency' THEN {_times('unit')} ELSE 1e0 END AS value FROM ({_figure}) WHERE n IS NOT NULL")
+@query(f"SELECT doc_id, type, label, metric, value, has_unit, context FROM {FIGURES}")
 def figures(spark, d):
     return filings.figures(_docs(spark, d))
 
@@ -78,12 +81,17 @@ def doc_financials(spark, d):
 _number = lambda p: f"TRY_CAST(nullif({_one(p)}, '') AS DOUBLE)"
 
 
-@query(rf"""SELECT doc_id, coalesce(CASE WHEN debt_crore > 0 THEN {r(_number(r"(?i)collateral[^\n0-9]*([0-9]+\.?[0-9]*)") + " / debt_crore", 3)} END, 1.3e0) AS collateral_coverage,
+@query(f"SELECT * FROM (SELECT doc_id, nullif({_one(filings.ASSESSMENT_YEAR)}, '') AS assessment_year FROM {FILINGS} WHERE doc_type = 'itr') WHERE assessment_year IS NOT NULL")
+def assessment_years(spark, d):
+    return filings.assessment_years(_docs(spark, d))
+
+
+@query(rf"""SELECT doc_id AS company_id, coalesce(CASE WHEN debt_crore > 0 THEN {r(_number(r"(?i)collateral[^\n0-9]*([0-9]+\.?[0-9]*)") + " / debt_crore", 3)} END, 1.3e0) AS collateral_coverage,
 coalesce({r(_number(r"(?i)(?:capacity|utilization|util)[^\n]*?([0-9]{1,3}) *%") + " / 100", 4)}, CASE WHEN {CONTAINS("lower(text)", ["low capacity", "idle"])} THEN 0.35e0 WHEN {CONTAINS("lower(text)", ["full capacity", "running well"])} THEN 0.9e0 ELSE 0.7e0 END) AS capacity_utilization,
 coalesce({r(_number(r"(?i)(?:top [0-9]+ customers?|major customers?)[^.]*?([0-9]{1,3}) *%") + " / 100", 4)}, 0.4e0) AS customer_concentration FROM {FILINGS}""")
 def notes_signals(spark, d):
-    notes = _docs(spark, d).select(F.col("doc_id").alias("company_id"), "text", "debt_crore")
-    return filings.notes_signals(notes).withColumnRenamed("company_id", "doc_id")
+    """Each document stands for the notes of the company with its number."""
+    return filings.notes_signals(_docs(spark, d).select(F.col("doc_id").alias("company_id"), "text", "debt_crore"))
 
 
 @query(rf"""SELECT company_id, name, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY doc_id, place) AS rank FROM (
@@ -115,19 +123,19 @@ _up = lambda k, p, f: f"SELECT company_id, '{k}' AS kind, {f('unnest(' + _all(p,
 
 
 @query(f"""SELECT DISTINCT * FROM ({_up("company", filings.COMPANY, lambda x: _tidy(f"regexp_replace({x}, '{filings.LEGAL_FORM}', ' ', 'g')"))} UNION ALL {_up("director", filings.DIRECTOR, _tidy)}
-UNION ALL {_up("address", filings.ADDRESS, lambda x: f"left({_tidy(x)}, 60)")}) WHERE length(name) > 4""")
+UNION ALL {_up("address", filings.ADDRESS, lambda x: f"left({_tidy(f'regexp_replace({x}, {chr(39)}[ ,.-]+${chr(39)}, {chr(39)}{chr(39)})')}, 60)")}) WHERE length(name) > 4""")
 def doc_company_names(spark, d):
     return filings.doc_company_names(_docs(spark, d))
 
 
-_shells = "(SELECT DISTINCT 0 AS company_id, concat('A', s_suppkey) AS entity FROM supplier WHERE s_suppkey % 7 = 0)"
+_shells = "(SELECT DISTINCT 0 AS company_id, concat('A', o_orderkey) AS entity FROM orders WHERE o_orderpriority LIKE '1%')"
 
 
 @query(f"""WITH e AS {MANY}, n AS (SELECT company_id, node, CAST(sum(txn_count) AS BIGINT) AS txns FROM (SELECT company_id, src AS node, txn_count FROM e UNION ALL SELECT company_id, dst, txn_count FROM e) GROUP BY 1, 2),
 m AS (SELECT n.*, node IN (SELECT unnest(string_split(path, '>')) FROM {CYCLES}) AS in_cycle, node IN (SELECT entity FROM {_shells}) AS is_shell FROM n) SELECT *, in_cycle OR is_shell AS suspicious FROM m""")
 def txn_graph_marks(spark, d):
     e = edges(spark, d, "graph_txns")
-    shells = frame(spark, d, "supplier").where("s_suppkey % 7 = 0").selectExpr("0 AS company_id", "concat('A', s_suppkey) AS entity")
+    shells = frame(spark, d, "orders").where("o_orderpriority LIKE '1%'").selectExpr("0 AS company_id", "concat('A', o_orderkey) AS entity")
     return graph.node_marks(e, graph.cycles(e), shells)
 
 

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lendscope.operators.statements import METRICS
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: The 25 features, with the ranges that test rows take.
@@ -28,6 +30,7 @@ _PHRASES = [
     "Emphasis of matter; unable to obtain sufficient audit evidence.", "Opening balance, closing balance, debit, credit, IFSC of the account statement.",
     "Steel plant with blast furnace; expansion and export orders.", "FY2022-23 and FY 2021-22; debt to equity ratio 2.4; current ratio: 1.1.",
     "Pledge of shares by the promoter; show cause notice; resignation of director.",
+    "DRT No. 45/2021 and CS No 12-2020: plaintiff and defendant, wilful defaulter; interest coverage 1.3, DSCR: 0.95, debtor days 120. Mr. Ravi Kumar Rao of Acme Steel Private Limited, State Bank of India, 01-Apr-2023.",
 ]
 
 _pick = "CASE doc_id % 13 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES)) + " ELSE '' END"
@@ -43,9 +46,9 @@ SELECT o_custkey AS company_id, l_orderkey * 10 + l_linenumber AS txn_id, CAST(l
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "graph_txns": """
 SELECT 0 AS company_id, l_orderkey * 10 + l_linenumber AS txn_id, CAST(l_shipdate AS DATE) AS txn_date,
-       concat('A', l_suppkey) AS src, concat('A', l_partkey % 100) AS dst, 'debit' AS direction,
+       concat('A', l_orderkey) AS src, concat('A', (l_partkey * 31 + l_suppkey * 17) % (SELECT max(o_orderkey) FROM {orders})) AS dst, 'debit' AS direction,
        CAST(l_extendedprice AS DECIMAL(18, 2)) AS amount
-FROM {lineitem} WHERE l_extendedprice > 95000 AND year(l_shipdate) = 1997""",
+FROM {lineitem}""",
     "narrations": """
 SELECT l_orderkey * 10 + l_linenumber AS txn_id, o_custkey AS company_id, CASE WHEN l_returnflag = 'R' THEN 'credit' ELSE 'debit' END AS direction,
        CASE l_linenumber % 8
@@ -80,11 +83,10 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey""",
 SELECT o_custkey AS company_id, CASE o_orderstatus WHEN 'F' THEN 'itr' WHEN 'O' THEN 'annual_report' ELSE 'gst' END AS source,
        CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS DOUBLE) AS value
 FROM {orders} GROUP BY 1, 2""",
-    "fin_lines": """
-SELECT o_custkey AS company_id, CASE l_linenumber % 7 WHEN 0 THEN 'revenue' WHEN 1 THEN 'ebitda' WHEN 2 THEN 'interest' WHEN 3 THEN 'pat'
-         WHEN 4 THEN 'cfo' WHEN 5 THEN 'long_term_debt' ELSE 'equity' END AS metric,
+    "fin_lines": f"""
+SELECT o_custkey AS company_id, CASE (l_partkey + l_linenumber) % {len(METRICS) + 6} {" ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(METRICS))} ELSE 'revenue' END AS metric,
        year(o_orderdate) AS period, CAST(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS DOUBLE) AS value
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY 1, 2, 3""",
+FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey GROUP BY 1, 2, 3""",
     "raw_lines": """
 SELECT o_orderkey AS table_id, o_custkey AS company_id, 0 AS row_no, CASE o_orderkey % 4 WHEN 0 THEN 'Particulars (Rs in crore);;FY2023;FY2022'
   WHEN 1 THEN 'Particulars; ;FY2023;FY2022' WHEN 2 THEN 'Particulars in lakhs;Note;FY2023;FY2022' ELSE 'Date;Narration;Debit;Credit;Balance' END AS line FROM {orders}
@@ -105,8 +107,9 @@ SELECT o_custkey AS company_id, o_orderkey AS doc_id, CASE o_orderkey % 3
 FROM (SELECT o_custkey, o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING) AS n FROM {orders}) o JOIN {customer} ON o_custkey = c_custkey""",
     "filings": f"""
 SELECT doc_id, doc_id % 97 AS company_id, CASE doc_id % 4 WHEN 0 THEN 'annual_report' WHEN 1 THEN 'gst' WHEN 2 THEN 'bank_statement' ELSE 'itr' END AS doc_type, 5.0e0 + doc_id % 50 AS debt_crore,
+       concat('filing_', doc_id, '.pdf') AS file_name,
        concat('ANNUAL REPORT ', 2000 + doc_id % 24, chr(10), 'Corporate overview of ACME', doc_id % 31, ' STEEL PVT LTD, Industrial Estate Road Pune - 411001', chr(10), chr(10), chr(10), text, chr(10),
-         '1.1 Balance Sheet', chr(10), chr(10), 'Revenue from operations: Rs. ', n_chars, ' Cr and EBITDA: 1', doc_id % 9, '.5 %', chr(10), 'Aggregate turnover Rs. ', n_chars, ',000 lakhs; opening balance: ', n_chars, ' total income ', n_chars, chr(10),
+         '1.1 Balance Sheet', chr(10), chr(10), 'Revenue from operations: Rs. ', n_chars, ' Cr and EBITDA: 1', doc_id % 9, '.5 %', chr(10), 'Aggregate turnover Rs. ', n_chars, ',000 lakhs; opening balance: ', n_chars, ' total income ', n_chars, '; total credits ', n_chars, ' lakhs; assessment year 2023-24', chr(10),
          'Managing Director: Mr. Ravi Kumar', CASE doc_id % 3 WHEN 0 THEN 'an' ELSE '' END, ' DIN: 0000', 1000 + doc_id % 700, chr(10), 'Notes Forming Part', chr(10), {_pick}, chr(10), chr(10), chr(10),
          CASE doc_id % 6 WHEN 0 THEN 'Charge of Rs. 45,000 in favour of State Bank.' WHEN 1 THEN 'Collateral of 25.5 Cr; capacity use 65 % and top 5 customers give 45 %.' WHEN 2 THEN 'plant idle, struck off; cheque return, ecs return'
            WHEN 3 THEN 'full capacity, active; end of day balance 0.00' ELSE 'CIN U27100MH2001PLC123456; D/E ratio: 2.4 times' END) AS text FROM {{documents}}""",
@@ -118,6 +121,7 @@ SELECT doc_id, doc_id % 97 AS company_id, CASE doc_id % 4 WHEN 0 THEN 'annual_re
     "risk_parts": "SELECT company_id, litigation_severity_score AS severity_score, CAST(floor(litigation_count / 4) AS BIGINT) AS high, company_id % 9 = 0 AS disqualified, company_id % 40 AS nodes, circular_trading_score AS shell_network_score, news_sentiment_score AS news_risk, litigation_severity_score AS litigation_risk, sector_risk_score AS sector_risk, benford_deviation_score AS macro_risk, CASE company_id % 3 WHEN 0 THEN 'DETERIORATING' ELSE 'STABLE' END AS rating_trend FROM {features}",
     "directors": "SELECT DISTINCT concat('D', l_suppkey) AS director, l_partkey % 500 AS company_id FROM {lineitem}",
     "reports": f"SELECT doc_id, doc_id % 97 AS company_id, concat(text, ' ', {_pick}) AS text FROM {{documents}}",
+    "named_reports": "SELECT doc_id, company_id, text, CASE doc_id % 7 WHEN 0 THEN 'gst_return.pdf' WHEN 1 THEN 'decree-order.pdf' ELSE 'scan.pdf' END AS file_name FROM {reports}",
     "articles": f"SELECT doc_id AS ordinal, doc_id % 23 AS company_id, concat('u', doc_id % 700) AS url, {_pick} AS title, text AS snippet FROM {{documents}}",
 }
 

@@ -6,21 +6,23 @@ from pyspark.sql import functions as F
 
 from lendscope.functions.rounding import half_up_sql as r
 from lendscope.operators import decision, filings, graph, model, vectors
-from lendscope.plans.filing_queries import BLOCKS, FILINGS, _sections
+from lendscope.plans.filing_queries import CLASSIFIED, FILINGS
+from lendscope.plans.figures import FIN
 from lendscope.plans.inputs import FEATURES, frame
 from lendscope.plans.inputs import sql as s
-from lendscope.plans.queries import F_SQL, FIN, FIRED, ORACLE_SQL, QUERIES, SHELL_SCORE, VERDICT, query
+from lendscope.plans.queries import F_SQL, FIRED, ORACLE_SQL, QUERIES, SHELL_SCORE, VERDICT, _fin, query
 from lendscope.sources import feeds
 
 NAMES = list(FEATURES)
 #: Query, then its columns and the features that they are.
 PARTS = {
-    "ratios": {c: c for c in ("ebitda_margin", "pat_margin", "debt_to_equity", "interest_coverage_ratio", "dscr")}, "cagr": {"growth": "revenue_growth_3yr"},
+    "ratios": {c: c for c in ("ebitda_margin", "pat_margin", "debt_to_equity", "current_ratio", "interest_coverage_ratio", "dscr")}, "cagr": {"growth": "revenue_growth_3yr"},
     "days": {c: c for c in ("debtor_days", "inventory_days", "working_capital_days")}, "cfo_volatility": {"cfo_volatility": "cashflow_volatility"},
     "gst_bank_mismatch": {"score": "gst_bank_mismatch_score"}, "itc_check": {"score": "gstr2a_3b_mismatch_score"}, "itr_check": {"score": "itr_revenue_mismatch_score"},
     "circular_composite": {"circular_score": "circular_trading_score"}, "benford": {"benford_score": "benford_deviation_score"},
-    "litigation_score": {"cases": "litigation_count", "severity_score": "litigation_severity_score"}, "news_score": {"news_risk": "news_sentiment_score"},
-    "promoter_risk": {"promoter_risk": "promoter_network_risk"}, "sector_risk": {"sector_risk": "sector_risk_score"}, "audit_violations": {"violations": "regulatory_violation_count"},
+    "litigation_score": {"cases": "litigation_count", "greatest(severity_score, risk)": "litigation_severity_score"}, "news_score": {"news_risk": "news_sentiment_score"},
+    "notes_signals": {"collateral_coverage": "collateral_coverage_ratio", "capacity_utilization": "capacity_utilization", "customer_concentration": "customer_concentration"},
+    "promoter_network_risk": {"promoter_network_risk": "promoter_network_risk"}, "sector_risk": {"sector_risk": "sector_risk_score"}, "audit_violations": {"violations": "regulatory_violation_count"},
 }
 _made = {f for columns in PARTS.values() for f in columns.values()}
 _value = lambda c, d: r(f"coalesce({f'x.{c}, ' if c in vectors.TEXT_FIRST else ''}{f'{c}_, ' if c in _made else ''}{d}e0)", 6)
@@ -31,7 +33,7 @@ VECTOR = f"""(SELECT c.c_custkey AS company_id, {", ".join(f"{_value(c, d)} AS {
 
 @query(f"SELECT * FROM {VECTOR}")
 def feature_vector(spark, d):
-    parts = [QUERIES[q](spark, d).select("company_id", *[F.col(a).alias(b) for a, b in columns.items()]) for q, columns in PARTS.items()]
+    parts = [QUERIES[q](spark, d).select("company_id", *[F.expr(a).alias(b) for a, b in columns.items()]) for q, columns in PARTS.items()]
     return vectors.feature_vector(frame(spark, d, "customer").select(F.col("c_custkey").alias("company_id")), parts, QUERIES["text_ratios"](spark, d))
 
 
@@ -40,7 +42,24 @@ _over = lambda a, b: f"CASE WHEN {a} IS NOT NULL AND {b} > 0 THEN {r(f'{a} / {b}
 
 @query(f"SELECT company_id, {r('revenue / 1e7', 4)} AS turnover_crore, {_over('ebitda', 'revenue')} AS ebitda_margin, {_over('pat', 'revenue')} AS pat_margin, {_over('total_debt', 'equity')} AS debt_to_equity, {_over('ebitda', 'interest')} AS interest_coverage FROM {FIN}")
 def display_ratios(spark, d):
-    return vectors.display_ratios(decision.fin_agg(frame(spark, d, "fin_lines")))
+    return vectors.display_ratios(_fin(spark, d))
+
+
+GOVERNED = {"layered_score": "layered_score", "shell_network_score": "shell_network_score", "audit_remark_score": "audit_score"}
+_more = " ".join(f"LEFT JOIN (SELECT company_id, {c} FROM ({ORACLE_SQL[q]})) USING (company_id)" for q, c in GOVERNED.items())
+
+
+@query(f"""SELECT company_id, governance_score, {r("100 - 100 * governance_score", 2)} AS character_score FROM (SELECT company_id, {r('''least(0.25e0 * least(litigation_severity_score, 1e0)
++ 0.1e0 * least(litigation_count / 10, 1e0) + 0.12e0 * least(benford_deviation_score, 1e0) + 0.08e0 * least(circular_trading_score, 1e0) + 0.03e0 * least(coalesce(layered_score, 0e0), 1e0) + 0.02e0 * least(coalesce(shell_score, 0e0), 1e0) + 0.03e0 * least(coalesce(shell_network_score, 0e0), 1e0)
++ 0.1e0 * least(coalesce(audit_score, 0e0), 1e0) + 0.08e0 * least(gst_bank_mismatch_score, 1e0)
++ 0.07e0 * least(gstr2a_3b_mismatch_score, 1e0) + 0.05e0 * least(itr_revenue_mismatch_score, 1e0) + 0.15e0 * least(regulatory_violation_count / 10, 1e0), 1e0)''', 4)} AS governance_score FROM ({F_SQL}) {_more} LEFT JOIN {SHELL_SCORE} USING (company_id))""")
+def governance_score(spark, d):
+    out = frame(spark, d, "features").join(graph.shell_score(QUERIES["shell_entities"](spark, d)), "company_id", "left")
+    for q, c in GOVERNED.items():
+        out = out.join(QUERIES[q](spark, d).select("company_id", c), "company_id", "left")
+    return decision.governance_score(out)
+
+
 
 
 # ---- fraud score ------------------------------------------------------------------------
@@ -110,7 +129,7 @@ QUERIES.update(ml_train_eval=ml_train_eval, ml_score=ml_score, feature_drivers=f
 
 # ---- evidence, feeds, results -----------------------------------------------------------
 
-SECTIONS = f"(SELECT DISTINCT doc_id, CASE WHEN b.n > 0 THEN b.k ELSE 'unclassified' END AS section FROM (SELECT doc_id, list_max([{_sections}]) AS b FROM (SELECT doc_id, lower(text) AS low FROM {BLOCKS})))"
+SECTIONS = f"(SELECT DISTINCT doc_id, section FROM {CLASSIFIED})"
 _fed = " UNION ALL ".join(f"SELECT company_id, 'doc:' || doc_id, 'feature:{c}', 'feeds' FROM {FILINGS} WHERE doc_type = '{t}'" for t, names in vectors.SOURCES.items() for c in names)
 _rule = "'rule:' || lower(kind) || ':' || feature"
 
@@ -124,15 +143,19 @@ def evidence_edges(spark, d):
     return vectors.evidence_edges(docs, sections, fired, QUERIES["verdict"](spark, d).select("company_id", "verdict"))
 
 
+_placed = "CASE " + " ".join(f"WHEN feature IN ({', '.join(map(repr, names))}) THEN '{k}'" for k, names in vectors.PLACES.items()) + " END"
+_drivers = ("debt_to_equity", "interest_coverage_ratio", "current_ratio")
 _traced = " UNION ALL ".join(f"SELECT company_id, {i} AS i, '{c}' AS feature, '{t}' AS doc_type, {c} AS value FROM ({F_SQL})" for i, (t, c) in enumerate((t, c) for t, names in vectors.SOURCES.items() for c in names))
 
 
-@query(f"""SELECT company_id, CAST(rank AS INT) AS rank, feature, doc_type, doc_id, {r("value", 4)} AS value, fired FROM (SELECT t.*, g.doc_id, h.feature IS NOT NULL AS fired, row_number() OVER (PARTITION BY t.company_id ORDER BY i) AS rank
-FROM ({_traced}) t JOIN (SELECT company_id, doc_type, min(doc_id) AS doc_id FROM {FILINGS} GROUP BY 1, 2) g ON g.company_id = t.company_id AND g.doc_type = t.doc_type
+@query(f"""SELECT company_id, CAST(rank AS INT) AS rank, feature, doc_type, doc_id, file_name, {_placed} AS section, {r("value", 4)} AS value, fired, feature IN {_drivers} AS is_top_driver FROM (SELECT t.*, g.doc_id, g.file_name, h.feature IS NOT NULL AS fired, row_number() OVER (PARTITION BY t.company_id ORDER BY i) AS rank
+FROM ({_traced}) t JOIN (SELECT company_id, doc_type, min(doc_id) AS doc_id, arg_min(file_name, doc_id) AS file_name FROM {FILINGS} GROUP BY 1, 2) g ON g.company_id = t.company_id AND g.doc_type = t.doc_type
 LEFT JOIN (SELECT DISTINCT company_id, feature FROM {FIRED}) h ON h.company_id = t.company_id AND h.feature = t.feature) WHERE rank <= 20""")
 def evidence_trace(spark, d):
+    """Ratios that the rules weigh most stand in for the model's drivers, so that SQL can tell them."""
     f = frame(spark, d, "features")
-    return vectors.evidence_trace(f, frame(spark, d, "filings"), decision.fired_rules(f))
+    drivers = f.select("company_id", F.explode(F.array(*map(F.lit, _drivers))).alias("feature"))
+    return vectors.evidence_trace(f, frame(spark, d, "filings"), decision.fired_rules(f), drivers)
 
 
 @query(f"SELECT company_id, ordinal, url, title, snippet FROM ({s('articles')})")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lendscope.functions import numbers
 from lendscope.functions.rounding import half_up_sql as r
-from lendscope.operators import decision, documents, graph, research, verification
+from lendscope.operators import decision, documents, filings, graph, research, statements, verification
+from lendscope.plans.figures import FIN, around
 from lendscope.plans.inputs import frame
 from lendscope.plans.inputs import sql as s
 
@@ -58,8 +59,6 @@ BENFORD = f"""(SELECT *, {r("least(chi_square / 31.0, 1.0)", 4)} AS benford_scor
   CASE WHEN amounts < 100 THEN 'INSUFFICIENT_DATA' WHEN chi_square > 31.02 THEN 'HIGH' WHEN chi_square > 15.51 THEN 'MEDIUM' ELSE 'NONE' END AS severity
   FROM (SELECT company_id, CAST(sum(c) AS BIGINT) AS amounts, {r(f"CASE WHEN sum(c) >= 100 THEN {CHI} ELSE 0e0 END", 2)} AS chi_square FROM {BENFORD_DIGITS} GROUP BY 1))"""
 SUMS = lambda name, c: f"(SELECT company_id, CAST(CAST(sum(CAST({c} AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS DOUBLE) AS v FROM ({s(name)}) t GROUP BY 1)"
-FIN = f"""(SELECT company_id, {", ".join(f"max(value) FILTER (metric = '{m}') AS {m}" for m in ("revenue", "ebitda", "interest", "pat", "cfo", "long_term_debt", "equity"))},
-  max(value) FILTER (metric = 'long_term_debt') AS total_debt FROM ({s("fin_lines")}) GROUP BY 1)"""
 clamp = lambda x: r(f"greatest(0.0, least(100.0, {x}))", 1)
 upto = lambda c, full: f"least({c} / {full}e0, 1e0)"
 F_SQL = s("features")
@@ -82,15 +81,18 @@ SPREAD = f"""{r("(high - low) / high", 4)} AS delta, {r("least((high - low) / hi
   CASE WHEN (high - low) / high > 0.35 THEN 'HIGH' WHEN (high - low) / high > 0.2 THEN 'MEDIUM' ELSE 'NONE' END AS severity"""
 CONTAINS = lambda c, words: "(" + " OR ".join("contains({}, '{}')".format(c, w.replace("'", "''")) for w in words) + ")"
 HITS = lambda c, words: "(" + " + ".join(f"CAST(contains({c}, '{w}') AS INT)" for w in words) + ")"
-ARTICLES = f"""(SELECT company_id, ordinal, url, title, snippet, CASE WHEN bad > good THEN 'NEGATIVE' WHEN good > bad THEN 'POSITIVE' ELSE 'NEUTRAL' END AS sentiment
+ARTICLES = f"""(SELECT company_id, ordinal, url, title, snippet, {CONTAINS("low", research.LITIGATION)} AS has_litigation_signal, CASE WHEN bad > good THEN 'NEGATIVE' WHEN good > bad THEN 'POSITIVE' ELSE 'NEUTRAL' END AS sentiment
   FROM (SELECT *, {HITS("low", research.NEGATIVE)} AS bad, {HITS("low", research.POSITIVE)} AS good FROM (SELECT *, lower(title || ' ' || snippet) AS low FROM ({s("articles")}))))"""
 KEPT = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY CAST(sentiment = 'NEGATIVE' AS INT) DESC, length(snippet) DESC, ordinal) AS rank
   FROM (SELECT company_id, url, ordinal, title, snippet, sentiment FROM {ARTICLES} WHERE url <> '' QUALIFY row_number() OVER (PARTITION BY company_id, url ORDER BY ordinal) = 1)) WHERE rank <= 20)"""
 SEVERITY = "CASE " + " ".join(f"WHEN {CONTAINS('lower(summary)', words)} THEN '{k}'" for k, (words, _) in research.SEVERITY.items()) + " ELSE 'LOW' END"
-CASES = f"""(SELECT company_id, feed, ordinal, summary, {SEVERITY} AS severity FROM (
-  SELECT company_id, 0 AS feed, doc_id AS ordinal, right(text, 90) AS summary FROM ({s("reports")}) UNION ALL
-  SELECT company_id, 1, ordinal, title FROM ({s("articles")}) WHERE title <> '')
-  QUALIFY row_number() OVER (PARTITION BY company_id, left(summary, 60) ORDER BY feed, ordinal) = 1)"""
+_TYPES = ", ".join(f"{{'n': {HITS('low', w)}, 'o': {-i}, 't': '{t}'}}" for i, (t, w) in enumerate(documents.DOC_TYPES.items()))
+DOC_TYPE = f"(SELECT company_id, doc_id, text, CASE WHEN b.n > 0 THEN b.t ELSE 'unknown' END AS doc_type, CAST(b.n AS BIGINT) AS hits FROM (SELECT *, list_max([{_TYPES}]) AS b FROM (SELECT *, lower(concat_ws(chr(10), text, regexp_replace(file_name, '[_.-]', ' ', 'g'))) AS low FROM ({s('named_reports')}))))"
+_case_numbers = f"nullif(array_to_string(list_slice(regexp_extract_all(text, '{research.CASE_NUMBER}'), 1, 3), ', '), '')"
+CASES = f"""(SELECT company_id, feed, ordinal, summary, {SEVERITY.replace("summary", "text")} AS severity FROM (
+  SELECT company_id, 0 AS feed, doc_id AS ordinal, 'Legal document ' || doc_id || ': ' || coalesce({_case_numbers}, 'case reference found') AS summary, text, CAST(doc_id AS VARCHAR) AS document FROM {DOC_TYPE} WHERE doc_type = 'legal' UNION ALL
+  SELECT company_id, 1, ordinal, title, snippet, NULL FROM {ARTICLES} WHERE has_litigation_signal)
+  QUALIFY row_number() OVER (PARTITION BY company_id, left(summary, 60), document ORDER BY feed, ordinal) = 1)"""
 
 
 # ---- transaction graph ------------------------------------------------------------------
@@ -118,6 +120,16 @@ def counterparty_freq(spark, d):
     return graph.counterparty_freq(frame(spark, d, "txns"))
 
 
+@query(f"SELECT company_id, entity, freq, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY freq DESC, entity) AS rank FROM {FREQ}) WHERE rank <= 10")
+def counterparty_top(spark, d):
+    return graph.top_counterparties(counterparty_freq(spark, d))
+
+
+@query(f"SELECT DISTINCT company_id, entity FROM {FREQ}")
+def counterparty_list(spark, d):
+    return graph.counterparties(counterparty_freq(spark, d))
+
+
 @query(f"SELECT * FROM {CONCENTRATION}")
 def counterparty_concentration(spark, d):
     return graph.counterparty_concentration(graph.counterparty_freq(frame(spark, d, "txns")))
@@ -164,6 +176,12 @@ def benford(spark, d):
     return graph.benford(frame(spark, d, "txns"))
 
 
+@query(f"""SELECT company_id, g.digit, {r("coalesce(c, 0) / CAST(n AS DOUBLE)", 4)} AS observed, expected FROM (SELECT company_id, sum(c) AS n FROM {BENFORD_DIGITS} GROUP BY 1) t
+CROSS JOIN (VALUES {", ".join(f"({k}, {round(math.log10(1 + 1 / k), 4)}e0)" for k in range(1, 10))}) g(digit, expected) LEFT JOIN {BENFORD_DIGITS} b USING (company_id, digit)""")
+def benford_distribution(spark, d):
+    return graph.benford_distribution(frame(spark, d, "txns"))
+
+
 SHELLS = """WITH e AS (SELECT DISTINCT c_nationkey AS company_id, upper(c_name) || ' PVT LTD' AS entity FROM customer),
 n AS (SELECT DISTINCT s_nationkey AS company_id, replace(s_name, 'Supplier', 'Customer') || ' traders' AS name FROM supplier),
 t AS (SELECT company_id, x AS e, unnest(list_distinct(string_split(trim(regexp_replace(regexp_replace(upper(x), '\\b(PVT|PRIVATE|LTD|LIMITED|LLP|INC|CORP)\\b\\.?', ' ', 'g'), '[^A-Z0-9]+', ' ', 'g')), ' '))) AS k
@@ -237,10 +255,11 @@ def normalise_entity(spark, d):
     return frame(spark, d, "narrations").select("txn_id", numbers.normalise_entity(F.col("narration")).alias("entity"))
 
 
-@query(f"SELECT txn_id, CAST(amount AS DOUBLE) AS amount, narration LIKE '%cash%' AS cash FROM ({s('narrations')}) WHERE amount > 60000 OR narration LIKE '%cash%'")
+@query(f"SELECT txn_id, CAST(amount * 20 AS DOUBLE) AS amount, amount * 20 > 1000000 AS large, contains(lower(narration), 'cash') AS cash FROM ({s('narrations')}) WHERE amount * 20 > 1000000 OR contains(lower(narration), 'cash')")
 def large_cash_txns(spark, d):
-    rows = frame(spark, d, "narrations").withColumn("cash", F.lower("narration").contains("cash"))
-    return rows.where((F.col("amount") > 60000) | F.col("cash")).select("txn_id", F.col("amount").cast("double").alias("amount"), "cash")
+    """Amounts of the given tables times 20, so that some pass a million."""
+    rows = frame(spark, d, "narrations").withColumn("amount", F.col("amount") * 20)
+    return statements.large_cash(rows).select("txn_id", F.col("amount").cast("double").alias("amount"), "large", "cash")
 
 
 # ---- verification -----------------------------------------------------------------------
@@ -287,18 +306,33 @@ def three_way_recon(spark, d):
 
 @query(f"""SELECT *, CASE WHEN critical + high >= 2 THEN 'CRITICAL' WHEN critical + high = 1 THEN 'HIGH' WHEN medium >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS overall FROM (
 SELECT company_id, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium
-FROM (SELECT company_id, severity FROM {LAYERED} UNION ALL SELECT company_id, severity FROM {CONCENTRATION} UNION ALL SELECT company_id, severity FROM {BENFORD}) GROUP BY 1)""")
+FROM (SELECT company_id, severity FROM ({ORACLE_SQL["gst_bank_mismatch"]}) UNION ALL SELECT company_id, fake_itc FROM ({ORACLE_SQL["itc_check"]}) UNION ALL SELECT company_id, high_itc FROM ({ORACLE_SQL["itc_check"]})
+  UNION ALL SELECT company_id, severity FROM ({ORACLE_SQL["itr_check"]}) UNION ALL SELECT company_id, severity FROM ({ORACLE_SQL["three_way_recon"]})) GROUP BY 1)""")
 def consistency_summary(spark, d):
-    parts = [QUERIES[n](spark, d).select("company_id", "severity") for n in ("layered_score", "counterparty_concentration", "benford")]
-    return verification.consistency_summary(parts[0].union(parts[1]).union(parts[2]))
+    """Flags of the checks between GST, bank, tax credit, tax return and annual report."""
+    itc = itc_check(spark, d)
+    flags = [gst_bank_mismatch(spark, d).select("company_id", "severity"), itr_check(spark, d).select("company_id", "severity"), three_way_recon(spark, d).select("company_id", "severity")]
+    flags += [itc.select("company_id", F.col(c).alias("severity")) for c in ("fake_itc", "high_itc")]
+    out = flags[0]
+    for more in flags[1:]:
+        out = out.unionByName(more)
+    return verification.consistency_summary(out)
 
 
 # ---- features and decision --------------------------------------------------------------
 
 
-@query(f"SELECT * FROM {FIN}")
+def _fin(spark, d):
+    """Statement lines, and amounts told with a unit in the filed documents of a company."""
+    docs = frame(spark, d, "filings")
+    told = filings.figures(docs).where("has_unit AND type = 'currency'").join(docs.select("doc_id", "company_id"), "doc_id")
+    return decision.fin_agg(frame(spark, d, "fin_lines"), told.select("company_id", "metric", "value"))
+
+
+@query(f"""SELECT company_id, {", ".join(decision.METRICS)}, {", ".join(f"array_to_string([CAST(CAST(x AS DECIMAL(20, 2)) AS VARCHAR) FOR x IN {m}_series], ',') AS {m}_series" for m in decision.SERIES)} FROM {FIN}""")
 def fin_agg(spark, d):
-    return decision.fin_agg(frame(spark, d, "fin_lines"))
+    shown = lambda m: F.array_join(F.transform(f"{m}_series", lambda x: x.cast("decimal(20,2)").cast("string")), ",").alias(f"{m}_series")
+    return _fin(spark, d).select("company_id", *decision.METRICS, *map(shown, decision.SERIES))
 
 
 @query(f"""SELECT company_id, {r("CASE WHEN n > 0 AND f > 0 THEN pow(l / f, 1e0 / n) - 1 ELSE 0.05e0 END", 4)} AS growth FROM (
@@ -309,27 +343,20 @@ def cagr(spark, d):
 
 _over = lambda a, b: f"CASE WHEN {a} IS NOT NULL AND {b} <> 0 THEN {r(f'{a} / {b}', 4)} ELSE 0e0 END"
 RATIOS = f"""(SELECT company_id, {_over("ebitda", "revenue")} AS ebitda_margin, {_over("pat", "revenue")} AS pat_margin, {_over("total_debt", "equity")} AS debt_to_equity,
-  {_over("ebitda", "interest")} AS interest_coverage_ratio, CASE WHEN coalesce(interest, 0e0) + 0.1e0 * coalesce(total_debt, 0e0) > 0
+  {_over("current_assets", "current_liabilities")} AS current_ratio, {_over("coalesce(nullif(ebit, 0), ebitda)", "interest")} AS interest_coverage_ratio, CASE WHEN coalesce(interest, 0e0) + 0.1e0 * coalesce(total_debt, 0e0) > 0
   THEN {r("coalesce(cfo, ebitda, 0e0) / (coalesce(interest, 0e0) + 0.1e0 * coalesce(total_debt, 0e0))", 4)} ELSE 1.5e0 END AS dscr FROM {FIN})"""
 
 
 @query(f"SELECT * FROM {RATIOS}")
 def ratios(spark, d):
-    return decision.ratios(fin_agg(spark, d))
+    return decision.ratios(_fin(spark, d))
 
 
-@query(" UNION ALL ".join(f"SELECT company_id, '{c}' AS metric, {c} AS value, {b} AS higher_is_better FROM {RATIOS}" for c, b in (("ebitda_margin", "true"), ("pat_margin", "true"), ("debt_to_equity", "false"), ("interest_coverage_ratio", "true"), ("dscr", "true"))))
+@query(" UNION ALL ".join(f"SELECT company_id, '{c}' AS metric, {c} AS value, {b} AS higher_is_better FROM {RATIOS}" for c, b in (("ebitda_margin", "true"), ("pat_margin", "true"), ("debt_to_equity", "false"), ("current_ratio", "true"), ("interest_coverage_ratio", "true"), ("dscr", "true"))))
 def ratio_table(spark, d):
     return decision.ratio_table(ratios(spark, d))
 
 
-@query(f"""SELECT company_id, governance_score, {r("100 - 100 * governance_score", 2)} AS character_score FROM (SELECT company_id, {r('''least(0.25e0 * least(litigation_severity_score, 1e0)
-+ 0.1e0 * least(litigation_count / 10, 1e0) + 0.12e0 * least(benford_deviation_score, 1e0) + 0.08e0 * least(circular_trading_score, 1e0) + 0.08e0 * least(gst_bank_mismatch_score, 1e0)
-+ 0.07e0 * least(gstr2a_3b_mismatch_score, 1e0) + 0.05e0 * least(itr_revenue_mismatch_score, 1e0) + 0.15e0 * least(regulatory_violation_count / 10, 1e0), 1e0)''', 4)} AS governance_score FROM ({F_SQL}))""")
-def governance_score(spark, d):
-    return decision.governance_score(frame(spark, d, "features"))
-
-
 _SECTOR = "CASE company_id % 5 WHEN 0 THEN 'steel' WHEN 1 THEN 'it' WHEN 2 THEN 'pharma' WHEN 3 THEN 'toys' ELSE 'auto' END"
 
 
@@ -387,9 +414,9 @@ def verdict(spark, d):
     return decision.verdict(rules.join(scores, "company_id").join(five_cs(spark, d).select("company_id", F.col("capacity").alias("ml_score")), "company_id"))
 
 
-@query("SELECT company_id, concat_ws(',', " + ", ".join(f"CASE WHEN {c} {op} {t}e0 THEN '{n}' END" for n, c, op, t in decision.CONDITIONS) + f") AS conditions FROM ({F_SQL})")
+@query("SELECT company_id, concat_ws(',', " + ", ".join(f"CASE WHEN {c} {op} {t}e0 THEN '{n}' END" for n, c, op, t in decision.CONDITIONS) + f") AS conditions FROM ({F_SQL}) WHERE company_id IN (SELECT company_id FROM {VERDICT} WHERE verdict <> 'REJECT')")
 def conditions(spark, d):
-    return decision.conditions(frame(spark, d, "features"))
+    return decision.conditions(frame(spark, d, "features"), verdict(spark, d))
 
 
 _revenue, _ebitda = "turnover_crore * exposure", "turnover_crore * ebitda_margin * least(greatest(dscr, 0.5e0), 2.5e0) * 3.5e0"
@@ -434,34 +461,39 @@ def risk_radar(spark, d):
 # ---- documents --------------------------------------------------------------------------
 
 
-_TYPES = ", ".join(f"{{'n': {HITS('low', w)}, 'o': {-i}, 't': '{t}'}}" for i, (t, w) in enumerate(documents.DOC_TYPES.items()))
-
-
-@query(f"SELECT doc_id, CASE WHEN b.n > 0 THEN b.t ELSE 'unknown' END AS doc_type, CAST(b.n AS BIGINT) AS hits FROM (SELECT doc_id, list_max([{_TYPES}]) AS b FROM (SELECT doc_id, lower(text) AS low FROM ({s('reports')})))")
+@query(f"SELECT doc_id, doc_type, hits FROM {DOC_TYPE}")
 def doc_type(spark, d):
-    return documents.doc_type(frame(spark, d, "reports"))
+    return documents.doc_type(frame(spark, d, "named_reports"))
 
 
 _count = lambda p: f"length(regexp_replace(text, '{p}', '', 'g'))"
 
 
-@query(f"""SELECT doc_id, CASE WHEN n < 100 THEN 0e0 WHEN w < 50 THEN 0.1e0 ELSE {r("0.7e0 * (a / CAST(n AS DOUBLE)) + 0.3e0 * (1 - g / CAST(n AS DOUBLE))", 4)} END AS quality
-FROM (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS w, len(regexp_extract_all(text, '[A-Za-z]')) AS a,
-len(regexp_extract_all(text, '[^A-Za-z0-9 \\t\\r\\n.,;:''"()-]')) AS g FROM ({s("reports")}))""")
+@query(f"""SELECT doc_id, quality, CASE WHEN size > 200 THEN greatest(quality, 0.6e0) ELSE quality END AS confidence FROM (SELECT doc_id, size, CASE WHEN n < 100 THEN 0e0 WHEN w < 50 THEN 0.1e0 ELSE {r("0.7e0 * (a / CAST(n AS DOUBLE)) + 0.3e0 * (1 - g / CAST(n AS DOUBLE))", 4)} END AS quality
+FROM (SELECT doc_id, length(text) AS n, length(trim(text)) AS size, len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS w, len(regexp_extract_all(text, '[A-Za-z]')) AS a,
+len(regexp_extract_all(text, '[^A-Za-z0-9 \\t\\r\\n.,;:''"()-]')) AS g FROM ({s("reports")})))""")
 def text_quality(spark, d):
     return documents.text_quality(frame(spark, d, "reports"))
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS value FROM ({s('reports')})" for k, p in documents.IDENTIFIERS.items()))
+_identified = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(x) AS value, unnest(range(len(x))) AS place FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS x FROM ({s('reports')}))" for k, p in (documents.IDENTIFIERS | documents.ENTITIES).items())
+
+
+@query(f"SELECT doc_id, kind, value FROM (SELECT doc_id, kind, value, min(place) AS place FROM ({_identified}) GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY doc_id, kind ORDER BY place) <= 10")
 def identifiers(spark, d):
     return documents.identifiers(frame(spark, d, "reports"))
 
 
-@query(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'FY ?(20[0-9]{{2}}-[0-9]{{2}})', 1))) AS fiscal_year FROM ({s('reports')})")
+@query(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{documents.FISCAL_YEAR}', 1))) AS fiscal_year FROM ({s('reports')})")
 def fin_years(spark, d):
     return documents.fin_years(frame(spark, d, "reports"))
 
 
+@query(f"""SELECT doc_id, left(x[1], 100) AS name FROM (SELECT doc_id, [y FOR y IN [regexp_replace(z, '^[ \t\r]+|[ \t\r]+$', '', 'g') FOR z IN string_split(text, chr(10))] IF y <> ''] AS x FROM ({s("reports")})) WHERE len(x) > 0""")
+def probable_company(spark, d):
+    return documents.probable_company(frame(spark, d, "reports"))
+
+
 _FLAGS = ", ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN '{k}' END" for k, p in documents.RED_FLAGS.items())
 
 
@@ -476,19 +508,28 @@ def audit_violations(spark, d):
     return documents.audit_violations(frame(spark, d, "reports"))
 
 
-AUDIT = " UNION ALL ".join(f"SELECT company_id, doc_id, '{k}' AS flag FROM ({s('reports')}) WHERE {CONTAINS('lower(text)', w)}" for k, w in documents.AUDIT_FLAGS.items())
+_quoted = lambda w: "'" + w.replace("'", "''") + "'"
+_word = lambda words: "CASE " + " ".join(f"WHEN contains(low, {_quoted(w)}) THEN {_quoted(w)}" for w in words) + " END"
+_flagged = " UNION ALL ".join(f"SELECT company_id, doc_id, '{k}' AS flag, low, {_word(w)} AS word FROM (SELECT company_id, doc_id, lower(text) AS low FROM ({s('reports')})) WHERE {CONTAINS('low', w)}" for k, w in documents.AUDIT_FLAGS.items())
+FLAGS = f"""(SELECT company_id, flag, CASE WHEN flag IN {documents.GOVERNANCE_FLAGS} THEN 'governance' ELSE 'audit' END AS kind, min(doc_id) AS first_doc, CASE WHEN flag IN {documents.SEVERE_FLAGS} THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+  arg_min({around("low", "word", 60, 60)}, doc_id) AS context FROM ({_flagged}) GROUP BY 1, 2)"""
 
 
-@query(f"SELECT company_id, flag, min(doc_id) AS first_doc, CASE WHEN flag IN ('going_concern', 'qualified_opinion', 'adverse_opinion') THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM ({AUDIT}) GROUP BY 1, 2")
+@query(f"SELECT * FROM {FLAGS}")
 def doc_audit_flags(spark, d):
     return documents.doc_audit_flags(frame(spark, d, "reports"))
 
 
-_pick = lambda p: f"TRY_CAST(nullif(regexp_extract(text, '{p}', 1), '') AS DOUBLE)"
+@query(f"SELECT company_id, CASE WHEN count(*) FILTER (kind = 'audit' AND severity = 'HIGH') > 0 THEN 'HIGH' WHEN count(*) FILTER (kind = 'audit') > 0 THEN 'MEDIUM' ELSE 'LOW' END AS doc_risk FROM {FLAGS} GROUP BY 1")
+def doc_risk(spark, d):
+    return documents.doc_risk(doc_audit_flags(spark, d))
+
+
+_pick = lambda words: "coalesce(" + ", ".join(f"TRY_CAST(nullif(regexp_extract(text, '(?i)(?:{p}){documents.RATIO_GAP}', 1), '') AS DOUBLE)" for p in words) + ")"
 
 
-@query(f"""SELECT company_id, arg_min(d, doc_id) FILTER (d IS NOT NULL) AS debt_to_equity, arg_min(c, doc_id) FILTER (c IS NOT NULL) AS current_ratio
-FROM (SELECT company_id, doc_id, {_pick("(?i)debt to equity(?: ratio)?[: ]+([0-9]+[.]?[0-9]*)")} AS d, {_pick("(?i)current ratio[: ]+([0-9]+[.]?[0-9]*)")} AS c FROM ({s("reports")})) GROUP BY 1""")
+@query(f"""SELECT company_id, {", ".join(f"arg_min({c}, doc_id) FILTER ({c} IS NOT NULL) AS {c}" for c in documents.RATIO_WORDS)}
+FROM (SELECT company_id, doc_id, {", ".join(f"{_pick(words)} AS {c}" for c, words in documents.RATIO_WORDS.items())} FROM ({s("reports")})) GROUP BY 1""")
 def text_ratios(spark, d):
     return documents.text_ratios(frame(spark, d, "reports"))
 
@@ -505,9 +546,9 @@ def _articles(spark, d):
     return research.sentiment(frame(spark, d, "articles"))
 
 
-@query(f"SELECT ordinal, company_id, sentiment FROM {ARTICLES}")
+@query(f"SELECT ordinal, company_id, sentiment, has_litigation_signal FROM {ARTICLES}")
 def sentiment(spark, d):
-    return _articles(spark, d).select("ordinal", "company_id", "sentiment")
+    return _articles(spark, d).select("ordinal", "company_id", "sentiment", "has_litigation_signal")
 
 
 @query(f"SELECT company_id, url, ordinal, sentiment, CAST(rank AS INT) AS rank FROM {KEPT}")
@@ -521,9 +562,9 @@ def news_score(spark, d):
 
 
 def _cases(spark, d):
-    reports = frame(spark, d, "reports").select("company_id", F.col("doc_id").alias("ordinal"), F.expr("right(text, 90)").alias("summary"))
-    news = frame(spark, d, "articles").where("title <> ''").select("company_id", "ordinal", F.col("title").alias("summary"))
-    return research.cases_union(reports, news)
+    reports = frame(spark, d, "named_reports")
+    typed = reports.join(documents.doc_type(reports).select("doc_id", "doc_type"), "doc_id")
+    return research.cases_union(research.legal_cases(typed), research.news_cases(_articles(spark, d)))
 
 
 @query(f"SELECT company_id, feed, ordinal, summary, severity FROM {CASES}")
@@ -539,17 +580,18 @@ def case_severity(spark, d):
     return frame(spark, d, "reports").select("doc_id", research.case_severity(F.col("text")).alias("severity"))
 
 
-@query(f"SELECT company_id, cases, high, {r('least(w / 5, 1e0)', 4)} AS severity_score, {r('least(cases / 20e0, 1e0)', 4)} AS risk FROM (SELECT company_id, CAST(sum(CAST({_weight} AS DECIMAL(10, 2))) AS DOUBLE) AS w, count(*) AS cases, count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) AS high FROM {CASES} GROUP BY 1)")
+@query(f"SELECT company_id, cases, high, {r('least(w / 5, 1e0)', 4)} AS severity_score, {r('least(cases / 20e0, 1e0)', 4)} AS risk, concat_ws(',', CASE WHEN high > 0 THEN 'SIGNIFICANT_LITIGATION' END, CASE WHEN cases > 15 THEN 'LITIGATION_COUNT_HIGH' END) AS flags FROM (SELECT company_id, CAST(sum(CAST({_weight} AS DECIMAL(10, 2))) AS DOUBLE) AS w, count(*) AS cases, count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) AS high FROM {CASES} GROUP BY 1)")
 def litigation_score(spark, d):
     return research.litigation_score(_cases(spark, d))
 
 
-DIRECTORS = f"(SELECT director, count(DISTINCT company_id) AS companies FROM ({s('directors')}) GROUP BY 1 HAVING count(DISTINCT company_id) >= 3)"
+DIRECTORS = f"(SELECT director, count(DISTINCT company_id) AS companies, list_sort(list(DISTINCT company_id)) AS company_ids FROM ({s('directors')}) GROUP BY 1 HAVING count(DISTINCT company_id) >= 3)"
 
 
-@query(f"SELECT * FROM {DIRECTORS}")
+@query(f"SELECT director, companies, array_to_string(company_ids, ',') AS company_ids FROM {DIRECTORS}")
 def multi_company_directors(spark, d):
-    return research.multi_company_directors(frame(spark, d, "directors"))
+    found = research.multi_company_directors(frame(spark, d, "directors"))
+    return found.withColumn("company_ids", F.array_join(F.col("company_ids").cast("array<string>"), ","))
 
 
 @query(f"SELECT company_id, {r('least(0.2e0 * count(*), 0.6e0)', 2)} AS shell_network_score FROM (SELECT DISTINCT director, company_id FROM ({s('directors')})) JOIN {DIRECTORS} USING (director) GROUP BY 1")

@@ -8,7 +8,7 @@ from lendscope.functions.rounding import half_up_sql as r
 from lendscope.operators import documents, research, signals
 from lendscope.plans.inputs import frame
 from lendscope.plans.inputs import sql as s
-from lendscope.plans.queries import CASES, F_SQL, HITS, KEPT, QUERIES, query
+from lendscope.plans.queries import ARTICLES, CASES, F_SQL, HITS, KEPT, ORACLE_SQL, QUERIES, query
 
 SEEN = lambda c, words: "(" + " + ".join(f"max(CAST(contains({c}, '{w}') AS INT))" for w in words) + ")"
 OWN = lambda k, words: "(" + " + ".join(f"max(CAST(category = '{k}' AND contains(low, '{w}') AS INT))" for w in words) + ")"
@@ -27,7 +27,7 @@ def rating_trend(spark, d):
 
 
 @query(f"""SELECT company_id, rating, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY doc_id, place) AS rank FROM (
-SELECT company_id, rating, doc_id, place FROM (SELECT company_id, doc_id, unnest(x) AS rating, unnest(range(len(x))) AS place FROM (SELECT company_id, doc_id, regexp_extract_all(text, '{research.RATING}') AS x FROM ({s("ratings")})))
+SELECT company_id, rating, doc_id, place FROM (SELECT company_id, doc_id, unnest(x) AS rating, unnest(range(len(x))) AS place FROM (SELECT company_id, doc_id, regexp_extract_all(text, '{research.RATING}', 1) AS x FROM ({s("ratings")})))
 QUALIFY row_number() OVER (PARTITION BY company_id, rating ORDER BY doc_id, place) = 1)) WHERE rank <= 5""")
 def rating_mentions(spark, d):
     return research.rating_mentions(frame(spark, d, "ratings"))
@@ -68,9 +68,12 @@ def sector_risk(spark, d):
 _side = lambda k, words: f"SELECT company_id, '{k}' AS side, title, min(ordinal) AS ordinal FROM ({s('articles')}) WHERE title <> '' AND {HITS("lower(title || ' ' || snippet)", words)} > 0 GROUP BY 1, 2, 3"
 
 
-@query(f"SELECT company_id, side, title, ordinal, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY company_id, side ORDER BY ordinal) AS rank FROM ({_side('headwind', research.HEADWIND)} UNION ALL {_side('tailwind', research.TAILWIND)})) WHERE rank <= 5")
+_good = f"SELECT company_id, 'positive' AS side, title, min(ordinal) AS ordinal FROM {ARTICLES} WHERE title <> '' AND sentiment = 'POSITIVE' GROUP BY 1, 2, 3"
+
+
+@query(f"SELECT company_id, side, title, ordinal, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY company_id, side ORDER BY ordinal) AS rank FROM ({_side('headwind', research.HEADWIND)} UNION ALL {_side('tailwind', research.TAILWIND)} UNION ALL {_good})) WHERE rank <= CASE side WHEN 'positive' THEN 3 ELSE 5 END")
 def head_tailwinds(spark, d):
-    return research.head_tailwinds(frame(spark, d, "articles"))
+    return research.head_tailwinds(research.sentiment(frame(spark, d, "articles")))
 
 
 @query(f"SELECT address, count(DISTINCT company_id) AS companies FROM (SELECT company_id, trim(regexp_replace(upper(address), '[^A-Z0-9]+', ' ', 'g')) AS address FROM ({s('addresses')})) WHERE address <> '' GROUP BY 1 HAVING count(DISTINCT company_id) >= 2")
@@ -90,6 +93,11 @@ def promoter_graph(spark, d):
     return research.promoter_graph(frame(spark, d, "promoters"), frame(spark, d, "directors"), cases, frame(spark, d, "lenders"))
 
 
+@query(f"SELECT company_id, relation, node, degree, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY company_id, relation ORDER BY degree DESC, node) AS rank FROM (SELECT company_id, relation, target AS node, count(*) AS degree FROM {PROMOTER_GRAPH} WHERE relation <> 'is_director' GROUP BY 1, 2, 3)) WHERE rank <= 5")
+def central_nodes(spark, d):
+    return research.central_nodes(promoter_graph(spark, d))
+
+
 _parts = s("risk_parts")
 
 
@@ -99,6 +107,14 @@ def promoter_risk(spark, d):
     return research.promoter_risk(frame(spark, d, "risk_parts"))
 
 
+_shell = ORACLE_SQL["shell_network_score"]
+
+
+@query(f"SELECT company_id, {r('least(promoter_risk + 0.2e0 * coalesce(shell_network_score, 0e0), 1e0)', 4)} AS promoter_network_risk FROM ({ORACLE_SQL['promoter_risk']}) LEFT JOIN ({_shell}) USING (company_id)")
+def promoter_network_risk(spark, d):
+    return research.promoter_network_risk(promoter_risk(spark, d), QUERIES["shell_network_score"](spark, d))
+
+
 @query(f"SELECT company_id, {r('''0.25e0 * news_risk + 0.35e0 * litigation_risk + 0.2e0 * sector_risk + 0.1e0 * macro_risk + 0.1e0 * CASE WHEN rating_trend = 'DETERIORATING' THEN 0.1e0 ELSE 0e0 END''', 4)} AS research_risk FROM ({_parts})")
 def research_risk(spark, d):
     return research.research_risk(frame(spark, d, "risk_parts"))

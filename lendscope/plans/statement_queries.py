@@ -9,7 +9,9 @@ from lendscope.functions.rounding import half_up_sql as r
 from lendscope.operators import decision, statements
 from lendscope.plans.inputs import frame
 from lendscope.plans.inputs import sql as s
-from lendscope.plans.queries import _NAME, FIN, HITS, _amount_sql, query
+from lendscope.plans import filing_queries  # noqa: F401  registers what these queries build on
+from lendscope.plans.figures import FIGURES, FIN
+from lendscope.plans.queries import _NAME, HITS, ORACLE_SQL, QUERIES, _amount_sql, _fin, query
 
 quoted = lambda p: p.replace("'", "''")
 
@@ -94,8 +96,10 @@ def txn_rows(spark, d):
 _all = lambda p, i: f"regexp_extract_all(text, '{p}', {i})"
 _found = lambda p, side: f"SELECT company_id, doc_id, unnest(range(len({_all(p, 1)}))) AS place, unnest({_all(p, 1)}) AS txn_date, trim(unnest({_all(p, 2)})) AS narration, TRY_CAST(replace(unnest({_all(p, 3)}), ',', '') AS DOUBLE) AS amount, {side} AS direction FROM ({s('statement_texts')})"
 SIDED = f"(SELECT * REPLACE (CASE WHEN lower(direction) = 'dr' THEN 'debit' ELSE 'credit' END AS direction) FROM ({_found(statements.LINE_SIDED, 'unnest(' + _all(statements.LINE_SIDED, 4) + ')')}) WHERE amount > 0)"
-PLAIN = f"({_found(statements.LINE_PLAIN, chr(39) + 'debit' + chr(39))})"
-TEXTS = f"""(SELECT company_id, doc_id, txn_date, narration, amount, direction FROM (SELECT * FROM {SIDED} UNION ALL SELECT * FROM {PLAIN} WHERE amount > 0 AND doc_id NOT IN (SELECT doc_id FROM {SIDED}))
+_balance = f"({_found(statements.LINE_PLAIN, 'TRY_CAST(replace(unnest(' + _all(statements.LINE_PLAIN, 4) + '), chr(44), chr(32)) AS VARCHAR)')})"
+PLAIN = f"""(SELECT * REPLACE (CASE WHEN b > lag(b) OVER (PARTITION BY doc_id ORDER BY place) THEN 'credit' ELSE 'debit' END AS direction) FROM (
+  SELECT *, TRY_CAST(replace(direction, ' ', '') AS DOUBLE) AS b FROM {_balance}))"""
+TEXTS = f"""(SELECT company_id, doc_id, txn_date, narration, amount, direction FROM (SELECT company_id, doc_id, place, txn_date, narration, amount, direction FROM {SIDED} UNION ALL SELECT company_id, doc_id, place, txn_date, narration, amount, direction FROM {PLAIN} WHERE amount > 0 AND doc_id NOT IN (SELECT doc_id FROM {SIDED}))
   QUALIFY row_number() OVER (PARTITION BY doc_id, txn_date, left(narration, 20), direction ORDER BY place) = 1)"""
 
 
@@ -146,23 +150,36 @@ def valid_entity(spark, d):
     return rows.select("id", F.coalesce(numbers.valid_entity(F.col("name")), F.lit(False)).alias("valid"))
 
 
-DECLARED = f"(SELECT o_custkey AS company_id, CAST(max(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1)"  # noqa: F541
+#: A bank statement's declared total, then figures, then text, by document; of filings.
+_first = lambda rows: f"(SELECT company_id, arg_min(value, doc_id) AS total FROM ({rows}) WHERE value > 1000 GROUP BY 1)"
+_declared = "SELECT company_id, doc_id, value FROM ({}) JOIN (SELECT doc_id, company_id FROM filed) USING (doc_id) WHERE metric = '{}'"
+_told_credits = "nullif(regexp_extract(text, '" + statements.CREDITS + "', 1), '')"
+TOTALS = f"""(SELECT company_id, arg_min(total, place) AS total FROM (SELECT *, 0 AS place FROM {_first(_declared.format(ORACLE_SQL["doc_financials"], "total_credits"))} UNION ALL
+  SELECT *, 1 FROM {_first(f"SELECT company_id, doc_id, value FROM {FIGURES} JOIN (SELECT doc_id FROM filed WHERE doc_type = 'bank_statement') USING (doc_id) WHERE has_unit AND metric IN ('revenue', 'gst_turnover')")} UNION ALL
+  SELECT *, 2 FROM {_first(f"SELECT company_id, doc_id, {_accounting('t')} AS value FROM (SELECT company_id, doc_id, {_told_credits} AS t FROM filed WHERE doc_type = 'bank_statement')")}) GROUP BY 1)"""
 
 
-@query(f"""SELECT * FROM (SELECT company_id, CASE WHEN summed > 1000 THEN summed ELSE total END AS credits FROM (SELECT company_id, CAST(CAST(sum(CAST(v AS DECIMAL(18, 2))) AS DECIMAL(20, 2)) AS DOUBLE) AS summed
-FROM (SELECT company_id, {_accounting("cells[4]")} AS v FROM {BANK}) WHERE v >= 100 GROUP BY 1) FULL JOIN {DECLARED} USING (company_id)) WHERE credits IS NOT NULL""")
+@query(f"""WITH filed AS (SELECT * FROM ({s("filings")})) SELECT * FROM (SELECT company_id, CASE WHEN summed > 1000 THEN summed ELSE total END AS credits FROM (SELECT company_id, CAST(CAST(sum(CAST(v AS DECIMAL(18, 2))) AS DECIMAL(20, 2)) AS DOUBLE) AS summed
+FROM (SELECT company_id, {_accounting("cells[4]")} AS v FROM {BANK}) WHERE v >= 100 GROUP BY 1) FULL JOIN {TOTALS} USING (company_id)) WHERE credits IS NOT NULL""")
 def bank_credits(spark, d):
-    declared = frame(spark, d, "orders").where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("company_id")).agg(F.max(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
-    return statements.bank_credits(statements.bank_tables(_tables(spark, d)), declared)
+    filed = frame(spark, d, "filings")
+    owner = filed.select("doc_id", "company_id")
+    declared = QUERIES["doc_financials"](spark, d).where("metric = 'total_credits'").join(owner, "doc_id")
+    banks = filed.where("doc_type = 'bank_statement'")
+    figures = QUERIES["figures"](spark, d).where("has_unit AND metric IN ('revenue', 'gst_turnover')").join(banks.select("doc_id", "company_id"), "doc_id")
+    totals = [statements.first_told(x, 1000) for x in (declared, figures, statements.told_credits(banks))]
+    return statements.bank_credits(statements.bank_tables(_tables(spark, d)), *totals)
 
 
 _told = r"nullif(regexp_extract(text, '(?i)(?:aggregate turnover|outward supplies|total taxable value)[^\n0-9]{0,80}([0-9][0-9,.]*(?: *(?:cr|crores?|lakhs?|l)\b)?)', 1), '')"
 
 
-@query(f"""SELECT company_id, coalesce(a, b) AS turnover FROM (SELECT company_id, max(value) AS a FROM {LINES} WHERE metric IN ('gst_turnover', 'revenue') GROUP BY 1)
-FULL JOIN (SELECT company_id, arg_min(v, doc_id) AS b FROM (SELECT company_id, doc_id, {_accounting("t")} AS v FROM (SELECT company_id, doc_id, {_told} AS t FROM ({s("statement_texts")}))) WHERE v IS NOT NULL GROUP BY 1) USING (company_id)""")
+@query(f"""WITH filed AS (SELECT * FROM ({s("filings")})) SELECT company_id, coalesce(a, total, b) AS turnover FROM (SELECT company_id, max(value) AS a FROM {LINES} WHERE metric IN ('gst_turnover', 'revenue') GROUP BY 1)
+FULL JOIN (SELECT company_id, arg_min(v, doc_id) AS b FROM (SELECT company_id, doc_id, {_accounting("t")} AS v FROM (SELECT company_id, doc_id, {_told} AS t FROM ({s("statement_texts")}))) WHERE v IS NOT NULL GROUP BY 1) USING (company_id)
+FULL JOIN {_first(_declared.format(ORACLE_SQL["doc_financials"], "gst_turnover")).replace("> 1000", "> 0")} USING (company_id)""")
 def gst_turnover(spark, d):
-    return statements.gst_turnover(fin_lines(spark, d), frame(spark, d, "statement_texts"))
+    told = QUERIES["doc_financials"](spark, d).where("metric = 'gst_turnover'").join(frame(spark, d, "filings").select("doc_id", "company_id"), "doc_id")
+    return statements.gst_turnover(fin_lines(spark, d), frame(spark, d, "statement_texts"), told)
 
 
 @query(f"""SELECT company_id, {r("CASE WHEN n < 2 THEN 0.2e0 WHEN mean = 0 THEN 0.5e0 ELSE sd / abs(mean) END", 4)} AS cfo_volatility
@@ -174,8 +191,6 @@ def cfo_volatility(spark, d):
 _days = lambda a, b: f"CASE WHEN {a} > 0 AND {b} > 0 THEN {r(f'{a} / {b} * 365', 1)} ELSE 0e0 END"
 
 
-@query(f"SELECT company_id, {_days('equity', 'revenue')} AS debtor_days, {_days('long_term_debt', 'coalesce(nullif(cfo, 0), revenue)')} AS inventory_days, CASE WHEN revenue > 0 THEN {r('(equity - interest) / revenue * 365', 1)} ELSE 90e0 END AS working_capital_days FROM {FIN}")
+@query(f"SELECT company_id, {_days('receivables', 'revenue')} AS debtor_days, {_days('inventories', 'coalesce(nullif(cogs, 0), revenue)')} AS inventory_days, CASE WHEN revenue > 0 THEN {r('(coalesce(current_assets, 0) - coalesce(current_liabilities, 0)) / revenue * 365', 1)} ELSE 90e0 END AS working_capital_days FROM {FIN}")
 def days(spark, d):
-    """The given tables hold no such balances: other metrics of the same shape take their places."""
-    fin = decision.fin_agg(frame(spark, d, "fin_lines"))
-    return decision.days(fin, receivables="equity", inventories="long_term_debt", cogs="cfo", current_assets="equity", current_liabilities="interest")
+    return decision.days(_fin(spark, d))
