@@ -101,3 +101,41 @@ def test_feeds_round_trip(spark, tmp_path):
     results = spark.createDataFrame([(1, "REJECT", 40.0)], "company_id int, verdict string, score double").select("company_id", "verdict", feeds.result(decision=["score"]).alias("result"))
     feeds.write_results(results, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).select("result.decision.score", "verdict").first() == (40.0, "REJECT")
+
+
+def test_read_tables_with_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Particulars,FY23,FY22\n"Sales,\nnet","1,200"\n\n,,\nEBITDA,5,6,7\n')
+    rows = statements.read_tables(spark, str(tmp_path)).orderBy("row_no").collect()
+    assert [r["cells"] for r in rows] == [["Particulars", "FY23", "FY22"], ["Sales,\nnet", "1,200"], ["EBITDA", "5", "6", "7"]]
+
+
+def test_balances_tell_credits(spark):
+    text = "01/04/2023 opening line 10.00 100.00\n02/04/2023 money came in 50.00 150.00\n03/04/2023 money went out 20.00 130.00"
+    out = statements.txn_text(spark.createDataFrame([(1, 1, text)], "company_id long, doc_id long, text string")).orderBy("txn_date").collect()
+    assert [(r["amount"], r["direction"]) for r in out] == [(10.0, "debit"), (50.0, "credit"), (20.0, "debit")]
+
+
+def test_totals_stand_in_for_credits(spark):
+    bank = spark.createDataFrame([("t", 1, ["Credit"], ["500"])], "table_id string, company_id long, headers array<string>, cells array<string>")
+    total = lambda *rows: spark.createDataFrame(list(rows), "company_id long, total double")
+    got = statements.bank_credits(bank, total((2, None), (3, 7.0)), total((2, 5.0), (3, 9.0), (1, 8.0))).collect()
+    assert {r["company_id"]: r["credits"] for r in got} == {1: 8.0, 2: 5.0, 3: 7.0}
+    docs = spark.createDataFrame([(1, 2, "Total credits of the year: Rs 12 lakhs"), (1, 1, None)], "company_id long, doc_id long, text string")
+    assert [(r["doc_id"], r["value"]) for r in statements.told_credits(docs).where("value IS NOT NULL").collect()] == [(2, 1_200_000.0)]
+
+
+def test_sections_headed_without_keywords_and_audit_texts(spark):
+    docs = spark.createDataFrame([(1, 5, "NOTES ON THE FINANCIAL POSITION\nnothing else"), (2, 5, "Independent Auditor of ours\nqualified opinion\n\n\nPLAIN HEADING\ngoing concern")], "doc_id long, company_id long, text string")
+    blocks = filings.segment_blocks(docs)
+    sections = filings.classify_sections(blocks)
+    assert {(r["section"], r["confidence"]) for r in sections.where("doc_id = 1").collect()} == {("notes_to_accounts", 0.55)}
+    assert {r["type"] for r in filings.audit_remarks(filings.audit_texts(docs, blocks, sections)).where("doc_id = 2").collect()} == {"QUALIFIED_OPINION"}
+    found = filings.figures(spark.createDataFrame([(1, "x " * 100 + "Net worth: Rs. 5 Cr and more")], "doc_id long, text string")).first()
+    assert found["has_unit"] and "Net worth: Rs. 5 Cr and more" in found["context"] and len(found["context"]) < 150
+
+
+def test_split_keeps_shares_of_labels(spark):
+    f = spark.range(2000).selectExpr("id AS company_id", "CAST(id % 10 = 0 AS INT) AS label")
+    seen, held = model.split(f)
+    n = {(k, r["label"]): r["count"] for k, part in (("seen", seen), ("held", held)) for r in part.groupBy("label").count().collect()}
+    assert n["seen", 1] in range(155, 166) and n["seen", 0] in range(1430, 1451) and sum(n.values()) == 2000
