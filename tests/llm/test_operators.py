@@ -361,7 +361,7 @@ def test_pairwise_weights_are_near_the_best_ones():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((120, 4)).astype(np.float32)
     label = (x @ np.array([1.0, -2.0, 0.5, 0.0]) + rng.standard_normal(120) > 0).astype(int)
-    model = quality_rank.Model(x, label, float((label == 0).mean()))
+    model = quality_rank.Model(x.copy(), label, float((label == 0).mean()))
     z = (x - model.mean) / model.spread
     gap = (z[label == 1][:, None, :] - z[label == 0][None, :, :]).reshape(-1, 4).astype(float)
     loss = lambda w: float(np.log1p(np.exp(-gap @ w)).mean() + quality_rank.DECAY / 2 * w @ w)
