@@ -89,34 +89,41 @@ def layered_score(edges: DataFrame, pairs: DataFrame, ordered: bool = True) -> D
     return out.withColumn("severity", F.when(s > 0.15, "HIGH").when(s > 0.05, "MEDIUM").otherwise("NONE"))
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """Simple directed cycles of 2 to longest nodes, each from its least node on.
+def cycles(edges: DataFrame, longest: int = 4, hub: int | None = None) -> DataFrame:
+    """Simple directed cycles of 2 to longest nodes, each from its least node on; suspicious up to four nodes.
 
-    Edges whose end has no way on, or whose start has no way in, leave before each hop.
+    A cycle is a way out from its least node and a way back to it, of half its edges each, which meet at their ends; so no
+    open path of more than half a cycle is made. Edges whose end has no way on, or whose start has no way in, leave first.
+    hub, off by default: nodes with more edges than that, in or out, leave, too.
     """
     pay = edges.where("total_amount > 0 AND src <> dst").select("company_id", "src", "dst", "total_amount")
-    onward = pay.select("company_id", F.col("src").alias("dst")).distinct()
-    inward = pay.select("company_id", F.col("dst").alias("src")).distinct()
-    pay = pay.join(onward, ["company_id", "dst"], "left_semi").join(inward, ["company_id", "src"], "left_semi")
+    for near, far in (("dst", "src"), ("src", "dst")):
+        counts = pay.groupBy("company_id", F.col(far).alias(near)).agg(F.count(F.lit(1)).alias("n"))
+        pay = pay.join(counts if hub is None else counts.where(F.col("n") <= hub), ["company_id", near], "left_semi")
     hop = pay.select(F.col("company_id").alias("g"), F.col("src").alias("s"), F.col("dst").alias("d"), F.col("total_amount").alias("t"))
-    paths = pay.where("src < dst").select("company_id", F.array("src", "dst").alias("nodes"), F.col("total_amount").alias("amount"))
+    first, last = F.element_at("nodes", 1), F.element_at("nodes", -1)
+    one = pay.select("company_id", F.array("src", "dst").alias("nodes"), F.col("total_amount").alias("amount"))
+    out, back = [one.where(first < last)], [one.where(last < first)]  # ways from, and to, their least node, by length
+    same = F.col("company_id") == F.col("g")
+    new = lambda node: ~F.array_contains("nodes", node)
+    total = (F.col("amount") + F.col("t")).alias("amount")
+    while len(out) < (longest + 1) // 2:
+        out.append(out[-1].join(hop, same & (last == F.col("s")) & (F.col("d") > first) & new(F.col("d"))).select("company_id", F.array_append("nodes", F.col("d")).alias("nodes"), total))
+    while len(back) < longest // 2:
+        back.append(back[-1].join(hop, same & (first == F.col("d")) & (F.col("s") > last) & new(F.col("s"))).select("company_id", F.array_prepend("nodes", F.col("s")).alias("nodes"), total))
     found = None
     for length in range(2, longest + 1):
-        last, first = F.element_at("nodes", -1), F.element_at("nodes", 1)
-        step = paths.join(hop, (F.col("company_id") == F.col("g")) & (last == F.col("s")))
-        closed = step.where(F.col("d") == first).select(
-            "company_id", F.lit(length).alias("length"), F.array_join("nodes", ">").alias("path"), half_up(F.col("amount") + F.col("t"), 2).alias("amount")
-        )
-        found = closed if found is None else found.unionByName(closed)
-        paths = step.where((F.col("d") > first) & ~F.array_contains("nodes", F.col("d"))).select(
-            "company_id", F.array_append("nodes", F.col("d")).alias("nodes"), (F.col("amount") + F.col("t")).alias("amount")
-        )
+        there = out[(length + 1) // 2 - 1].select("company_id", first.alias("start"), last.alias("turn"), "nodes", "amount")
+        home = back[length // 2 - 1].select("company_id", last.alias("start"), first.alias("turn"), F.slice("nodes", 2, length // 2 - 1).alias("more"), F.col("amount").alias("rest"))
+        met = there.join(home, ["company_id", "start", "turn"]).where(~F.arrays_overlap("nodes", "more"))
+        own = met.select("company_id", F.lit(length).alias("length"), F.array_join(F.concat("nodes", "more"), ">").alias("path"), half_up(F.col("amount") + F.col("rest"), 2).alias("amount"), F.lit(length <= 4).alias("suspicious"))
+        found = own if found is None else found.unionByName(own)
     return found
 
 
 def cycle_score(edges: DataFrame, found: DataFrame) -> DataFrame:
     totals = edges.groupBy("company_id").agg(F.sum(F.col("total_amount").cast("decimal(18,2)")).cast("double").alias("total"))
-    sums = found.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("amount"))
+    sums = found.where("suspicious").groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("amount"))
     one, none = F.lit(1.0), F.lit(0.0)
     by_amount = F.least(F.coalesce("amount", none) / F.when(F.col("total") > 0, F.col("total")).otherwise(one), one)
     by_count = F.least(F.coalesce("n", F.lit(0)) * 10 / F.lit(100.0), one)
@@ -184,11 +191,13 @@ def shell_entities(entities: DataFrame, names: DataFrame) -> DataFrame:
     aren't that company; the first by name is the match. entities: company_id, entity;
     names: company_id, name."""
     suffix = r"(?i)\b(PVT|PRIVATE|LTD|LIMITED|LLP|INC|CORP)\b\.?"
-    tokens = lambda c: F.array_distinct(F.split(F.trim(F.regexp_replace(F.upper(F.regexp_replace(c, suffix, " ")), "[^A-Z0-9]+", " ")), " "))
-    left = entities.distinct().select("company_id", "entity", F.explode(tokens(F.col("entity"))).alias("token")).where("token <> ''")
-    right = names.where(F.length("name") > 4).distinct().select("company_id", "name", F.explode(tokens(F.col("name"))).alias("token")).where("token <> ''")
-    shared = left.join(right, ["company_id", "token"]).where(F.upper("entity") != F.upper("name")).groupBy("company_id", "entity", "name").agg(F.count(F.lit(1)).alias("n"))
-    return shared.where("n >= 2").groupBy("company_id", "entity").agg(F.min("name").alias("matched"))
+    tokens = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(F.upper(F.regexp_replace(c, suffix, " ")), "[^A-Z0-9]+", " "), " "), lambda x: x != "")))
+    # Names meet by pairs of tokens, as single ones such as STEEL would join all names that have them.
+    pairs = lambda x: F.explode(F.flatten(F.transform(x, lambda a: F.transform(F.filter(x, lambda b: b > a), lambda b: F.concat_ws(" ", a, b)))))
+    left = entities.distinct().select("company_id", "entity", pairs(tokens(F.col("entity"))).alias("pair"))
+    right = names.where(F.length("name") > 4).distinct().select("company_id", "name", pairs(tokens(F.col("name"))).alias("pair"))
+    shared = left.join(right, ["company_id", "pair"]).where(F.upper("entity") != F.upper("name"))
+    return shared.groupBy("company_id", "entity").agg(F.min("name").alias("matched"))
 
 
 def shell_score(shells: DataFrame) -> DataFrame:

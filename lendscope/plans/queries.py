@@ -153,7 +153,7 @@ def suspicious_companies(spark, d):
     return scored.select("company_id", "layered_score", "pairs", "severity").orderBy(F.desc("layered_score"), "company_id")
 
 
-@query(f"SELECT * FROM {CYCLES}")
+@query(f"SELECT *, true AS suspicious FROM {CYCLES}")
 def cycles(spark, d):
     return graph.cycles(edges(spark, d, "graph_txns"))
 
