@@ -22,11 +22,12 @@ def multiplier(unit: Column) -> Column:
     return out
 
 
-def _amount(raw: Column, pattern: str, context_unit: Column) -> Column:
+def _amount(raw: Column, pattern: str, context_unit: Column, negative: Column | None = None) -> Column:
     group = lambda i: F.regexp_extract(raw, pattern, i)
     digits, unit = group(3), F.when(group(4) != "", group(4)).otherwise(context_unit)
     value = F.regexp_replace(digits, ",", "").try_cast("double")
-    sign = F.when((group(1) == "-") | (group(2) == "-"), -1.0).otherwise(1.0)
+    minus = (group(1) == "-") | (group(2) == "-")
+    sign = F.when(minus if negative is None else minus | negative, -1.0).otherwise(1.0)
     year = (unit == "") & digits.rlike(YEAR)
     return F.when((digits != "") & ~year, sign * value * multiplier(unit))
 
@@ -43,8 +44,7 @@ def parse_inr(raw: Column, context_unit: Column | None = None) -> Column:
 
 def parse_accounting(raw: Column) -> Column:
     """(1,234) is negative; else as parse_amount."""
-    inner = F.regexp_extract(raw, r"^\s*\((.*)\)\s*$", 1)
-    return F.when(inner != "", -F.abs(parse_amount(inner))).otherwise(parse_amount(raw))
+    return _amount(raw, AMOUNT, F.lit(""), raw.rlike(r"^\s*\(.+\)\s*$"))
 
 
 def valid_amount(value: Column, raw: Column) -> Column:
