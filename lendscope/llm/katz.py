@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.llm.blocks import blocks, counts_in, counts_out, from_bytes, part_of, planes, rising, unplanes, unrising
-from lendscope.llm.shared import MIX1, held_out, mix64, shared_dir, stored, text_bytes, word_hashes
+from lendscope.llm.shared import MIX1, give_back, giving_back, held_out, mix64, shared_dir, stored, text_bytes, word_hashes
 
 END, BEGIN = np.uint64(0xE5D0E5D0E5D0E5D1), np.uint64(0xB361B361B361B363)
 #: Counts above this keep their full weight.
@@ -149,6 +149,8 @@ def ask_words(parts: int):
                 counts = tokens.train_counts()
                 for part, some in tokens.sections(parts):
                     yield _row(pa, part=part, block=row["block"], payload=[rising(tokens.distinct[some]), counts_in(counts[some])])
+                del tokens
+        give_back()
 
     return ask
 
@@ -370,15 +372,15 @@ def score_documents(docs: DataFrame, mod: int = 10, remainder: int = 0) -> DataF
         BLOCK_BYTES,
     )
     n_stats = LAST_DISCOUNTED + 4
-    words = packed.mapInArrow(ask_words(parts), ASKED).groupBy("part").applyInArrow(answer_words, ANSWERED)
+    words = packed.mapInArrow(ask_words(parts), ASKED).groupBy("part").applyInArrow(giving_back(answer_words), ANSWERED)
     words = stored(words, f"{place}/words")
     total, types, *of_counts = _sums(words, n_stats)
     unigrams = Unigrams(total, types, of_counts)
     known = words.where("kind = 'words'").select("kind", "block", "part", "payload")
-    asked = packed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(ask_pairs(parts, parts, total), ASKED)
-    pairs = stored(asked.groupBy("part").applyInArrow(answer_pairs(unigrams), ANSWERED), f"{place}/pairs")
+    asked = packed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(giving_back(ask_pairs(parts, parts, total)), ASKED)
+    pairs = stored(asked.groupBy("part").applyInArrow(giving_back(answer_pairs(unigrams)), ANSWERED), f"{place}/pairs")
     _, _, *of_counts = _sums(pairs, n_stats)
     answers = known.unionByName(pairs.where("kind = 'pairs'").select("kind", "block", "part", "payload"))
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        score(parts, parts, unigrams, Discounts(of_counts)), SCORES
+        giving_back(score(parts, parts, unigrams, Discounts(of_counts))), SCORES
     )

@@ -141,6 +141,22 @@ def give_back() -> None:
         trim(0)
 
 
+def giving_back(work):
+    """work on one group, or on two that meet, which hands freed memory back after each."""
+
+    def of_one(group):
+        out = work(group)
+        give_back()
+        return out
+
+    def of_two(left, right):
+        out = work(left, right)
+        give_back()
+        return out
+
+    return of_one if work.__code__.co_argcount == 1 else of_two
+
+
 # ---- arrays of bytes from Arrow text columns -------------------------------------------
 
 #: Space and the controls 9 to 13.
