@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lendscope.llm import bpe_words, embedding_links, jaccard_join, katz, language_mix, packing, quality_rank, toxicity
+from lendscope.llm import bpe_words, embedding_links, filter_audit, jaccard_join, katz, language_mix, lexical_search, packing, quality_rank, toxicity
 from lendscope.llm import exact_dedup as chunked
 from lendscope.llm import secret_scan as secrets
 from lendscope.llm.shared import load
@@ -48,6 +48,14 @@ def op10_exact_dedup(spark, sf_dir):
     return chunked.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.lexical_search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.filter_audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_mix": op1_language_mix,
     "op2_quality_rank": op2_quality_rank,
@@ -59,6 +67,8 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -66,4 +76,6 @@ ORACLE_SQL = {
     "op9_jaccard_join": jaccard_join.ORACLE,
     "op8_secret_scan": secrets.ORACLE,
     "op10_exact_dedup": chunked.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
