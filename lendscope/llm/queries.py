@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lendscope.llm import bpe_words, embedding_links, filter_audit, jaccard_join, katz, language_mix, lexical_search, packing, quality_rank, toxicity
+from lendscope.llm import bpe_words, embedding_links, filter_audit, jaccard_join, katz, language_mix, lexical_search, packing, page_text, quality_rank, toxicity
 from lendscope.llm import exact_dedup as chunked
 from lendscope.llm import secret_scan as secrets
 from lendscope.llm.shared import load
@@ -52,6 +52,10 @@ def op11_lexical_search(spark, sf_dir):
     return lexical_search.lexical_search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op12_page_text(spark, sf_dir):
+    return page_text.page_texts(load(spark, sf_dir, "pages"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.filter_audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_lexical_search": op11_lexical_search,
+    "op12_page_text": op12_page_text,
     "op13_filter_audit": op13_filter_audit,
 }
 
