@@ -76,7 +76,9 @@ def spans(text: Column, pattern: str, group: int, least: int, most: int | None)
             F.length(x["gap"]).cast("long").alias("gap"), F.length(x["found"]).cast("long").alias("size"), F.length(x["part"]).alias("part")
         ),
     )
-    every = F.when(F.size(rows) <= RUN, placed(rows, F.lit(0).cast("long"))).otherwise(placed_in_runs(rows))
+    # The lambda's variable holds the matches, so that the text is scanned once and not again for each run.
+    put = lambda r: F.when(F.size(r) <= RUN, placed(r, F.lit(0).cast("long"))).otherwise(placed_in_runs(r))
+    every = F.element_at(F.transform(F.array(rows), put), 1)
     fits = F.filter(every, lambda x: (x["part"] >= least) & (F.lit(most is None) | (x["part"] <= (most or 0))))
     plain = F.transform(fits, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     return F.when(text.rlike(pattern), plain).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
@@ -106,7 +108,7 @@ def confirmed(found: DataFrame) -> DataFrame:
         .select("doc", "key", "kind", "span.start", "span.end")
     )
     cells = lambda low, high: F.explode(F.sequence(F.floor(low / SCOPE), F.floor(high / SCOPE)))
-    weak = rows.where("kind IN ('secret', 'endpoint')").withColumn("cell", cells(F.col("start"), F.col("end")))
+    weak = rows.where("kind IN ('secret', 'endpoint')").distinct().withColumn("cell", cells(F.col("start"), F.col("end")))
     strong = (
         rows.where("kind IN ('assign', 'access')")
         .select("doc", "key", F.col("kind").alias("by"), F.col("start").alias("from"), F.col("end").alias("to"))
