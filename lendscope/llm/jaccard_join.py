@@ -201,16 +201,20 @@ def alike(least: float):
 
 
 def with_shingles(docs: DataFrame, salt: int = 0) -> DataFrame:
-    """id, shingles (sorted 64-bit hashes) of docs."""
+    """id, shingles (sorted 64-bit hashes) of docs, once for each set: a task tells a set once, and of what
+    tasks tell one stays."""
 
     def run(batches):
         import pyarrow as pa
 
+        told: set[int] = set()
         for table, raw, off in _tables(batches):
             sets = shingles(raw, off)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(set_ids(sets, salt)), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+            ids = set_ids(sets, salt)
+            new = [i for i, x in enumerate(ids.tolist()) if not (x in told or told.add(x))]
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[new]), "shingles": pa.array([sets[i].tobytes() for i in new], pa.binary())})
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.mapInArrow(run, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles"))
 
 
 def buckets(nodes: DataFrame, place: str) -> DataFrame:
@@ -274,10 +278,10 @@ def classified(docs: DataFrame, least: float = LEAST) -> DataFrame:
         "id", F.coalesce("class", "id").alias("class"), F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n")
     )
     known = stored(known, f"{place}/classes")
-    own = rows.select("doc_id", "raw_sha256", F.when(F.col("size") > 0, F.col("id")).alias("id"))
-    return own.join(known, "id", "left").select(
-        "doc_id", "raw_sha256", "id", "class", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links")
-    )
+    of_set = rows.where("size > 0").select("doc_id", "raw_sha256", "id").join(known, "id")
+    of_set = of_set.select("doc_id", "raw_sha256", "id", "class", "class_id", F.col("n").cast("long").alias("n_links"))
+    no_words = rows.where("size = 0").selectExpr("doc_id", "raw_sha256", "CAST(NULL AS LONG) AS id", "CAST(NULL AS LONG) AS class", "doc_id AS class_id", "0L AS n_links")
+    return of_set.unionByName(no_words)
 
 
 def near_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
