@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.llm.blocks import counts_in, counts_out, numbered, planes, unplanes
+from lendscope.llm.blocks import BLOCK_ROWS, counts_in, counts_out, numbered, planes, unplanes
 from lendscope.llm.shared import TOKENIZER, encoder, expand, shared_dir, squeeze, stored, text_bytes, tokenizer_path
 
 #: Bytes of text in a block, and those whose words one part of the word table is asked for.
@@ -220,10 +220,24 @@ def number_words(tokenizer: str):
 
 
 def encode_words(words: list[bytes], name: str) -> list[list[int]]:
-    """The ids of each word."""
+    """The ids of each word, whatever its length: words are merged as they are, no pattern splits them again."""
     tool = encoder(name)
     special = {t.encode(): tool.encode_single_token(t) for t in tool.special_tokens_set}
-    return [[special[w]] if w in special else tool.encode_ordinary(w.decode()) for w in words]
+    return [[special[w]] if w in special else tool._encode_single_piece(w) for w in words]
+
+
+def text_ids(texts, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of an Arrow column of texts, and how many each text has; distinct words are encoded once."""
+    import pyarrow as pa
+
+    raw, off = text_bytes(texts)
+    starts, words_of = split(raw, off, special_tokens(name))
+    ends = np.append(starts, len(raw))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
+    found = encode_words(words.dictionary.to_pylist(), name)
+    size = np.array([len(x) for x in found], np.int64)
+    own, ids = gathered_ids(size, np.array([i for x in found for i in x], np.uint32), words.indices.to_numpy())
+    return ids, np.diff(np.append(0, np.cumsum(own))[np.append(0, np.cumsum(words_of))])
 
 
 def gathered_ids(size: np.ndarray, ids: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,6 +320,16 @@ def texts_from(ids: np.ndarray, ends: np.ndarray, pieces):
 
 
 CODED = "row long, doc_id long, ids array<int>, text string"
+#: Bits of a row's number for its place in the block, and for the block's place in the partition.
+ROW_BITS, BLOCK_BITS = 17, 23
+
+
+def row_numbers(block: int, rows: int) -> np.ndarray:
+    """Numbers of a block's rows; a block number has its partition in the bits from 32 on. 2**23 partitions have room."""
+    partition, place = block >> 32, block & (1 << 32) - 1
+    if rows > 1 << ROW_BITS or place >= 1 << BLOCK_BITS or partition >= 1 << 63 - ROW_BITS - BLOCK_BITS:
+        raise ValueError("more rows, blocks or partitions than row numbers tell apart")
+    return (partition << ROW_BITS + BLOCK_BITS) + (place << ROW_BITS) + np.arange(rows, dtype=np.int64)
 
 
 def _coded(block: int, doc_ids: list, ids: np.ndarray, ends: np.ndarray, pieces):
@@ -313,7 +337,7 @@ def _coded(block: int, doc_ids: list, ids: np.ndarray, ends: np.ndarray, pieces)
 
     return pa.table(
         {
-            "row": pa.array((block << 24) + np.arange(len(ends) - 1)),
+            "row": pa.array(row_numbers(block, len(ends) - 1)),
             "doc_id": pa.array(doc_ids, pa.int64()),
             "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))),
             "text": texts_from(ids, ends, pieces).cast(pa.string()),
@@ -367,7 +391,7 @@ def decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             start = 0
             sizes = np.array([len(x or ()) for x in batch.column(1).to_pylist()], np.int64)
             while start < len(sizes):
-                stop = max(start + 1, int(np.searchsorted(np.cumsum(sizes[start:]), BLOCK_IDS)) + start)
+                stop = max(start + 1, int(np.searchsorted(np.cumsum(sizes[start : start + BLOCK_ROWS]), BLOCK_IDS)) + start)
                 ids = batch.column(1).slice(start, stop - start).flatten().to_numpy()
                 yield pa.RecordBatch.from_pydict(
                     {

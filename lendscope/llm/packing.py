@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.llm.blocks import numbered
+from lendscope.llm.bpe_words import text_ids
 from lendscope.llm.shared import TOKENIZER, encoder
 
 WINDOW = 1024
@@ -134,12 +135,12 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKEN
     def pack(batches):
         import pyarrow as pa
 
-        tool = encoder(tokenizer)
-        is_end = sentence_ends(tool)
+        is_end = sentence_ends(encoder(tokenizer))
         is_end[END_ID] = False
         used = 0
         for number, table in numbered(batches, most=STREAM_BYTES):
-            ids = [np.append(tool.encode_to_numpy(t.as_py(), allowed_special="all"), np.uint32(END_ID)) for t in table["text"]]
+            flat, sizes = text_ids(table["text"], tokenizer)
+            ids = [np.append(own, np.uint32(END_ID)) for own in np.split(flat, np.cumsum(sizes)[:-1])]
             first = (number >> 32 << 33) + used
             found = pack_block(table["doc_id"].to_pylist(), ids, is_end, window, first)
             used = found["sequence_id"][-1] - (number >> 32 << 33) + 1
