@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendscope.functions.lexicon import bound, hits, read_lexicon
 from lendscope.functions.rounding import half_up
 
 #: Words of good and bad news.
@@ -15,24 +16,20 @@ LITIGATION = ["npa", "default", "nclt", "insolvency", "drt", "recovery", "fraud"
 #: Words that tell a case's severity, the gravest first, with its weight.
 SEVERITY = {
     "CRITICAL": (["wilful defaulter", "fraud classification", "pmla", "enforcement directorate", "cbi", "insolvency", "ibc"], 1.0),
-    "HIGH": (["nclt", "drt", "drat", "winding up", "recovery suit", "criminal complaint"], 0.75),
+    "HIGH": (["nclt", "drt", "drat", "winding up", "recovery suit", "criminal complaint", "fir"], 0.75),
     "MEDIUM": (["cheque bounce", "section 138", "civil suit", "arbitration", "claim"], 0.4),
     "LOW": (["consumer forum", "labour dispute", "minor claim"], 0.15),
 }
 
 
-def _hits(text: Column, words: list[str]) -> Column:
-    return sum((text.contains(w).cast("int") for w in words), F.lit(0))
-
-
 def sentiment(articles: DataFrame, whole_words: bool = False) -> DataFrame:
     """articles with sentiment, from the words in title and snippet (anywhere, or as whole words), and
     has_litigation_signal: whether any word of a case is in them."""
     low = F.lower(F.concat_ws(" ", "title", "snippet"))
-    hits = (lambda words: sum((low.rlike(rf"\b{w}\b").cast("int") for w in words), F.lit(0))) if whole_words else (lambda words: _hits(low, words))
-    bad, good = hits(NEGATIVE), hits(POSITIVE)
+    count = (lambda words: sum((low.rlike(rf"\b{w}\b").cast("int") for w in words), F.lit(0))) if whole_words else (lambda words: hits(low, words))
+    bad, good = count(NEGATIVE), count(POSITIVE)
     told = F.when(bad > good, "NEGATIVE").when(good > bad, "POSITIVE").otherwise("NEUTRAL")
-    return articles.withColumns({"sentiment": told, "has_litigation_signal": _hits(low, LITIGATION) > 0})
+    return articles.withColumns({"sentiment": told, "has_litigation_signal": hits(low, LITIGATION) > 0})
 
 
 #: Letters, No and a number with a year.
@@ -69,7 +66,7 @@ def news_score(kept: DataFrame) -> DataFrame:
 def case_severity(text: Column) -> Column:
     low, out = F.lower(text), F.lit("LOW")
     for name, (words, _) in reversed(list(SEVERITY.items())):
-        out = F.when(_hits(low, words) > 0, name).otherwise(out)
+        out = F.when(hits(low, words) > 0, name).otherwise(out)
     return out
 
 
@@ -140,19 +137,6 @@ GLOBAL_RISK = ["recession", "war", "sanction", "slowdown"]
 #: Words against and for a sector.
 HEADWIND = ["risk", "challenge", "decline", "slowdown", "pressure", "penalty", "ban", "crisis"]
 TAILWIND = ["growth", "demand", "expansion", "boost", "positive", "recovery", "export"]
-#: Sector, base risk, keywords, for ten sectors; more (a table of all would be too long here) come as a parameter.
-SECTORS = {
-    "steel": (0.55, ["steel", "iron", "rolling mill", "sponge iron", "blast furnace", "hot rolled", "cold rolled", "tmt bar", "wire rod", "pig iron"]),
-    "textile": (0.50, ["textile", "garment", "yarn", "fabric", "spinning", "weaving", "apparel", "hosiery", "knitting", "dyeing", "cotton", "polyester"]),
-    "real_estate": (0.65, ["real estate", "developer", "housing", "construction", "builder", "realty", "township", "residential project", "commercial property", "warehouse", "reit", "plotted development"]),
-    "it": (0.30, ["information technology", "software", "it services", "saas", "bpo", "ites", "data center", "cloud", "cybersecurity", "ai", "fintech", "tech", "digital", "platform", "erp"]),
-    "pharma": (0.35, ["pharma", "pharmaceutical", "drug", "api", "active pharmaceutical", "medicine", "hospital", "healthcare", "biotech", "formulation", "clinical", "nutraceutical", "ayurvedic", "medical device"]),
-    "nbfc": (0.60, ["nbfc", "microfinance", "lending", "financial services", "mfi", "asset finance", "gold loan", "housing finance", "hfc", "vehicle finance", "consumer lending"]),
-    "infrastructure": (0.55, ["infrastructure", "road", "highway", "port", "airport", "power", "shipyard", "maritime", "shipping", "vessel", "dockyard", "naval", "offshore", "rig", "bridge", "metro", "tunnel", "transmission line", "substation", "irrigation", "dam"]),
-    "agri": (0.45, ["agriculture", "agri", "farm", "crop", "fertilizer", "seeds", "pesticide", "irrigation", "dairy", "poultry", "aquaculture", "food processing", "sugar mill", "rice mill", "cold chain"]),
-    "auto": (0.50, ["automobile", "auto", "vehicle", "car", "truck", "two-wheeler", "three-wheeler", "ev", "electric vehicle", "tyre", "ancillary", "forging", "casting", "auto component", "transmission"]),
-    "cement": (0.45, ["cement", "concrete", "rmc", "ready mix", "clinker", "fly ash", "lime", "gypsum", "asbestos"]),
-}
 DEFAULT_SECTOR_RISK = 0.50
 
 
@@ -195,25 +179,31 @@ def macro_score(items: DataFrame, scope: str) -> DataFrame:
     )
 
 
-def sector_detect(docs: DataFrame, sectors: dict | None = None) -> DataFrame:
-    """The sector with most keywords over a company's texts, the first declared on a tie; default without any."""
-    table = sectors or SECTORS
-    low = docs.select("company_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    seen = low.groupBy("company_id").agg(*[_seen(words).alias(name) for name, (_, words) in table.items()])
-    best = F.array_max(F.array(*[F.struct(F.col(n).alias("hits"), F.lit(-i).alias("o"), F.lit(n).alias("sector")) for i, n in enumerate(table)]))
-    return seen.select("company_id", best.alias("b")).select("company_id", F.when(F.col("b.hits") > 0, F.col("b.sector")).otherwise("default").alias("sector"), F.col("b.hits").cast("long").alias("hits"))
-
-
-def sector_risk(detected: DataFrame, kept: DataFrame, regulatory: DataFrame, sectors: dict | None = None) -> DataFrame:
-    """Base risk, moved by the balance of kept news and by regulatory mentions (company_id, mentions)."""
-    base = F.lit(DEFAULT_SECTOR_RISK)
-    for name, (risk, _) in (sectors or SECTORS).items():
-        base = F.when(F.col("sector") == name, risk).otherwise(base)
+def sector_detect(docs: DataFrame, lexicon: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """The sector with most phrases over a company's texts, the first declared on a tie; default without any. lexicon:
+    sector, its base risk, phrase; by default that of the library, of 16 sectors. A text leaves its task as the phrases that it holds."""
+    rows = lexicon or read_lexicon("sectors")
+    order = {s: i for i, s in enumerate(dict.fromkeys(s for s, *_ in rows))}
+    phrases = F.array(*[F.struct(F.lit(order[s]).alias("o"), F.lit(s).alias("sector"), F.lit(p).alias("phrase")) for s, _, p in rows])
+    held = bound(F.lower(F.coalesce("text", F.lit(""))), lambda low: F.filter(phrases, lambda x: F.contains(low, x["phrase"])))
+    seen = docs.select("company_id", F.explode_outer(held).alias("of")).distinct()
+    counts = seen.groupBy("company_id", F.col("of.o").alias("o"), F.col("of.sector").alias("sector")).agg(F.count("of.phrase").alias("hits"))
+    best = counts.groupBy("company_id").agg(F.max(F.struct("hits", (-F.col("o")).alias("first"), "sector")).alias("b"))
+    return best.select("company_id", F.coalesce("b.sector", F.lit("default")).alias("sector"), F.col("b.hits").alias("hits"))
+
+
+def sector_risk(detected: DataFrame, kept: DataFrame, regulatory: DataFrame, lexicon: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """Base risk, moved by the balance of kept news and by regulatory mentions (company_id, mentions). lexicon: as in
+    sector_detect."""
+    base = {s: float(risk) for s, risk, _ in lexicon or read_lexicon("sectors")}
+    known = F.create_map(*[F.lit(x) for pair in base.items() for x in pair])
     bad, good = F.count_if(F.col("sentiment") == "NEGATIVE"), F.count_if(F.col("sentiment") == "POSITIVE")
     news = kept.groupBy("company_id").agg(((bad - good) / F.count(F.lit(1)) * 0.10).alias("move"))
     joined = detected.join(news, "company_id", "left").join(regulatory, "company_id", "left")
-    risk = half_up(F.least(F.greatest(base + F.coalesce("move", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), 4)
-    out = joined.select("company_id", "sector", risk.alias("risk"), F.least(0.05 * F.coalesce("mentions", F.lit(0)), F.lit(0.15)).alias("extra"))
+    risk = F.coalesce(F.try_element_at(known, F.col("sector")), F.lit(DEFAULT_SECTOR_RISK)) + F.coalesce("move", F.lit(0.0))
+    out = joined.select(
+        "company_id", "sector", half_up(F.least(F.greatest(risk, F.lit(0.0)), F.lit(1.0)), 4).alias("risk"), F.least(0.05 * F.coalesce("mentions", F.lit(0)), F.lit(0.15)).alias("extra")
+    )
     outlook = F.when(F.col("risk") > 0.60, "NEGATIVE").when(F.col("risk") < 0.40, "POSITIVE").otherwise("NEUTRAL")
     return out.select("company_id", "sector", outlook.alias("outlook"), half_up(F.least(F.col("risk") + F.col("extra"), F.lit(1.0)), 4).alias("sector_risk"))
 
@@ -222,7 +212,7 @@ def head_tailwinds(articles: DataFrame, k: int = 5, good: int = 3) -> DataFrame:
     """The first k distinct titles of a company whose title or body tells of a headwind, and of a tailwind, and the first
     good ones of positive articles. articles: of sentiment()."""
     low = F.lower(F.concat_ws(" ", "title", "snippet"))
-    sides = F.filter(F.array(F.when(_hits(low, HEADWIND) > 0, F.lit("headwind")), F.when(_hits(low, TAILWIND) > 0, F.lit("tailwind")), F.when(F.col("sentiment") == "POSITIVE", F.lit("positive"))), lambda x: x.isNotNull())
+    sides = F.filter(F.array(F.when(hits(low, HEADWIND) > 0, F.lit("headwind")), F.when(hits(low, TAILWIND) > 0, F.lit("tailwind")), F.when(F.col("sentiment") == "POSITIVE", F.lit("positive"))), lambda x: x.isNotNull())
     once = articles.where("title <> ''").select("company_id", "ordinal", "title", F.explode(sides).alias("side")).groupBy("company_id", "side", "title").agg(F.min("ordinal").alias("ordinal"))
     order = Window.partitionBy("company_id", "side").orderBy("ordinal")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("side") == "positive", good).otherwise(k))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lendscope.functions.lexicon import read_lexicon
 from lendscope.functions.rounding import half_up_sql as r
 from lendscope.operators import filings, graph
 from lendscope.plans.figures import FIGURES, FILINGS, around, times
-from lendscope.plans.inputs import frame
-from lendscope.plans.queries import CONTAINS, CYCLES, HITS, MANY, edges, query
+from lendscope.plans.inputs import frame, sql
+from lendscope.plans.queries import CONTAINS, CYCLES, MANY, VALUES, edges, query
 
 _all = lambda p, i, t="text": f"regexp_extract_all({t}, '{p}', {i})"
 _one = lambda p, i=1: f"regexp_extract(text, '{p}', {i})"
@@ -24,20 +25,30 @@ BLOCKS = f"""(SELECT doc_id, block_no, CASE WHEN starts_with(block, chr(1)) THEN
 
 @query(f"SELECT * FROM {BLOCKS}")
 def segment_blocks(spark, d):
-    return filings.segment_blocks(_docs(spark, d))
+    return filings.segment_blocks(_docs(spark, d)).drop("doc_type")
 
 
-_sections = ", ".join(f"{{'n': {HITS('low', words)}, 'o': {-i}, 'k': '{k}'}}" for i, (k, words) in enumerate(filings.SECTIONS.items()))
+_head = "CASE " + " ".join(f"WHEN regexp_matches(left(low, 300), '{p}') THEN '{k}'" for p, k in filings.HEADERS) + " END"
+_lexicon = VALUES([(t, s, i, p) for i, (t, s, p) in enumerate(read_lexicon("sections"))])
 
 
-_head = "CASE " + " ".join(f"WHEN regexp_matches(left(low, 300), '{p}') THEN '{k}'" for p, k in filings.HEADERS) + " END"
-CLASSIFIED = f"""(SELECT doc_id, block_no, text, CASE WHEN b.n > 0 THEN b.k ELSE coalesce(head, 'unclassified') END AS section, CASE WHEN b.n > 0 THEN least(0.5e0 + (b.n - 1) * 0.25e0, 0.95e0) WHEN head IS NOT NULL THEN 0.55e0 ELSE 0.15e0 END AS confidence
-  FROM (SELECT doc_id, block_no, text, list_max([{_sections}]) AS b, {_head} AS head FROM (SELECT doc_id, block_no, text, lower(text) AS low FROM {BLOCKS})))"""
+def classified(docs: str) -> str:
+    """Sections of blocks of docs (doc_id, text, doc_type), by a join with the lexicon."""
+    return f"""(WITH x AS (SELECT b.doc_id, block_no, b.text, doc_type, lower(b.text) AS low FROM {BLOCKS.replace(FILINGS, docs)} b JOIN {docs} t ON t.doc_id = b.doc_id),
+  n AS (SELECT doc_id, block_no, section, count(*) AS n, min(o) AS o FROM x JOIN {_lexicon} l(kind, section, o, phrase) ON kind = doc_type AND contains(low, phrase) GROUP BY 1, 2, 3),
+  b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, block_no ORDER BY n DESC, o) = 1)
+  SELECT doc_id, block_no, text, CASE WHEN n > 0 THEN section ELSE coalesce(head, 'unclassified') END AS section,
+    CASE WHEN n > 0 THEN least(0.5e0 + (n - 1) * 0.25e0, 0.95e0) WHEN head IS NOT NULL THEN 0.55e0 ELSE 0.15e0 END AS confidence
+  FROM (SELECT *, {_head} AS head FROM x) LEFT JOIN b USING (doc_id, block_no))"""
+
+
+CLASSIFIED = classified(FILINGS)
 
 
-@query(f"SELECT doc_id, block_no, section, confidence FROM {CLASSIFIED}")
+@query(f"SELECT doc_id, block_no, section, confidence FROM {classified('(' + sql('typed_filings') + ')')}")
 def classify_sections(spark, d):
-    return filings.classify_sections(segment_blocks(spark, d))
+    """Documents of ten types, and of one that the lexicon lacks."""
+    return filings.classify_sections(filings.segment_blocks(frame(spark, d, "typed_filings")))
 
 
 AUDITED = f"""(SELECT f.doc_id, f.company_id, lower(coalesce(a.t, f.text)) AS low FROM {FILINGS} f

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lendscope.functions.lexicon import read_lexicon
 from lendscope.operators.statements import METRICS
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -113,6 +114,7 @@ SELECT doc_id, doc_id % 97 AS company_id, CASE doc_id % 4 WHEN 0 THEN 'annual_re
          'Managing Director: Mr. Ravi Kumar', CASE doc_id % 3 WHEN 0 THEN 'an' ELSE '' END, ' DIN: 0000', 1000 + doc_id % 700, chr(10), 'Notes Forming Part', chr(10), {_pick}, chr(10), chr(10), chr(10),
          CASE doc_id % 6 WHEN 0 THEN 'Charge of Rs. 45,000 in favour of State Bank.' WHEN 1 THEN 'Collateral of 25.5 Cr; capacity use 65 % and top 5 customers give 45 %.' WHEN 2 THEN 'plant idle, struck off; cheque return, ecs return'
            WHEN 3 THEN 'full capacity, active; end of day balance 0.00' ELSE 'CIN U27100MH2001PLC123456; D/E ratio: 2.4 times' END) AS text FROM {{documents}}""",
+    "typed_filings": "SELECT doc_id, company_id, text, CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(dict.fromkeys(t for t, *_ in read_lexicon("sections")))) + " ELSE 'unknown' END AS doc_type FROM {filings}",
     "promoters": "SELECT DISTINCT doc_id % 23 AS company_id, CASE doc_id % 5 WHEN 0 THEN 'Award Singh' WHEN 1 THEN 'Pledge Rao' WHEN 2 THEN 'Insolvency Das' WHEN 3 THEN 'Cheque Mehta' ELSE 'Steel Iyer' END AS name FROM {documents}",
     "addresses": "SELECT c_custkey AS company_id, concat('Plot ', c_custkey % 411, ',  Road no. ', c_nationkey % 3) AS address FROM {customer}",
     "lenders": "SELECT DISTINCT doc_id % 23 AS company_id, concat('Bank ', doc_id % 7) AS lender FROM {documents}",

@@ -81,6 +81,7 @@ SPREAD = f"""{r("(high - low) / high", 4)} AS delta, {r("least((high - low) / hi
   CASE WHEN (high - low) / high > 0.35 THEN 'HIGH' WHEN (high - low) / high > 0.2 THEN 'MEDIUM' ELSE 'NONE' END AS severity"""
 CONTAINS = lambda c, words: "(" + " OR ".join("contains({}, '{}')".format(c, w.replace("'", "''")) for w in words) + ")"
 HITS = lambda c, words: "(" + " + ".join(f"CAST(contains({c}, '{w}') AS INT)" for w in words) + ")"
+VALUES = lambda rows: "(VALUES " + ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows) + ")"
 ARTICLES = f"""(SELECT company_id, ordinal, url, title, snippet, {CONTAINS("low", research.LITIGATION)} AS has_litigation_signal, CASE WHEN bad > good THEN 'NEGATIVE' WHEN good > bad THEN 'POSITIVE' ELSE 'NEUTRAL' END AS sentiment
   FROM (SELECT *, {HITS("low", research.NEGATIVE)} AS bad, {HITS("low", research.POSITIVE)} AS good FROM (SELECT *, lower(title || ' ' || snippet) AS low FROM ({s("articles")}))))"""
 KEPT = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY CAST(sentiment = 'NEGATIVE' AS INT) DESC, length(snippet) DESC, ordinal) AS rank

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lendscope.functions.lexicon import read_lexicon
 from lendscope.functions.rounding import half_up_sql as r
 from lendscope.operators import documents, research, signals
 from lendscope.plans.inputs import frame
 from lendscope.plans.inputs import sql as s
-from lendscope.plans.queries import ARTICLES, CASES, F_SQL, HITS, KEPT, ORACLE_SQL, QUERIES, query
+from lendscope.plans.queries import ARTICLES, CASES, F_SQL, HITS, KEPT, ORACLE_SQL, QUERIES, VALUES, query
 
 SEEN = lambda c, words: "(" + " + ".join(f"max(CAST(contains({c}, '{w}') AS INT))" for w in words) + ")"
 OWN = lambda k, words: "(" + " + ".join(f"max(CAST(category = '{k}' AND contains(low, '{w}') AS INT))" for w in words) + ")"
@@ -44,8 +45,10 @@ def macro_score(spark, d):
     return research.macro_score(frame(spark, d, "macro_items"), "sector")
 
 
-_best = ", ".join(f"{{'n': {SEEN('low', words)}, 'o': {-i}, 't': '{name}'}}" for i, (name, (_, words)) in enumerate(research.SECTORS.items()))
-DETECTED = f"(SELECT company_id, CASE WHEN b.n > 0 THEN b.t ELSE 'default' END AS sector, CAST(b.n AS BIGINT) AS hits FROM (SELECT company_id, list_max([{_best}]) AS b FROM (SELECT company_id, lower(text) AS low FROM ({s('reports')})) GROUP BY 1))"
+_sectors = [(name, risk, i, phrase) for i, (name, risk, phrase) in enumerate(read_lexicon("sectors"))]
+DETECTED = f"""(SELECT company_id, coalesce(arg_max(sector, (n, -o)), 'default') AS sector, coalesce(max(n), 0) AS hits
+  FROM (SELECT DISTINCT company_id FROM ({s("reports")})) LEFT JOIN (SELECT company_id, sector, count(DISTINCT phrase) AS n, min(o) AS o
+    FROM (SELECT company_id, lower(text) AS low FROM ({s("reports")})) JOIN {VALUES([(a, o, p) for a, _, o, p in _sectors])} l(sector, o, phrase) ON contains(low, phrase) GROUP BY 1, 2) USING (company_id) GROUP BY 1)"""
 
 
 @query(f"SELECT * FROM {DETECTED}")
@@ -53,7 +56,7 @@ def sector_detect(spark, d):
     return research.sector_detect(frame(spark, d, "reports"))
 
 
-_base = "CASE sector " + " ".join(f"WHEN '{n}' THEN {x}e0" for n, (x, _) in research.SECTORS.items()) + " ELSE 0.5e0 END"
+_base = "CASE sector " + " ".join(f"WHEN '{n}' THEN {x}e0" for n, x in {n: x for n, x, *_ in _sectors}.items()) + " ELSE 0.5e0 END"
 
 
 @query(f"""SELECT company_id, sector, CASE WHEN risk > 0.6 THEN 'NEGATIVE' WHEN risk < 0.4 THEN 'POSITIVE' ELSE 'NEUTRAL' END AS outlook, {r("least(risk + least(0.05e0 * coalesce(mentions, 0), 0.15e0), 1e0)", 4)} AS sector_risk
