@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lendscope.functions.lexicon import read_lexicon
 from lendscope.operators.statements import METRICS
+from lendscope.stages import step
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -37,14 +38,20 @@ _PHRASES = [
 _pick = "CASE doc_id % 13 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES)) + " ELSE '' END"
 _feature = lambda i, name, low, high: f"{low} + {round(high - low, 4)} * (((c_custkey * {7919 + 104 * i} + CAST(floor(abs(c_acctbal)) AS BIGINT) * {i + 3}) % 1000) / 1000.0e0) AS {name}"
 
+#: Inputs that a run writes once: the payments with their orders, and sums of them.
+STEPS = {"movements", "fin_lines", "bank_monthly", "gst_monthly", "itc", "directors", "turnover"}
+
 INPUTS = {
+    "movements": """
+SELECT o_custkey, o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag, l_linestatus, l_extendedprice
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "txns": """
 SELECT o_custkey AS company_id, l_orderkey * 10 + l_linenumber AS txn_id, CAST(l_shipdate AS DATE) AS txn_date,
        CASE WHEN l_returnflag = 'R' THEN concat('S', l_suppkey) ELSE 'SELF' END AS src,
        CASE WHEN l_returnflag = 'R' THEN 'SELF' ELSE concat('S', l_suppkey) END AS dst,
        CASE WHEN l_returnflag = 'R' THEN 'credit' ELSE 'debit' END AS direction,
        CAST(l_extendedprice AS DECIMAL(18, 2)) AS amount
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+FROM {movements}""",
     "graph_txns": """
 SELECT 0 AS company_id, l_orderkey * 10 + l_linenumber AS txn_id, CAST(l_shipdate AS DATE) AS txn_date,
        concat('A', l_orderkey) AS src, concat('A', (l_partkey * 31 + l_suppkey * 17) % (SELECT max(o_orderkey) FROM {orders})) AS dst, 'debit' AS direction,
@@ -73,13 +80,13 @@ FROM (SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(18,
     "features": "SELECT c_custkey AS company_id, " + ", ".join(_feature(i, n, *r) for i, (n, r) in enumerate(FEATURES.items())) + " FROM {customer}",
     "turnover": "SELECT o_custkey AS company_id, CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS DOUBLE) / 1e4 AS turnover_crore FROM {orders} GROUP BY o_custkey",
     "gst_monthly": "SELECT o_custkey AS company_id, month(o_orderdate) AS month, CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS DOUBLE) AS turnover FROM {orders} GROUP BY o_custkey, month(o_orderdate)",
-    "bank_monthly": "SELECT o_custkey AS company_id, month(o_orderdate) AS month, CAST(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS DOUBLE) AS credits FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey, month(o_orderdate)",
+    "bank_monthly": "SELECT o_custkey AS company_id, month(o_orderdate) AS month, CAST(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS DOUBLE) AS credits FROM {movements} GROUP BY o_custkey, month(o_orderdate)",
     "itc": """
 SELECT o_custkey AS company_id,
        CAST(CAST(sum(CASE WHEN l_linestatus = 'O' THEN CAST(l_extendedprice AS DECIMAL(18, 2)) ELSE 0 END) AS DECIMAL(18, 2)) AS DOUBLE) AS available,
        CAST(CAST(sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_extendedprice AS DECIMAL(18, 2)) ELSE 0 END) AS DECIMAL(18, 2)) AS DOUBLE) AS claimed,
        CAST(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2)) * 2) AS DECIMAL(18, 2)) AS DOUBLE) AS turnover
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey""",
+FROM {movements} GROUP BY o_custkey""",
     "income": """
 SELECT o_custkey AS company_id, CASE o_orderstatus WHEN 'F' THEN 'itr' WHEN 'O' THEN 'annual_report' ELSE 'gst' END AS source,
        CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS DOUBLE) AS value
@@ -87,7 +94,7 @@ FROM {orders} GROUP BY 1, 2""",
     "fin_lines": f"""
 SELECT o_custkey AS company_id, CASE (l_partkey + l_linenumber) % {len(METRICS) + 6} {" ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(METRICS))} ELSE 'revenue' END AS metric,
        year(o_orderdate) AS period, CAST(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS DOUBLE) AS value
-FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey GROUP BY 1, 2, 3""",
+FROM {{movements}} GROUP BY 1, 2, 3""",
     "raw_lines": """
 SELECT o_orderkey AS table_id, o_custkey AS company_id, 0 AS row_no, CASE o_orderkey % 4 WHEN 0 THEN 'Particulars (Rs in crore);;FY2023;FY2022'
   WHEN 1 THEN 'Particulars; ;FY2023;FY2022' WHEN 2 THEN 'Particulars in lakhs;Note;FY2023;FY2022' ELSE 'Date;Narration;Debit;Credit;Balance' END AS line FROM {orders}
@@ -136,5 +143,9 @@ def sql(name: str) -> str:
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    used = set(re.findall(r"\{(\w+)\}", INPUTS[name]))
-    return spark.sql(INPUTS[name], **{t: frame(spark, sf_dir, t) for t in used})
+
+    def build() -> DataFrame:
+        used = set(re.findall(r"\{(\w+)\}", INPUTS[name]))
+        return spark.sql(INPUTS[name], **{t: frame(spark, sf_dir, t) for t in used})
+
+    return step(sf_dir, name, build) if name in STEPS else build()

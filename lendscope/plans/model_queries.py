@@ -13,6 +13,7 @@ from lendscope.plans.inputs import FEATURES, frame
 from lendscope.plans.inputs import sql as s
 from lendscope.plans.queries import F_SQL, FIRED, ORACLE_SQL, QUERIES, SHELL_SCORE, VERDICT, _fin, query
 from lendscope.sources import feeds
+from lendscope.stages import whole
 
 NAMES = list(FEATURES)
 #: Query, then its columns and the features that they are.
@@ -33,6 +34,7 @@ VECTOR = f"""(SELECT c.c_custkey AS company_id, {", ".join(f"{_value(c, d)} AS {
 
 
 @query(f"SELECT * FROM {VECTOR}")
+@whole
 def feature_vector(spark, d):
     parts = [QUERIES[q](spark, d).select("company_id", *[F.expr(a).alias(b) for a, b in columns.items()]) for q, columns in PARTS.items()]
     return vectors.feature_vector(frame(spark, d, "customer").select(F.col("c_custkey").alias("company_id")), parts, QUERIES["text_ratios"](spark, d))
@@ -54,6 +56,7 @@ _more = " ".join(f"LEFT JOIN (SELECT company_id, {c} FROM ({ORACLE_SQL[q]})) USI
 + 0.1e0 * least(litigation_count / 10, 1e0) + 0.12e0 * least(benford_deviation_score, 1e0) + 0.08e0 * least(circular_trading_score, 1e0) + 0.03e0 * least(coalesce(layered_score, 0e0), 1e0) + 0.02e0 * least(coalesce(shell_score, 0e0), 1e0) + 0.03e0 * least(coalesce(shell_network_score, 0e0), 1e0)
 + 0.1e0 * least(coalesce(audit_score, 0e0), 1e0) + 0.08e0 * least(gst_bank_mismatch_score, 1e0)
 + 0.07e0 * least(gstr2a_3b_mismatch_score, 1e0) + 0.05e0 * least(itr_revenue_mismatch_score, 1e0) + 0.15e0 * least(regulatory_violation_count / 10, 1e0), 1e0)''', 4)} AS governance_score FROM ({F_SQL}) {_more} LEFT JOIN {SHELL_SCORE} USING (company_id))""")
+@whole
 def governance_score(spark, d):
     out = frame(spark, d, "features").join(graph.shell_score(QUERIES["shell_entities"](spark, d)), "company_id", "left")
     for q, c in GOVERNED.items():
@@ -79,6 +82,7 @@ FROM (SELECT *, CASE WHEN itc_ratio > 0.25 THEN least(b + 0.3e0, 1e0) ELSE b END
 
 
 @query(f"SELECT * FROM {FRAUD}")
+@whole
 def fraud_composite(spark, d):
     out = frame(spark, d, "customer").select(F.col("c_custkey").alias("company_id"))
     for q, columns in FRAUD_PARTS.items():

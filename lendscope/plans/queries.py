@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import functions as F
@@ -12,16 +13,24 @@ from lendscope.operators import decision, documents, filings, graph, research, s
 from lendscope.plans.figures import FIN, around
 from lendscope.plans.inputs import frame
 from lendscope.plans.inputs import sql as s
+from lendscope.stages import step
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(oracle: str):
+def query(oracle: str | None):
+    """Registers a query with its SQL. In a run (see stages) its result is a step, however many others read it."""
+
     def add(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = oracle
-        return f
+        @functools.wraps(f)
+        def of(spark, d):
+            return step(d, f"query_{f.__name__}", lambda: f(spark, d))
+
+        QUERIES[f.__name__] = of
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = oracle
+        return of
 
     return add
 
@@ -98,7 +107,7 @@ CASES = f"""(SELECT company_id, feed, ordinal, summary, {SEVERITY.replace("summa
 
 # ---- transaction graph ------------------------------------------------------------------
 
-edges = lambda spark, d, name="txns": graph.txn_edges(frame(spark, d, name))
+edges = lambda spark, d, name="txns": step(d, f"edges_{name}", lambda: graph.txn_edges(frame(spark, d, name)))
 
 
 @query(f"SELECT * REPLACE (CAST(first_date AS VARCHAR) AS first_date, CAST(last_date AS VARCHAR) AS last_date) FROM {EDGES}")
@@ -325,9 +334,13 @@ def consistency_summary(spark, d):
 
 def _fin(spark, d):
     """Statement lines, and amounts told with a unit in the filed documents of a company."""
-    docs = frame(spark, d, "filings")
-    told = filings.figures(docs).where("has_unit AND type = 'currency'").join(docs.select("doc_id", "company_id"), "doc_id")
-    return decision.fin_agg(frame(spark, d, "fin_lines"), told.select("company_id", "metric", "value"))
+
+    def build():
+        docs = frame(spark, d, "filings")
+        told = filings.figures(docs).where("has_unit AND type = 'currency'").join(docs.select("doc_id", "company_id"), "doc_id")
+        return decision.fin_agg(frame(spark, d, "fin_lines"), told.select("company_id", "metric", "value"))
+
+    return step(d, "fin", build)
 
 
 @query(f"""SELECT company_id, {", ".join(decision.METRICS)}, {", ".join(f"array_to_string([CAST(CAST(x AS DECIMAL(20, 2)) AS VARCHAR) FOR x IN {m}_series], ',') AS {m}_series" for m in decision.SERIES)} FROM {FIN}""")
