@@ -58,3 +58,27 @@ def best_class(text: Column, classes: Column) -> Column:
         classes, lambda c, i: F.struct(F.size(F.filter(c["phrases"], lambda p: F.contains(t, p))).alias("n"), (-i).alias("o"), c["name"].alias("name"))
     )
     return F.array_max(bound(text, count))
+
+
+def told_after(pieces: Column, name: str, read) -> Column:
+    """The first reading, of the pieces of a text that hold name, of what follows it there; null without one."""
+    rest = lambda x: F.substr(x, F.instr(x, name) + len(name))
+    held = F.filter(pieces, lambda x: F.contains(x, F.lit(name)))
+    return F.get(F.filter(F.transform(held, lambda x: read(rest(x))), lambda v: v != ""), F.lit(0))
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(F.lower(text), "\n")
+
+
+def number_after(pieces: Column, name: str) -> Column:
+    """The first number that follows name in a piece (of lowered text)."""
+    return told_after(pieces, name, lambda rest: F.regexp_extract(rest, r"[0-9]+\.?[0-9]*", 0)).try_cast("double")
+
+
+def percent_after(pieces: Column, name: str) -> Column:
+    """The first whole number of up to three digits before a percent sign that follows name in a piece."""
+    ends = lambda rest: F.transform(F.split(rest, "%"), lambda x: F.regexp_extract(x, "([0-9]{1,3}) *$", 1))
+    signs = lambda rest: F.length(rest) - F.length(F.replace(rest, F.lit("%")))
+    first = lambda rest: F.coalesce(F.get(F.filter(F.slice(ends(rest), 1, signs(rest).cast("int")), lambda v: v != ""), F.lit(0)), F.lit(""))
+    return told_after(pieces, name, first).try_cast("double")

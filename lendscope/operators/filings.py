@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendscope.functions.lexicon import best_class, by_class, read_lexicon
+from lendscope.functions.lexicon import best_class, bound, by_class, lines_of, number_after, percent_after, read_lexicon
 from lendscope.functions.numbers import UNIT, multiplier
 from lendscope.functions.rounding import half_up
 from lendscope.operators.documents import around, matches
@@ -174,15 +174,24 @@ def assessment_years(docs: DataFrame) -> DataFrame:
     return docs.where("doc_type = 'itr'").select("doc_id", year.alias("assessment_year")).where("assessment_year IS NOT NULL")
 
 
+#: Words after which notes tell a share in percent.
+CAPACITY_NAMES, CUSTOMER_NAMES = ["capacity", "utilization", "util"], ["customer"]
+CUSTOMERS = "major customers?|top [0-9]+ customers?"
+
+
 def notes_signals(notes: DataFrame) -> DataFrame:
-    """notes: company_id, text, debt_crore. Collateral over debt (1.3), capacity (0.7) and top customers' share (0.4), with defaults."""
-    pick = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit("")).try_cast("double")
+    """notes: company_id, text, debt_crore. Collateral over debt (1.3), capacity (0.7) and top customers' share (0.4), with
+    defaults. Collateral and capacity are told on a line; customers' share in a sentence about major or top customers."""
     low = F.lower("text")
-    cover = F.when(F.col("debt_crore") > 0, half_up(pick(r"(?i)collateral[^\n0-9]*([0-9]+\.?[0-9]*)") / F.col("debt_crore"), 3))
-    used = half_up(pick(r"(?i)(?:capacity|utilization|util)[^\n]*?([0-9]{1,3}) *%") / 100, 4)
-    told = F.when(low.contains("low capacity") | low.contains("idle"), 0.35).when(low.contains("full capacity") | low.contains("running well"), 0.90).otherwise(0.70)
-    share = half_up(pick(r"(?i)(?:top [0-9]+ customers?|major customers?)[^.]*?([0-9]{1,3}) *%") / 100, 4)
-    return notes.select("company_id", F.coalesce(cover, F.lit(1.3)).alias("collateral_coverage"), F.coalesce(used, told).alias("capacity_utilization"), F.coalesce(share, F.lit(0.4)).alias("customer_concentration"))
+    line = lambda lines: F.struct(number_after(lines, "collateral").alias("pledged"), F.coalesce(*[percent_after(lines, n) for n in CAPACITY_NAMES]).alias("used"))
+    about = lambda text: F.filter(F.split(text, "[.]"), lambda x: x.rlike(CUSTOMERS))
+    told = notes.select("company_id", "debt_crore", "text", bound(lines_of(F.col("text")), line).alias("x"), bound(about(low), lambda x: percent_after(x, CUSTOMER_NAMES[0])).alias("share"))
+    cover = F.when(F.col("debt_crore") > 0, half_up(F.col("x.pledged") / F.col("debt_crore"), 3))
+    words = F.when(low.contains("low capacity") | low.contains("idle"), 0.35).when(low.contains("full capacity") | low.contains("running well"), 0.90).otherwise(0.70)
+    return told.select(
+        "company_id", F.coalesce(cover, F.lit(1.3)).alias("collateral_coverage"), F.coalesce(half_up(F.col("x.used") / 100, 4), words).alias("capacity_utilization"),
+        F.coalesce(half_up(F.col("share") / 100, 4), F.lit(0.4)).alias("customer_concentration"),
+    )
 
 
 def _first_seen(docs: DataFrame, pattern: str, k: int) -> DataFrame:

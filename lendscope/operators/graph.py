@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lendscope.functions.numbers import first_digit
 from lendscope.functions.rounding import half_up
+from lendscope.stages import delete, shared_place, write
 
 PLACEHOLDERS = ("SELF", "UNKNOWN")
 #: Parts of the fraud score.
@@ -89,34 +90,72 @@ def layered_score(edges: DataFrame, pairs: DataFrame, ordered: bool = True) -> D
     return out.withColumn("severity", F.when(s > 0.15, "HIGH").when(s > 0.05, "MEDIUM").otherwise("NONE"))
 
 
+#: Rounds of trimming go on while one takes more than this share of the payments.
+TRIM = 1 / 64
+
+
+def trimmed(pay: DataFrame, place: str) -> DataFrame:
+    """pay (company_id, src, dst) without payments that no cycle can hold: those to a node that pays nobody, or from one
+    that nobody pays, until a round takes hardly any. Each round is a table; that before it is deleted."""
+    spark, n = pay.sparkSession, 0
+    now = write(pay, f"{place}/trim0")
+    size = now.count()
+    while True:
+        n += 1
+        paid, paying = (now.select("company_id", F.col(a).alias(b)).distinct() for a, b in (("dst", "src"), ("src", "dst")))
+        after = write(now.join(paid, ["company_id", "src"], "left_semi").join(paying, ["company_id", "dst"], "left_semi"), f"{place}/trim{n}")
+        delete(spark, f"{place}/trim{n - 1}")
+        left = after.count()
+        if size - left <= TRIM * size:
+            return after
+        now, size = after, left
+
+
 def cycles(edges: DataFrame, longest: int = 4, hub: int | None = None) -> DataFrame:
     """Simple directed cycles of 2 to longest nodes, each from its least node on; suspicious up to four nodes.
 
-    A cycle is a way out from its least node and a way back to it, of half its edges each, which meet at their ends; so no
-    open path of more than half a cycle is made. Edges whose end has no way on, or whose start has no way in, leave first.
-    hub, off by default: nodes with more edges than that, in or out, leave, too.
+    A cycle is found at its node of most payment partners (the later name on a tie): a way out from it and a way back to it,
+    of half its edges each, meet at their ends, and all nodes on the ways have fewer partners. So a hub is an end of open
+    paths and never their middle, unless a greater hub begins them, and no open path has more than half a cycle's edges.
+    Payments that can't be on a cycle leave first, and what stays is written once with its nodes' places. hub, off by
+    default: nodes with more edges than that, in or out, leave, too.
     """
+    spark = edges.sparkSession
+    place = shared_place(spark)
     pay = edges.where("total_amount > 0 AND src <> dst").select("company_id", "src", "dst", "total_amount")
-    for near, far in (("dst", "src"), ("src", "dst")):
-        counts = pay.groupBy("company_id", F.col(far).alias(near)).agg(F.count(F.lit(1)).alias("n"))
-        pay = pay.join(counts if hub is None else counts.where(F.col("n") <= hub), ["company_id", near], "left_semi")
-    hop = pay.select(F.col("company_id").alias("g"), F.col("src").alias("s"), F.col("dst").alias("d"), F.col("total_amount").alias("t"))
+    if hub is not None:
+        for end in ("src", "dst"):
+            few = pay.groupBy("company_id", end).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= hub)
+            pay = pay.join(few, ["company_id", end], "left_semi")
+    pay = trimmed(pay, place)
+    degree = node_degrees(pay)
+    for end in ("src", "dst"):
+        own = degree.select("company_id", F.col("node").alias(end), F.struct("degree", "node").alias(f"{end}_rank"))
+        pay = pay.join(own, ["company_id", end])
+    pay = write(pay, f"{place}/ranked")
+    hop = pay.select(F.col("company_id").alias("g"), F.col("src").alias("s"), F.col("dst").alias("d"), F.col("src_rank").alias("sr"), F.col("dst_rank").alias("dr"), F.col("total_amount").alias("t"))
+    # Ways from, and to, their greatest node (start), by length; nodes in the order of payment.
+    way = lambda rank: pay.select("company_id", F.array("src", "dst").alias("nodes"), F.col(rank).alias("start"), F.col("total_amount").alias("amount"))
+    out, back = [way("src_rank").where("dst_rank < src_rank")], [way("dst_rank").where("src_rank < dst_rank")]
     first, last = F.element_at("nodes", 1), F.element_at("nodes", -1)
-    one = pay.select("company_id", F.array("src", "dst").alias("nodes"), F.col("total_amount").alias("amount"))
-    out, back = [one.where(first < last)], [one.where(last < first)]  # ways from, and to, their least node, by length
     same = F.col("company_id") == F.col("g")
     new = lambda node: ~F.array_contains("nodes", node)
     total = (F.col("amount") + F.col("t")).alias("amount")
     while len(out) < (longest + 1) // 2:
-        out.append(out[-1].join(hop, same & (last == F.col("s")) & (F.col("d") > first) & new(F.col("d"))).select("company_id", F.array_append("nodes", F.col("d")).alias("nodes"), total))
+        on = same & (last == F.col("s")) & (F.col("dr") < F.col("start")) & new(F.col("d"))
+        out.append(out[-1].join(hop, on).select("company_id", F.array_append("nodes", F.col("d")).alias("nodes"), "start", total))
     while len(back) < longest // 2:
-        back.append(back[-1].join(hop, same & (first == F.col("d")) & (F.col("s") > last) & new(F.col("s"))).select("company_id", F.array_prepend("nodes", F.col("s")).alias("nodes"), total))
+        on = same & (first == F.col("d")) & (F.col("sr") < F.col("start")) & new(F.col("s"))
+        back.append(back[-1].join(hop, on).select("company_id", F.array_prepend("nodes", F.col("s")).alias("nodes"), "start", total))
     found = None
     for length in range(2, longest + 1):
-        there = out[(length + 1) // 2 - 1].select("company_id", first.alias("start"), last.alias("turn"), "nodes", "amount")
-        home = back[length // 2 - 1].select("company_id", last.alias("start"), first.alias("turn"), F.slice("nodes", 2, length // 2 - 1).alias("more"), F.col("amount").alias("rest"))
-        met = there.join(home, ["company_id", "start", "turn"]).where(~F.arrays_overlap("nodes", "more"))
-        own = met.select("company_id", F.lit(length).alias("length"), F.array_join(F.concat("nodes", "more"), ">").alias("path"), half_up(F.col("amount") + F.col("rest"), 2).alias("amount"), F.lit(length <= 4).alias("suspicious"))
+        there = out[(length + 1) // 2 - 1].select("company_id", first.alias("begin"), last.alias("turn"), "nodes", "amount")
+        home = back[length // 2 - 1].select("company_id", last.alias("begin"), first.alias("turn"), F.slice("nodes", 2, length // 2 - 1).alias("more"), F.col("amount").alias("rest"))
+        met = there.join(home, ["company_id", "begin", "turn"]).where(~F.arrays_overlap("nodes", "more"))
+        ring = met.select("company_id", F.concat("nodes", "more").alias("ring"), (F.col("amount") + F.col("rest")).alias("amount"))
+        least = F.array_position("ring", F.array_min("ring"))
+        turned = F.concat(F.slice("ring", least, F.lit(length)), F.slice("ring", F.lit(1), least - 1))
+        own = ring.select("company_id", F.lit(length).alias("length"), F.array_join(turned, ">").alias("path"), half_up(F.col("amount"), 2).alias("amount"), F.lit(length <= 4).alias("suspicious"))
         found = own if found is None else found.unionByName(own)
     return found
 

@@ -98,10 +98,12 @@ def early_warning_score(signals: DataFrame) -> DataFrame:
 
 
 def promoter_news(articles: DataFrame, promoters: DataFrame) -> DataFrame:
-    """Negative articles of a company whose title holds a promoter's first name; an article counts once."""
-    first = promoters.select("company_id", F.lower(F.element_at(F.split("name", " "), 1)).alias("first")).where("first <> ''").distinct()
-    bad = articles.where("sentiment = 'NEGATIVE'").select("company_id", "ordinal", F.lower("title").alias("low"))
-    hit = bad.join(first, (bad["company_id"] == first["company_id"]) & F.contains("low", "first"), "left_semi")
+    """Negative articles of a company whose title holds a promoter's first name; an article counts once. A company's first
+    names meet its articles as one array (promoters are few, see filings.promoters), so no pairs of both are made."""
+    first = promoters.select("company_id", F.lower(F.element_at(F.split("name", " "), 1)).alias("first")).where("first <> ''")
+    names = first.groupBy("company_id").agg(F.collect_set("first").alias("names"))
+    bad = articles.where("sentiment = 'NEGATIVE'").select("company_id", F.lower("title").alias("low"))
+    hit = bad.join(names, "company_id").where(F.exists("names", lambda n: F.contains("low", n)))
     return hit.groupBy("company_id").agg(F.count(F.lit(1)).alias("promoter_news"))
 
 

@@ -68,17 +68,29 @@ PLACES = {
 }
 
 
-def evidence_trace(features: DataFrame, docs: DataFrame, fired: DataFrame, drivers: DataFrame | None = None, k: int = 20) -> DataFrame:
-    """company_id, rank, feature, doc_type, doc_id, file_name, section, value, fired, is_top_driver: the first document of a
-    company behind each of its first k features. docs: company_id, doc_type, doc_id, file_name; drivers: company_id, feature."""
-    rows = [F.struct(F.lit(i).alias("i"), F.lit(c).alias("feature"), F.lit(t).alias("doc_type"), F.col(c).alias("value")) for i, (t, c) in enumerate((t, c) for t, names in SOURCES.items() for c in names)]
+#: What stands for the source of a feature that no document tells.
+COMPUTED = ("Internal Computation", "Derived")
+
+
+def evidence_trace(features: DataFrame, docs: DataFrame, fired: DataFrame, drivers: DataFrame, k: int = 20) -> DataFrame:
+    """company_id, rank, feature, doc_type, doc_id, file_name, section, value, fired, is_top_driver: k features of a company,
+    its drivers first by rank, then the others as SOURCES lists them, with the first document behind each (null without
+    one). docs: company_id, doc_type, doc_id, file_name; drivers: company_id, feature, rank."""
+    listed = [(t, c) for t, names in SOURCES.items() for c in names]
+    listed += [(None, c) for c in DEFAULTS if c not in {c for _, c in listed}]
+    rows = [F.struct(F.lit(i).alias("i"), F.lit(c).alias("feature"), F.lit(t).cast("string").alias("doc_type"), F.col(c).cast("double").alias("value")) for i, (t, c) in enumerate(listed)]
     long = features.select("company_id", F.explode(F.array(*rows)).alias("x")).select("company_id", "x.*")
     first = docs.groupBy("company_id", "doc_type").agg(F.min("doc_id").alias("doc_id"), F.min_by("file_name", "doc_id").alias("file_name"))
     keys = ["company_id", "feature"]
     hit = fired.select(keys).distinct().withColumn("fired", F.lit(True))
-    out = long.join(first, ["company_id", "doc_type"]).join(hit, keys, "left")
-    top = (drivers if drivers is not None else fired.limit(0)).select(keys).distinct().withColumn("is_top_driver", F.lit(True))
-    out = out.join(top, keys, "left").fillna(False, ["fired", "is_top_driver"])
+    top = drivers.groupBy(keys).agg(F.min("rank").alias("driver"))
+    out = long.join(first, ["company_id", "doc_type"], "left").join(hit, keys, "left").join(top, keys, "left").fillna(False, ["fired"])
+    out = out.where("doc_type IS NOT NULL OR driver IS NOT NULL")
     place = F.create_map(*[F.lit(x) for section, names in PLACES.items() for c in names for x in (c, section)])
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("company_id").orderBy("i")))
-    return ranked.where(F.col("rank") <= k).select("company_id", "rank", "feature", "doc_type", "doc_id", "file_name", place[F.col("feature")].alias("section"), half_up(F.col("value"), 4).alias("value"), "fired", "is_top_driver")
+    order = Window.partitionBy("company_id").orderBy(F.col("driver").asc_nulls_last(), "i")
+    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    section = F.when(F.col("doc_type").isNull(), COMPUTED[1]).otherwise(F.try_element_at(place, F.col("feature")))
+    return ranked.select(
+        "company_id", "rank", "feature", F.coalesce("doc_type", F.lit(COMPUTED[0])).alias("doc_type"), "doc_id", "file_name", section.alias("section"),
+        half_up(F.col("value"), 4).alias("value"), "fired", F.col("driver").isNotNull().alias("is_top_driver"),
+    )

@@ -18,6 +18,16 @@ def around(text: str, found: str, before: int, after: int) -> str:
     return f"substr({text}, greatest({at} - {before}, 1), least({at} - 1, {before}) + length({found}) + {after})"
 
 
+def number_after(pieces: str, name: str, number: str = r"[0-9]+\.?[0-9]*") -> str:
+    """The first number after name, of the pieces (a list) that hold it."""
+    rest = f"substr(x, instr(x, '{name}') + {len(name)})"
+    return f"TRY_CAST(([y FOR y IN [regexp_extract({rest}, '{number}', {1 if '(' in number else 0}) FOR x IN {pieces} IF contains(x, '{name}')] IF y <> ''])[1] AS DOUBLE)"
+
+
+def percent_after(pieces: str, name: str) -> str:
+    return number_after(pieces, name, "([0-9]{1,3}) *%")
+
+
 def times(unit: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_full_match(lower({unit}), '{q}') THEN {t:.0f}e0" for q, t in numbers.UNITS) + " ELSE 1e0 END"
 

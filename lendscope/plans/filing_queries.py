@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from lendscope.functions.lexicon import read_lexicon
 from lendscope.functions.rounding import half_up_sql as r
-from lendscope.operators import filings, graph
-from lendscope.plans.figures import FIGURES, FILINGS, around, times
+from lendscope.operators import documents, filings, graph
+from lendscope.plans.figures import FIGURES, FILINGS, around, number_after, percent_after, times
 from lendscope.plans.inputs import frame, sql
 from lendscope.plans.queries import CONTAINS, CYCLES, MANY, VALUES, edges, query
 
@@ -28,6 +28,30 @@ def segment_blocks(spark, d):
     return filings.segment_blocks(_docs(spark, d)).drop("doc_type")
 
 
+_kinds = " UNION ALL ".join(f"SELECT doc_id, block_no, '{k}' AS kind, unnest(x) AS value, unnest(range(len(x))) AS place FROM (SELECT doc_id, block_no, regexp_extract_all(text, '{p}') AS x FROM {BLOCKS})" for k, p in (documents.IDENTIFIERS | documents.ENTITIES).items())
+IDENTIFIED = f"""(SELECT doc_id, company_id, block_no, kind, value, place FROM (SELECT doc_id, block_no, kind, value, min(place) AS place FROM ({_kinds}) GROUP BY 1, 2, 3, 4
+  QUALIFY row_number() OVER (PARTITION BY doc_id, block_no, kind ORDER BY min(place)) <= 10) JOIN (SELECT doc_id, company_id FROM {FILINGS}) USING (doc_id))"""
+_merged = lambda scope: f"""SELECT {scope}, kind, value, CAST(row_number() OVER (PARTITION BY {scope}, kind ORDER BY seen) AS INT) AS rank
+FROM (SELECT {scope}, kind, value, min([doc_id, block_no, place]) AS seen FROM {IDENTIFIED} GROUP BY 1, 2, 3)"""
+
+
+def _identified(spark, d):
+    docs = _docs(spark, d)
+    return documents.section_identifiers(filings.segment_blocks(docs)).join(docs.select("doc_id", "company_id"), "doc_id")
+
+
+@query(_merged("doc_id"))
+def document_identifiers(spark, d):
+    """Of a document's sections, ten of a kind a section, in the order in which they are first seen."""
+    return documents.merged_identifiers(_identified(spark, d), "doc_id")
+
+
+@query(_merged("company_id"))
+def company_identifiers(spark, d):
+    """The same over all documents of a company."""
+    return documents.merged_identifiers(_identified(spark, d), "company_id")
+
+
 _head = "CASE " + " ".join(f"WHEN regexp_matches(left(low, 300), '{p}') THEN '{k}'" for p, k in filings.HEADERS) + " END"
 _lexicon = VALUES([(t, s, i, p) for i, (t, s, p) in enumerate(read_lexicon("sections"))])
 
@@ -97,9 +121,14 @@ def assessment_years(spark, d):
     return filings.assessment_years(_docs(spark, d))
 
 
-@query(rf"""SELECT doc_id AS company_id, coalesce(CASE WHEN debt_crore > 0 THEN {r(_number(r"(?i)collateral[^\n0-9]*([0-9]+\.?[0-9]*)") + " / debt_crore", 3)} END, 1.3e0) AS collateral_coverage,
-coalesce({r(_number(r"(?i)(?:capacity|utilization|util)[^\n]*?([0-9]{1,3}) *%") + " / 100", 4)}, CASE WHEN {CONTAINS("lower(text)", ["low capacity", "idle"])} THEN 0.35e0 WHEN {CONTAINS("lower(text)", ["full capacity", "running well"])} THEN 0.9e0 ELSE 0.7e0 END) AS capacity_utilization,
-coalesce({r(_number(r"(?i)(?:top [0-9]+ customers?|major customers?)[^.]*?([0-9]{1,3}) *%") + " / 100", 4)}, 0.4e0) AS customer_concentration FROM {FILINGS}""")
+_lines = "string_split(lower(text), chr(10))"
+_sentences = f"[z FOR z IN string_split(lower(text), '.') IF regexp_matches(z, '{filings.CUSTOMERS}')]"
+_used = "coalesce(" + ", ".join(percent_after(_lines, n) for n in filings.CAPACITY_NAMES) + ")"
+
+
+@query(rf"""SELECT doc_id AS company_id, coalesce(CASE WHEN debt_crore > 0 THEN {r(number_after(_lines, "collateral") + " / debt_crore", 3)} END, 1.3e0) AS collateral_coverage,
+coalesce({r(_used + " / 100", 4)}, CASE WHEN {CONTAINS("lower(text)", ["low capacity", "idle"])} THEN 0.35e0 WHEN {CONTAINS("lower(text)", ["full capacity", "running well"])} THEN 0.9e0 ELSE 0.7e0 END) AS capacity_utilization,
+coalesce({r(percent_after(_sentences, "customer") + " / 100", 4)}, 0.4e0) AS customer_concentration FROM {FILINGS}""")
 def notes_signals(spark, d):
     """Each document stands for the notes of the company with its number."""
     return filings.notes_signals(_docs(spark, d).select(F.col("doc_id").alias("company_id"), "text", "debt_crore"))

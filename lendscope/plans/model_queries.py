@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lendscope.functions.rounding import half_up_sql as r
-from lendscope.operators import decision, filings, graph, model, vectors
+from lendscope.operators import credit, decision, filings, graph, model, trees, vectors
 from lendscope.plans import signal_queries, statement_queries  # noqa: F401  whose queries are parts of those here
 from lendscope.plans.filing_queries import CLASSIFIED, FILINGS
 from lendscope.plans.figures import FIN
 from lendscope.plans.inputs import FEATURES, frame
 from lendscope.plans.inputs import sql as s
-from lendscope.plans.queries import F_SQL, FIRED, ORACLE_SQL, QUERIES, SHELL_SCORE, VERDICT, _fin, query
+from lendscope.plans.queries import F_SQL, FIRED, ORACLE_SQL, QUERIES, RULES, SCORECARD, SHELL_SCORE, VERDICT, _fin, query
 from lendscope.sources import feeds
-from lendscope.stages import whole
+from lendscope.stages import run, shared_place, step, whole
 
 NAMES = list(FEATURES)
 #: Query, then its columns and the features that they are.
@@ -98,8 +98,8 @@ def fraud_bands(spark, d):
 
 # ---- model: no SQL, held-out metrics are tested ------------------------------------------
 
-TREES = 300
-#: Models by application, folder and trees: three queries read one.
+TREES, DEPTH = 300, 5
+#: Models by application, files and trees: several queries read one, and changed files get another.
 _MODELS: dict = {}
 
 
@@ -114,10 +114,11 @@ def ml_prepare(spark, d):
 
 
 def _model(spark, d):
-    key = (spark.sparkContext.applicationId, d, TREES)
+    files = spark.read.format("binaryFile").load(f"{d}/customer.parquet").selectExpr("path", "modificationTime", "length")
+    key = (spark.sparkContext.applicationId, TREES, *sorted(map(tuple, files.collect())))  # a row a file
     if key not in _MODELS:
         seen, held = model.split(_labelled(spark, d))
-        _MODELS[key] = model.train(seen, NAMES, trees=TREES), held
+        _MODELS[key] = model.train(seen, NAMES, trees=TREES, depth=DEPTH), held
     return _MODELS[key]
 
 
@@ -130,9 +131,26 @@ def ml_score(spark, d):
     return model.ml_score(_model(spark, d)[0], frame(spark, d, "features"))
 
 
+def _trees(spark, d, trained):
+    """The model's trees as a step, and how many there are."""
+    return step(d, "trees", lambda: trees.tree_table(trained.stages[-1], f"{d.place}/model", spark)), len(trained.stages[-1].trees)
+
+
+@whole
 def feature_drivers(spark, d):
-    trees = _model(spark, d)[0].stages[-1]
-    return model.feature_drivers(dict(zip(NAMES, map(float, trees.featureImportances.toArray()), strict=True)), frame(spark, d, "features"))
+    """Contributions of each row's own path."""
+    trained = _model(spark, d)[0]
+    table, count = _trees(spark, d, trained)
+    return trees.drivers(trees.steps(model.prepared(trained, frame(spark, d, "features")), table, count, DEPTH), NAMES)
+
+
+@query(f"""WITH s AS (SELECT -weighted_total AS score, label FROM {SCORECARD} JOIN ({ORACLE_SQL["ml_labels"]}) USING (company_id))
+SELECT {r("(SELECT sum(CASE WHEN a.score > b.score THEN 1e0 WHEN a.score = b.score THEN 0.5e0 ELSE 0e0 END) FROM s a JOIN s b ON a.label = 1 AND b.label = 0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0))", 6)} AS auc,
+count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives FROM s""")
+def score_auc(spark, d):
+    """How well a low weighted total tells the default label."""
+    scores = QUERIES["scorecard"](spark, d).join(QUERIES["ml_labels"](spark, d), "company_id")
+    return model.rank_auc(scores.select((-F.col("weighted_total")).alias("score"), "label"))
 
 
 QUERIES.update(ml_train_eval=ml_train_eval, ml_score=ml_score, feature_drivers=feature_drivers)
@@ -154,18 +172,22 @@ def evidence_edges(spark, d):
 
 
 _placed = "CASE " + " ".join(f"WHEN feature IN ({', '.join(map(repr, names))}) THEN '{k}'" for k, names in vectors.PLACES.items()) + " END"
-_drivers = ("debt_to_equity", "interest_coverage_ratio", "current_ratio")
-_traced = " UNION ALL ".join(f"SELECT company_id, {i} AS i, '{c}' AS feature, '{t}' AS doc_type, {c} AS value FROM ({F_SQL})" for i, (t, c) in enumerate((t, c) for t, names in vectors.SOURCES.items() for c in names))
+_drivers = ("debt_to_equity", "interest_coverage_ratio", "sector_risk_score")
+_listed = [(t, c) for t, names in vectors.SOURCES.items() for c in names]
+_listed += [(None, c) for c in NAMES if c in _drivers and c not in {c for _, c in _listed}]
+_kind = lambda t: f"'{t}'" if t else "CAST(NULL AS VARCHAR)"
+_traced = " UNION ALL ".join(f"SELECT company_id, {_drivers.index(c) - 100 if c in _drivers else i} AS i, '{c}' AS feature, {_kind(t)} AS doc_type, {c} AS value FROM ({F_SQL})" for i, (t, c) in enumerate(_listed))
 
 
-@query(f"""SELECT company_id, CAST(rank AS INT) AS rank, feature, doc_type, doc_id, file_name, {_placed} AS section, {r("value", 4)} AS value, fired, feature IN {_drivers} AS is_top_driver FROM (SELECT t.*, g.doc_id, g.file_name, h.feature IS NOT NULL AS fired, row_number() OVER (PARTITION BY t.company_id ORDER BY i) AS rank
-FROM ({_traced}) t JOIN (SELECT company_id, doc_type, min(doc_id) AS doc_id, arg_min(file_name, doc_id) AS file_name FROM {FILINGS} GROUP BY 1, 2) g ON g.company_id = t.company_id AND g.doc_type = t.doc_type
+@query(f"""SELECT company_id, CAST(rank AS INT) AS rank, feature, coalesce(doc_type, 'Internal Computation') AS doc_type, coalesce(doc_id, -1) AS doc_id, file_name, CASE WHEN doc_type IS NULL THEN 'Derived' ELSE {_placed} END AS section, {r("value", 4)} AS value, fired, feature IN {_drivers} AS is_top_driver FROM (SELECT t.*, g.doc_id, g.file_name, h.feature IS NOT NULL AS fired, row_number() OVER (PARTITION BY t.company_id ORDER BY i) AS rank
+FROM ({_traced}) t LEFT JOIN (SELECT company_id, doc_type, min(doc_id) AS doc_id, arg_min(file_name, doc_id) AS file_name FROM {FILINGS} GROUP BY 1, 2) g ON g.company_id = t.company_id AND g.doc_type = t.doc_type
 LEFT JOIN (SELECT DISTINCT company_id, feature FROM {FIRED}) h ON h.company_id = t.company_id AND h.feature = t.feature) WHERE rank <= 20""")
 def evidence_trace(spark, d):
-    """Ratios that the rules weigh most stand in for the model's drivers, so that SQL can tell them."""
+    """Three features stand in for each company's drivers, so that SQL can tell them; run_trace has the model's."""
     f = frame(spark, d, "features")
-    drivers = f.select("company_id", F.explode(F.array(*map(F.lit, _drivers))).alias("feature"))
-    return vectors.evidence_trace(f, frame(spark, d, "filings"), decision.fired_rules(f), drivers)
+    fixed = F.posexplode(F.array(*map(F.lit, _drivers))).alias("rank", "feature")
+    traced = vectors.evidence_trace(f, frame(spark, d, "filings"), decision.fired_rules(f), f.select("company_id", fixed))
+    return traced.fillna(-1, ["doc_id"])
 
 
 @query(f"SELECT company_id, ordinal, url, title, snippet FROM ({s('articles')})")
@@ -176,7 +198,54 @@ def src_articles(spark, d):
 
 @query(f"SELECT company_id, verdict, credit_score, default_probability, hard_reject, reason, policy_score FROM {VERDICT} JOIN (SELECT company_id, reason, policy_score FROM ({ORACLE_SQL['rules_eval']})) USING (company_id)")
 def sink_result(spark, d):
-    """The nested row of the sink, shown by its fields."""
+    """Written as a batch of nested rows, twice, and read back: the second run of a batch replaces the first."""
     joined = QUERIES["verdict"](spark, d).join(QUERIES["rules_eval"](spark, d).select("company_id", "reason", "policy_score"), "company_id")
     nested = joined.select("company_id", "verdict", feeds.result(decision=["credit_score", "default_probability"], rules=["hard_reject", "reason", "policy_score"]).alias("result"))
-    return nested.select("company_id", "verdict", "result.decision.*", "result.rules.*")
+    place = shared_place(spark)
+    for _ in range(2):
+        feeds.write_results(nested, place, "current")
+    return feeds.read_results(spark, place, "current").select("company_id", "verdict", "result.decision.*", "result.rules.*")
+
+
+# ---- from transactions to the decision --------------------------------------------------
+
+_real = lambda sql: f"WITH real AS MATERIALIZED (SELECT * FROM {VECTOR}) SELECT * FROM {sql.replace(F_SQL, 'SELECT * FROM real')}"
+
+
+@query(_real(RULES))
+@whole
+def run_rules(spark, d):
+    """Rules on the features that transactions, returns and documents give."""
+    return decision.rules_eval(feature_vector(spark, d))
+
+
+@query(_real(VERDICT))
+@whole
+def run_verdict(spark, d):
+    """The verdict on these features, with the capacity score in the model's place, so that SQL can tell it."""
+    f = feature_vector(spark, d)
+    scores = decision.five_cs(f).select("company_id", F.col("capacity").alias("ml_score"))
+    return credit.verdicts(f, scores)
+
+
+def run_decision(spark, d):
+    """One run from transactions to the sink: features, model score, rules, verdict, grade, conditions, loan and drivers."""
+    with run(spark, d) as stages:
+        place = shared_place(spark, of_run=False)
+        feeds.write_results(_decided(spark, stages).decisions(), place, "current")
+        return feeds.read_results(spark, place, "current")
+
+
+@whole
+def run_trace(spark, d):
+    """The evidence of that run: the model's drivers of each company first."""
+    return _decided(spark, d).trace(frame(spark, d, "filings"))
+
+
+def _decided(spark, d):
+    trained = _model(spark, d)[0]
+    table, count = _trees(spark, d, trained)
+    return credit.Decisions(feature_vector(spark, d), trained, table, count, DEPTH, NAMES, frame(spark, d, "turnover"), lambda name, build: step(d, name, build))
+
+
+QUERIES.update(run_decision=run_decision, run_trace=run_trace)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lendscope.functions import numbers
 from lendscope.functions.rounding import half_up_sql as r
 from lendscope.operators import decision, documents, filings, graph, research, statements, verification
-from lendscope.plans.figures import FIN, around
+from lendscope.plans.figures import FIN, around, number_after
 from lendscope.plans.inputs import frame
 from lendscope.plans.inputs import sql as s
 from lendscope.stages import step
@@ -216,10 +216,11 @@ SHELL_SCORE = f"(SELECT company_id, {r('least(0.15e0 * count(*), 1e0)', 4)} AS s
 SELECT company_id, {r("least(0.5e0 * coalesce(cycle_score, 0e0) + 0.25e0 * layered_score + 0.15e0 * coalesce(shell_score, 0e0) + 0.1e0 * coalesce(concentration, 0e0), 1e0)", 4)} AS circular_score
 FROM {LAYERED} LEFT JOIN ({_cycle_score(EDGES, OWN_CYCLES)}) USING (company_id) LEFT JOIN {SHELL_SCORE} USING (company_id) LEFT JOIN {CONCENTRATION} USING (company_id))""")
 def circular_composite(spark, d):
-    """A company's own payments form a star about it, so its cycles have two nodes."""
+    """A company's own payments form a star about it in the given tables, so that its cycles have two nodes, though those of
+    up to four are sought."""
     e = edges(spark, d)
     layered = graph.layered_score(e, graph.layered_pairs(e)).select("company_id", "layered_score")
-    own = graph.cycle_score(e, graph.cycles(e, longest=2)).select("company_id", "cycle_score")
+    own = graph.cycle_score(e, graph.cycles(e)).select("company_id", "cycle_score")
     concentration = graph.counterparty_concentration(graph.counterparty_freq(frame(spark, d, "txns"))).select("company_id", "concentration")
     return graph.circular_composite(layered.select("company_id"), own, layered, graph.shell_score(shell_entities(spark, d)), concentration)
 
@@ -539,11 +540,12 @@ def doc_risk(spark, d):
     return documents.doc_risk(doc_audit_flags(spark, d))
 
 
-_pick = lambda words: "coalesce(" + ", ".join(f"TRY_CAST(nullif(regexp_extract(text, '(?i)(?:{p}){documents.RATIO_GAP}', 1), '') AS DOUBLE)" for p in words) + ")"
+_lines = "string_split(lower(text), chr(10))"
+_pick = lambda names: "coalesce(" + ", ".join(number_after(_lines, n) for n in names) + ", NULL)"
 
 
-@query(f"""SELECT company_id, {", ".join(f"arg_min({c}, doc_id) FILTER ({c} IS NOT NULL) AS {c}" for c in documents.RATIO_WORDS)}
-FROM (SELECT company_id, doc_id, {", ".join(f"{_pick(words)} AS {c}" for c, words in documents.RATIO_WORDS.items())} FROM ({s("reports")})) GROUP BY 1""")
+@query(f"""SELECT company_id, {", ".join(f"arg_min({c}, doc_id) FILTER ({c} IS NOT NULL) AS {c}" for c in documents.RATIO_NAMES)}
+FROM (SELECT company_id, doc_id, {", ".join(f"{_pick(names)} AS {c}" for c, names in documents.RATIO_NAMES.items())} FROM ({s("reports")})) GROUP BY 1""")
 def text_ratios(spark, d):
     return documents.text_ratios(frame(spark, d, "reports"))
 

@@ -11,6 +11,7 @@ from lendscope.plans.inputs import frame
 from lendscope.plans.inputs import sql as s
 from lendscope.plans import filing_queries  # noqa: F401  registers what these queries build on
 from lendscope.plans.figures import FIGURES, FIN
+from lendscope.stages import shared_place
 from lendscope.plans.queries import _NAME, HITS, ORACLE_SQL, QUERIES, _amount_sql, _fin, query
 
 quoted = lambda p: p.replace("'", "''")
@@ -37,6 +38,23 @@ def src_tables(spark, d):
     return cells.select("table_id", "row_no", F.col("i").cast("long").alias("i"), F.coalesce(F.get("headers", F.col("i")), F.concat(F.lit("col_"), F.col("i"))).alias("header"), "cell")
 
 
+_noted = f"SELECT table_id, row_no, list_concat(cells, ['note \"' || row_no || '\"' || chr(10) || 'of; ' || table_id]) AS cells FROM ({s('raw_tables')})"
+
+
+@query(f"""SELECT table_id, row_no, len(cells) AS width, array_to_string([trim(c) FOR c IN cells], '|') AS line FROM ({_noted})""")
+def src_files(spark, d):
+    """The raw tables as files of quoted cells, with a note of two lines, and read back; a file holds lines of many tables."""
+    note = F.concat(F.lit('note "'), "row_no", F.lit('"\nof; '), "table_id")
+    cells = frame(spark, d, "raw_tables").select("table_id", "row_no", F.array_append("cells", note).alias("cells"))
+    quoted = F.transform("cells", lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')))
+    place = shared_place(spark)
+    cells.select(F.concat_ws(";", F.col("table_id").cast("string"), F.col("row_no").cast("string"), quoted)).write.text(place)
+    rows = statements.read_tables(spark, place, ";").select("cells", F.slice("cells", F.lit(3), F.size("cells")).alias("own"))
+    return rows.select(
+        F.col("cells")[0].cast("long").alias("table_id"), F.col("cells")[1].cast("int").alias("row_no"), F.size("own").cast("long").alias("width"), F.array_join("own", "|").alias("line")
+    )
+
+
 _scale = "CASE " + " ".join(f"WHEN regexp_matches(t, '{quoted(p)}') THEN {x:.0f}e0" for p, x in statements.SCALES) + " ELSE 1e0 END"
 SCALE = f"""(SELECT table_id, {_scale} AS scale FROM (SELECT table_id, lower(string_agg(t, ' ' ORDER BY n)) AS t FROM (
   SELECT table_id, CASE WHEN n = 1 THEN array_to_string(headers, ' ') || ' ' ELSE '' END || array_to_string(cells, ' ') AS t, n

@@ -23,5 +23,12 @@ def result(**parts: list[str]) -> Column:
     return F.struct(*[F.struct(*columns).alias(name) for name, columns in parts.items()])
 
 
-def write_results(results: DataFrame, path: str, by: str = "verdict") -> None:
-    results.write.mode("overwrite").partitionBy(by).parquet(path)
+def write_results(results: DataFrame, path: str, batch: str, rows_in_file: int = 1_000_000) -> None:
+    """The results of a batch as a partition of the table at path. What an earlier run of the batch wrote is replaced as a
+    whole, other batches stay, and no file has more than that many rows."""
+    rows = results.withColumn("batch", F.lit(batch))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_in_file).partitionBy("batch").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, batch: str) -> DataFrame:
+    return spark.read.parquet(path).where(F.col("batch") == batch).drop("batch")

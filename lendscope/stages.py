@@ -9,6 +9,7 @@ its lineage, so a lost executor costs a step's tasks and not the run.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
@@ -17,8 +18,15 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_place(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; a local session without such a setting gets one of its own."""
+#: Folder of the run that is going on in this context, if any.
+_RUN: contextvars.ContextVar[str | None] = contextvars.ContextVar("run", default=None)
+
+
+def shared_place(spark: SparkSession, of_run: bool = True) -> str:
+    """A new folder in the one that driver and executors share, in that of the current run if there is one, with which it
+    goes; a local session without such a setting gets one of its own."""
+    if of_run and _RUN.get():
+        return f"{_RUN.get()}/{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is None:
@@ -45,7 +53,7 @@ class Stages(str):
         return super().__new__(cls, sf_dir)
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.place = spark, shared_place(spark)
+        self.spark, self.place = spark, shared_place(spark, of_run=False)
         self.steps: dict[str, DataFrame] = {}
 
     def step(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -56,7 +64,7 @@ class Stages(str):
 
     def result(self, df: DataFrame) -> DataFrame:
         """df as a table of its own, which stays when the run ends."""
-        return write(df, shared_place(self.spark))
+        return write(df, shared_place(self.spark, of_run=False))
 
     def end(self) -> None:
         delete(self.spark, self.place)
@@ -70,9 +78,11 @@ def run(spark: SparkSession, sf_dir: str) -> Iterator[Stages]:
         yield sf_dir
         return
     stages = Stages(spark, sf_dir)
+    before = _RUN.set(stages.place)
     try:
         yield stages
     finally:
+        _RUN.reset(before)
         stages.end()
 
 

@@ -87,20 +87,14 @@ def test_missing_features_take_defaults(spark):
     assert out["dscr"] == 1.5 and list(out.asDict())[1:] == list(vectors.DEFAULTS)
 
 
-def test_drivers_are_signed(spark):
-    f = spark.createDataFrame([(1, 1.0, 0.1, 100.0)], "company_id int, dscr double, benford_deviation_score double, debtor_days double")
-    out = model.feature_drivers({"dscr": 0.5, "benford_deviation_score": 0.3, "debtor_days": 0.2}, f).orderBy("rank").collect()
-    assert [(r["feature"], r["impact"]) for r in out] == [("dscr", 0.5), ("benford_deviation_score", -0.3), ("debtor_days", 0.2)]
-
-
 def test_feeds_round_trip(spark, tmp_path):
     (tmp_path / "feed.json").write_text('{"company_id": 1, "ordinal": 2, "title": "x", "other": 3}\n')
     row = feeds.read_articles(spark, str(tmp_path / "feed.json")).first()
     assert (row["company_id"], row["title"], row["url"]) == (1, "x", None)
     assert feeds.parse_articles(spark.createDataFrame([("no json",), (None,), ('{"company_id": 4}',)], "value string")).count() == 1
     results = spark.createDataFrame([(1, "REJECT", 40.0)], "company_id int, verdict string, score double").select("company_id", "verdict", feeds.result(decision=["score"]).alias("result"))
-    feeds.write_results(results, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).select("result.decision.score", "verdict").first() == (40.0, "REJECT")
+    feeds.write_results(results, str(tmp_path / "out"), "one")
+    assert feeds.read_results(spark, str(tmp_path / "out"), "one").select("result.decision.score", "verdict").first() == (40.0, "REJECT")
 
 
 def test_read_tables_with_breaks_in_quotes(spark, tmp_path):
