@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lendscope.functions.lexicon import bound
+
 #: Units of Indian amounts, as patterns, with their multipliers.
 UNITS = [("crores?|cr", 1e7), ("lakhs?|lacs?|l", 1e5), ("thousands?|k", 1e3)]
 UNIT = "|".join(p for p, _ in UNITS)
@@ -23,13 +25,18 @@ def multiplier(unit: Column) -> Column:
 
 
 def _amount(raw: Column, pattern: str, context_unit: Column, negative: Column | None = None) -> Column:
-    group = lambda i: F.regexp_extract(raw, pattern, i)
-    digits, unit = group(3), F.when(group(4) != "", group(4)).otherwise(context_unit)
-    value = F.regexp_replace(digits, ",", "").try_cast("double")
-    minus = (group(1) == "-") | (group(2) == "-")
-    sign = F.when(minus if negative is None else minus | negative, -1.0).otherwise(1.0)
-    year = (unit == "") & digits.rlike(YEAR)
-    return F.when((digits != "") & ~year, sign * value * multiplier(unit))
+    # What the pattern finds is bound once, so that the code for an amount stays short.
+    names = ("before", "sign", "digits", "unit")
+    found = F.struct(*[F.regexp_extract(raw, pattern, i).alias(n) for i, n in enumerate(names, 1)], context_unit.alias("context"), (F.lit(False) if negative is None else negative).alias("negative"))
+
+    def value(m: Column) -> Column:
+        unit = F.when(m["unit"] != "", m["unit"]).otherwise(m["context"])
+        minus = (m["before"] == "-") | (m["sign"] == "-") | m["negative"]
+        year = (unit == "") & m["digits"].rlike(YEAR)
+        amount = F.regexp_replace(m["digits"], ",", "").try_cast("double")
+        return F.when((m["digits"] != "") & ~year, F.when(minus, -1.0).otherwise(1.0) * amount * multiplier(unit))
+
+    return bound(found, value)
 
 
 def parse_amount(raw: Column, context_unit: Column | None = None) -> Column:
