@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.llm.blocks import gathered
-from lendscope.llm.shared import held_out, shared_dir, stored, text_bytes
+from lendscope.llm.shared import PIECE, held_out, owners, shared_dir, stored, text_bytes
 
 GRAMS = 1 << 16
 SMOOTHING = 0.5
@@ -30,32 +30,68 @@ SET_SIZE, AT_ONCE = 4, 32
 MODEL_CELLS = 1 << 22
 ROUNDS, CHANGE = 30, 1e-3
 SLICE = 1_000_000
+#: Words that are worked on at once.
+PIECE_WORDS = 1 << 18
 UNKNOWN = "und"
 
 #: 0 apart from letters, 1 to 26 for ASCII letters of either case, then bytes from 128 on.
-CLASS = np.zeros(256, np.int64)
+CLASS = np.zeros(256, np.uint8)
 CLASS[97:123] = CLASS[65:91] = np.arange(1, 27)
 CLASS[128:] = np.arange(27, 155)
+LATIN = (CLASS > 0) & (CLASS < 27)
 
 
-def grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slot of the triple around each letter byte; where words start among them; words of each text."""
-    byte = raw.copy()
+def letters(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each byte, and of the bytes before and after it in its text."""
+    kind = CLASS[raw]
     if len(raw) > 1:  # capital Latin-1 letters
         fold = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)) + 1
-        byte[fold] += 0x20
-    kind = CLASS[byte]
-    padded = np.zeros(len(kind) + 2, np.int64)
-    padded[1:-1] = kind
-    left, right = padded[:-2].copy(), padded[2:].copy()
+        kind[fold] = CLASS[raw[fold] + 0x20]
+    left, right = np.zeros_like(kind), np.zeros_like(kind)
+    left[1:], right[:-1] = kind[:-1], kind[1:]
     inner = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(raw))]
     left[inner] = 0
     right[inner - 1] = 0
-    letters = np.flatnonzero(kind)
-    code = (left[letters] * 155 + kind[letters]) * 155 + right[letters]
-    slot = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
-    starts = np.flatnonzero(left[letters] == 0)
-    return slot.astype(np.int64), starts, np.diff(np.searchsorted(letters[starts], off))
+    return kind, left, right
+
+
+def grams(kind: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """Of letters(): for each letter byte the slot of the triple around it, its place, and whether a word starts
+    there; a piece of PIECE bytes at a time."""
+    for a in range(0, len(kind), PIECE):
+        own = slice(a, a + PIECE)
+        at = np.flatnonzero(kind[own])
+        before = left[own][at]
+        code = (before.astype(np.int64) * 155 + kind[own][at]) * 155 + right[own][at]
+        slot = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+        yield slot.astype(np.int64), at + a, before == 0
+
+
+def word_chances(raw: np.ndarray, off: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Likelihood of each word by each language (words x languages; the best one's is 1), and words of each text."""
+    shrink = GRAMS // len(model)
+    around = letters(raw, off)
+    starts = np.flatnonzero((around[0] > 0) & (around[1] == 0))
+    words = np.diff(np.searchsorted(starts, off))
+    likely, n = np.zeros((len(starts), model.shape[1])), 0
+    del starts
+    for slot, at, new in grams(*around):
+        if len(at) == 0:
+            continue
+        cuts = np.flatnonzero(new)
+        if not new[0]:  # the rest of a word that the last piece began
+            cuts = np.concatenate([np.zeros(1, np.int64), cuts])
+        own = np.add.reduceat(model[slot // shrink], cuts, axis=0)
+        if not new[0]:
+            likely[n - 1] += own[0]
+            own = own[1:]
+        likely[n : n + len(own)] = own
+        n += len(own)
+    for a in range(0, len(likely), PIECE_WORDS):
+        part = likely[a : a + PIECE_WORDS]
+        part -= part.max(axis=1, keepdims=True)
+        np.exp(part, out=part)
+    return likely, words
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -70,18 +106,20 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         sums: dict[str, np.ndarray] = {}
         for table in gathered(batches, most=SLICE):
             raw, off = text_bytes(table["text"])
-            slot, starts, words = grams(raw, off)
             names, number = np.unique(np.array(table["lang"].to_pylist()), return_inverse=True)
-            sizes = np.diff(np.append(starts, len(slot)))
-            codes = np.repeat(np.repeat(number, words), sizes) * GRAMS + slot
-            if len(names) > AT_ONCE:  # too many for tables: what occurs
-                codes, n = np.unique(codes, return_counts=True)
-                cuts = np.searchsorted(codes, np.arange(len(names) + 1) * GRAMS)
-                yield from (rows(name, codes[a:b] % GRAMS, n[a:b]) for name, a, b in zip(names.tolist(), cuts[:-1], cuts[1:], strict=True))
-                continue
-            found = np.bincount(codes, minlength=len(names) * GRAMS).reshape(len(names), GRAMS)
-            for name, own in zip(names.tolist(), found, strict=True):
-                sums[name] = sums.get(name, 0) + own
+            for slot, at, _ in grams(*letters(raw, off)):
+                if len(at) == 0:
+                    continue
+                first, own = owners(off, at[0], at[-1] + 1)
+                codes = number[first + own[at - at[0]]] * GRAMS + slot
+                if len(names) > AT_ONCE:  # too many for tables: what occurs
+                    codes, n = np.unique(codes, return_counts=True)
+                    cuts = np.searchsorted(codes, np.arange(len(names) + 1) * GRAMS)
+                    yield from (rows(name, codes[a:b] % GRAMS, n[a:b]) for name, a, b in zip(names.tolist(), cuts[:-1], cuts[1:], strict=True))
+                    continue
+                found = np.bincount(codes, minlength=len(names) * GRAMS).reshape(len(names), GRAMS)
+                for name, own in zip(names.tolist(), found, strict=True):
+                    sums[name] = sums.get(name, 0) + own
             while len(sums) > AT_ONCE:
                 name, own = sums.popitem()
                 yield rows(name, np.flatnonzero(own), own[np.flatnonzero(own)])
@@ -106,19 +144,34 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * slots)).astype(np.float32)
 
 
+def _weighed(likely: np.ndarray, starts: np.ndarray, sizes: np.ndarray, share: np.ndarray):
+    """likely times the share of each word's document, where documents start in it, and which they are; in pieces."""
+    for a in range(0, len(likely), PIECE_WORDS):
+        b = min(a + PIECE_WORDS, len(likely))
+        first, last = np.searchsorted(starts, [a, b - 1], side="right") - 1
+        of = slice(first, last + 1)
+        begin = np.maximum(starts[of], a)
+        held = np.minimum(starts[of] + sizes[of], b) - begin
+        yield likely[a:b] * np.repeat(share[of], held, axis=0), begin - a, of
+
+
 def mixture(likely: np.ndarray, starts: np.ndarray, sizes: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of each document (from share on), and log likelihoods, for word likelihoods
-    (words x languages) of documents that start and have sizes as told."""
+    (words x languages) of documents that start and have sizes (one at least) as told."""
     for _ in range(ROUNDS):
-        part = likely * np.repeat(share, sizes, axis=0)
-        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-        after = np.add.reduceat(part, starts, axis=0) / sizes[:, None]
+        after = np.zeros_like(share)
+        for part, begin, of in _weighed(likely, starts, sizes, share):
+            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
+            after[of] += np.add.reduceat(part, begin, axis=0)
+        after /= sizes[:, None]
         moved = np.abs(after - share).max()
         share = after
         if moved < CHANGE:
             break
-    chance = np.log(np.maximum((likely * np.repeat(share, sizes, axis=0)).sum(axis=1), 1e-300))
-    return share, np.add.reduceat(chance, starts)
+    chance = np.zeros(len(sizes))
+    for part, begin, of in _weighed(likely, starts, sizes, share):
+        chance[of] += np.add.reduceat(np.log(np.maximum(part.sum(axis=1), 1e-300)), begin)
+    return share, chance
 
 
 def mixtures(raw: np.ndarray, off: np.ndarray, model: np.ndarray) -> np.ndarray:
@@ -127,18 +180,17 @@ def mixtures(raw: np.ndarray, off: np.ndarray, model: np.ndarray) -> np.ndarray:
         out = np.zeros((len(off) - 1, model.shape[1]))
         for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
             own = np.array([0, b - a])
-            times = np.bincount(grams(raw[a:b], own)[0] // (GRAMS // len(model)), minlength=len(model)).astype(np.float32)
-            some = np.sort(np.argsort(-(times @ model), kind="stable")[:AT_ONCE])
+            times = sum((np.bincount(slot // (GRAMS // len(model)), minlength=len(model)) for slot, _, _ in grams(*letters(raw[a:b], own))), np.zeros(len(model)))
+            some = np.sort(np.argsort(-(times.astype(np.float32) @ model), kind="stable")[:AT_ONCE])
             out[i, some] = mixtures(raw[a:b], own, model[:, some])[0]
         return out
-    slot, starts, words = grams(raw, off)
-    slot //= GRAMS // len(model)
     out = np.zeros((len(off) - 1, model.shape[1]))
+    if model.shape[1] == 0:
+        return out
+    likely, words = word_chances(raw, off, model)
     own = np.flatnonzero(words > 0)
-    if len(own) == 0 or model.shape[1] == 0:
+    if len(own) == 0:
         return out
-    score = np.add.reduceat(model[slot], starts, axis=0).astype(np.float64)
-    likely = np.exp(score - score.max(axis=1, keepdims=True))
     sizes = words[own]
     begin = np.cumsum(sizes) - sizes
     n = model.shape[1]
@@ -149,15 +201,15 @@ def mixtures(raw: np.ndarray, off: np.ndarray, model: np.ndarray) -> np.ndarray:
     # A second language that no whole word is owed to can't pay for itself.
     open_ = np.flatnonzero(np.take_along_axis(share, order[:, 1:2], axis=1)[:, 0] * sizes >= 1) if n > 1 else np.zeros(0, int)
     if len(open_):
-        word = np.concatenate([np.arange(a, a + b) for a, b in zip(begin[open_].tolist(), sizes[open_].tolist(), strict=True)])
-        part, size = likely[word], sizes[open_]
-        start = np.cumsum(size) - size
+        part, size = likely, sizes[open_]
+        if len(open_) < len(own):
+            part = np.concatenate([likely[a : a + b] for a, b in zip(begin[open_].tolist(), size.tolist(), strict=True)])
         top = np.full(len(open_), -np.inf)
         for k in range(1, min(SET_SIZE, n) + 1):
             mask = np.zeros((len(open_), n))
             np.put_along_axis(mask, order[open_, :k], 1.0, axis=1)
             first = np.maximum(share[open_], 1e-6) * mask
-            found, chance = mixture(part, start, size, first / first.sum(axis=1, keepdims=True))
+            found, chance = mixture(part, np.cumsum(size) - size, size, first / first.sum(axis=1, keepdims=True))
             value = chance - 0.5 * (k - 1) * np.log(size)
             better = value > top
             top[better] = value[better]
@@ -171,8 +223,7 @@ def shares(texts, model: np.ndarray) -> np.ndarray:
     raw, off = text_bytes(texts)
     share = mixtures(raw, off, model)
     for i in np.flatnonzero(share.sum(axis=1) > 0).tolist():
-        own = CLASS[raw[off[i] : off[i + 1]]]
-        if not ((own > 0) & (own < 27)).any() and not any(map(str.isalpha, texts[i].as_py())):
+        if not LATIN[raw[off[i] : off[i + 1]]].any() and not any(map(str.isalpha, texts[i].as_py())):
             share[i] = 0
     return share
 

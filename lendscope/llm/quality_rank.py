@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lendscope.llm.blocks import gathered
 from lendscope.llm.labelled import sample
-from lendscope.llm.shared import held_out, text_bytes, word_hashes
+from lendscope.llm.shared import PIECE, held_out, owners, text_bytes, word_hashes
 
 SAMPLE = 10_000
 PAIRS_EACH, STEPS, RATE, DECAY = 40, 250, 0.05, 1e-3
@@ -42,27 +42,33 @@ PLAIN = 11
 
 
 def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Rows of PLAIN + SHAPES ** 3 features."""
+    """Rows of PLAIN + SHAPES ** 3 features; shapes are counted in pieces of PIECE bytes."""
     n = len(off) - 1
     size = np.diff(off)
-    shape = SHAPE[raw]
-    doc = np.repeat(np.arange(n), size)
-    out = np.zeros((n, PLAIN + SHAPES**3), np.float32)
-    if len(raw) > 2:
+    found = np.zeros((n, SHAPES**3), np.int64)
+    shapes = np.zeros((n, SHAPES), np.int64)
+    lines = np.ones(n, np.int64)
+    for a in range(0, len(raw), PIECE):
+        shape = SHAPE[raw[a : a + PIECE + 2]]
+        m = min(PIECE, len(raw) - a)
+        first, doc = owners(off, a, a + len(shape))
+        rows = int(doc[-1]) + 1
+        own = slice(first, first + rows)
         triple = (shape[:-2] * SHAPES + shape[1:-1]) * SHAPES + shape[2:]
-        inside = doc[:-2] == doc[2:]
-        found = np.bincount(doc[2:][inside] * SHAPES**3 + triple[inside], minlength=n * SHAPES**3).reshape(n, -1)
-        out[:, PLAIN:] = np.sqrt(found / np.maximum(size, 1)[:, None])
-    count = lambda mask: np.bincount(doc[mask], minlength=n)
+        inside = np.flatnonzero(doc[:-2] == doc[2:])
+        found[own] += np.bincount(doc[inside] * SHAPES**3 + triple[inside], minlength=rows * SHAPES**3).reshape(rows, -1)
+        shapes[own] += np.bincount(doc[:m] * SHAPES + shape[:m], minlength=rows * SHAPES).reshape(rows, -1)
+        lines[own] += np.bincount(doc[:m][raw[a : a + m] == 10], minlength=rows)
     safe = np.maximum(size, 1)
+    out = np.zeros((n, PLAIN + SHAPES**3), np.float32)
+    out[:, PLAIN:] = np.sqrt(found / safe[:, None])
     words, sizes = word_hashes(raw, off)
-    lines = count(raw == 10) + 1
     out[:, 0] = np.log1p(size)
     out[:, 1] = np.log1p(sizes)
     out[:, 2] = np.log1p(size / np.maximum(sizes, 1))
     out[:, 3] = np.log1p(size / lines)
     for j, wanted in enumerate(((3,), (4,), (5, 6, 7), (8, 9, 10, 11)), 4):
-        out[:, j] = count(np.isin(shape, wanted)) / safe
+        out[:, j] = shapes[:, wanted].sum(axis=1) / safe
     at = 0
     for i, m in enumerate(sizes.tolist()):
         own = words[at : at + m]

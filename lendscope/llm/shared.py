@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import re
 import tempfile
@@ -55,17 +57,33 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-lendscope-")
         spark.conf.set("spark.checkpoint.dir", base)
-    PLACES.append(f"{base.rstrip('/')}/lendscope-{uuid.uuid4().hex}")
-    return PLACES[-1]
+    made = _OWN.get()
+    made = PLACES if made is None else made
+    made.append(f"{base.rstrip('/')}/lendscope-{uuid.uuid4().hex}")
+    return made[-1]
 
 
-#: Folders that this process has asked for.
+#: Folders asked for outside of own_folders(), by any thread; those asked for in it, by this thread.
 PLACES: list[str] = []
+_OWN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("own_folders", default=None)
 
 
-def clear(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables in folders asked for since then; call it once what reads them is written."""
-    while len(PLACES) > since:
+@contextlib.contextmanager
+def own_folders(spark: SparkSession):
+    """Delete, at the end, the folders that this thread has asked for meanwhile, and no others."""
+    made: list[str] = []
+    token = _OWN.set(made)
+    try:
+        yield
+    finally:
+        _OWN.reset(token)
+        while made:
+            discard(spark, made.pop())
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables in folders asked for outside of own_folders(); call it once what reads them is written."""
+    while PLACES:
         discard(spark, PLACES.pop())
 
 
@@ -182,6 +200,13 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def owners(off: np.ndarray, a: int, b: int) -> tuple[int, np.ndarray]:
+    """The first text that has one of bytes a to b, and for each of these bytes which text after it has it."""
+    first, last = (np.searchsorted(off, [a, b - 1], side="right") - 1).tolist()
+    held = np.minimum(off[first + 1 : last + 2], b) - np.maximum(off[first : last + 1], a)
+    return first, np.repeat(np.arange(last - first + 1), held)
+
+
 MULT = np.uint64(6364136223846793005)
 MIX1 = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -197,31 +222,60 @@ def mix64(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+#: Bytes that are worked on at once, so that one long text or word takes little more memory than a short one.
+PIECE = 1 << 20
+#: A random value for each byte, and one for each of the first places of a word.
+BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * MULT)
+PLACE_VALUES = mix64(np.arange(1 << 12, dtype=np.uint64) * MIX2) | np.uint64(1)
+
+
+def place_values(place: np.ndarray) -> np.ndarray:
+    """A random odd value for each place in a word."""
+    if len(place) == 0 or place.max() < len(PLACE_VALUES):
+        return PLACE_VALUES[place]
+    with np.errstate(over="ignore"):
+        return mix64(place.astype(np.uint64) * MIX2) | np.uint64(1)
+
+
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (ASCII white space apart, A-Z lowered) of all texts, and
-    how many words each text has."""
+    how many words each text has.
+
+    A hash is the sum of a mixed value for each byte and its place, so texts and words of any length
+    are worked on in pieces, and no arithmetic between places makes words of one length meet.
+    """
     n_docs = len(off) - 1
-    if len(raw) == 0:
-        return np.zeros(0, np.uint64), np.zeros(n_docs, np.int64)
     solid = ~SPACE[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[off[:-1]] = True
     first = solid.copy()
-    first[1:] &= ~solid[:-1] | edge[1 : len(raw)]
+    edges = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(raw))]
+    joined = solid[:-1].copy()
+    joined[edges - 1] = False
+    first[1:] &= ~joined
+    del joined
     starts = np.flatnonzero(first)
     if len(starts) == 0:
         return np.zeros(0, np.uint64), np.zeros(n_docs, np.int64)
-    at = np.flatnonzero(solid)
-    lengths = np.diff(np.append(np.searchsorted(at, starts), len(at)))
-    place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    hashes = np.zeros(len(starts), np.uint64)
+    lengths = np.zeros(len(starts), np.int64)
     with np.errstate(over="ignore"):
-        power = np.ones(int(lengths.max()), np.uint64)
-        power[1:] = MULT
-        power = np.multiply.accumulate(power)
-        value = (LOWER[raw[at]].astype(np.uint64) + np.uint64(1)) * power[place]
-        hashes = np.add.reduceat(value, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64) * MIX2
-    cuts = np.searchsorted(starts, off)
-    return mix64(hashes), np.diff(cuts)
+        for a in range(0, len(raw), PIECE):
+            at = np.flatnonzero(solid[a : a + PIECE])
+            if len(at) == 0:
+                continue
+            new = first[a : a + PIECE][at]
+            word = np.searchsorted(starts, a + at[0], side="right") - 1
+            cuts = np.flatnonzero(new)
+            if not new[0]:
+                cuts = np.concatenate([np.zeros(1, np.int64), cuts])
+            held = np.diff(np.append(cuts, len(at)))
+            own = slice(word, word + len(cuts))
+            value = BYTE_VALUES[LOWER[raw[a : a + PIECE][at]]]
+            value *= place_values(at + a - np.repeat(starts[own], held))
+            value ^= value >> np.uint64(32)
+            hashes[own] += np.add.reduceat(value, cuts)
+            lengths[own] += held
+        hashes += lengths.astype(np.uint64) * MIX2
+    return mix64(hashes), np.diff(np.searchsorted(starts, off))
 
 
 def squeeze(data: bytes) -> bytes:
