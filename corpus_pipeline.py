@@ -54,9 +54,9 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        place, made = shared_dir(spark), len(shared.PLACES)
-        docs = stored(stage(spark, docs, sf_dir), f"{place}/{name}")
-        shared.clear(spark, made)  # what only this stage has read
+        place = shared_dir(spark)
+        with shared.own_folders(spark):  # what only this stage reads
+            docs = stored(stage(spark, docs, sf_dir), f"{place}/{name}")
         if before:
             shared.discard(spark, before)
         before = place
