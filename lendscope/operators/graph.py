@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -90,35 +91,85 @@ def layered_score(edges: DataFrame, pairs: DataFrame, ordered: bool = True) -> D
     return out.withColumn("severity", F.when(s > 0.15, "HIGH").when(s > 0.05, "MEDIUM").otherwise("NONE"))
 
 
-#: Rounds of trimming go on while one takes more than this share of the payments.
-TRIM = 1 / 64
+#: Rounds of trimming go on while one takes more than this share of the payments; the work depends on it, the cycles don't.
+TRIM = 1 / 16
+#: Bits of a place for a node's number; above them are eight steps for each doubling of its partners.
+NUMBER_BITS = 54
 
 
-def trimmed(pay: DataFrame, place: str) -> DataFrame:
-    """pay (company_id, src, dst) without payments that no cycle can hold: those to a node that pays nobody, or from one
-    that nobody pays, until a round takes hardly any. Each round is a table; that before it is deleted."""
+def both_ways(pay: DataFrame, a: str, b: str) -> DataFrame:
+    """company_id, node, degree of the nodes that pay somebody and are paid. pay: company_id, payer a, payee b."""
+    end = lambda c, out: F.struct(F.col(c).alias("node"), F.lit(out).alias("n_out"), F.lit(1 - out).alias("n_in"))
+    ends = pay.select("company_id", F.explode(F.array(end(a, 1), end(b, 0))).alias("e")).select("company_id", "e.*")
+    sums = ends.groupBy("company_id", "node").agg(F.sum("n_out").alias("n_out"), F.sum("n_in").alias("n_in"))
+    return sums.where("n_out > 0 AND n_in > 0").select("company_id", "node", (F.col("n_out") + F.col("n_in")).alias("degree"))
+
+
+def placed(pay: DataFrame, place: str) -> tuple[DataFrame, DataFrame, str]:
+    """The nodes (company_id, node, at) and payments (company_id, s, d: places; and their folder) that a cycle can hold: those to a node that
+    pays nobody, or from one that nobody pays, go until a round takes hardly any. at is a node's place in an order by
+    partners, as a number of its own. Each round is a table; that before it is deleted."""
     spark, n = pay.sparkSession, 0
-    now = write(pay, f"{place}/trim0")
-    size = now.count()
-    while True:
+    at = F.shiftleft(F.floor(8 * F.log2(F.col("degree"))).cast("long"), NUMBER_BITS).bitwiseOR(F.monotonically_increasing_id())
+    nodes = write(both_ways(pay, "src", "dst").select("company_id", "node", at.alias("at")), f"{place}/nodes")
+    by = lambda c, to: nodes.select("company_id", F.col("node").alias(c), F.col("at").alias(to))
+    now = write(pay.select("company_id", "src", "dst").join(by("src", "s"), ["company_id", "src"]).join(by("dst", "d"), ["company_id", "dst"]).select("company_id", "s", "d"), f"{place}/trim0")
+    size, left = pay.count(), now.count()
+    while size - left > TRIM * size:
         n += 1
-        paid, paying = (now.select("company_id", F.col(a).alias(b)).distinct() for a, b in (("dst", "src"), ("src", "dst")))
-        after = write(now.join(paid, ["company_id", "src"], "left_semi").join(paying, ["company_id", "dst"], "left_semi"), f"{place}/trim{n}")
+        alive = write(both_ways(now, "s", "d").select("company_id", "node"), f"{place}/alive{n}")
+        on = lambda c: alive.select("company_id", F.col("node").alias(c))  # noqa: E731, B023
+        now = write(now.join(on("s"), ["company_id", "s"], "left_semi").join(on("d"), ["company_id", "d"], "left_semi"), f"{place}/trim{n}")
         delete(spark, f"{place}/trim{n - 1}")
-        left = after.count()
-        if size - left <= TRIM * size:
-            return after
-        now, size = after, left
+        delete(spark, f"{place}/alive{n}")
+        size, left = left, now.count()
+    return nodes, now, f"{place}/trim{n}"
+
+
+def rings(pay: DataFrame, longest: int) -> DataFrame:
+    """company_id, ring (places in the order of payment, from the greatest on): each simple cycle once. pay: company_id, s, d.
+
+    A cycle is found at its greatest place: a way out from it and a way back to it, of half its edges each, meet at their
+    ends, and all places on the ways are less. So a hub is an end of open paths and never their middle, unless a greater
+    hub begins them, and no open path has more than half a cycle's edges. Ways are rows of numbers.
+    """
+    hop = pay.select(F.col("company_id").alias("g"), F.col("s").alias("x"), F.col("d").alias("y"))
+    new = lambda c, names: functools.reduce(lambda a, b: a & b, [F.col(c) < F.col("start"), *[F.col(c) != F.col(n) for n in names]])
+    ways = {}
+    for side, first, last, own, far in (("o", "s", "d", "x", "y"), ("b", "d", "s", "y", "x")):  # from the start on, and back to it
+        way = pay.where(F.col(last) < F.col(first)).select("company_id", F.col(first).alias("start"), F.col(last).alias(f"{side}1"))
+        ways[side] = [way]
+        for k in range(2, (longest + (side == "o")) // 2 + 1):
+            names = [f"{side}{i}" for i in range(1, k)]
+            on = (F.col("company_id") == F.col("g")) & (F.col(names[-1]) == F.col(own)) & new(far, names)
+            ways[side].append(ways[side][-1].join(hop, on).select("company_id", "start", *names, F.col(far).alias(f"{side}{k}")))
+    found = None
+    for k, out in enumerate(ways["o"], 1):
+        names = [f"o{i}" for i in range(1, k + 1)]
+        homes = None
+        for j in (k - 1, k):  # edges of the way back
+            if 1 <= j <= longest - k:
+                more = [F.col(f"b{i}").alias(f"m{i}") if i < j else F.lit(None).cast("long").alias(f"m{i}") for i in range(1, k)]
+                home = ways["b"][j - 1].select("company_id", "start", F.col(f"b{j}").alias(names[-1]), *more)
+                homes = home if homes is None else homes.unionByName(home)
+        if homes is None:
+            continue
+        met = out.join(homes, ["company_id", "start", names[-1]])
+        for n in names[:-1]:
+            for i in range(1, k):
+                met = met.where(F.col(f"m{i}").isNull() | (F.col(f"m{i}") != F.col(n)))
+        ring = F.array_compact(F.array("start", *names, *[f"m{i}" for i in range(k - 1, 0, -1)]))
+        own = met.select("company_id", ring.alias("ring"))
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
 def cycles(edges: DataFrame, longest: int = 4, hub: int | None = None) -> DataFrame:
     """Simple directed cycles of 2 to longest nodes, each from its least node on; suspicious up to four nodes.
 
-    A cycle is found at its node of most payment partners (the later name on a tie): a way out from it and a way back to it,
-    of half its edges each, meet at their ends, and all nodes on the ways have fewer partners. So a hub is an end of open
-    paths and never their middle, unless a greater hub begins them, and no open path has more than half a cycle's edges.
-    Payments that can't be on a cycle leave first, and what stays is written once with its nodes' places. hub, off by
-    default: nodes with more edges than that, in or out, leave, too.
+    Payments that can't be on a cycle leave first, and cycles are sought among numbers (rings); names and amounts are
+    looked up for the cycles alone. edges are read several times, so large ones should be a table. hub, off by default:
+    nodes with more edges than that, in or out, leave, too.
     """
     spark = edges.sparkSession
     place = shared_place(spark)
@@ -127,37 +178,24 @@ def cycles(edges: DataFrame, longest: int = 4, hub: int | None = None) -> DataFr
         for end in ("src", "dst"):
             few = pay.groupBy("company_id", end).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= hub)
             pay = pay.join(few, ["company_id", end], "left_semi")
-    pay = trimmed(pay, place)
-    degree = node_degrees(pay)
-    for end in ("src", "dst"):
-        own = degree.select("company_id", F.col("node").alias(end), F.struct("degree", "node").alias(f"{end}_rank"))
-        pay = pay.join(own, ["company_id", end])
-    pay = write(pay, f"{place}/ranked")
-    hop = pay.select(F.col("company_id").alias("g"), F.col("src").alias("s"), F.col("dst").alias("d"), F.col("src_rank").alias("sr"), F.col("dst_rank").alias("dr"), F.col("total_amount").alias("t"))
-    # Ways from, and to, their greatest node (start), by length; nodes in the order of payment.
-    way = lambda rank: pay.select("company_id", F.array("src", "dst").alias("nodes"), F.col(rank).alias("start"), F.col("total_amount").alias("amount"))
-    out, back = [way("src_rank").where("dst_rank < src_rank")], [way("dst_rank").where("src_rank < dst_rank")]
-    first, last = F.element_at("nodes", 1), F.element_at("nodes", -1)
-    same = F.col("company_id") == F.col("g")
-    new = lambda node: ~F.array_contains("nodes", node)
-    total = (F.col("amount") + F.col("t")).alias("amount")
-    while len(out) < (longest + 1) // 2:
-        on = same & (last == F.col("s")) & (F.col("dr") < F.col("start")) & new(F.col("d"))
-        out.append(out[-1].join(hop, on).select("company_id", F.array_append("nodes", F.col("d")).alias("nodes"), "start", total))
-    while len(back) < longest // 2:
-        on = same & (first == F.col("d")) & (F.col("sr") < F.col("start")) & new(F.col("s"))
-        back.append(back[-1].join(hop, on).select("company_id", F.array_prepend("nodes", F.col("s")).alias("nodes"), "start", total))
-    found = None
-    for length in range(2, longest + 1):
-        there = out[(length + 1) // 2 - 1].select("company_id", first.alias("begin"), last.alias("turn"), "nodes", "amount")
-        home = back[length // 2 - 1].select("company_id", last.alias("begin"), first.alias("turn"), F.slice("nodes", 2, length // 2 - 1).alias("more"), F.col("amount").alias("rest"))
-        met = there.join(home, ["company_id", "begin", "turn"]).where(~F.arrays_overlap("nodes", "more"))
-        ring = met.select("company_id", F.concat("nodes", "more").alias("ring"), (F.col("amount") + F.col("rest")).alias("amount"))
-        least = F.array_position("ring", F.array_min("ring"))
-        turned = F.concat(F.slice("ring", least, F.lit(length)), F.slice("ring", F.lit(1), least - 1))
-        own = ring.select("company_id", F.lit(length).alias("length"), F.array_join(turned, ">").alias("path"), half_up(F.col("amount"), 2).alias("amount"), F.lit(length <= 4).alias("suspicious"))
-        found = own if found is None else found.unionByName(own)
-    return found
+    nodes, kept, folder = placed(pay, place)
+    found = write(rings(kept, longest), f"{place}/rings")
+    delete(spark, folder)
+    keys = ["company_id", "ring"]
+    each = found.select(*keys, F.posexplode("ring").alias("i", "at")).join(nodes, ["company_id", "at"])
+    named = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "node"))), lambda x: x["node"]).alias("ring_names"))
+    least = F.array_position("ring_names", F.array_min("ring_names"))
+    turned = F.concat(F.slice("ring_names", least, F.size("ring_names")), F.slice("ring_names", F.lit(1), least - 1))
+    named = named.select("company_id", turned.alias("path"))
+    steps = F.transform("path", lambda x, i: F.struct(i.alias("i"), x.alias("src"), F.get("path", (i + 1) % F.size("path")).alias("dst")))
+    paid = named.select("company_id", "path", F.explode(steps).alias("e")).select("company_id", "path", "e.*").join(pay, ["company_id", "src", "dst"])
+    amounts = F.transform(F.array_sort(F.collect_list(F.struct("i", "total_amount"))), lambda x: x["total_amount"])
+    summed = paid.groupBy("company_id", "path").agg(F.aggregate(amounts, F.lit(0.0), lambda a, x: a + x).alias("amount"))
+    out = summed.select("company_id", F.size("path").alias("length"), F.array_join("path", ">").alias("path"), half_up(F.col("amount"), 2).alias("amount"), (F.size("path") <= 4).alias("suspicious"))
+    out = write(out, f"{place}/cycles")
+    for name in ("nodes", "rings"):
+        delete(spark, f"{place}/{name}")
+    return out
 
 
 def cycle_score(edges: DataFrame, found: DataFrame) -> DataFrame:

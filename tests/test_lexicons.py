@@ -1,14 +1,17 @@
 """Lexicons, exact order statistics, merged identifiers, tables read in splits, and what follows a name on a line."""
 
+import os
 import statistics
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from lendscope import stages
 from lendscope.functions import lexicon, quantiles
 from lendscope.operators import documents, filings, graph, research, signals
 from lendscope.operators.statements import read_tables
+from lendscope.plans.registry import QUERIES
 
 
 def test_lexicons_hold_all_types_and_sectors():
@@ -126,3 +129,19 @@ def test_cycles_with_hubs_equal_a_walk(spark):
         assert {r["path"]: r["amount"] for r in found} == plain_cycles(edges, longest)
         assert len(found) == len({r["path"] for r in found}) and Counter(r["length"] for r in found).keys() <= set(range(2, longest + 1))
     assert graph.cycles(df.limit(0)).count() == 0
+
+
+def test_cycles_keep_no_table_but_their_own(spark):
+    """Edges are a step of the run, places are whole numbers of their own, and what the search wrote goes."""
+    with stages.run(spark, "/root/testdata/sf0.001") as run:
+        found = QUERIES["cycle_score"](spark, run)
+        assert "edges_graph_txns" in run.steps and found.count() == 1
+        left = [(at, sorted(names)) for at, names, _ in os.walk(run.place.removeprefix("file://")) if len(os.path.basename(at)) == 32]
+        assert [names for _, names in left] == [["cycles"]]
+        pay = run.steps["edges_graph_txns"].where("total_amount > 0 AND src <> dst")
+        nodes, kept, _ = graph.placed(pay, stages.shared_place(spark))
+        assert dict(kept.dtypes) == {"company_id": "int", "s": "bigint", "d": "bigint"}
+        told = nodes.agg(F.count("at"), F.count_distinct("at"), F.min("at")).first()
+        assert told[0] == told[1] > 0 and told[2] >= 0
+        order = [r["degree"] for r in nodes.join(graph.both_ways(pay, "src", "dst"), ["company_id", "node"]).orderBy("at").collect()]
+        assert all(np.floor(8 * np.log2(a)) <= np.floor(8 * np.log2(b)) for a, b in zip(order, order[1:]))
