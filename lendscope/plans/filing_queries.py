@@ -10,6 +10,7 @@ from lendscope.operators import documents, filings, graph
 from lendscope.plans.figures import FIGURES, FILINGS, around, number_after, percent_after, times
 from lendscope.plans.inputs import frame, sql
 from lendscope.plans.queries import CONTAINS, CYCLES, MANY, VALUES, edges, query
+from lendscope.stages import whole
 
 _all = lambda p, i, t="text": f"regexp_extract_all({t}, '{p}', {i})"
 _one = lambda p, i=1: f"regexp_extract(text, '{p}', {i})"
@@ -173,6 +174,7 @@ _shells = "(SELECT DISTINCT 0 AS company_id, concat('A', o_orderkey) AS entity F
 
 @query(f"""WITH e AS {MANY}, n AS (SELECT company_id, node, CAST(sum(txn_count) AS BIGINT) AS txns FROM (SELECT company_id, src AS node, txn_count FROM e UNION ALL SELECT company_id, dst, txn_count FROM e) GROUP BY 1, 2),
 m AS (SELECT n.*, node IN (SELECT unnest(string_split(path, '>')) FROM {CYCLES}) AS in_cycle, node IN (SELECT entity FROM {_shells}) AS is_shell FROM n) SELECT *, in_cycle OR is_shell AS suspicious FROM m""")
+@whole
 def txn_graph_marks(spark, d):
     e = edges(spark, d, "graph_txns")
     shells = frame(spark, d, "orders").where("o_orderpriority LIKE '1%'").selectExpr("0 AS company_id", "concat('A', o_orderkey) AS entity")
@@ -182,6 +184,7 @@ def txn_graph_marks(spark, d):
 @query(f"""WITH e AS {MANY}, c AS (SELECT string_split(path, '>') AS p FROM {CYCLES}), s AS (SELECT DISTINCT p[i + 1] AS a, p[(i + 1) % len(p) + 1] AS b FROM (SELECT p, unnest(range(len(p))) AS i FROM c))
 SELECT e.company_id, e.src, e.dst, CASE WHEN s.a IS NOT NULL THEN 'cycle' WHEN b.src IS NOT NULL THEN 'layered' ELSE 'plain' END AS mark FROM e LEFT JOIN s ON e.src = s.a AND e.dst = s.b
 LEFT JOIN e b ON b.company_id = e.company_id AND b.src = e.dst AND b.dst = e.src""")
+@whole
 def txn_graph_edge_marks(spark, d):
     e = edges(spark, d, "graph_txns")
     return graph.edge_marks(e, graph.cycles(e))
