@@ -77,6 +77,30 @@ def test_trees_as_a_table(spark, trained, tmp_path):
     assert len(set(first.values())) > 1 and max(r["rank"] for r in rows) <= 4  # drivers differ by row
 
 
+def test_rows_walk_in_their_own_tasks(spark, trained, tmp_path):
+    """No row is multiplied by the trees or joined with them, and rows are dealt over all tasks, though they are one small file."""
+    f, fitted, _ = trained
+    table = trees.tree_table(fitted.stages[-1], f"file://{tmp_path}/model", spark)
+    ready = model.prepared(fitted, stages.write(stages.spread(f, "company_id"), f"file://{tmp_path}/rows"))
+    assert len(ready.inputFiles()) == spark.sparkContext.defaultParallelism
+    impacts = trees.steps(ready, table, len(fitted.stages[-1].trees), 3)
+    plan = impacts._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Exchange", "Generate"))
+    nodes = {(r["tree"], r["node"]): r for r in table.collect()}
+    want = {}
+    for row in ready.collect():
+        for tree in {t for t, _ in nodes}:
+            at = nodes[tree, 0]
+            while at["left"] is not None:
+                side = "left" if row["v"][at["feature"]] <= at["threshold"] else "right"
+                key = row["company_id"], at["feature"]
+                want[key] = want.get(key, 0.0) + at["weight"] * (at[f"{side}_value"] - at["value"])
+                at = nodes[tree, at[side]]
+    found = {(r["company_id"], r["feature"]): r["impact"] for r in impacts.collect()}
+    assert found.keys() == want.keys() and all(math.isclose(found[k], want[k], abs_tol=1e-9) for k in want)
+    assert impacts.count() == len(found) and trees.steps(ready.limit(0), table, 6, 3).count() == 0
+
+
 def test_ranks_are_exact(spark):
     rng = np.random.default_rng(5)
     rows = [(float(s), int(y)) for s, y in zip(rng.integers(0, 40, 3000), rng.integers(0, 2, 3000), strict=True)] + [(7.0, 1)] * 500 + [(None, 1)]
