@@ -17,9 +17,11 @@ from lendscope.operators.decision import GRADES
 
 
 def preparation(f: DataFrame, features: list[str]) -> Pipeline:
-    """Exact medians of f for missing values, then zero mean and unit deviation; the vector is scaled."""
-    real = [F.struct(F.lit(c).alias("feature"), F.when(~F.isnan(c), F.col(c).cast("double")).alias("value")) for c in features]
-    found = {r["feature"]: r["median"] for r in medians(f.select(F.explode(F.array(*real)).alias("x")).select("x.*"), ["feature"]).collect()}  # a row a feature
+    """Exact medians of f for missing values, then zero mean and unit deviation; the vector is scaled. Medians are
+    worked out for features with missing values only."""
+    missing = f.agg(*[F.count_if(F.isnan(c) | F.isnull(c)).alias(c) for c in features]).first()
+    real = [F.struct(F.lit(c).alias("feature"), F.when(~F.isnan(c), F.col(c).cast("double")).alias("value")) for c in features if missing[c]]
+    found = {} if not real else {r["feature"]: r["median"] for r in medians(f.select(F.explode(F.array(*real)).alias("x")).select("x.*"), ["feature"]).collect()}  # a row a feature
     filled = ", ".join(f"coalesce(nullif(CAST({c} AS DOUBLE), double('NaN')), {found.get(c, 0.0)!r}d) AS {c}_filled" for c in features)
     assembled = VectorAssembler(inputCols=[f"{c}_filled" for c in features], outputCol="raw")
     return Pipeline(stages=[SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"), assembled, StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)])
