@@ -163,3 +163,14 @@ def test_a_batch_is_replaced_as_a_whole(spark, tmp_path):
     assert sorted(map(tuple, feeds.read_results(spark, place, "monday").collect())) == [(1, "REJECT"), (2, "REJECT"), (3, "REJECT")]
     assert feeds.read_results(spark, place, "tuesday").count() == 1
     assert len([f for _, _, names in os.walk(f"{tmp_path}/sink/batch=monday") for f in names if f.endswith(".parquet")]) == 3
+
+
+def test_only_series_are_aggregated_as_objects(spark):
+    """Greatest values are plain sums of a hash table; companies without a series, and none, keep their row."""
+    lines = [(1, "revenue", 2021, 5.0), (1, "revenue", 2020, 7.0), (1, "inventories", 2021, 3.0), (2, "cash", 2021, 4.0), (None, "pat", 2021, 1.0)]
+    out = decision.fin_agg(spark.createDataFrame(lines, "company_id long, metric string, period int, value double"))
+    objects = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "ObjectHashAggregate" in x]
+    assert objects and not any("max(" in x for x in objects)
+    found = {r["company_id"]: r for r in out.collect()}
+    assert len(found) == 3 and found[1]["revenue_series"] == [5.0, 7.0] and found[1]["revenue"] == 7.0 and found[1]["inventories"] == 3.0
+    assert found[2]["cash"] == 4.0 and found[2]["revenue_series"] == [] and found[None]["pat_series"] == [1.0]
