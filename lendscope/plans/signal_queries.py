@@ -10,6 +10,7 @@ from lendscope.operators import documents, research, signals
 from lendscope.plans.inputs import frame
 from lendscope.plans.inputs import sql as s
 from lendscope.plans.queries import ARTICLES, CASES, F_SQL, HITS, KEPT, ORACLE_SQL, QUERIES, VALUES, query
+from lendscope.stages import spread
 
 SEEN = lambda c, words: "(" + " + ".join(f"max(CAST(contains({c}, '{w}') AS INT))" for w in words) + ")"
 OWN = lambda k, words: "(" + " + ".join(f"max(CAST(category = '{k}' AND contains(low, '{w}') AS INT))" for w in words) + ")"
@@ -53,7 +54,7 @@ DETECTED = f"""(SELECT company_id, coalesce(arg_max(sector, (n, -o)), 'default')
 
 @query(f"SELECT * FROM {DETECTED}")
 def sector_detect(spark, d):
-    return research.sector_detect(frame(spark, d, "reports"))
+    return research.sector_detect(spread(frame(spark, d, "reports"), "doc_id"))
 
 
 _base = "CASE sector " + " ".join(f"WHEN '{n}' THEN {x}e0" for n, x in {n: x for n, x, *_ in _sectors}.items()) + " ELSE 0.5e0 END"

@@ -174,3 +174,8 @@ def test_only_series_are_aggregated_as_objects(spark):
     found = {r["company_id"]: r for r in out.collect()}
     assert len(found) == 3 and found[1]["revenue_series"] == [5.0, 7.0] and found[1]["revenue"] == 7.0 and found[1]["inventories"] == 3.0
     assert found[2]["cash"] == 4.0 and found[2]["revenue_series"] == [] and found[None]["pat_series"] == [1.0]
+
+
+def test_texts_are_searched_by_all_tasks(spark):
+    plan = QUERIES["sector_detect"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id#" in plan and f", {spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in plan
